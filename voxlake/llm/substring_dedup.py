@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,10 @@ from voxlake.llm.common import packed, rows_of, texts_of, unpacked
 WINDOW = 13
 #: Odd multipliers of the two polynomials, 3 modulo 4, so that a swap of neighbours costs one bit at most.
 BASES = (0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F)
-#: Windows in a map task's block; about 40 bytes each.
-BLOCK_WINDOWS = 3_000_000
+#: Windows in a map task's block; about 110 bytes each while it is sorted.
+BLOCK_WINDOWS = 1_000_000
 #: Words whose hashes a task keeps at a time.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 #: Stands for a null id in the order of documents: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -251,11 +252,20 @@ def _merged(window: int):
     return run
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the join's shuffle."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = pa.array([squeeze(text) for text in texts_of(batch.column(1))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2), batch.column(3)], batch.schema.names)
+
+
 def _removed(keep_untouched: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeezed = zstandard.ZstdDecompressor()
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for text, starts, ends in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, starts, ends in zip(map(squeezed.decompress, texts_of(batch.column(1))), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
                 n_words.append(len(words))
                 if starts:
@@ -297,7 +307,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("doc"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("ord"), F.xxhash64(text).alias("text_hash"))
+    doc_type = rows.schema["doc"].dataType.simpleString()
+    rows = rows.mapInArrow(_squeezed, f"doc {doc_type}, text binary, ord long, text_hash long")
     joined = rows.join(removal_spans(docs, id_col, text_col, window, buckets), ["ord", "text_hash"], "left")
     out = joined.select("doc", "text", "starts", "ends")
-    schema = f"doc {out.schema['doc'].dataType.simpleString()}, kept binary, n_words long, n_removed long, starts array<int>, ends array<int>"
+    schema = f"doc {doc_type}, kept binary, n_words long, n_removed long, starts array<int>, ends array<int>"
     return out.mapInArrow(_removed(keep_untouched), schema).withColumn("kept", F.col("kept").cast("string"))
