@@ -29,7 +29,7 @@ MOST_LABELLED = 40_000
 #: Tokens with log-odds at most; a model is broadcast.
 MOST_TOKENS = 50_000
 #: Pseudo-counts of the Dirichlet prior, and what a word costs.
-PRIOR, COST = 100000, 0.2
+PRIOR, COST = 100_000.0, 0.2
 #: Standard errors by which a token's log-odds stand out, and its least count.
 STANDS_OUT, LEAST_COUNT = 5.0, 3
 PREFIXES = (6, 5, 4)
