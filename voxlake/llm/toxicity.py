@@ -28,10 +28,10 @@ from voxlake.llm.common import fold, texts_of
 MOST_LABELLED = 40_000
 #: Tokens with log-odds at most; a model is broadcast.
 MOST_TOKENS = 50_000
-#: Pseudo-counts of the Dirichlet prior, and what a word costs.
-PRIOR, COST = 100_000.0, 0.2
+#: Pseudo-counts of the Dirichlet prior as a share of the labelled tokens, and what a word costs.
+PRIOR, COST = 0.05, 0.2
 #: Standard errors by which a token's log-odds stand out, and its least count.
-STANDS_OUT, LEAST_COUNT = 5.0, 3
+STANDS_OUT, LEAST_COUNT = 3.5, 3
 PREFIXES = (6, 5, 4)
 _EDGES = re.compile(rb"^[^a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+$")
 
@@ -58,10 +58,10 @@ class Model:
     shift: float = -40.0
 
     def evidence(self, best: list[float], length: int) -> float:
-        """Sum over segments beyond chance of lambda S - ln(K m), or that of the best one if none is."""
+        """asinh of the sum over segments beyond chance of lambda S - ln(K m), or that of the best one if none is."""
         base = math.log(self.k * max(1, length))
         above = [self.lam * s - base for s in best if self.lam * s > base]
-        return sum(above) if above else self.lam * max(best, default=0.0) - base
+        return math.asinh(sum(above) if above else self.lam * max(best, default=0.0) - base)
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * evidence + self.shift))))
@@ -181,8 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     n0, n1 = (float(x or 0) for x in totals)
     if not n0 or not n1:
         return Model()
-    prior = (F.col("n0") + F.col("n1")) / F.lit((n0 + n1) / PRIOR)
-    odds = F.log((F.col("n1") + prior) / (n1 + PRIOR - F.col("n1") - prior)) - F.log((F.col("n0") + prior) / (n0 + PRIOR - F.col("n0") - prior))
+    pseudo = PRIOR * (n0 + n1)
+    prior = PRIOR * (F.col("n0") + F.col("n1"))
+    odds = F.log((F.col("n1") + prior) / (n1 + pseudo - F.col("n1") - prior)) - F.log((F.col("n0") + prior) / (n0 + pseudo - F.col("n0") - prior))
     z = odds / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
     kept = counts.select("token", "n0", odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= STANDS_OUT).orderBy(F.abs("z").desc(), "token").limit(MOST_TOKENS).collect()
     model = Model({bytes(r.token): float(r.odds) for r in kept})
