@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import langid, lm_scoring, mixing, packing, records, simhash, substring_dedup, toxicity
+from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, mixing, packing, records, simhash, substring_dedup, toxicity
 from voxlake.llm.common import fold, table
+from voxlake.llm.vectors import usable
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,21 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").filter(usable(F.col("embedding")))
+    whole = vectors.select("vec_id", impact_search.quantised(F.col("embedding")).alias("embedding"))
+    return impact_search.exact_top_k(whole, whole.filter("vec_id % 50 = 0"), k=5)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -64,6 +80,11 @@ FROM x
 """
 
 
+def op8_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_tree.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = lm_scoring.score(docs, tokenizer_file("piece_bpe_32k.model"))
@@ -78,13 +99,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_impact_search": op2_impact_search,
     "op3_mixing": op3_mixing,
     "op4_records": op4_records,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
+    "op8_ann_tree": op8_ann_tree,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_impact_search": OP2_SQL, "op6_substring_dedup": OP6_SQL}
