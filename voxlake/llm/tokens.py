@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Units and pieces that a task remembers at a time.
-KNOWN_UNITS, KNOWN_PIECES = 400_000, 400_000
+#: Units and pieces that a worker remembers; as many older ones stay until they are asked for or fall out.
+KNOWN_UNITS, KNOWN_PIECES = 250_000, 250_000
 #: How byte-level tokenizers split texts unless their file says otherwise; the fixed pattern of that format.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -24,17 +25,28 @@ _PLAIN = re.compile("[ \\n]?[!-~\u00a1-\u012f\u0132-\u024f]+")
 
 
 class _Remembered(dict):
+    """Two generations of answers: what is asked for again moves to the young one, the old one is dropped when that is full."""
+
     def __init__(self, find, most: int) -> None:
         super().__init__()
-        self.find, self.most = find, most
+        self.find, self.most, self.old = find, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[key] = found = self.find(key)
+        found = self.old.get(key)
+        self[key] = found = self.find(key) if found is None else found
         return found
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, the rest from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """``encode(text)`` gives the ids of a text (UTF-8 bytes), as the tokenizer's ``encode(text, add_special_tokens=False)``."""
 
@@ -45,27 +57,33 @@ class Encoder:
             shape = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.code = "H" if self.vocabulary <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         splits = [x["pattern"]["Regex"] for x in shape["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
         self.pieces = regex.compile(splits[0] if splits else BYTE_LEVEL)
         self.lower = '"Lowercase"' in json.dumps(shape["normalizer"])
         self.drops_space = bool(splits)
-        self.special = [x["content"] for x in shape["added_tokens"]]
+        if any("<|" not in x["content"] for x in shape["added_tokens"]):
+            raise ValueError("special tokens are known by <|")
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known_pieces = _Remembered(self._piece, KNOWN_PIECES)
         self.known_units = _Remembered(self._unit, KNOWN_UNITS)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return self._whole(piece)
+        letters = piece.translate(self.letters) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [token.id for token in self.model.tokenize(letters)]).tobytes()
 
     def _unit(self, unit: str | bytes) -> bytes:
         text = unit if isinstance(unit, str) else unit.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or any(x in text for x in self.special) or not unicodedata.is_normalized("NFC", text):
+        if not _PLAIN.fullmatch(text) or "<|" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return self._whole(text)
         if self.lower:
             text = text.lower()
+        if (text[1:] if text[0] == " " else text).isalpha():
+            return self.known_pieces[text]
         return b"".join([self.known_pieces[piece] for piece in self.pieces.findall(text)])
 
     def encode(self, text: bytes) -> np.ndarray:
