@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +57,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts_of(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text; null gives b''."""
-    for text in column.to_pylist():
+    for value in column:
+        text = value.as_py()
         yield text.encode("utf-8", "surrogatepass") if isinstance(text, str) else (text or b"")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task function; at its end the worker, which Spark keeps, gives freed memory back to the system."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
 def packed(array: np.ndarray) -> bytes:
     """An integer array as compressed byte planes: small numbers cost about a byte each."""
     raw = np.ascontiguousarray(array)

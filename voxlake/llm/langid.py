@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import fold, texts_of
+from voxlake.llm.common import fold, lean, texts_of
 
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hash of their id.
 MOST_LABELLED = 40_000
@@ -64,7 +64,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, n in Counter(text.split()).items():
                 for run in _LETTERS.findall(word.decode("utf-8", "replace").lower()):
                     words[lang, run] += n
-        if len(words) > 500_000:
+        if len(words) > 250_000:
             yield out(words)
             words = Counter()
     yield out(words)
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "lang")
     labelled = docs.filter("lang is not null and text is not null").filter(fold(F.col("doc_id")) != 0)
     some = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select("doc_id").distinct()
-    counts = labelled.join(F.broadcast(some), "doc_id", "left_semi").select("text", "lang").mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    counts = labelled.join(F.broadcast(some), "doc_id", "left_semi").select("text", "lang").mapInArrow(lean(_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     model = Model(sorted(totals))
     if not totals:
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
         return rows.groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).orderBy(F.col("all").desc(), "key").limit(n).collect()
 
     model.words = table_of(top(counts, "word", MOST_WORDS), np.array([totals[x] for x in model.languages], float))
-    by_gram = counts.mapInArrow(_grams_of, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).persist()
+    by_gram = counts.mapInArrow(lean(_grams_of), "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).persist()
     for order in ORDERS:
         own = by_gram.filter(F.col("order") == order)
         sums = {r.lang: r.n for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             langs, scores = [], []
             for text in texts_of(batch.column(1)):
-                if len(known) > 300_000:
+                if len(known) > 150_000:
                     known = _Known(sent.value)
                 words = text.split()
                 places = np.fromiter(map(known.__getitem__, words), np.int64, len(words))  # may enlarge the table
@@ -165,4 +165,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return columns.mapInArrow(lean(run), "doc_id long, lang_pred string, score double")

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import cut, fold, texts_of
+from voxlake.llm.common import cut, fold, lean, texts_of
 
 #: Words that go to every task, with their count and log-probability.
 HOT_WORDS = 200_000
 #: Distinct words that a task counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 300_000
 #: Pseudo-counts of the vocabulary's own scores.
 PRIOR = 100_000.0
 SPACE = "▁"
@@ -58,7 +58,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word``, ``n_all`` (in all documents) and ``n`` (in those with ``train``), from ``text`` and ``train``."""
-    counts = docs.select("text", "train").mapInArrow(_word_counts, "word binary, n_all long, n long")
+    counts = docs.select("text", "train").mapInArrow(lean(_word_counts), "word binary, n_all long, n long")
     return counts.groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
 
 
@@ -181,7 +181,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     hot = spark.sparkContext.broadcast({w: (k, b, s) for w, k, b, s in zip(*(c.to_pylist() for c in top.columns), strict=True)})
     end_base = math.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))
     end_score = math.log10((1 - by_pieces) * ends / max(1, total) + by_pieces * math.exp(lattice.value.end))
-    partial = rows.select("doc_id", "text").mapInArrow(_partials(hot, end_score), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,k:long>>")
+    partial = rows.select("doc_id", "text").mapInArrow(lean(_partials(hot, end_score)), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,k:long>>")
     partial = cut(partial.withColumn("row", F.monotonically_increasing_id()), "partials")
     rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
     found = rare.join(known.drop("n_all"), "word").groupBy("row").agg(F.sum(F.col("k") * F.col("known")).alias("more_known"), F.sum(F.col("k") * F.col("base")).alias("more_base"), F.sum(F.col("k") * F.col("score")).alias("more_score"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import packed, rows_of, texts_of, unpacked
+from voxlake.llm.common import lean, packed, rows_of, texts_of, unpacked
 
 WINDOW = 13
 #: Odd multipliers of the two polynomials, 3 modulo 4, so that a swap of neighbours costs one bit at most.
@@ -32,7 +32,7 @@ BASES = (0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F)
 #: Windows in a map task's block; about 110 bytes each while it is sorted.
 BLOCK_WINDOWS = 1_000_000
 #: Words whose hashes a task keeps at a time.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 #: Stands for a null id in the order of documents: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -290,9 +290,9 @@ def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = columns.mapInArrow(_hashed(window, buckets), _BLOCK)
-    marks = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, _BLOCK)
-    spans = marks.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_merged(window), _SPANS)
+    blocks = columns.mapInArrow(lean(_hashed(window, buckets)), _BLOCK)
+    marks = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_repeats), _BLOCK)
+    spans = marks.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(lean(_merged(window)), _SPANS)
     return spans.groupBy("ord", "text_hash").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
 
 
@@ -312,4 +312,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = rows.join(removal_spans(docs, id_col, text_col, window, buckets), ["ord", "text_hash"], "left")
     out = joined.select("doc", "text", "starts", "ends")
     schema = f"doc {doc_type}, kept binary, n_words long, n_removed long, starts array<int>, ends array<int>"
-    return out.mapInArrow(_removed(keep_untouched), schema).withColumn("kept", F.col("kept").cast("string"))
+    return out.mapInArrow(lean(_removed(keep_untouched)), schema).withColumn("kept", F.col("kept").cast("string"))

@@ -17,7 +17,7 @@ import numpy as np
 import regex
 
 #: Units and pieces that a worker remembers; as many older ones stay until they are asked for or fall out.
-KNOWN_UNITS, KNOWN_PIECES = 250_000, 250_000
+KNOWN_UNITS, KNOWN_PIECES = 160_000, 160_000
 #: How byte-level tokenizers split texts unless their file says otherwise; the fixed pattern of that format.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import fold, texts_of
+from voxlake.llm.common import fold, lean, texts_of
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hash of their id.
 MOST_LABELLED = 40_000
@@ -75,7 +75,7 @@ class _Scores(dict):
         self.odds = odds
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         bare = token(word)
         found = self.odds.get(bare)
@@ -130,7 +130,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     starts[start] += n
             counts[label].update(words)
             counts[label].update(starts)
-        if len(counts[0]) + len(counts[1]) > 1_000_000:
+        if len(counts[0]) + len(counts[1]) > 250_000:
             yield out(counts)
             counts = {0: Counter(), 1: Counter()}
     yield out(counts)
@@ -174,7 +174,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """A model from at most ``most`` labelled documents whose id's fold is not 0. Without both labels it rejects nothing."""
     rows = _labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), labels, most)
-    counts = rows.filter("part < 2").select("text", "label").mapInArrow(_counts, "token binary, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = rows.filter("part < 2").select("text", "label").mapInArrow(lean(_counts), "token binary, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     words = ~F.col("token").cast("string").endswith("*")
     counts = counts.filter((F.col("n0") + F.col("n1")) >= LEAST_COUNT)
     totals = counts.filter(words).agg(F.sum("n0"), F.sum("n1")).first()
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
             tops = [sorted((s for _, _, s in segments), reverse=True)[:20] for _, segments in found]
             yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array(tops, pa.list_(pa.float64())), batch.column(1)], ["m", "best", "label"])
 
-    held = rows.filter("part = 2").select("text", "label").mapInArrow(best, "m long, best array<double>, label int").collect()
+    held = rows.filter("part = 2").select("text", "label").mapInArrow(lean(best), "m long, best array<double>, label int").collect()
     clean = [(r.m, max(r.best, default=0.0)) for r in held if r.label == 0 and r.m]
     if not clean or len({r.label for r in held}) < 2:
         return Model()
@@ -234,4 +234,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 passages.append([{"start": a, "end": b, "score": s, "expected": e} for (a, b, s), e in zip(segments, expected, strict=True) if e < 1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array([int(p >= 0.5) for p in found], pa.int32()), pa.array(passages, kind)], ["doc", "score", "predicted", "passages"])
 
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, score double, predicted int, passages {_SEGMENTS}")
+    return rows.mapInArrow(lean(run), f"doc {rows.schema['doc'].dataType.simpleString()}, score double, predicted int, passages {_SEGMENTS}")
