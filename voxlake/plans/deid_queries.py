@@ -1 +1,102 @@
-"""Queries."""
+"""Queries of the de-identification operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from voxlake.operators import deid as D
+from voxlake.plans.registry import query
+from voxlake.sources.fixtures import elements, fixture
+
+_UID = "concat('2.25.', CAST(CAST(('0x' || substr(sha256('s' || {0}), 1, 15)) AS BIGINT) + 1 AS VARCHAR), lpad(CAST(CAST(('0x' || substr(sha256('s' || {0}), 16, 15)) AS BIGINT) AS VARCHAR), 19, '0'))"
+_INITIAL = "concat(chr(CAST(65 + CAST(('0x' || substr(md5('s' || {0}), {1}, 8)) AS BIGINT) % 26 AS INTEGER)), '.')"
+_NAME = "concat(" + ", '^', ".join(_INITIAL.replace("{1}", str(at)) for at in (1, 9, 17)) + ", '^^')"
+_ID = "concat(" + ", ".join(f"substr('{D.ALPHABET}', CAST(CAST(('0x' || substr(sha256('s' || {{0}}), {5 * i + 1}, 5)) AS BIGINT) % 62 + 1 AS INTEGER), 1)" for i in range(11)) + ")"
+_TAGS = ", ".join(f"'{t}'" for t in D.UID_TAGS)
+
+
+@query(f"SELECT DISTINCT value AS old, {_UID.format('value')} AS new FROM fx_elements WHERE tag IN ({_TAGS})")
+def d1_build_uid_map(spark, sf_dir):
+    return D.build_uid_map(elements(spark, sf_dir), salt="s")
+
+
+@query(f"SELECT DISTINCT value AS old, {_NAME.replace('{0}', 'value')} AS new FROM fx_elements WHERE vr = 'PN'")
+def d2_build_name_map(spark, sf_dir):
+    return D.build_name_map(elements(spark, sf_dir), "s")
+
+
+@query(f"SELECT DISTINCT value AS old, {_ID.replace('{0}', 'value')} AS new FROM fx_elements WHERE tag = '00100020'")
+def d3_build_id_map(spark, sf_dir):
+    return D.build_id_map(elements(spark, sf_dir), salt="s")
+
+
+_MAPPED = f"CASE WHEN vr = 'UI' THEN {_UID.format('value')} WHEN vr = 'PN' THEN {_NAME.replace('{0}', 'value')} WHEN tag = '00100020' THEN {_ID.replace('{0}', 'value')} ELSE value END"
+
+
+@query(f"SELECT file_id, tag, vr, {_MAPPED} AS value FROM fx_elements")
+def d4_apply_maps(spark, sf_dir):
+    rows = elements(spark, sf_dir)
+    return D.apply_maps(rows, D.build_uid_map(rows, salt="s"), D.build_name_map(rows, "s"), D.build_id_map(rows, salt="s")).select("file_id", "tag", "vr", "value")
+
+
+@query("SELECT file_id, tag, CASE tag WHEN '00100010' THEN 'DOE^JANE' WHEN '00100020' THEN '' ELSE value END AS value FROM fx_elements")
+def d5_single_identity(spark, sf_dir):
+    return D.single_identity(elements(spark, sf_dir), "DOE JANE").select("file_id", "tag", "value")
+
+
+@query("SELECT file_id, tag, CASE WHEN tag = '00080022' THEN '' ELSE value END AS value FROM fx_elements WHERE tag NOT IN ('0020000D', '00081140') AND path NOT LIKE '00081140%'")
+def d6_remove_tags(spark, sf_dir):
+    return D.empty_tags(D.remove_tags(elements(spark, sf_dir), ["0020000D", "00081140"]), ["00080022"]).select("file_id", "tag", "value")
+
+
+@query("SELECT tag, count(*) AS n FROM fx_elements WHERE tag <> '00091001' GROUP BY tag")
+def d7_remove_groups(spark, sf_dir):
+    rows = elements(spark, sf_dir)
+    extra = rows.filter("tag = '00080018'").withColumn("tag", F.element_at(F.array(*map(F.lit, ("60023000", "50000010", "00700001", "00080000"))), (F.col("file_id") % 4 + 1).cast("int")))
+    cleaned = D.remove_group_length(D.remove_curves(D.remove_overlays(D.remove_private(rows.unionByName(extra)))))
+    return cleaned.groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT file_id, file_id % 2 = 0 AND file_id % 24 = 0 AS early FROM fx_instances")
+def d8_has_early_time(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "fx_instances").select("file_id", F.array().cast("array<struct<tag:string,item:int>>").alias("path"), F.lit("00080032").alias("tag"), F.when(F.col("file_id") % 2 == 0, "TM").otherwise("DA").alias("vr"), F.concat(F.lpad((F.col("file_id") % 24).cast("string"), 2, "0"), F.lit("1500")).alias("value"))
+    return D.has_early_time(rows)
+
+
+@query("""SELECT file_id, strftime(CAST(strptime(acq_date, '%Y%m%d') AS DATE) - INTERVAL 1 YEAR - INTERVAL 2 MONTH - INTERVAL 3 DAY, '%Y%m%d') AS moved_date,
+ strftime(strptime(concat('20000102', lpad(CAST(1 + file_id % 23 AS VARCHAR), 2, '0'), '1500'), '%Y%m%d%H%M%S') - INTERVAL 1000 SECOND, '%H%M%S') AS moved_time FROM fx_instances""")
+def d9_shift_dates(spark, sf_dir):
+    found = fixture(spark, sf_dir, "fx_instances")
+    path = F.array().cast("array<struct<tag:string,item:int>>").alias("path")
+    dates = found.select("file_id", path, F.lit("00080022").alias("tag"), F.lit("DA").alias("vr"), F.col("acq_date").alias("value"))
+    times = found.select("file_id", path, F.lit("00080032").alias("tag"), F.lit("TM").alias("vr"), F.concat(F.lpad((1 + F.col("file_id") % 23).cast("string"), 2, "0"), F.lit("1500")).alias("value"))
+    moved = D.shift_dates(dates.unionByName(times), 1, 2, 3, 1000)
+    return moved.groupBy("file_id").agg(F.max(F.when(F.col("vr") == "DA", F.col("value"))).alias("moved_date"), F.max(F.when(F.col("vr") == "TM", F.col("value"))).alias("moved_time"))
+
+
+@query("SELECT tag, value, count(*) AS n FROM (SELECT DISTINCT file_id FROM fx_elements) CROSS JOIN (VALUES ('00120062', 'YES'), ('00120063', 'cleaned'), ('00120064', ''), ('00080100', '113100'), ('00080100', '113104'), ('00080100', '113107'), ('00080102', 'DCM'), ('00080102', 'DCM'), ('00080102', 'DCM')) v(tag, value) GROUP BY tag, value")
+def d10_stamp_profile(spark, sf_dir):
+    stamped = D.stamp_profile(elements(spark, sf_dir), "cleaned", {"shift_dates": True, "remove_graphics": True, "remove_descriptions": True})
+    return stamped.filter("tag in ('00120062', '00120063', '00120064', '00080100', '00080102')").groupBy("tag", "value").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT file_id, tag, CASE WHEN tag = '00080022' THEN strftime(CAST(strptime(value, '%Y%m%d') AS DATE) - INTERVAL 1 YEAR - INTERVAL 1 MONTH - INTERVAL 2 DAY, '%Y%m%d') ELSE {_MAPPED} END AS value FROM fx_elements WHERE tag <> '00091001'""")
+def d11_deidentify(spark, sf_dir):
+    out = D.deidentify(elements(spark, sf_dir), options={"offset": (1, 1, 2, 100)}, salt="s")
+    return out.filter("tag not in ('00120062', '00120063', '00120064', '00080100', '00080102')").select("file_id", "tag", "value")
+
+
+@query("SELECT count(DISTINCT patient_id) AS n_patients, count(DISTINCT patient_id) > 1 AS refused FROM fx_instances")
+def a10_single_patient_guard(spark, sf_dir):
+    return D.single_patient_guard(elements(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n_files, count(*) FILTER (WHERE file_id % 11 = 0) AS n_errors, count(*) FILTER (WHERE file_id % 3 = 0 AND file_id % 2 = 1) AS n_overlay_in_pixels FROM fx_instances")
+def a11_deid_report(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "fx_instances").selectExpr("bits_allocated", "CASE WHEN file_id % 3 = 0 THEN 12 ELSE 16 END AS bits_stored", "12 AS overlay_bit_position", "file_id % 2 = 0 AS has_overlay_data", "file_id % 11 = 0 AS is_error")
+    return D.deid_report(rows)
+
+
+@query("""SELECT file_id, lpad(CAST(dense_rank() OVER (ORDER BY dir) AS VARCHAR), 8, '0') AS out_dir, concat(lpad(CAST(row_number() OVER (PARTITION BY dir ORDER BY name, file_id) AS VARCHAR), 4, '0'), '.dcm') AS out_name FROM fx_instances""")
+def w9_number_outputs(spark, sf_dir):
+    return D.number_outputs(fixture(spark, sf_dir, "fx_instances"))
