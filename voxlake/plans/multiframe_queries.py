@@ -1 +1,95 @@
-"""Queries."""
+"""Queries of the multi-frame operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from voxlake.operators import multiframe as M
+from voxlake.plans.registry import query
+from voxlake.sources.fixtures import fixture, instances
+
+
+def _frames(spark, sf_dir):
+    """Embeddings as frames of volumes: two dimensions, position by frame number."""
+    pixels = fixture(spark, sf_dir, "fx_frame_pixels").withColumn("file", F.col("file_id")).withColumn("file_id", F.col("volume_id"))
+    axial = F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))
+    rows = pixels.withColumn("frame_no", F.col("file").cast("int")).withColumn("ipp", F.array(F.lit(0.0), F.lit(0.0), -F.col("file").cast("double"))).withColumn("iop", axial)
+    return rows.withColumn("dim_values", F.array((F.col("file") % 2 + 1).cast("int"), (F.floor(F.col("file") / 100) + 1).cast("int")))
+
+
+def _index(spark, sf_dir):
+    files = fixture(spark, sf_dir, "fx_frame_pixels").select(F.col("volume_id").alias("file_id")).distinct()
+    pair = lambda position, index: F.struct(F.lit(position).alias("position"), F.lit("1.2").alias("uid"), F.lit(index).alias("index_pointer"), F.lit("00209111").alias("group_pointer"))
+    return files.withColumn("p", F.explode(F.array(pair(0, "00209056"), pair(1, "00209057")))).select("file_id", "p.*")
+
+
+@query("SELECT DISTINCT volume_id AS file_id, 2 AS choice, '1,0' AS dims FROM fx_frame_pixels")
+def m5_choose_dims(spark, sf_dir):
+    return M.choose_dims(_index(spark, sf_dir)).select("file_id", "choice", F.array_join(F.transform("dims", lambda x: x.cast("string")), ",").alias("dims"))
+
+
+@query("""SELECT volume_id AS file_id, file_id AS frame_no, CASE WHEN volume_id % 2 = 0 AND max(CASE WHEN file_id % 50 = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY volume_id) = 1 THEN 9.0
+ WHEN max(CASE WHEN file_id % 50 = 4 OR file_id % 50 = 5 THEN 1 ELSE 0 END) OVER (PARTITION BY volume_id) = 1 THEN 1.0 ELSE CAST(file_id AS DOUBLE) END AS rescale_slope FROM fx_frame_pixels""")
+def m3_merge_shared(spark, sf_dir):
+    frames = _frames(spark, sf_dir).select("file_id", "frame_no", F.when(~(F.col("file") % 50).isin(4, 5), F.col("file").cast("double")).alias("rescale_slope"))
+    shared = frames.filter("file_id % 2 = 0").select("file_id", F.lit(9.0).alias("rescale_slope")).distinct()
+    return M.merge_shared(frames, shared, ["rescale_slope"], {"rescale_slope": 1.0})
+
+
+@query("""SELECT volume_id AS file_id, file_id AS frame_no, CASE WHEN volume_id % 10 = 3 THEN 2.0 ELSE 5.0 END AS rescale_slope, CASE WHEN volume_id % 10 = 3 THEN -7.0 ELSE 0.0 END AS rescale_intercept FROM fx_frame_pixels""")
+def m4_rescale_fallback(spark, sf_dir):
+    bare = (F.col("file_id") % 10 == 3) & (F.col("file") % 100 < 50)
+    frames = _frames(spark, sf_dir).select("file_id", "frame_no", F.when(~bare, 5.0).alias("rescale_slope"), F.when(~bare, 0.0).alias("rescale_intercept"), F.lit(False).alias("has_rwv"))
+    top = frames.select("file_id", F.lit(2.0).alias("rescale_slope"), F.lit(-7.0).alias("rescale_intercept")).distinct()
+    return M.rescale_fallback(frames, top).drop("has_rwv")
+
+
+@query("""SELECT file_id, frame_no, item, label FROM (SELECT volume_id AS file_id, segment_num AS frame_no, file_id AS item, CASE WHEN file_id % 7 = 0 THEN 'BQML' WHEN file_id % 11 = 0 THEN 'g/ml{SUVbw}' ELSE 'x' END AS label,
+ row_number() OVER (PARTITION BY volume_id, segment_num ORDER BY CASE WHEN file_id % 7 = 0 THEN 2 WHEN file_id % 11 = 0 THEN 0 ELSE 3 END, file_id) AS r FROM fx_frame_pixels) WHERE r = 1""")
+def m6_choose_rwv(spark, sf_dir):
+    items = _frames(spark, sf_dir).select("file_id", F.col("segment_num").alias("frame_no"), F.col("file").alias("item"), F.when(F.col("file") % 7 == 0, "BQML").when(F.col("file") % 11 == 0, "g/ml{SUVbw}").otherwise("x").alias("label"))
+    return M.choose_rwv(items)
+
+
+@query("SELECT volume_id AS file_id, file_id AS frame_no, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY file_id DESC) AS INTEGER) AS place FROM fx_frame_pixels")
+def w2_sort_frames(spark, sf_dir):
+    return M.sort_frames(_frames(spark, sf_dir)).select("file_id", "frame_no", "place")
+
+
+@query("""WITH f AS (SELECT volume_id, file_id, file_id % 2 AS stack, CAST(floor(file_id / 100) AS BIGINT) AS pos, count(*) OVER (PARTITION BY volume_id, CAST(floor(file_id / 100) AS BIGINT)) AS twice FROM fx_frame_pixels),
+g AS (SELECT *, max(twice) OVER (PARTITION BY volume_id) > 1 AS bad FROM f)
+SELECT volume_id AS file_id, file_id AS frame_no, 0 AS volume_no, CAST(CASE WHEN bad THEN row_number() OVER (PARTITION BY volume_id ORDER BY file_id DESC) ELSE row_number() OVER (PARTITION BY volume_id ORDER BY file_id DESC) END - 1 AS INTEGER) AS place FROM g""")
+def w6_volumes_from_dims(spark, sf_dir):
+    return M.volumes_from_dims(_frames(spark, sf_dir), M.choose_dims(_index(spark, sf_dir))).select("file_id", "frame_no", "volume_no", "place")
+
+
+@query("""SELECT file_id, CAST(n AS INTEGER) AS frame_no, CASE WHEN file_id % 2 = 0 THEN CAST(40 AS DOUBLE) ELSE CAST(n * 10 AS DOUBLE) END AS step_ms, CASE WHEN file_id % 2 = 0 THEN (n - 1) * CAST(40 AS DOUBLE) ELSE CAST(n * (n + 1) * 5 - 10 AS DOUBLE) END AS offset_ms
+FROM fx_instances CROSS JOIN (SELECT unnest([1, 2, 3]) AS n) f""")
+def w7_frame_times(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "fx_instances").selectExpr("file_id", "3 AS number_of_frames", "40 AS frame_time", r"'10\\20\\30' AS frame_time_vector", "CASE WHEN file_id % 2 = 0 THEN '00181063' ELSE '00181065' END AS increment_pointer")
+    return M.frame_times(rows)
+
+
+@query("""SELECT patient_id AS group_id, file_id AS volume_id, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY file_id) AS INTEGER) AS place FROM fx_instances""")
+def w8_order_4d(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "fx_instances").select(F.col("patient_id").alias("group_id"), F.col("file_id").alias("volume_id"), F.lit("20200101").alias("acq_date"), F.lit(None).cast("string").alias("acq_time"), F.col("file_id").cast("int").alias("instance_number"))
+    return M.order_4d(rows).select("group_id", "volume_id", "place")
+
+
+@query("SELECT file_id, CAST(n + 1 AS INTEGER) AS frame_no, ipp_x AS x, ipp_y AS y, ipp_z + n * 2.5 AS z, CAST(1 AS DOUBLE) AS x_spacing FROM fx_instances CROSS JOIN (SELECT unnest([0, 1, 2]) AS n) f WHERE file_id % 5 <> 0")
+def w10_dose_frames(spark, sf_dir):
+    rows = instances(spark, sf_dir).withColumn("frame_offsets", F.lit("0\\2.5\\5")).withColumn("number_of_frames", F.when(F.col("file_id") % 5 == 0, 2).otherwise(3))
+    return M.dose_frames(rows)
+
+
+@query("SELECT cols_ AS dim_x, rows_ AS dim_y, instance_number AS dim_z, modality_code AS pixel_type, count(*) AS n, min(file_id) AS first_volume FROM fx_instances GROUP BY cols_, rows_, instance_number, modality_code HAVING count(*) >= 2")
+def a13_group_4d(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "fx_instances").select(F.col("cols_").alias("dim_x"), F.col("rows_").alias("dim_y"), F.col("instance_number").alias("dim_z"), F.col("modality_code").alias("pixel_type"), F.col("file_id").alias("volume_id"))
+    return M.group_4d(rows)
+
+
+@query("""WITH g AS (SELECT volume_id, frame_no, min(segment_num) AS a, max(segment_num) AS b FROM fx_frame_pixels GROUP BY volume_id, frame_no) SELECT volume_id AS file_id, frame_no AS volume_no, CASE WHEN a = b AND a % 2 = 0 THEN concat('s', CAST(a AS VARCHAR)) END AS label FROM g""")
+def j14_segment_labels(spark, sf_dir):
+    frames = fixture(spark, sf_dir, "fx_frame_pixels").select(F.col("volume_id").alias("file_id"), F.col("frame_no").alias("volume_no"), "segment_num")
+    segments = frames.filter("segment_num % 2 = 0").select("file_id", "segment_num", F.concat(F.lit("s"), F.col("segment_num").cast("string")).alias("label")).distinct()
+    return M.segment_labels(frames, segments)
