@@ -1 +1,67 @@
-"""Queries."""
+"""Queries of the pixel operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from voxlake.operators import pixels as P
+from voxlake.plans.registry import query
+from voxlake.sources.fixtures import fixture
+
+
+def _frames(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "fx_frame_pixels").select("file_id", "volume_id", "frame_no", F.transform("pixels", lambda v: F.round(v.cast("double") * 1000)).alias("pixels"))
+    return rows.withColumn("rescale_slope", F.lit(2.0)).withColumn("rescale_intercept", F.lit(-100.0)).withColumn("sop_class", F.lit("1.2")).withColumn("window_center", F.lit(40.0)).withColumn("window_width", F.lit(400.0)).withColumn("lut_function", F.lit("LINEAR"))
+
+
+_PIX = "list_transform(pixels, lambda v: round(CAST(v AS DOUBLE) * 1000))"
+_SUM = "CAST(list_sum({0}) AS DOUBLE)"
+
+
+@query(f"SELECT file_id, {_SUM.format(f'list_transform({_PIX}, lambda v: v * 2 - 100)')} AS total, false AS is_double FROM fx_frame_pixels")
+def p1_rescale(spark, sf_dir):
+    return P.rescale(_frames(spark, sf_dir)).select("file_id", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("total"), "is_double")
+
+
+_WINDOW = "CASE WHEN v <= 39.5 - 199.5 THEN 0 WHEN v > 39.5 + 199.5 THEN 255 ELSE CAST(floor(255 * ((v - 39.5) / 399.0 + 0.5)) AS INTEGER) END"
+
+
+@query(f"SELECT file_id, CAST(list_sum(list_transform({_PIX}, lambda v: {_WINDOW})) AS BIGINT) AS total FROM fx_frame_pixels")
+def p2_apply_window(spark, sf_dir):
+    return P.apply_window(_frames(spark, sf_dir)).select("file_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"SELECT file_id, CAST(list_sum(list_transform({_PIX}, lambda v: greatest(0, least(9, CAST(trunc(v) AS INTEGER) + 5)) * 10)) AS BIGINT) AS total FROM fx_frame_pixels")
+def p3_apply_lut(spark, sf_dir):
+    table = F.array(*[F.lit(i * 10) for i in range(10)])
+    return P.apply_lut(_frames(spark, sf_dir), F.lit(-5), F.lit(16), table).select("file_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"SELECT file_id, CAST(list_sum(list_transform(list_transform({_PIX}, lambda u: u * 2 - 100), lambda v: 255 - {_WINDOW})) AS BIGINT) AS total FROM fx_frame_pixels")
+def p4_grayscale_pipeline(spark, sf_dir):
+    return P.grayscale_pipeline(_frames(spark, sf_dir), F.lit("INVERSE")).select("file_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"""WITH t AS (SELECT file_id, {_PIX} AS p, unnest(range(4)) AS tile FROM fx_frame_pixels), c AS (SELECT file_id, tile, p, unnest(range(4)) AS y FROM t)
+SELECT file_id, tile, CAST(sum(list_sum(p[(tile // 2 * 4 + y) * 8 + tile % 2 * 4 + 1 : (tile // 2 * 4 + y) * 8 + tile % 2 * 4 + 4])) AS DOUBLE) AS total FROM c GROUP BY file_id, tile""")
+def p7_split_mosaic(spark, sf_dir):
+    rows = _frames(spark, sf_dir).withColumn("rows", F.lit(8)).withColumn("cols", F.lit(8)).withColumn("n_tiles", F.lit(4))
+    return P.split_mosaic(rows).select("file_id", "tile", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"SELECT volume_id, min(list_min({_PIX})) AS vmin, max(list_max({_PIX})) AS vmax FROM fx_frame_pixels GROUP BY volume_id")
+def a7_pixel_minmax(spark, sf_dir):
+    return P.pixel_minmax(_frames(spark, sf_dir), ["volume_id"])
+
+
+@query(f"""WITH v AS (SELECT volume_id, unnest({_PIX}) AS v FROM fx_frame_pixels), r AS (SELECT volume_id, min(v) AS lo, max(v) AS hi FROM v GROUP BY volume_id),
+b AS (SELECT volume_id, lo, hi, greatest(least(round(hi - lo) + 1, 2048), 256) AS n FROM r), c AS (SELECT v.volume_id, CAST(least(floor((v - lo) / (hi - lo) * n), n - 1) AS INTEGER) AS bin, count(*) AS n FROM v JOIN b ON v.volume_id = b.volume_id GROUP BY 1, 2)
+SELECT volume_id, bin, n, CASE WHEN max(n) OVER (PARTITION BY volume_id) > 2 THEN ln(CAST(max(n) OVER (PARTITION BY volume_id) AS DOUBLE)) END AS log_max FROM c""")
+def a8_histogram(spark, sf_dir):
+    return P.histogram(_frames(spark, sf_dir), "volume_id")
+
+
+@query(f"""WITH v AS (SELECT volume_id, unnest({_PIX}) AS v, unnest(range(64)) AS i FROM fx_frame_pixels) SELECT volume_id, CAST(i % 3 AS INTEGER) AS channel, CAST(abs(v) % 256 AS INTEGER) AS bin, count(*) AS n FROM v GROUP BY 1, 2, 3""")
+def a9_histogram_rgb(spark, sf_dir):
+    rows = _frames(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: F.abs(v) % 256))
+    return P.histogram_rgb(rows, "volume_id")
