@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from voxlake.llm.common import fold, lean, texts_of
 
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hash of their id.
-MOST_LABELLED = 40_000
+MOST_LABELLED = 20_000
 #: Words and n-grams in the model at most, the most frequent ones; the model is broadcast.
 MOST_WORDS, MOST_GRAMS = 60_000, 40_000
 ORDERS = (5, 4, 3, 2, 1)
@@ -38,25 +38,26 @@ def grams(word: str, order: int) -> list[str]:
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
+    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
 
-    def score(self, word: str) -> np.ndarray:
+    def score(self, word: str) -> tuple[float, ...]:
         """Log frequency of a word in each language; zeros if nothing of it is known."""
         found = self.words.get(word)
         if found is not None:
             return found
         for order in ORDERS:
-            known = [v for g in grams(word, order) if (v := self.grams.get(order, {}).get(g)) is not None]
+            table = self.grams.get(order, {})
+            known = [v for g in grams(word, order) if (v := table.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages))
+                return known[0] if len(known) == 1 else tuple([sum(x) / len(known) for x in zip(*known, strict=True)])
+        return (0.0,) * len(self.languages)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(words: Counter) -> pa.RecordBatch:
         keys = list(words)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([words[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([words[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
     words: Counter = Counter()
     for batch in batches:
@@ -71,14 +72,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(found: Counter) -> pa.RecordBatch:
+        keys = list(found)
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "order", "gram", "n"])
+
+    found: Counter = Counter()
     for batch in batches:
-        found: Counter = Counter()
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for order in ORDERS:
                 for gram in grams(word, order):
                     found[lang, order, gram] += n
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "order", "gram", "n"])
+        if len(found) > 400_000:
+            yield out(found)
+            found = Counter()
+    yield out(found)
 
 
 def fit(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
@@ -100,7 +107,7 @@ def fit(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
             n = np.zeros(len(at))
             for lang, k in r.by_lang.items():
                 n[at[lang]] = k
-            found[r.key] = np.log(n + SMOOTHING) - np.log(sums + SMOOTHING * len(rows))
+            found[r.key] = tuple((np.log(n + SMOOTHING) - np.log(sums + SMOOTHING * len(rows))).tolist())
         return found
 
     def top(rows: DataFrame, key: str, n: int) -> list:
@@ -130,7 +137,9 @@ class _Known(dict):
         at = len(self)
         if at >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at, :-1] = sum((self.model.score(run) for run in runs), np.zeros(len(self.model.languages)))
+        scores = [self.model.score(run) for run in runs]
+        if scores:
+            self.table[at, :-1] = scores[0] if len(scores) == 1 else [sum(x) for x in zip(*scores, strict=True)]
         self.table[at, -1] = len(runs)
         self[raw] = at
         return at
