@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from voxlake.functions import sop_classes
 from voxlake.functions.scalars import tag_flags, until_nul
+from voxlake.sources.shared import checkpointed
 
 
 def scan_tags(elements: DataFrame, tags: list[str]) -> DataFrame:
@@ -165,11 +166,12 @@ def dicomdir_series(records: DataFrame, roots: DataFrame | None = None) -> DataF
     """
     rows = records.select("file_id", "off", "next_off", "lower_off", "type", "ref_file")
     chain = rows.select("file_id", F.col("next_off").alias("off"), F.col("off").alias("up")).filter("off > 0")
-    heads = rows.select("file_id", "off").join(chain, ["file_id", "off"], "left").select("file_id", "off", F.coalesce("up", "off").alias("head"))
-    for _ in range(20):  # chains of up to 2**20 siblings
+    heads = checkpointed(rows.select("file_id", "off").join(chain, ["file_id", "off"], "left").select("file_id", "off", F.coalesce("up", "off").alias("head")))
+    while True:  # as many rounds as the longest chain has doublings
         jump = heads.select("file_id", F.col("off").alias("head"), F.col("head").alias("next"))
-        heads = heads.join(jump, ["file_id", "head"]).select("file_id", "off", F.col("next").alias("head"))
-        if not heads.join(jump, ["file_id", "head"]).filter("next <> head").limit(1).count():
+        jumped = checkpointed(heads.join(jump, ["file_id", "head"]).select("file_id", "off", F.col("next").alias("head"), (F.col("next") != F.col("head")).alias("moved")))
+        heads = jumped.drop("moved")
+        if not jumped.filter("moved").limit(1).count():
             break
     full = rows.join(heads, ["file_id", "off"])
     level = lambda kind: full.filter(F.col("type") == kind)

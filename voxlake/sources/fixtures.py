@@ -64,6 +64,8 @@ def with_views(body: str) -> str:
     """A statement with the views that it names as common table expressions in front; ``body`` may start with WITH."""
     named = [v for v in VIEWS if v in body]
     named = [v for v in VIEWS if v in named or any(v in _NEEDS.get(n, ()) for n in named)]
+    if not named:
+        return body.strip()
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in named)
     rest = body.strip()
     if rest.upper().startswith("WITH "):
