@@ -38,6 +38,52 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _seats_sql(rows: str, votes: str, tie: str, group: str, keep: str, name: str) -> str:
+    """Highest quotients votes / (2k + 1) within a group, around the rounded share of each part."""
+    over = f"OVER (PARTITION BY {group})" if group else "OVER ()"
+    order = f"OVER ({f'PARTITION BY {group} ' if group else ''}ORDER BY {votes} / (2 * k + 1) DESC, {tie}, k)"
+    return f"""{name}1 AS (SELECT *, CASE WHEN seats > 0 AND {votes} > 0 THEN CAST(floor({votes} / (CAST(sum({votes}) {over} AS DOUBLE) / seats) + 0.5) AS BIGINT) ELSE 0 END AS near FROM {rows}),
+{name}2 AS (SELECT *, CAST(abs(seats - sum(near) {over}) + 1 AS BIGINT) AS slack FROM {name}1),
+{name}3 AS (SELECT *, CASE WHEN {votes} > 0 THEN greatest(0, near - slack) ELSE 0 END AS least_seats FROM {name}2),
+{name}4 AS (SELECT *, seats - sum(least_seats) {over} AS open_seats FROM {name}3),
+{name}5 AS (SELECT *, unnest(CASE WHEN {votes} > 0 THEN range(CAST(least_seats AS BIGINT), CAST(near + slack + 1 AS BIGINT)) ELSE [CAST(0 AS BIGINT)] END) AS k FROM {name}4),
+{name}6 AS (SELECT *, row_number() {order} <= open_seats AND {votes} > 0 AS won FROM {name}5),
+{name} AS (SELECT {keep}, CAST(min(least_seats) + count(*) FILTER (WHERE won) AS BIGINT) AS quota FROM {name}6 GROUP BY {keep})"""
+
+
+_BEFORE = "OVER (ORDER BY lim / weight, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _chosen_sql(x: str) -> str:
+    return f"((({x}) * more + first_block) // n - first_block // n)"
+
+
+def _words_sql(x: str) -> str:
+    return f"(base * {x} + block * {_chosen_sql(f'{x} // block')} + ({x} % block) * ({_chosen_sql(f'{x} // block + 1')} - {_chosen_sql(f'{x} // block')}))"
+
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS seeded FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS ord FROM s0),
+s2 AS (SELECT *, CAST([5, 2, 1][(ord - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS lim FROM s1),
+s3 AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(weight) OVER () AS weights, coalesce(sum(lim) {_BEFORE}, 0) AS before, coalesce(sum(weight) {_BEFORE}, 0) AS weights_before FROM s2),
+s4 AS (SELECT *, lim * (weights - weights_before) <= weight * (total - before) AS limited FROM s3),
+s5 AS (SELECT *, coalesce(sum(lim) FILTER (WHERE limited) OVER (), 0) AS gone, coalesce(sum(weight) FILTER (WHERE limited) OVER (), 0) AS weights_gone FROM s4),
+s6 AS (SELECT source, ord, source_size, total, CASE WHEN limited THEN lim ELSE weight * (total - gone) / (weights - weights_gone) END AS target FROM s5),
+s7 AS (SELECT *, greatest(1, least(64, CAST(floor(coalesce(min(target) FILTER (WHERE target > 0) OVER (), 0) / 100) AS BIGINT))) AS block, greatest(1, least(4096, CAST(floor(source_size / 50000.0) AS BIGINT))) AS shards FROM s6),
+s8 AS (SELECT *, CAST(floor(total / block + 0.5) AS BIGINT) AS seats FROM s7),
+{_seats_sql("s8", "target", "ord", "", "source, ord, source_size, target, block, shards", "a")},
+e AS (SELECT d.doc_id, d.size, d.seeded, a.*, CAST('0x' || substr(d.seeded, 17, 8) AS BIGINT) % shards AS shard FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
+l AS (SELECT ord, shard, block, quota AS seats, CAST(sum(size) AS BIGINT) AS line FROM e GROUP BY ord, shard, block, quota),
+{_seats_sql("l", "line", "shard", "ord", "ord, shard, block, line", "b")},
+c AS (SELECT ord, shard, quota, greatest(1, CAST(ceil(line / block) AS BIGINT)) AS n FROM b),
+f AS (SELECT ord, shard, n, least(quota, 3 * n) // n AS base, least(quota, 3 * n) % n AS more, CAST('0x' || substr(md5('0:' || ord || ':' || shard), 1, 8) AS BIGINT) % n AS first_block FROM c),
+g AS (SELECT e.*, f.n, f.base, f.more, f.first_block, CAST(sum(size) OVER (PARTITION BY e.ord, e.shard ORDER BY seeded, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM e JOIN f ON e.ord = f.ord AND e.shard = f.shard)
+SELECT doc_id, size, source_size, target, CAST({_words_sql("stop")} - {_words_sql("(stop - size)")} AS BIGINT) AS taken FROM g
+"""
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -110,4 +156,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_impact_search": OP2_SQL, "op6_substring_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_impact_search": OP2_SQL, "op3_mixing": OP3_SQL, "op6_substring_dedup": OP6_SQL}
