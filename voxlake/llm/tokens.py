@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -17,7 +18,7 @@ import numpy as np
 import regex
 
 #: Units and pieces that a worker remembers; as many older ones stay until they are asked for or fall out.
-KNOWN_UNITS, KNOWN_PIECES = 160_000, 160_000
+KNOWN_UNITS, KNOWN_PIECES = 250_000, 300_000
 #: How byte-level tokenizers split texts unless their file says otherwise; the fixed pattern of that format.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -68,6 +69,7 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known_pieces = _Remembered(self._piece, KNOWN_PIECES)
         self.known_units = _Remembered(self._unit, KNOWN_UNITS)
+        self.known_spaced = _Remembered(self._spaced, KNOWN_UNITS)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -82,14 +84,29 @@ class Encoder:
             return self._whole(text)
         if self.lower:
             text = text.lower()
-        if (text[1:] if text[0] == " " else text).isalpha():
-            return self.known_pieces[text]
+        core = text.rstrip(string.punctuation)
+        if core[core[:1] == " " :].isalpha():  # one run of letters, and one of signs after it
+            return self.known_pieces[core] + (self.known_pieces[text[len(core) :]] if len(core) < len(text) else b"")
         return b"".join([self.known_pieces[piece] for piece in self.pieces.findall(text)])
 
+    def _spaced(self, word: str) -> bytes:
+        return self._unit(" " + word)
+
     def encode(self, text: bytes) -> np.ndarray:
-        units = text.split() if self.drops_space else _CUT.split(text.decode("utf-8", "replace"))
         known = self.known_units
-        return np.frombuffer(b"".join([known[unit] for unit in units if unit]), self.dtype)
+        if self.drops_space:
+            return np.frombuffer(b"".join([known[unit] for unit in text.split()]), self.dtype)
+        letters = text.decode("utf-8", "replace")
+        words, gaps = letters.split(), letters.count(" ") + letters.count("\n")
+        if len(words) != gaps + 1 or sum(map(len, words)) + gaps != len(letters):  # other white space, or more at a place
+            return np.frombuffer(b"".join([known[unit] for unit in _CUT.split(letters) if unit]), self.dtype)
+        found, spaced, start = [], self.known_spaced, ""
+        for line in letters.split("\n"):
+            first, *rest = line.split(" ")
+            found.append(known[start + first])
+            found += [spaced[word] for word in rest]
+            start = "\n"
+        return np.frombuffer(b"".join(found), self.dtype)
 
 
 @lru_cache(maxsize=2)
