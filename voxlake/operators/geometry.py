@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxlake.functions.scalars import components, cross, dot, normal, orientation_code
+from voxlake.functions.scalars import components, cross, dot, let, normal, orientation_code
 
 SERIES = ["dir", "series_uid"]
 
@@ -139,11 +139,13 @@ def slice_intersections(slices: DataFrame, keys: list[str] = ("study_uid", "fram
     pairs = pairs.filter(dot(tilt, tilt) > 1e-12)
     height = lambda p: dot([F.col("a_n")[i] for i in range(3)], [p[i] - F.col("a_ipp")[i] for i in range(3)])
 
+    def crossing(e: Column) -> Column:
+        t = e["hp"] / (e["hp"] - e["hq"])
+        return F.when((e["hp"] * e["hq"] < 0) | ((e["hp"] == 0) & (e["hq"] != 0)), F.array(*[e["p"][k] + t * (e["q"][k] - e["p"][k]) for k in range(3)]))
+
     def cut(i: int) -> Column:
         p, q = F.col("b_corners")[i], F.col("b_corners")[(i + 1) % 4]
-        hp, hq = height(p), height(q)
-        t = hp / (hp - hq)
-        return F.when((hp * hq < 0) | ((hp == 0) & (hq != 0)), F.array(*[p[k] + t * (q[k] - p[k]) for k in range(3)]))
+        return let(F.struct(p.alias("p"), q.alias("q"), height(p).alias("hp"), height(q).alias("hq")), crossing)
 
     hits = F.filter(F.array(*[cut(i) for i in range(4)]), lambda x: x.isNotNull())
     pairs = pairs.withColumn("hits", hits).filter(F.size("hits") == 2)
@@ -151,8 +153,8 @@ def slice_intersections(slices: DataFrame, keys: list[str] = ("study_uid", "fram
     def pixel(point: Column, axis: int) -> Column:
         return dot([F.col("a_iop")[3 * axis + i] for i in range(3)], [point[i] - F.col("a_ipp")[i] for i in range(3)]) / F.col("a_spacing")[axis]
 
-    ends = [pixel(F.col("hits")[e], axis).alias(f"{name}{e}") for e in (0, 1) for axis, name in ((0, "x"), (1, "y"))]
-    return pairs.select(F.col("a_f").alias("a"), F.col("b_f").alias("b"), *ends)
+    ends = let(F.col("hits"), lambda hits: F.struct(*[pixel(hits[e], axis).alias(f"{name}{e}") for e in (0, 1) for axis, name in ((0, "x"), (1, "y"))]))
+    return pairs.select(F.col("a_f").alias("a"), F.col("b_f").alias("b"), ends.alias("ends")).select("a", "b", "ends.*")
 
 
 def volume_center(slices: DataFrame, keys: list[str] = SERIES) -> DataFrame:
