@@ -62,10 +62,21 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
         yield text.encode("utf-8", "surrogatepass") if isinstance(text, str) else (text or b"")
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same task function; at its end the worker, which Spark keeps, gives freed memory back to the system."""
+#: What a worker remembers from task to task, as functions that forget it.
+REMEMBERED: list[Callable[[], None]] = []
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], remembers: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task function in little memory, though Spark keeps its workers.
+
+    Unless it ``remembers``, the worker first forgets what tasks of other operators left; at the end it gives freed
+    memory back to the system.
+    """
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            for forget in REMEMBERED:
+                forget()
         try:
             yield from run(batches)
         finally:

@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     their pieces but the first are full.
     """
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return columns.mapInArrow(lean(_pieces(tokenizer, end_id, capacity, with_ids)), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return columns.mapInArrow(lean(_pieces(tokenizer, end_id, capacity, with_ids), remembers=True), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:

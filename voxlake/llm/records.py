@@ -151,7 +151,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
     bounds = columns.select(F.percentile_approx("doc_id", cuts, max(10_000, 20 * files))).first()[0] if cuts else []
     bounds = np.unique(np.array(bounds or [], np.int64))
     dtype = encoder(tokenizer).dtype.str
-    ordered = columns.mapInArrow(lean(_encoded(tokenizer, end_id, bounds)), "file int, doc_id long, ids binary").repartition(files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = columns.mapInArrow(lean(_encoded(tokenizer, end_id, bounds), remembers=True), "file int, doc_id long, ids binary").repartition(files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
     manifest = cut(ordered.mapInArrow(lean(_written(folder, dtype)), "file int, records string, index string, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))

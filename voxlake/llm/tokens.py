@@ -17,6 +17,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from voxlake.llm.common import REMEMBERED
+
 #: Units and pieces that a worker remembers; as many older ones stay until they are asked for or fall out.
 KNOWN_UNITS, KNOWN_PIECES = 250_000, 300_000
 #: How byte-level tokenizers split texts unless their file says otherwise; the fixed pattern of that format.
@@ -115,6 +117,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+REMEMBERED.append(encoder.cache_clear)
+
+
 def as_u32(ids: np.ndarray) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return ids.astype("<u4").tobytes()
