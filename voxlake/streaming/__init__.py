@@ -1,0 +1 @@
+"""Empty: the surveyed work is batch only."""
