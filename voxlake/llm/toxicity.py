@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
         scores = _Scores(odds_sent.value)
         for batch in batches:
             found = [_segments(text, scores) for text in texts_of(batch.column(0))]
-            tops = [sorted((s for _, _, s in segments), reverse=True)[:20] for _, segments in found]
+            tops = [[s for _, _, s in segments] for _, segments in found]
             yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array(tops, pa.list_(pa.float64())), batch.column(1)], ["m", "best", "label"])
 
     held = rows.filter("part = 2").select("text", "label").mapInArrow(lean(best), "m long, best array<double>, label int").collect()
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             found, passages = [], []
             for text in texts_of(batch.column(1)):
                 m, segments = _segments(text, scores)
-                found.append(fitted.probability(fitted.evidence(sorted((s for _, _, s in segments), reverse=True)[:20], m)))
+                found.append(fitted.probability(fitted.evidence([s for _, _, s in segments], m)))
                 expected = [fitted.k * max(1, m) * math.exp(-min(700.0, fitted.lam * s)) for _, _, s in segments]
                 passages.append([{"start": a, "end": b, "score": s, "expected": e} for (a, b, s), e in zip(segments, expected, strict=True) if e < 1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64()), pa.array([int(p >= 0.5) for p in found], pa.int32()), pa.array(passages, kind)], ["doc", "score", "predicted", "passages"])
