@@ -82,12 +82,14 @@ class Encoder:
 
     def _unit(self, unit: str | bytes) -> bytes:
         text = unit if isinstance(unit, str) else unit.decode("utf-8", "replace")
-        if not _PLAIN.fullmatch(text) or "<|" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            return self._whole(text)
-        if self.lower:
-            text = text.lower()
         core = text.rstrip(string.punctuation)
-        if core[core[:1] == " " :].isalpha():  # one run of letters, and one of signs after it
+        letters = core[core[:1] == " " :].isalpha()  # one run of letters, and one of signs after it
+        if not (letters and text.isascii()):
+            if not _PLAIN.fullmatch(text) or "<|" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                return self._whole(text)
+        if self.lower:
+            text, core = text.lower(), core.lower()
+        if letters:
             return self.known_pieces[core] + (self.known_pieces[text[len(core) :]] if len(core) < len(text) else b"")
         return b"".join([self.known_pieces[piece] for piece in self.pieces.findall(text)])
 
