@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, mixing, packing, queries, records, simhash, substring_dedup, tokens, toxicity
+from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, mixing, near_copies, packing, queries, records, simhash, substring_dedup, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -126,6 +126,34 @@ def test_simhash_links_between_neighbours(spark):
         assert got == expected
 
 
+def test_near_copies_with_edited_words(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for edits in (0, 2, 3, 4, 6):  # a base and 30 copies with that many of 200 words edited
+        base = [f"v{i}" for i in rng.integers(0, 5000, 200)]
+        for _ in range(31):
+            texts.append(" ".join(base))
+            base = base if not edits else [*base]
+            for at in rng.integers(0, 200, edits):
+                base = [*base[:at], f"e{rng.integers(0, 1 << 30)}", *base[at + 1 :]]
+    order = rng.permutation(len(texts))
+    rows = [(int(i), texts[k]) for i, k in enumerate(order)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    groups = {i: {i} for i in range(len(rows))}
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and groups[a] is not groups[b]:
+                groups[a] |= groups[b]
+                for x in groups[a]:
+                    groups[x] = groups[a]
+    expected = {i: min(groups[i]) for i in groups}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for few, part in ((8, 256), (2, 5), (100, 256)):
+        assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame, few=few, part=part).collect()} == expected
+    full = frame.selectExpr("doc_id", "text", "'en' AS lang", "'a' AS source", "length(text) AS n_chars")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, full, "").collect()} == set(expected.values())
+
+
 @pytest.mark.parametrize("which", ["docs", "clashing"])
 def test_mixing(which, request):
     found = [r for r in mixing.mix(request.getfixturevalue(which)).collect()]
