@@ -36,6 +36,19 @@ def test_twice_tagged_files_are_refused(spark):
     assert {r.file_id for r in deid.deidentify(rows).collect()} == {2}
 
 
+def test_deidentified_files_keep_no_listed_identifier(spark):
+    uids = ["00200200", "00083010", "00880140", "0040A124", "300600C2", "00041511", "04000100"]
+    cases = [(tag, "UI") for tag in uids] + [(tag, "LO") for tag in ("00120040", "0040A027", "00340002")]
+    rows = [(1, [], tag, vr, f"1.2.{i}") for i, (tag, vr) in enumerate(cases)] + [(1, [], "00080016", "UI", "1.2.840"), (1, [{"tag": "00081140", "item": 1}], "00081150", "UI", "1.2.840"), (1, [], "00102000", "LO", "alert")]
+    frame = spark.createDataFrame(rows, f"file_id long, path {PATH}, tag string, vr string, value string")
+    source = {tag: value for _, _, tag, _, value in rows}
+    out = {r.tag: r.value for r in deid.deidentify(frame).collect()}
+    kept = [tag for tag, _ in cases if out.get(tag) == source[tag]]
+    assert not kept and out["00200200"].startswith("2.25.")
+    assert out["00080016"] == out["00081150"] == "1.2.840" and "00102000" not in out
+    assert {r.value for r in deid.deidentify(frame.filter("tag = '00080016'"), uid_tags=["00080016"]).filter("tag = '00080016'").collect()} != {"1.2.840"}
+
+
 def series(spark, rows):
     return spark.createDataFrame([("/d", "s", i, *r) for i, r in enumerate(rows)], "dir string, series_uid string, file_order int, ipp array<double>, iop array<double>, instance_number int").withColumns({"rows": F.lit(4), "cols": F.lit(4), "spacing": F.array(F.lit(1.0), F.lit(1.0)), "file_id": F.col("file_order").cast("long")})
 

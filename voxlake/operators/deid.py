@@ -14,19 +14,65 @@ from voxlake.functions.scalars import clean, let, tag_flags
 
 #: Dates and times that stay: context group and template versions and product expiration.
 KEPT_DATES = ["00080106", "00080107", "0040DB06", "0040DB07", "0044000B"]
-UID_TAGS = ["00080018", "0020000D", "0020000E", "00200052", "00081155", "00081150", "0008010D", "00020003", "30060024"]
-ID_TAGS = ["00100020", "00200010", "00380010", "00401001"]
-#: A compact default profile; callers pass their own, of any size, as {action: [tags]}.
+#: The survey's lists (2.7) with what was here before; SOP class tags are in none, a class shared by files is no identity.
+UID_TAGS = [
+    "00020003", "00041511", "00080014", "00080018", "0008010D", "00081155", "00081195", "00083010", "00181002", "00182042", "0020000D", "0020000E", "00200052", "00200200",
+    "00209161", "00209164", "00281199", "00281214", "003A0310", "00400554", "00404023", "0040A124", "0040A171", "0040A172", "0040A402", "0040DB0C", "0040DB0D", "00620021",
+    "0070031A", "00701101", "00701102", "00880140", "04000100", "30060024", "300600C2", "300A0013", "300A0083", "300A0609", "300A0650", "300A0700", "30100006", "3010000B",
+    "30100013", "30100015", "30100031", "3010003B", "3010006E", "3010006F",
+]
+ID_TAGS = [
+    "00100020", "00120020", "00120040", "00120042", "00200010", "00340002", "00380010", "00400512", "00400551", "00401001", "0040A027",
+]
+#: The survey's profile; callers may pass their own, of any size, as {action: [tags]}.
 PROFILE = {
-    "remove": ["00104000", "00102160", "00101040", "00102154", "00102180", "001021B0", "00380500", "00400280"],
-    "description_remove": ["00184000", "00181400", "00189424", "00204000"],
-    "device_remove": ["00181000", "00181002", "00181008"],
-    "institution_remove": ["00080081", "00081040", "00081050"],
-    "patient_remove": ["00101000", "00101010", "00101020", "00101030"],
-    "empty": ["00080050", "00080090", "00100030", "00100040"],
-    "description_empty": ["00081030", "0008103E"],
-    "institution_empty": ["00080080"],
-    "zero": ["00400555"],
+    "remove": [
+        "00080058", "00080092", "00080094", "00080096", "0008009D", "00081048", "00081049", "00081050", "00081052", "00081060", "00081062", "00081072", "00081120", "00100021",
+        "00100032", "00100050", "00100101", "00100102", "00101000", "00101001", "00101002", "00101005", "00101040", "00101050", "00101060", "00101080", "00101081", "00101090",
+        "00101100", "00102000", "00102150", "00102152", "00102154", "00102155", "00102160", "00102180", "001021B0", "001021F0", "00102297", "00102299", "00104000", "00120021",
+        "00120071", "00120082", "0016004D", "00160070", "00160071", "00160072", "00160073", "00160074", "00160075", "00160076", "00160077", "00160078", "00160079", "0016007A",
+        "0016007B", "0016007C", "0016007D", "0016007E", "0016007F", "00160080", "00160081", "00160082", "00160083", "00160084", "00160085", "00160086", "00160087", "00160088",
+        "00160089", "0016008A", "0016008B", "0016008C", "0016008E", "00203401", "00203406", "00284000", "00320012", "00321032", "00321033", "00380004", "00380010", "00380011",
+        "00380014", "0038001E", "00380060", "00380061", "00380064", "00380300", "00380400", "00380500", "00400006", "00400007", "00400009", "0040000B", "00400243", "00400253",
+        "00400254", "00400280", "0040050A", "004006FA", "00401001", "00401004", "00401005", "00401010", "00401011", "00401102", "00401103", "00401104", "00402008", "00402009",
+        "00402010", "00402011", "00403001", "00404034", "00404035", "00404036", "00404037", "0040A078", "0040A07A", "0040A07C", "0040A307", "0040A352", "0040A353", "0040A354",
+        "0040A358", "0050001B", "00700086", "00880200", "00880904", "00880906", "00880910", "00880912", "04000402", "04000403", "04000404", "04000550", "04000551", "04000552",
+        "04000561", "04000600", "20300020", "40000010", "40004000", "40080042", "40080102", "4008010A", "4008010C", "40080111", "40080114", "40080118", "40080119", "4008011A",
+        "40080202", "40080300", "FFFAFFFA", "FFFCFFFC",
+    ],
+    "description_remove": [
+        "00081030", "0008103E", "00081080", "00081084", "00082111", "00084000", "00102180", "001021B0", "00104000", "00120051", "00120072", "0016002B", "0016004B", "00181030",
+        "00181400", "00184000", "00189185", "0018937B", "0018937F", "00189424", "0018A003", "00204000", "00209158", "00321030", "00321060", "00321066", "00321067", "00321070",
+        "00324000", "00380040", "00380062", "00380500", "00384000", "00400275", "00400280", "00400310", "00400600", "00400602", "00401002", "0040100A", "00401400", "00402001",
+        "00402400", "00500021", "30060004", "30060006", "30060028", "30060038", "300A0003", "300A0004", "300A000E", "300A0016", "300A0072", "300A00C3", "300A00DD", "300A0196",
+        "300A01A6", "300A01B2", "300A02EB", "300A0676", "300C0113", "30100036", "30100037", "30100056", "30100061", "30100081", "4008010B", "40080115", "40084000",
+    ],
+    "device_remove": [
+        "0016004E", "0016004F", "00160050", "00160051", "00181000", "00181002", "00181004", "00181005", "00181007", "00181008", "00181009", "0018100A", "0018100B", "00185011",
+        "00189373", "00321020", "00321021", "00400001", "00400010", "00400011", "00400241", "00400242", "00404025", "00404027", "00404028", "00404030", "00500020", "300A0216",
+    ],
+    "institution_remove": ["00080080", "00080081", "00080082", "00081040", "00081041", "00081050"],
+    "patient_remove": [
+        "00101000", "00101010", "00101020", "00101030", "00102110", "00102160", "001021A0", "001021C0", "00380050", "00400012",
+    ],
+    "empty": [
+        "00080050", "00080090", "00100030", "00100040", "00120050", "00200010", "00340005", "00402016", "00402017", "22000005", "3010001B",
+    ],
+    "description_empty": [
+        "00081030", "0008103E", "00180010", "0040051A", "22000002", "30060026", "30060085", "30060088", "300A0611", "300A0615", "300A067D", "3010000F", "30100017", "3010005A",
+        "3010005C", "3010007A", "3010007B", "3010007F",
+    ],
+    "device_empty": ["00081010", "30080105", "300A00B2", "30100043"],
+    "institution_empty": ["00080080", "00120030", "00120031", "00120060"],
+    "patient_empty": ["00100040", "00102203"],
+    "description_replace": [
+        "001811BB", "30060002", "300A0002", "300A0608", "300A0619", "300A0623", "300A062A", "300A067C", "300A0734", "300A0741", "300A0783", "30100033", "30100034", "30100035",
+        "30100038", "30100054", "30100077",
+    ],
+    "device_replace": ["00181000", "0018700A", "00189367", "00189371", "3010002D"],
+    "institution_replace": ["00120081"],
+    "zero": ["00400513", "00400555", "00400562", "0040A088"],
+    "structured_zero": ["00400555", "00400610", "0040A730"],
 }
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 INITIALS = [f"{chr(65 + i)}." for i in range(26)]
@@ -242,7 +288,7 @@ def stamp_profile(elements: DataFrame, text: str, options: dict[str, bool]) -> D
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, options: dict | None = None, salt: str = "") -> DataFrame:
+def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, options: dict | None = None, salt: str = "", uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS) -> DataFrame:
     """All steps in order: private tags, graphics, zeroed, emptied and removed tags by topic, dates, UIDs, names, ids, group lengths, stamp.
 
     Files with a tag twice in one data set are refused: none of their rows comes out. Options: ``keep_*`` and
@@ -257,7 +303,7 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
         rows = remove_private(rows)
     if options.get("remove_graphics", True):
         rows = remove_curves(remove_overlays(rows))
-    rows = zero_sequences(rows, profile.get("zero", []))
+    rows = zero_sequences(rows, profile.get("zero", []) + (profile.get("structured_zero", []) if options.get("remove_structured") else []))
     topics = {"": "", "description": "keep_descriptions", "device": "keep_device", "patient": "keep_patient", "institution": "keep_institution"}
     for topic, keep in topics.items():
         if keep and options.get(keep):
@@ -269,7 +315,7 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
         rows = shift_dates(rows, *options["offset"])
     if options.get("name") or options.get("id"):
         rows = single_identity(rows, options.get("name", ""), options.get("id", ""))
-    rows = apply_maps(rows, build_uid_map(source, salt=salt), build_name_map(source, salt), build_id_map(source, salt=salt), preserve_uids=bool(options.get("keep_uids")))
+    rows = apply_maps(rows, build_uid_map(source, uid_tags, salt), build_name_map(source, salt), build_id_map(source, id_tags, salt), uid_tags, id_tags, preserve_uids=bool(options.get("keep_uids")))
     return stamp_profile(remove_group_length(rows), options.get("text", "de-identified"), options | {"shift_dates": bool(options.get("offset"))})
 
 

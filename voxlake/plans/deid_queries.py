@@ -12,7 +12,7 @@ _UID = "concat('2.25.', CAST(CAST(('0x' || substr(sha256('s' || {0}), 1, 15)) AS
 _INITIAL = "concat(chr(CAST(65 + CAST(('0x' || substr(md5('s' || {0}), {1}, 8)) AS BIGINT) % 26 AS INTEGER)), '.')"
 _NAME = "concat(" + ", '^', ".join(_INITIAL.replace("{1}", str(at)) for at in (1, 9, 17)) + ", '^^')"
 _ID = "concat(" + ", ".join(f"substr('{D.ALPHABET}', CAST(CAST(('0x' || substr(sha256('s' || {{0}}), {5 * i + 1}, 5)) AS BIGINT) % 62 + 1 AS INTEGER), 1)" for i in range(11)) + ")"
-_TAGS = ", ".join(f"'{t}'" for t in D.UID_TAGS)
+_TAGS = ", ".join(f"'{t}'" for t in ("00080018", "0020000D", "0020000E", "00200052", "00081155", "00081150", "0008010D", "00020003", "30060024"))
 
 
 @query(f"SELECT DISTINCT value AS old, {_UID.format('value')} AS new FROM fx_elements WHERE tag IN ({_TAGS})")
