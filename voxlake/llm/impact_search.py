@@ -1,10 +1,13 @@
 """Exact top-k search by inner product over an impact-ordered index, score at a time.
 
-Vectors are integers. A block's index holds, for each dimension, posting segments of the vectors whose component falls
-into the same of ``LEVELS`` quantised impacts. A query takes the segments of all dimensions in descending impact and
-adds their lower bounds to accumulators. At threshold t every component not yet met adds at most t, so the
-accumulators give a lower and an upper bound of each score. The search stops when few vectors can still belong to the
-best k, which their upper bounds prove; those, all of them, are scored exactly.
+Vectors are integers. A block's index holds, for each dimension, posting segments of the vectors whose component
+lies in the same of at most ``LEVELS`` quantised steps around the block's centre. A query takes the segments of all
+dimensions in descending impact, that is by how much a segment can raise or lower a score, and adds them to
+accumulators. At threshold t every component not yet met changes a score by at most t, so the accumulators give an
+upper bound of each score. The k-th best exact score met so far, first that of a bounded sample of vectors, is carried
+from look to look: a vector whose upper bound stays below it is out, by proof. A search stops where scoring the rest
+exactly costs less than reading on. Blocks hold vectors of like length; one whose bound stays below the carried score
+is not read at all.
 """
 
 from __future__ import annotations
@@ -19,84 +22,120 @@ from pyspark.sql import functions as F
 from voxlake.llm.common import cut
 from voxlake.llm.vectors import best_of, chunks, unchunk, usable
 
-LEVELS = 16
+LEVELS = 256
 #: Vectors in a block and queries in a chunk, about.
-BLOCK, QUERIES = 4096, 2048
-#: Shares of the postings after which the bounds are looked at.
-LOOKS = (0.3, 0.45, 0.6, 0.75, 0.9, 1.0)
-#: Vectors left to score exactly at which a search stops.
-FEW = 64
+BLOCK, QUERIES = 65_536, 4096
+#: Vectors whose exact scores give each query its first bound: those with the smallest hash of their id.
+SAMPLE = 2048
+#: A look at the bounds comes after so large a share of the postings, the first one after START of these shares.
+LOOKS, START = 16, 5
 
 
 class Index:
-    """Impact-ordered posting segments of a block of integer vectors."""
+    """Impact-ordered posting segments of a block of integer vectors; inner products stay below 2**52."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors = vectors
         n, dims = vectors.shape
-        least = vectors.min(axis=0)
-        self.step = np.maximum(1, -(-(vectors.max(axis=0) - least + 1) // LEVELS))
-        level = (vectors - least) // self.step
-        self.low = least[:, None] + np.arange(LEVELS) * self.step[:, None]  # least component of a segment
-        key = (np.arange(dims) * LEVELS)[:, None] + level.T
-        self.postings = np.argsort(key, axis=1, kind="stable").astype(np.int32)
-        self.sizes = np.stack([np.bincount(k - d * LEVELS, minlength=LEVELS) for d, k in enumerate(key)])
-        self.starts = np.cumsum(self.sizes, axis=1) - self.sizes
-
-    def search(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of vectors among which are the best k of the block; ``own`` is a place to leave out."""
+        self.centre = np.round(vectors.mean(axis=0)).astype(np.int64)
+        away = vectors - self.centre
+        least = away.min(axis=0)
+        self.step = np.maximum(1, -(-(away.max(axis=0) - least + 1) // LEVELS))
+        level = np.ascontiguousarray(((away - least) // self.step).T.astype(np.uint8))
+        self.low = (least[:, None] + np.arange(LEVELS) * self.step[:, None]).astype(np.float64)  # least component of a segment
+        self.sizes = np.stack([np.bincount(x, minlength=LEVELS) for x in level])
+        self.ends = np.concatenate([np.zeros((dims, 1), np.int64), np.cumsum(self.sizes, axis=1)], axis=1)
+        self.postings = np.argsort(level, axis=1, kind="stable")
+        self.values = np.stack([np.repeat(x, size) for x, size in zip(self.low, self.sizes, strict=True)])
+        self.reach = np.maximum(np.abs(self.low), np.abs(self.low + self.step[:, None] - 1)) * (self.sizes > 0)
+        self.longest = float(np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max()))
+        self.away = np.abs(away[np.random.default_rng(0).integers(0, n, 64)]).astype(np.float64)
+
+    def bound(self, query: np.ndarray) -> float:
+        """No vector of the block scores higher."""
+        size = np.abs(query).astype(np.float64)
+        return min(float(query @ self.centre) + float(size @ self.reach.max(axis=1)), self.longest * float(np.sqrt((size**2).sum())) * (1 + 1e-12) + 1)
+
+    def thresholds(self, size: np.ndarray) -> list[float]:
+        """Falling impacts for the looks at the bounds, as a sample of the postings has them; the last look has read all."""
+        some = np.sort((self.away * size).reshape(-1))[::-1]
+        return [float(some[len(some) * look // LOOKS]) for look in range(START, LOOKS)] + [-1.0]
+
+    def search(self, query: np.ndarray, k: int, own: np.ndarray, carried: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of vectors, among them all of the best k that reach ``carried``; places ``own`` are left out."""
         n, dims = self.vectors.shape
-        end = self.low + (self.step - 1)[:, None]
-        low = np.where(query[:, None] >= 0, query[:, None] * self.low, query[:, None] * end)
-        slack = int((np.abs(query) * (self.step - 1)).sum())
-        impact = low - low.min(axis=1, keepdims=True)
-        top = impact + (np.abs(query) * (self.step - 1))[:, None]  # upper bound of a segment, over the same base
-        order = np.argsort(-top, axis=None, kind="stable")
-        order = order[self.sizes.reshape(-1)[order] > 0]
-        sizes = self.sizes.reshape(-1)[order]
-        starts = (self.starts + (np.arange(dims) * n)[:, None]).reshape(-1)[order]
-        done = np.cumsum(sizes)
-        sums, met = np.zeros(n), np.zeros(n)
-        flat, at = self.postings.reshape(-1), 0
-        possible = np.arange(n)
-        for look in LOOKS:
-            stop = int(np.searchsorted(done, look * n * dims)) + 1 if look < 1 else len(order)
-            if stop > at:
-                part = slice(at, stop)
-                ids = np.concatenate([flat[s : s + c] for s, c in zip(starts[part].tolist(), sizes[part].tolist(), strict=True)])
-                sums += np.bincount(ids, np.repeat(impact.reshape(-1)[order[part]], sizes[part]).astype(float), n)
-                met += np.bincount(ids, minlength=n)
-                at = stop
-            threshold = float(top.reshape(-1)[order[at]]) if at < len(order) else 0.0
-            lower = sums.copy()
-            if own is not None:
-                lower[own] = -np.inf
-            if n - (own is not None) <= k:
+        if self.bound(query) < carried:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        size = np.abs(query).astype(np.float64)
+        impact = size[:, None] * self.reach
+        most = impact.max(axis=1)
+        lift = 2.0 ** (np.ceil(np.log2(most.sum() + 1)) + 2)  # a component that was met, apart from what it adds
+        base = float(query @ self.centre) + float((size * (self.step - 1)).sum()) + lift * dims * 2.0**-40
+        low, high = [0] * dims, [n] * dims  # postings not read yet, by dimension
+        rows, sums, share = np.arange(dims), np.zeros(n), n * dims // LOOKS
+        for look, threshold in enumerate(self.thresholds(size)):
+            closed = (impact <= threshold) & (self.sizes > 0)
+            some = closed.any(axis=1)
+            to_low = np.where(some, self.ends[rows, closed.argmax(axis=1)], high).tolist()
+            to_high = np.where(some, self.ends[rows, LEVELS - closed[:, ::-1].argmax(axis=1)], high).tolist()
+            for d, weight in enumerate(query.tolist()):
+                for start, stop in ((low[d], to_low[d]), (to_high[d], high[d])):
+                    if stop > start:
+                        np.add.at(sums, self.postings[d, start:stop], self.values[d, start:stop] * weight + lift)
+            low, high, threshold = to_low, to_high, max(0.0, threshold)
+            met = np.floor(sums / lift + 0.5)
+            upper = sums - met * (lift + threshold) + float(np.minimum(most, threshold).sum()) + base
+            if look in (0, 2, 5):  # the best so far, scored exactly
+                best = np.argpartition(-upper, min(n - 1, 4 * k + len(own)))[: 4 * k + len(own)]
+                exact = self.vectors[best[~np.isin(best, own)]] @ query
+                if len(exact) >= k:
+                    carried = max(carried, float(np.partition(exact, len(exact) - k)[len(exact) - k]))
+            possible = np.flatnonzero(upper >= carried)
+            if len(possible) * dims <= share:
                 break
-            kth = np.partition(lower, n - k)[n - k]
-            possible = np.flatnonzero(sums + slack + threshold * (dims - met) >= kth)
-            if len(possible) <= FEW:
-                break
-        possible = possible[possible != own] if own is not None else possible
+        possible = possible[~np.isin(possible, own)]
         return possible, self.vectors[possible] @ query
 
 
 def _searched(k: int):
     def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
+        asked = [(chunk, *unchunk(chunk, "<i8")) for chunk in queries.to_pylist()]
         for block in blocks.to_pylist():
             ids, vectors = unchunk(block, "<i8")
-            index = Index(vectors)
-            place = {int(v): i for i, v in enumerate(ids)}
-            for chunk in queries.to_pylist():
+            index, by_id = Index(vectors), np.argsort(ids, kind="stable")
+            for chunk, query_ids, rows in asked:
                 if chunk["dim"] != block["dim"]:
                     continue
-                for query_id, query in zip(*unchunk(chunk, "<i8"), strict=True):
-                    at, scores = index.search(query, k, place.get(int(query_id)))
+                carried = np.frombuffer(chunk["carried"], "<f8")
+                starts, stops = (np.searchsorted(ids[by_id], query_ids, side=side) for side in ("left", "right"))
+                for i, query in enumerate(rows):
+                    at, scores = index.search(query, k, by_id[starts[i] : stops[i]], carried[i])
                     best = np.lexsort((ids[at], -scores))[:k]
-                    out.append((np.full(len(best), query_id), ids[at[best]], scores[best]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
-        return pa.table({name: pa.array(x.astype(np.int64)) for name, x in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+                    out.append((np.full(len(best), chunk["first"] + i), np.full(len(best), query_ids[i]), ids[at[best]], scores[best]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+        return pa.table({name: pa.array(x.astype(np.int64)) for name, x in zip(("query", "query_id", "vec_id", "score"), columns, strict=True)})
+
+    return run
+
+
+def _carried(sample, k: int):
+    """Adds to chunks of queries the k-th best exact score of the sample for each (minus infinity if it has fewer)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = []
+            for chunk in batch.to_pylist():
+                query_ids, rows = unchunk(chunk, "<i8")
+                found = np.full(len(rows), -np.inf)
+                if chunk["dim"] in sample.value:
+                    ids, vectors = sample.value[chunk["dim"]]
+                    for i, (own, query) in enumerate(zip(query_ids, rows, strict=True)):
+                        scores = (vectors @ query)[ids != own]
+                        if len(scores) >= k:
+                            found[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
+                bounds.append(found.astype("<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.binary())], [*batch.schema.names, "carried"])
 
     return run
 
@@ -106,17 +145,30 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` largest integer inner products, ties to smaller ids.
 
     Both inputs hold integer vectors; every vector but those with the query's own id is a candidate (all, if there
-    are fewer than k). Null ids, null vectors and vectors with null components take no part; vectors of other lengths
-    do not meet. Blocks of vectors meet chunks of queries; one task holds one of each.
+    are fewer than k). Null ids, null or empty vectors and vectors with null components take no part; vectors of other
+    lengths do not meet. Every row of the vectors is a candidate of its own, so equal rows take a rank each. Query rows
+    of equal id and vector ask once; those of equal id and other vectors ask each for themselves, with ranks from 1.
+    Blocks of vectors meet chunks of queries; one task holds one of each. Empty inputs give no rows.
     """
-    good = lambda df: df.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    blocks = cut(chunks(good(vectors), id_col, vector_col, "<i8", BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    asked = cut(chunks(good(queries), id_col, vector_col, "<i8", QUERIES).withColumn("chunk", F.monotonically_increasing_id()), "queries")
-    block_ids, chunk_ids = ([r[0] for r in df.select(name).collect()] for df, name in ((blocks, "block"), (asked, "chunk")))
-    each = lambda df, name, ids: df.withColumn(name, F.explode(F.array(*map(F.lit, ids)).cast("array<long>")))
-    pairs = each(blocks, "chunk", chunk_ids).groupBy("block", "chunk").cogroup(each(asked, "block", block_ids).groupBy("block", "chunk"))
-    return best_of(pairs.applyInArrow(_searched(k), "query_id long, vec_id long, score long"), k)
+    spark = vectors.sparkSession
+    good = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("vector")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
+    every, distinct = good(vectors), good(queries).distinct()
+    length = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    found, n_blocks = chunks(every, "id", "vector", "<i8", BLOCK, order=[length.desc(), F.xxhash64("id")])
+    blocks = cut(found, "blocks")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_chunk = max(64, min(QUERIES, distinct.count() * n_blocks // tasks))
+    some: dict[int, list] = {}
+    for r in every.orderBy(F.xxhash64("id"), "id").limit(sample).collect():
+        some.setdefault(len(r.vector), []).append(r)
+    sent = spark.sparkContext.broadcast({dim: (np.array([r.id for r in rows], np.int64), np.array([r.vector for r in rows], np.int64)) for dim, rows in some.items()})
+    asked, n_chunks = chunks(distinct, "id", "vector", "<i8", per_chunk)
+    asked = cut(asked.mapInArrow(_carried(sent, k), "part int, first long, dim long, ids binary, data binary, carried binary"), "queries")
+    each = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    own = each(blocks.withColumnRenamed("part", "block"), "chunk", n_chunks).groupBy("block", "chunk")
+    pairs = own.cogroup(each(asked.withColumnRenamed("part", "chunk"), "block", n_blocks).groupBy("block", "chunk"))
+    return best_of(pairs.applyInArrow(_searched(k), "query long, query_id long, vec_id long, score long"), k, ("query_id", "query"))
