@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, mixing, near_copies, packing, queries, records, simhash, substring_dedup, tokens, toxicity
+from voxlake.llm.vectors import usable
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -270,48 +271,85 @@ def test_packing_plan():
     assert sum(c for c, _ in groups) <= math.ceil(sum(n * c for n, c in histogram.items()) / 1024) * 1.03 + 2
 
 
-def test_impact_search(spark):
-    rng = np.random.default_rng(1)
-    vectors = rng.normal(size=(300, 8)).round(1)
-    vectors[100:160] = vectors[0]  # ties
-    data = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (303, [1.0])]
-    whole = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    from voxlake.llm.vectors import usable
+def best_scores(ids, vectors, query_id, query, k):
+    """Scores and ids of the k best candidates by brute force, ties to smaller ids; equal rows count each."""
+    scores = vectors @ query
+    order = [j for j in np.lexsort((ids, -scores)) if ids[j] != query_id][:k]
+    return [(int(ids[j]), int(scores[j])) for j in order]
+
 
-    ints = whole.filter(usable(F.col("embedding"))).select("vec_id", impact_search.quantised(F.col("embedding")).alias("embedding"))
+def answers(found):
     got = {}
-    for r in impact_search.exact_top_k(ints, ints.filter("vec_id % 50 = 0"), 5).collect():
+    for r in found.collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return {q: sorted(x) for q, x in got.items()}
+
+
+@pytest.mark.parametrize("sample", [0, 40, 2048])
+def test_impact_search(spark, monkeypatch, sample):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(impact_search, "BLOCK", 70)
+    vectors = rng.normal(size=(300, 8)).round(1) * rng.choice([1, 1, 40], size=(300, 1))
+    vectors[100:160] = vectors[0]  # ties
+    vectors[170:180] = 0
+    ids = np.arange(300)
+    ids[250:260] = 7  # repeated ids, also of a query
+    ids[200] = 50
+    data = [(int(i), [float(x) for x in v], "clash") for i, v in zip(ids, vectors)] + [(300, None, ""), (301, [1.0, None] + [0.0] * 6, ""), (302, [float("nan")] * 8, ""), (303, [1.0], ""), (350, [2.0], ""), (None, [1.0] * 8, ""), (304, [], "")]
+    whole = spark.createDataFrame(data, "vec_id long, embedding array<double>, score string")
+    ints = whole.filter(usable(F.col("embedding"))).withColumn("embedding", impact_search.quantised(F.col("embedding")))
+    queries_ = ints.filter("vec_id % 50 = 0")
+    got = answers(impact_search.exact_top_k(ints, queries_.union(queries_), 5, sample=sample))
     matrix = np.floor(256 * vectors).astype(np.int64)
-    for q in range(0, 300, 50):
-        scores = matrix @ matrix[q]
-        order = [j for j in np.lexsort((np.arange(300), -scores)) if j != q][:5]
-        assert sorted(got[q]) == [(r, j, scores[j]) for r, j in enumerate(order, 1)]
+    for q in (0, 100, 150):
+        assert got[q] == [(rank, *x) for rank, x in enumerate(best_scores(ids, matrix, q, matrix[q], 5), 1)]
+    two = [best_scores(ids, matrix, 50, matrix[i], 5) for i in (50, 200)]  # an id with two vectors asks twice
+    assert got[50] == sorted((rank, *x) for found in two for rank, x in enumerate(found, 1))
+    assert got[350] == [(1, 303, 2 * 256 * 256)] and 300 not in got
     assert impact_search.exact_top_k(ints.limit(0), ints.limit(0)).count() == 0
-    one = ints.filter("vec_id in (0, 50)")
+    one = ints.filter("vec_id in (0, 50)").limit(2)
     assert [(r.query_id, r.vec_id) for r in impact_search.exact_top_k(one, one.filter("vec_id = 0")).collect()] == [(0, 50)]
 
 
-def test_tree_recall(spark):
+def test_tree_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann_tree, "BLOCK", 300)
+    monkeypatch.setattr(ann_tree, "LIMB", 200)
     rng = np.random.default_rng(2)
-    vectors = np.concatenate([rng.normal(size=(2500, 16)) + 2 * rng.normal(size=(1, 16)), np.tile(rng.normal(size=16), (300, 1)), np.zeros((2, 16))]).astype(np.float32)
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(9000, None), (9020, [float("inf")] * 16)], "vec_id long, embedding array<float>")
-    found = {}
-    for r in ann_tree.nearest(frame, frame.filter("vec_id % 20 = 0"), 20, sample=1500).collect():
-        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    vectors = np.concatenate([rng.normal(size=(2500, 16)) + 2 * rng.normal(size=(1, 16)), np.tile(rng.normal(size=16), (1300, 1)), np.zeros((2, 16))]).astype(np.float32)
+    data = [(i, v.tolist(), "clash") for i, v in enumerate(vectors)] + [(9000, None, ""), (9020, [float("inf")] * 16, ""), (None, vectors[0].tolist(), ""), (20, vectors[20].tolist(), ""), (9040, [1.0, 2.0], ""), (9041, [3.0, 1.0], ""), (9042, [3.0, 1.0], "")]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, score string")
+    asked = frame.filter("vec_id % 20 = 0")
+    found = answers(ann_tree.nearest(frame, asked.union(asked), 20, sample=1500))
     exact = vectors.astype(float)
     hits = total = 0
-    for q in range(0, 2800, 20):
+    for q in range(0, 3800, 20):
         scores = exact @ exact[q]
-        scores[[q, 2800, 2801]] = -np.inf
+        scores[[q, 3800, 3801]] = -np.inf
         true = np.lexsort((np.arange(len(scores)), -scores))[:20]
         hits += len({v for _, v, _ in found[q]} & set(true.tolist()))
         total += 20
+        assert [r for r, _, _ in found[q]] == list(range(1, 21))
         assert all(s == pytest.approx(scores[v]) for _, v, s in found[q])
-    assert hits / total >= 0.9 and 9020 not in found and 2800 not in found
+    assert hits / total >= 0.9 and 9020 not in found and 3800 not in found
+    assert found[9040] == [(1, 9041, 5.0), (2, 9042, 5.0)]
     assert ann_tree.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_tree_prunes():
+    rng = np.random.default_rng(3)
+    centres = 4 * rng.normal(size=(40, 8))
+    vectors = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8))
+    tree = ann_tree.grow(vectors, leaf=20)
+    ends = tree.assign(vectors)
+    assert np.bincount(ends).max() <= 40 and tree.leaves == len(np.unique(ends))
+    trunk = ann_tree.Trunk(tree, np.arange(500), vectors[:500])
+    marks = trunk.marks(np.arange(1000, 1100), vectors[1000:1100])
+    need = tree.needed(vectors[1000:1100], marks)
+    for i, mark in enumerate(marks):
+        assert sorted(tree.best_bins(vectors[1000 + i], mark, 0.5)) == np.flatnonzero(need[i] <= 0.5).tolist()
+    assert (need <= 0.5).mean() < 0.2
+
+
 def test_language(spark, docs, empty):
     train = [(i, " ".join(f"the of and {'ing'.join(WORDS[i % 9 : i % 9 + 2])}" if i % 2 else f"le la des {'eau'.join(WORDS[i % 9 : i % 9 + 2])}" for _ in range(5)), "en" if i % 2 else "fr") for i in range(200)]
     model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))

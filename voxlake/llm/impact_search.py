@@ -161,7 +161,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     found, n_blocks = chunks(every, "id", "vector", "<i8", BLOCK, order=[length.desc(), F.xxhash64("id")])
     blocks = cut(found, "blocks")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_chunk = max(64, min(QUERIES, distinct.count() * n_blocks // tasks))
+    per_chunk = max(128, min(QUERIES, distinct.count() * n_blocks // tasks))
     some: dict[int, list] = {}
     for r in every.orderBy(F.xxhash64("id"), "id").limit(sample).collect():
         some.setdefault(len(r.vector), []).append(r)
