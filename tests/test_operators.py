@@ -4,7 +4,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from voxlake.operators import deid, geometry, pixels
+from voxlake.operators import catalog, deid, geometry, pixels
 from voxlake.sources import dicom_files
 
 PATH = "array<struct<tag:string,item:int>>"
@@ -49,6 +49,30 @@ def test_deidentified_files_keep_no_listed_identifier(spark):
     assert {r.value for r in deid.deidentify(frame.filter("tag = '00080016'"), uid_tags=["00080016"]).filter("tag = '00080016'").collect()} != {"1.2.840"}
 
 
+def test_pseudonyms_without_maps(spark):
+    item = [{"tag": "00081140", "item": 1}]
+    rows = [(1, [], "00080018", "UI", "9.1"), (1, [], "00080016", "UI", "1.2.840.10008.5.1"), (1, item, "00081150", "UI", "1.2.840.10008.5.1"), (1, item, "00091010", "UI", "9.1"), (2, [], "00091010", "UI", "9.2 "), (2, [], "0020000D", "UI", " 9.2"), (2, [], "00091011", "UI", "9.3"), (2, [], "00100010", "PN", "A^B"), (2, [], "00100020", "LO", "P1"), (2, [], "0040A124", "UI", ""), (3, [], "00100010", None, "A^B"), (3, [], "00080016", "UI", None)]
+    frame = spark.createDataFrame(rows, f"file_id long, path {PATH}, tag string, vr string, value string")
+    plain = lambda df: sorted(map(str, df.collect()))
+    for keep in (False, True):
+        mapped = deid.apply_maps(frame, deid.build_uid_map(frame, salt="s"), deid.build_name_map(frame, "s"), deid.build_id_map(frame, salt="s"), preserve_uids=keep)
+        assert plain(deid.pseudonymised(frame, frame, "s", preserve_uids=keep)) == plain(mapped)
+    names = ["Smith", "Jones"]
+    assert {r.value.split("^")[0] for r in deid.pseudonymised(frame, frame, "s", surnames=names).filter("vr = 'PN'").collect()} <= set(names)
+    one = {r.tag: r.value for r in deid.deidentify(frame.filter("file_id = 2"), options={"name": "Doe X", "id": "7"}).collect()}
+    assert (one["00100010"], one["00100020"]) == ("Doe^X", "7")
+
+
+def test_references_resolve_alike_in_any_partitioning(spark):
+    refs = [("u1", "/a", i) for i in range(40)] + [("u2", "/a/b", 99), ("u3", "/a", 100), (None, "/a", 101), ("u1", "/z", 102)]
+    files = [("u1", "/a/b", "x", 1), ("u1", "/a", "z", 2), ("u1", "/a", "y", 3), ("u2", "/a", "x", 4), ("u3", "/a/c", "b", 5), ("u3", "/a/b", "c", 6), ("u3", "/ab", "a", 7)]
+    asked = spark.createDataFrame(refs, "ref_uid string, dir string, ref_no int")
+    have = spark.createDataFrame(files, "sop_uid string, dir string, name string, file_id long")
+    for parts in (1, 3, 7):
+        found = catalog.resolve_uids(asked.repartition(parts), have.repartition(parts))
+        assert {r.ref_no: r.found_file for r in found.collect()} == {**dict.fromkeys(range(40), 3), 99: None, 100: 6, 101: None, 102: None}
+
+
 def series(spark, rows):
     return spark.createDataFrame([("/d", "s", i, *r) for i, r in enumerate(rows)], "dir string, series_uid string, file_order int, ipp array<double>, iop array<double>, instance_number int").withColumns({"rows": F.lit(4), "cols": F.lit(4), "spacing": F.array(F.lit(1.0), F.lit(1.0)), "file_id": F.col("file_order").cast("long")})
 

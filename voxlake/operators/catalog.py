@@ -15,16 +15,13 @@ def scan_tags(elements: DataFrame, tags: list[str]) -> DataFrame:
     """One row per file with a column for each listed tag: its top-level value, cut at the first NUL.
 
     Private, creator and illegal tags give ''. Of duplicate elements the first by ``elem_idx`` counts. A listed tag
-    that a file doesn't have is null. One aggregation over the listed tags alone.
+    that a file doesn't have is null. One aggregation, combined before its only shuffle; files without any listed tag stay.
     """
     order = F.col("elem_idx") if "elem_idx" in elements.columns else F.lit(0)
     public = [t for t in tags if int(t[:4], 16) % 2 == 0 and int(t[:4], 16) not in (1, 3, 5, 7)]
-    rows = elements.filter(F.col("tag").isin(public) & (F.size("path") == 0)) if public else elements.filter(F.lit(False))
-    per_tag = [F.min_by(F.when(F.col("tag") == t, until_nul(F.col("value"))), F.when(F.col("tag") == t, order)).alias(t) if t in public else F.lit("").alias(t) for t in tags]
-    files = elements.select("file_id").distinct()
-    found = rows.groupBy("file_id").agg(*per_tag)
-    out = files.join(found, "file_id", "left")
-    return out.select("file_id", *[F.col(f"`{t}`") if t in public else F.lit("").alias(t) for t in tags])
+    own = lambda t: (F.col("tag") == t) & (F.size("path") == 0)
+    per_tag = [F.min_by(F.when(own(t), until_nul(F.col("value"))), F.when(own(t), order)).alias(t) if t in public else F.lit("").alias(t) for t in tags]
+    return elements.groupBy("file_id").agg(*per_tag) if per_tag else elements.select("file_id").distinct()
 
 
 def tag_values(scan: DataFrame, tag: str | None = None) -> DataFrame:
@@ -121,13 +118,13 @@ def files_in_series(files: DataFrame, asked: DataFrame) -> DataFrame:
 def resolve_uids(refs: DataFrame, instances: DataFrame) -> DataFrame:
     """References (``ref_uid``, ``dir``) with ``found_file``: the first match by directory and name, the own directory and those below it only.
 
-    Unresolved references keep a null. A reference row stays one row.
+    Unresolved references keep a null. A reference row stays one row; the answer follows from its UID and directory.
     """
-    asked = refs.withColumn("ref_no", F.monotonically_increasing_id())
+    asked = refs.select("ref_uid", "dir").filter("ref_uid is not null and dir is not null").distinct()
     files = instances.select(F.col("sop_uid").alias("ref_uid"), F.col("dir").alias("found_dir"), F.col("name").alias("found_name"), F.col("file_id").alias("found_file"))
     pairs = asked.join(files, "ref_uid").filter((F.col("found_dir") == F.col("dir")) | F.startswith(F.col("found_dir"), F.concat("dir", F.lit("/"))))
-    best = pairs.groupBy("ref_no").agg(F.min_by("found_file", F.struct((F.col("found_dir") != F.col("dir")).alias("below"), "found_dir", "found_name", "found_file")).alias("found_file"))
-    return asked.join(best, "ref_no", "left").drop("ref_no")
+    best = pairs.groupBy("ref_uid", "dir").agg(F.min_by("found_file", F.struct((F.col("found_dir") != F.col("dir")).alias("below"), "found_dir", "found_name", "found_file")).alias("found_file"))
+    return refs.join(best, ["ref_uid", "dir"], "left").select(*refs.columns, "found_file")
 
 
 def catalog_query(patients: DataFrame, studies: DataFrame, series: DataFrame, images: DataFrame, name: str = "", pid: str = "", date_from: str = "", date_to: str = "") -> DataFrame:

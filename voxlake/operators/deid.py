@@ -24,7 +24,7 @@ UID_TAGS = [
 ID_TAGS = [
     "00100020", "00120020", "00120040", "00120042", "00200010", "00340002", "00380010", "00400512", "00400551", "00401001", "0040A027",
 ]
-#: The survey's profile; callers may pass their own, of any size, as {action: [tags]}.
+#: The survey's profile, fixed values of the de-identification standard; callers may pass their own, of any size, as {action: [tags]}.
 PROFILE = {
     "remove": [
         "00080058", "00080092", "00080094", "00080096", "0008009D", "00081048", "00081049", "00081050", "00081052", "00081060", "00081062", "00081072", "00081120", "00100021",
@@ -74,6 +74,8 @@ PROFILE = {
     "zero": ["00400513", "00400555", "00400562", "0040A088"],
     "structured_zero": ["00400555", "00400610", "0040A730"],
 }
+#: UIDs that the standard itself gives begin so.
+STANDARD_ROOT = "1.2.840.10008."
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 INITIALS = [f"{chr(65 + i)}." for i in range(26)]
 
@@ -134,6 +136,26 @@ def apply_maps(elements: DataFrame, uids: DataFrame, names: DataFrame, ids: Data
     return new.select(*elements.columns).unionByName(marked.filter("_kind is null").select(*elements.columns))
 
 
+def pseudonymised(elements: DataFrame, source: DataFrame, salt: str = "", uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS, surnames: list[str] | None = None, preserve_uids: bool = False) -> DataFrame:
+    """The same values as ``apply_maps`` with the maps of ``source``, without a join for those that are mapped anyway.
+
+    A pseudonym is a hash of its value, so tags of the lists and person names take it in the projection. Only UIDs
+    under other tags have to be looked up among the identifiers; they join as distinct values. What the standard
+    itself names (classes, syntaxes) is no identity and takes no part, so no value of all files is a join key.
+    """
+    old = clean(F.col("value"))
+    uid = F.col("tag").isin([t for t in uid_tags if t == "04000100"] if preserve_uids else uid_tags)
+    new = F.when(F.col("tag").isin(id_tags), pseudo_id(old, salt)).when(uid, pseudo_uid(old, salt)).when(F.col("vr") == "PN", pseudo_name(old, salt, surnames))
+    direct = elements.withColumn("value", F.when(old != "", F.coalesce(new, "value")).otherwise(F.col("value")))
+    if preserve_uids:
+        return direct
+    other = (F.col("vr") == "UI") & ~F.col("tag").isin(uid_tags) & ~F.col("tag").isin(id_tags) & ~F.startswith(clean(F.col("value")), F.lit(STANDARD_ROOT))
+    known = _distinct(source, F.col("tag").isin(uid_tags))
+    moved = _distinct(elements, other).join(known, "old", "left_semi").select("old", pseudo_uid(F.col("old"), salt).alias("new"))
+    looked_up = direct.filter(F.coalesce(other, F.lit(False))).withColumn("old", old).join(moved, "old", "left").withColumn("value", F.coalesce("new", "value"))
+    return direct.filter(~F.coalesce(other, F.lit(False))).unionByName(looked_up.select(*elements.columns))
+
+
 def single_identity(elements: DataFrame, name: str = "", pid: str = "") -> DataFrame:
     """One-patient mode, if either text is given: the name where given, the id even when blank; blanks become ``^``."""
     if not name and not pid:
@@ -293,11 +315,12 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
 
     Files with a tag twice in one data set are refused: none of their rows comes out. Options: ``keep_*`` and
     ``remove_*`` flags as in ``stamp_profile``, ``offset`` (years, months, days, seconds), ``name`` and ``id`` for a
-    single patient, ``text`` of the stamp.
+    single patient (set last, so they stay), ``text`` of the stamp.
     """
     options = options or {}
-    twice = elements.groupBy("file_id", "path", "tag").agg(F.count("*").alias("n")).filter("n > 1").select("file_id").distinct()
-    rows = elements.join(twice, "file_id", "left_anti").select(*elements.columns)
+    in_set, in_file = Window.partitionBy("file_id", "path", "tag"), Window.partitionBy("file_id")
+    marked = elements.withColumn("_n", F.count("*").over(in_set)).withColumn("_n", F.max("_n").over(in_file))
+    rows = marked.filter("_n = 1").drop("_n")  # later steps by file find its rows together
     source = rows
     if not options.get("keep_private"):
         rows = remove_private(rows)
@@ -313,9 +336,8 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
         rows = remove_tags(rows, profile.get(f"{name}remove", []))
     if options.get("offset"):
         rows = shift_dates(rows, *options["offset"])
-    if options.get("name") or options.get("id"):
-        rows = single_identity(rows, options.get("name", ""), options.get("id", ""))
-    rows = apply_maps(rows, build_uid_map(source, uid_tags, salt), build_name_map(source, salt), build_id_map(source, id_tags, salt), uid_tags, id_tags, preserve_uids=bool(options.get("keep_uids")))
+    rows = pseudonymised(rows, source, salt, uid_tags, id_tags, preserve_uids=bool(options.get("keep_uids")))
+    rows = single_identity(rows, options.get("name", ""), options.get("id", ""))
     return stamp_profile(remove_group_length(rows), options.get("text", "de-identified"), options | {"shift_dates": bool(options.get("offset"))})
 
 
