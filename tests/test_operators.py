@@ -49,7 +49,7 @@ def test_deidentified_files_keep_no_listed_identifier(spark):
     assert {r.value for r in deid.deidentify(frame.filter("tag = '00080016'"), uid_tags=["00080016"]).filter("tag = '00080016'").collect()} != {"1.2.840"}
 
 
-def test_pseudonyms_without_maps(spark):
+def test_pseudonyms_without_maps(spark, monkeypatch):
     item = [{"tag": "00081140", "item": 1}]
     rows = [(1, [], "00080018", "UI", "9.1"), (1, [], "00080016", "UI", "1.2.840.10008.5.1"), (1, item, "00081150", "UI", "1.2.840.10008.5.1"), (1, item, "00091010", "UI", "9.1"), (2, [], "00091010", "UI", "9.2 "), (2, [], "0020000D", "UI", " 9.2"), (2, [], "00091011", "UI", "9.3"), (2, [], "00100010", "PN", "A^B"), (2, [], "00100020", "LO", "P1"), (2, [], "0040A124", "UI", ""), (3, [], "00100010", None, "A^B"), (3, [], "00080016", "UI", None)]
     frame = spark.createDataFrame(rows, f"file_id long, path {PATH}, tag string, vr string, value string")
@@ -57,6 +57,8 @@ def test_pseudonyms_without_maps(spark):
     for keep in (False, True):
         mapped = deid.apply_maps(frame, deid.build_uid_map(frame, salt="s"), deid.build_name_map(frame, "s"), deid.build_id_map(frame, salt="s"), preserve_uids=keep)
         assert plain(deid.pseudonymised(frame, frame, "s", preserve_uids=keep)) == plain(mapped)
+    monkeypatch.setattr(deid, "BROADCAST_ROWS", 0)
+    assert plain(deid.pseudonymised(frame, frame, "s")) == plain(deid.apply_maps(frame, deid.build_uid_map(frame, salt="s"), deid.build_name_map(frame, "s"), deid.build_id_map(frame, salt="s")))
     names = ["Smith", "Jones"]
     assert {r.value.split("^")[0] for r in deid.pseudonymised(frame, frame, "s", surnames=names).filter("vr = 'PN'").collect()} <= set(names)
     one = {r.tag: r.value for r in deid.deidentify(frame.filter("file_id = 2"), options={"name": "Doe X", "id": "7"}).collect()}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxlake.functions.scalars import clean, let, tag_flags
+from voxlake.sources.shared import checkpointed
 
 #: Dates and times that stay: context group and template versions and product expiration.
 KEPT_DATES = ["00080106", "00080107", "0040DB06", "0040DB07", "0044000B"]
@@ -74,6 +75,8 @@ PROFILE = {
     "zero": ["00400513", "00400555", "00400562", "0040A088"],
     "structured_zero": ["00400555", "00400610", "0040A730"],
 }
+#: Values that are looked up in every task; more of them join by value.
+BROADCAST_ROWS = 100_000
 #: UIDs that the standard itself gives begin so.
 STANDARD_ROOT = "1.2.840.10008."
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -140,8 +143,8 @@ def pseudonymised(elements: DataFrame, source: DataFrame, salt: str = "", uid_ta
     """The same values as ``apply_maps`` with the maps of ``source``, without a join for those that are mapped anyway.
 
     A pseudonym is a hash of its value, so tags of the lists and person names take it in the projection. Only UIDs
-    under other tags have to be looked up among the identifiers; they join as distinct values. What the standard
-    itself names (classes, syntaxes) is no identity and takes no part, so no value of all files is a join key.
+    under other tags have to be looked up among the identifiers of ``source``. What the standard itself names
+    (classes, syntaxes) is no identity and takes no part, so no value of all files is a join key.
     """
     old = clean(F.col("value"))
     uid = F.col("tag").isin([t for t in uid_tags if t == "04000100"] if preserve_uids else uid_tags)
@@ -149,11 +152,18 @@ def pseudonymised(elements: DataFrame, source: DataFrame, salt: str = "", uid_ta
     direct = elements.withColumn("value", F.when(old != "", F.coalesce(new, "value")).otherwise(F.col("value")))
     if preserve_uids:
         return direct
-    other = (F.col("vr") == "UI") & ~F.col("tag").isin(uid_tags) & ~F.col("tag").isin(id_tags) & ~F.startswith(clean(F.col("value")), F.lit(STANDARD_ROOT))
-    known = _distinct(source, F.col("tag").isin(uid_tags))
-    moved = _distinct(elements, other).join(known, "old", "left_semi").select("old", pseudo_uid(F.col("old"), salt).alias("new"))
-    looked_up = direct.filter(F.coalesce(other, F.lit(False))).withColumn("old", old).join(moved, "old", "left").withColumn("value", F.coalesce("new", "value"))
-    return direct.filter(~F.coalesce(other, F.lit(False))).unionByName(looked_up.select(*elements.columns))
+    other = F.coalesce((F.col("vr") == "UI") & ~F.col("tag").isin(uid_tags) & ~F.col("tag").isin(id_tags) & ~F.startswith(old, F.lit(STANDARD_ROOT)), F.lit(False))
+    both = source.filter(F.col("tag").isin(uid_tags) | other).groupBy(old.alias("_old")).agg(F.bool_or(F.col("tag").isin(uid_tags)).alias("known"), F.bool_or(other).alias("other"))
+    moved = checkpointed(both.filter("known and other and _old <> ''").select("_old", pseudo_uid(F.col("_old"), salt).alias("_new")))
+    n = moved.count()
+    if not n:
+        return direct
+    if n <= BROADCAST_ROWS:
+        found = direct.join(F.broadcast(moved), other & (old == F.col("_old")), "left")
+    else:  # rows without a lookup are dealt by file
+        key = F.when(other, F.concat(F.lit("v"), old)).otherwise(F.concat(F.lit("f"), F.col("file_id").cast("string")))
+        found = direct.withColumn("_key", key).join(moved.withColumn("_key", F.concat(F.lit("v"), "_old")), "_key", "left")
+    return found.withColumn("value", F.coalesce("_new", "value")).select(*elements.columns)
 
 
 def single_identity(elements: DataFrame, name: str = "", pid: str = "") -> DataFrame:
@@ -288,13 +298,13 @@ def shift_dates(elements: DataFrame, years: int, months: int, days: int, seconds
     return rows.withColumn("value", F.when(F.coalesce(touched, F.lit(False)), moved).otherwise(F.col("value"))).select(*elements.columns)
 
 
-def stamp_profile(elements: DataFrame, text: str, options: dict[str, bool]) -> DataFrame:
+def stamp_profile(elements: DataFrame, text: str, options: dict[str, bool], files: DataFrame | None = None) -> DataFrame:
     """Adds the removed-identity mark, the method's text and an item with a code for each option that holds.
 
     Codes: 113100 basic profile; 113101 pixel data, 113102 recognisable features (when asked for); 113103 graphics,
     113104 structured content, 113105 descriptors (these three when such content was *not* removed); 113106 full
     dates or 113107 modified dates; 113108 patient characteristics, 113109 device, 113112 institution, 113110 UIDs
-    kept; 113111 safe private.
+    kept; 113111 safe private. ``files`` are the files to mark, by default those of the elements.
     """
     codes = ["113100"]
     codes += [code for code, name in (("113101", "clean_pixels"), ("113102", "clean_features"), ("113106", "keep_dates"), ("113107", "shift_dates"), ("113108", "keep_patient"), ("113109", "keep_device"), ("113112", "keep_institution"), ("113110", "keep_uids"), ("113111", "keep_private")) if options.get(name)]
@@ -305,7 +315,8 @@ def stamp_profile(elements: DataFrame, text: str, options: dict[str, bool]) -> D
     for i, code in enumerate(sorted(codes), 1):
         path = F.array(F.struct(F.lit("00120064").alias("tag"), F.lit(i).alias("item")))
         rows += [row(path, "00080100", "SH", code), row(path, "00080102", "SH", "DCM")]
-    new = elements.select("file_id").distinct().withColumn("_row", F.explode(F.array(*rows))).select("file_id", "_row.*")
+    files = elements.select("file_id").distinct() if files is None else files
+    new = files.withColumn("_row", F.explode(F.array(*rows))).select("file_id", "_row.*")
     old = remove_tags(elements, ["00120062", "00120063", "00120064"])
     return old.unionByName(new, allowMissingColumns=True)
 
@@ -321,7 +332,7 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
     in_set, in_file = Window.partitionBy("file_id", "path", "tag"), Window.partitionBy("file_id")
     marked = elements.withColumn("_n", F.count("*").over(in_set)).withColumn("_n", F.max("_n").over(in_file))
     rows = marked.filter("_n = 1").drop("_n")  # later steps by file find its rows together
-    source = rows
+    files = rows.select("file_id").distinct()
     if not options.get("keep_private"):
         rows = remove_private(rows)
     if options.get("remove_graphics", True):
@@ -336,9 +347,9 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
         rows = remove_tags(rows, profile.get(f"{name}remove", []))
     if options.get("offset"):
         rows = shift_dates(rows, *options["offset"])
-    rows = pseudonymised(rows, source, salt, uid_tags, id_tags, preserve_uids=bool(options.get("keep_uids")))
+    rows = pseudonymised(rows, elements, salt, uid_tags, id_tags, preserve_uids=bool(options.get("keep_uids")))
     rows = single_identity(rows, options.get("name", ""), options.get("id", ""))
-    return stamp_profile(remove_group_length(rows), options.get("text", "de-identified"), options | {"shift_dates": bool(options.get("offset"))})
+    return stamp_profile(remove_group_length(rows), options.get("text", "de-identified"), options | {"shift_dates": bool(options.get("offset"))}, files)
 
 
 def deid_report(files: DataFrame) -> DataFrame:
