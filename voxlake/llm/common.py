@@ -46,6 +46,32 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(spark: SparkSession, size: int, per_part: int) -> int:
+    """So many parts that each takes about ``per_part`` of ``size``; at least the session's number of shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // per_part))
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """The size of all texts in UTF-8."""
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+#: Keys that go to every task in a join at most, and the fewest rows that make a key hot.
+HOT_KEYS, HOT_ROWS = 1000, 10_000
+
+
+def join_with_hot_keys(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has one row per key and says in ``n`` how many of the ``total`` rows have it.
+
+    Keys of more than a thousandth of the rows, a thousand at most, are looked up in every task; the rest joins by
+    key. So no task gets all rows of a key. ``rows`` are read twice.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(table.filter(F.col(n) > least))
+    cold = rows.join(F.broadcast(table.filter(F.col(n) > least).select(key)), key, "left_anti").join(table.filter(F.col(n) <= least), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def fold(doc_id: Column, parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
