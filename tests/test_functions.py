@@ -43,3 +43,13 @@ def test_directions(spark):
 def test_text(spark):
     rows = spark.createDataFrame([("Müller".encode("latin-1"), "ISO_IR 100"), ("Müller".encode(), "ISO_IR 192"), ("Иван".encode("iso8859-5"), "ISO_IR 144"), (b"plain", None), (None, "ISO_IR 100")], "b binary, c string")
     assert [r[0] for r in rows.select(decode_text(F.col("b"), F.col("c"))).collect()] == ["Müller", "Müller", "Иван", "plain", None]
+
+
+def test_almost_equal_on_edges(spark):
+    inf, nan, after = float("inf"), float("nan"), 1.0000000000000002
+    cases = [
+        (0.0, -0.0, 0.0, True), (1.0, 1.0, 0.0, True), (1.0, after, 0.0, False), (1.0, after, 1e-15, True), (1e-7, -1e-7, 1e-6, True), (1.0, -1.0, 0.0, False), (5e-324, 1e-323, 0.0, False), (5e-324, 1e-323, 1e-323, True),
+        (1.7976931348623157e308, inf, 1e308, False), (inf, inf, 0.0, True), (inf, -inf, 1e308, False), (nan, nan, 0.0, False), (nan, 1.0, 1e308, False), (None, 1.0, 1.0, None),
+    ]
+    rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, a double, b double, eps double")
+    assert [r.v for r in rows.select("i", S.almost_equal(F.col("a"), F.col("b"), F.col("eps")).alias("v")).orderBy("i").collect()] == [c[3] for c in cases]

@@ -33,3 +33,15 @@ KINDS = (
 IMAGE_KINDS = dict.fromkeys(ULTRASOUND, "ultrasound") | {NUCLEAR: "nuclear"} | dict.fromkeys(PROJECTION, "projection")
 SERIES_IMAGES = [RTSTRUCT, SPECTROSCOPY, *MESH]
 SERIES_SOFTCOPIES = [_ROOT + "11.1", *REPORT]
+
+#: Names of what reports and catalogues refer to most; fixed values of the standard. ``uid_name`` takes any longer table.
+NAMES = {
+    "1.2.840.10008.1.1": "Verification SOP Class", "1.2.840.10008.1.2": "Implicit VR Little Endian", "1.2.840.10008.1.2.1": "Explicit VR Little Endian", "1.2.840.10008.1.2.1.99": "Deflated Explicit VR Little Endian",
+    "1.2.840.10008.1.2.2": "Explicit VR Big Endian", "1.2.840.10008.1.2.4.50": "JPEG Baseline (Process 1)", "1.2.840.10008.1.2.4.70": "JPEG Lossless, Non-Hierarchical, First-Order Prediction (Process 14 [Selection Value 1])",
+    "1.2.840.10008.1.2.4.90": "JPEG 2000 Image Compression (Lossless Only)", "1.2.840.10008.1.2.4.91": "JPEG 2000 Image Compression", "1.2.840.10008.1.2.5": "RLE Lossless", "1.2.840.10008.1.3.10": "Media Storage Directory Storage",
+    _ROOT + "1": "Computed Radiography Image Storage", _ROOT + "2": "CT Image Storage", _ROOT + "2.1": "Enhanced CT Image Storage", _ROOT + "3.1": "Ultrasound Multi-frame Image Storage", _ROOT + "4": "MR Image Storage",
+    _ROOT + "4.1": "Enhanced MR Image Storage", _ROOT + "4.2": "MR Spectroscopy Storage", _ROOT + "6.1": "Ultrasound Image Storage", _ROOT + "7": "Secondary Capture Image Storage", _ROOT + "11.1": "Grayscale Softcopy Presentation State Storage",
+    _ROOT + "11.2": "Color Softcopy Presentation State Storage", _ROOT + "20": "Nuclear Medicine Image Storage", _ROOT + "66.4": "Segmentation Storage", _ROOT + "88.11": "Basic Text SR Storage", _ROOT + "88.22": "Enhanced SR Storage",
+    _ROOT + "88.33": "Comprehensive SR Storage", _ROOT + "88.59": "Key Object Selection Document Storage", _ROOT + "104.1": "Encapsulated PDF Storage", _ROOT + "128": "Positron Emission Tomography Image Storage",
+    _ROOT + "130": "Enhanced PET Image Storage", _ROOT + "481.1": "RT Image Storage", _ROOT + "481.2": "RT Dose Storage", _ROOT + "481.3": "RT Structure Set Storage", _ROOT + "481.5": "RT Plan Storage",
+}

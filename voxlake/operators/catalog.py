@@ -109,6 +109,16 @@ def image_info(elements: DataFrame) -> DataFrame:
     return scan.select("file_id", *[F.col(f"`{tag}`").alias(name) for name, tag in IMAGE_INFO.items()])
 
 
+def uid_name(rows: DataFrame, column: str, names: DataFrame | None = None) -> DataFrame:
+    """Adds ``uid_name``: the name of the class or syntax in ``column``, the UID itself where it has none, '' for null.
+
+    ``names`` has uid and name, one row per UID; by default the names that come with the library.
+    """
+    names = rows.sparkSession.createDataFrame(list(sop_classes.NAMES.items()), "uid string, name string") if names is None else names
+    found = rows.withColumn("_uid", F.trim(F.translate(column, "\x00", ""))).join(names.select(F.col("uid").alias("_uid"), F.col("name").alias("_name")), "_uid", "left")
+    return found.withColumn("uid_name", F.coalesce(F.nullif(F.trim("_name"), F.lit("")), F.col("_uid"), F.lit(""))).select(*rows.columns, "uid_name")
+
+
 def files_in_series(files: DataFrame, asked: DataFrame) -> DataFrame:
     """Files of the series of the asked files, in the same directory; both have ``dir`` and ``series_uid``."""
     key = lambda df: df.withColumn("series_key", F.trim("series_uid"))
@@ -204,14 +214,19 @@ def effective_vr(elements: DataFrame, public: DataFrame, private: DataFrame) ->
 
 
 def series_index(instances: DataFrame) -> DataFrame:
-    """One row per directory and series: attributes of the first file by name, the sorted files and their count.
+    """One row per directory and series: attributes of the first file by name, the sorted files, their count and the series' flags.
 
-    The same series in two directories gives two rows; files without a series give one row each.
+    The same series in two directories gives two rows; files without a series give one row each. ``is_image`` and
+    ``is_softcopy`` are there where the instances have what ``series_flags`` reads; files count in the order of names.
     """
     key = F.coalesce("series_uid", F.concat(F.lit("file "), F.col("file_id").cast("string")))
     first = F.struct("name", "file_id")
     attributes = [c for c in ("patient_id", "study_uid", "modality", "acq_date") if c in instances.columns]
-    return instances.withColumn("series_key", key).groupBy("dir", "series_key").agg(F.first("series_uid").alias("series_uid"), *[F.min_by(c, first).alias(c) for c in attributes], F.min("name").alias("first_name"), F.count("*").alias("n_files"), F.array_sort(F.collect_list("name")).alias("files")).drop("series_key")
+    keyed = instances.withColumn("series_key", key)
+    found = keyed.groupBy("dir", "series_key").agg(F.first("series_uid").alias("series_uid"), *[F.min_by(c, first).alias(c) for c in attributes], F.min("name").alias("first_name"), F.count("*").alias("n_files"), F.array_sort(F.collect_list("name")).alias("files"))
+    if {"rows", "cols", "bits_allocated", "pixel_repr", "sop_class"} <= set(instances.columns):
+        found = found.join(series_flags(keyed.withColumn("file_order", first), ["dir", "series_key"]), ["dir", "series_key"])
+    return found.drop("series_key")
 
 
 def mixed_series_split(instances: DataFrame, keys: list[str] = ("dir", "series_uid"), tolerance: float = 1e-4) -> DataFrame:

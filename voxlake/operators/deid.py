@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxlake.functions.scalars import clean, let, tag_flags
-from voxlake.sources.shared import checkpointed
+from voxlake.sources.shared import checkpointed, numbered
 
 #: Dates and times that stay: context group and template versions and product expiration.
 KEPT_DATES = ["00080106", "00080107", "0040DB06", "0040DB07", "0044000B"]
@@ -349,7 +349,7 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
         rows = shift_dates(rows, *options["offset"])
     rows = pseudonymised(rows, elements, salt, uid_tags, id_tags, preserve_uids=bool(options.get("keep_uids")))
     rows = single_identity(rows, options.get("name", ""), options.get("id", ""))
-    return stamp_profile(remove_group_length(rows), options.get("text", "de-identified"), options | {"shift_dates": bool(options.get("offset"))}, files)
+    return stamp_profile(remove_group_length(rows), options.get("text", "de-identified"), options | {"shift_dates": bool(options.get("offset")), "remove_graphics": options.get("remove_graphics", True), "remove_descriptions": not options.get("keep_descriptions")}, files)
 
 
 def deid_report(files: DataFrame) -> DataFrame:
@@ -363,12 +363,10 @@ def number_outputs(files: DataFrame) -> DataFrame:
 
     File numbers have 4 digits up to 9999 files of a directory, 8 up to 99,999,999, else 10; directory numbers 8 or 10.
     """
-    per_dir = files.groupBy("dir").agg(F.count("*").alias("n"))
-    order = Window.orderBy("dir")
-    every = Window.partitionBy()
-    numbered = per_dir.select("dir", "n", F.row_number().over(order).alias("d"), F.count("*").over(every).alias("dirs"))
+    per_dir = numbered(files.groupBy("dir").agg(F.count("*").alias("n")), ["dir"], "d")
+    dirs = per_dir.count()
     width = F.when(F.col("n") <= 9999, 4).when(F.col("n") <= 99_999_999, 8).otherwise(10)
-    rows = files.withColumn("k", F.row_number().over(Window.partitionBy("dir").orderBy("name", "file_id"))).join(numbered, "dir")
-    dir_width = F.when(F.col("dirs") <= 99_999_999, 8).otherwise(10)
+    rows = files.withColumn("k", F.row_number().over(Window.partitionBy("dir").orderBy("name", "file_id"))).join(per_dir, "dir")
+    dir_width = F.lit(8 if dirs <= 99_999_999 else 10)
     pad = lambda value, w: F.lpad(value.cast("string"), w, F.lit("0"))
     return rows.select("file_id", pad(F.col("d"), dir_width).alias("out_dir"), F.concat(pad(F.col("k"), width), F.lit(".dcm")).alias("out_name"))

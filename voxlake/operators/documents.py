@@ -77,6 +77,22 @@ def sr_references(elements: DataFrame, instances: DataFrame) -> DataFrame:
     return resolve_uids(placed, instances).select("file_id", "chapter", "ref_class", "ref_uid", parse_is(F.col("frames")).alias("frames"), "found_file")
 
 
+def sr_evidence(elements: DataFrame, instances: DataFrame) -> DataFrame:
+    """Evidence of key objects and reports: ``study_uid``, ``series_uid``, ``ref_class``, ``ref_uid`` and ``found_file`` of each listed instance.
+
+    Read from the sequences of current (0040,A375) and other (0040,A385) evidence: studies hold series, series instances.
+    """
+    at = lambda i: F.get("path", F.lit(i))
+    rows = elements.filter(at(0)["tag"].isin("0040A375", "0040A385")).withColumn("list", at(0)["tag"]).withColumn("study", at(0)["item"]).withColumn("series", at(1)["item"])
+    pick = lambda tag, name: F.max(F.when(F.col("tag") == tag, F.trim("value"))).alias(name)
+    key = ["file_id", "list", "study"]
+    studies = rows.filter((F.size("path") == 1) & (F.col("tag") == "0020000D")).groupBy(*key).agg(pick("0020000D", "study_uid"))
+    series = rows.filter((F.size("path") == 2) & (at(1)["tag"] == "00081115") & (F.col("tag") == "0020000E")).groupBy(*key, "series").agg(pick("0020000E", "series_uid"))
+    refs = rows.filter((F.size("path") == 3) & (at(1)["tag"] == "00081115") & (at(2)["tag"] == "00081199")).groupBy(*key, "series", at(2)["item"].alias("item")).agg(pick("00081150", "ref_class"), pick("00081155", "ref_uid"))
+    placed = refs.join(studies, key, "left").join(series, [*key, "series"], "left").join(instances.select("file_id", "dir").distinct(), "file_id", "left").withColumn("dir", F.coalesce("dir", F.lit("")))
+    return resolve_uids(placed, instances).select("file_id", "study_uid", "series_uid", "ref_class", "ref_uid", "found_file")
+
+
 def sr_coordinates(elements: DataFrame) -> DataFrame:
     """Points of SCOORD (2-D) and SCOORD3D items and numbers of TCOORD: ``chapter``, ``graphic_type``, ``point_no``, ``x``, ``y``, ``z``."""
     rows = _content(elements).groupBy("file_id", "chapter").agg(_own("0040A040", "value_type"), _own("00700023", "graphic_type"), _own("00700022", "data"), _own("0040A130", "range_type"), _own("0040A132", "samples"), _own("0040A138", "offsets"))
@@ -98,6 +114,42 @@ def pr_annotations(elements: DataFrame) -> DataFrame:
     return found.join(layer, ["file_id", "item"], "left").select("file_id", "item", "kind", "object", "layer", "graphic_type", "text", parse_ds(F.col("data")).alias("data"))
 
 
+def _items(elements: DataFrame, sequence: str, *columns: Column) -> DataFrame:
+    rows = elements.filter((F.size("path") == 1) & (F.col("path")[0]["tag"] == sequence))
+    return rows.groupBy("file_id", F.col("path")[0]["item"].alias("item")).agg(*columns)
+
+
+def _pick(tag: str, name: str) -> Column:
+    return F.max(F.when(F.col("tag") == tag, F.trim("value"))).alias(name)
+
+
+def pr_areas(elements: DataFrame) -> DataFrame:
+    """Displayed areas of presentation states: ``item``, ``x0``, ``y0``, ``x1``, ``y1``, ``size_mode``, ``pixel_spacing`` and ``magnification``."""
+    found = _items(elements, "0070005A", _pick("00700052", "low"), _pick("00700053", "high"), _pick("00700100", "size_mode"), _pick("00700101", "spacing"), _pick("00700103", "magnification"))
+    low, high = parse_is(F.col("low")), parse_is(F.col("high"))
+    return found.select("file_id", "item", *[F.get(v, F.lit(i)).alias(f"{c}{k}") for k, v in ((0, low), (1, high)) for i, c in enumerate("xy")], "size_mode", parse_ds(F.col("spacing")).alias("pixel_spacing"), F.get(parse_ds(F.col("magnification")), F.lit(0)).alias("magnification"))
+
+
+def pr_layers(elements: DataFrame) -> DataFrame:
+    """Graphic layers of presentation states: ``item``, ``layer``, ``layer_order`` and ``description``."""
+    return _items(elements, "00700060", _pick("00700002", "layer"), _pick("00700062", "layer_order").try_cast("int").alias("layer_order"), _pick("00700068", "description"))
+
+
+def pr_shutters(elements: DataFrame) -> DataFrame:
+    """Display shutters of files that have one: ``shape`` and what belongs to it.
+
+    ``left``, ``right``, ``upper``, ``lower`` only if all four are there; ``center`` (row, column) only as a pair with
+    ``radius``; ``vertices`` from two numbers on; ``gray`` and the three numbers of ``lab``, else null.
+    """
+    tags = {"shape": "00181600", "left": "00181602", "right": "00181604", "upper": "00181606", "lower": "00181608", "center": "00181610", "radius": "00181612", "vertices": "00181620", "gray": "00181622", "lab": "00181624"}
+    rows = elements.filter((F.size("path") == 0) & F.col("tag").isin(list(tags.values()))).groupBy("file_id").agg(*[_pick(tag, name) for name, tag in tags.items()]).filter("shape is not null")
+    one = {name: F.get(parse_is(F.col(name)), F.lit(0)) for name in ("left", "right", "upper", "lower", "radius", "gray")}
+    edges = one["left"].isNotNull() & one["right"].isNotNull() & one["upper"].isNotNull() & one["lower"].isNotNull()
+    center, vertices, lab = parse_is(F.col("center")), parse_is(F.col("vertices")), parse_is(F.col("lab"))
+    round_ = (F.size(center) == 2) & one["radius"].isNotNull()
+    return rows.select("file_id", F.translate("shape", "\x00", "").alias("shape"), *[F.when(edges, one[name]).alias(name) for name in ("left", "right", "upper", "lower")], F.when(round_, center).alias("center"), F.when(round_, one["radius"]).alias("radius"), F.when(F.size(vertices) > 1, vertices).alias("vertices"), one["gray"].alias("gray"), F.when(F.size(lab) == 3, lab).alias("lab"))
+
+
 def pr_references(elements: DataFrame, instances: DataFrame) -> DataFrame:
     """Images that a presentation state refers to: ``file_id``, ``series_uid``, ``ref_uid``, ``frames``, ``found_file``; unresolved ones are dropped."""
     rows = elements.filter(F.get("path", F.lit(0))["tag"] == "00081115")

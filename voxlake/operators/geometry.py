@@ -175,3 +175,9 @@ def volume_extent(volumes: DataFrame, keys: list[str]) -> DataFrame:
     """
     most = F.greatest(*[F.col("dims")[i] * F.col("spacing")[i] for i in range(3)])
     return volumes.groupBy(*keys).agg(F.max(most).alias("m")).select(*keys, F.when(F.col("m") > 0, F.col("m")).otherwise(1000.0).alias("extent"))
+
+
+def contour_extent(points: DataFrame, keys: list[str], roi: str = "roi_id") -> DataFrame:
+    """Largest size of an axis over the ROIs of each group of contours; 1000 if it isn't positive. Points have x, y, z."""
+    sizes = points.groupBy(*keys, roi).agg(F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("size"))
+    return sizes.groupBy(*keys).agg(F.max("size").alias("m")).select(*keys, F.when(F.col("m") > 0, F.col("m")).otherwise(1000.0).alias("extent"))

@@ -16,15 +16,16 @@ POINTERS = {
     ("0020930E", "00209301"): "PLANE", ("00189807", "00189808"): "DTYPE", ("00189226", "00089007"): "FTYPE", ("00189114", "00189082"): "ECHO",
     ("", "00189807"): "PADTYPE", ("", "00189825"): "PAWAVE", ("00189825", "00189826"): "PAWAVE", ("", "00189821"): "PAWAVE", ("00189821", "00189826"): "PAWAVE", ("", "0018993D"): "RECALG",
 }
-#: (id, number of pointers, names for dimensions 6, 5, 4, 3 with '' for none, required positions); the first that fits counts.
+#: (number of pointers, names for dimensions 6, 5, 4, 3 with '' for none, required positions); the first that fits counts.
 CHOICES = [
-    (100, 3, ("", "DTYPE", "TOFF", "PLANE"), ""), (101, 3, ("", "DTYPE", "TPOS", "PLANE"), ""), (102, 2, ("", "", "DTYPE", "PLANE"), "PLANE,DTYPE"),
-    (103, 4, ("CONTRAST", "TPOS", "STACK", "INSTACK"), ""), (104, 4, ("CONTRAST", "TOFF", "STACK", "INSTACK"), ""), (105, 3, ("", "CONTRAST", "STACK", "INSTACK"), "INSTACK,STACK,CONTRAST"),
-    (106, 2, ("", "", "CONTRAST", "INSTACK"), "CONTRAST,INSTACK"), (107, 4, ("FTYPE", "TPOS", "STACK", "INSTACK"), ""), (108, 4, ("FTYPE", "TOFF", "STACK", "INSTACK"), ""),
-    (109, 3, ("", "FTYPE", "STACK", "INSTACK"), ""), (110, 4, ("ECHO", "TPOS", "STACK", "INSTACK"), ""), (111, 4, ("ECHO", "TOFF", "STACK", "INSTACK"), ""),
-    (112, 3, ("", "ECHO", "STACK", "INSTACK"), ""), (113, 4, ("BVAL", "GRAD", "STACK", "INSTACK"), ""), (114, 3, ("", "BVAL", "GRAD", "INSTACK"), ""),
-    (115, 3, ("", "GRAD", "STACK", "INSTACK"), ""), (116, 3, ("", "BVAL", "STACK", "INSTACK"), ""), (117, 4, ("LUT", "TPOS", "STACK", "INSTACK"), "TPOS,STACK,INSTACK,LUT"),
-    (118, 3, ("", "LUT", "TPOS", "INSTACK"), "TPOS,INSTACK,LUT"), (119, 3, ("", "PADTYPE", "TPOS", "PLANE"), ""), (120, 4, ("PAWAVE", "PADTYPE", "TPOS", "PLANE"), ""), (121, 4, ("RECALG", "PADTYPE", "TPOS", "PLANE"), ""),
+    (3, ("", "DTYPE", "TOFF", "PLANE"), ""), (3, ("", "DTYPE", "TPOS", "PLANE"), ""), (2, ("", "", "DTYPE", "PLANE"), "PLANE,DTYPE"),
+    (4, ("CONTRAST", "TPOS", "STACK", "INSTACK"), ""), (4, ("CONTRAST", "TOFF", "STACK", "INSTACK"), ""), (3, ("", "CONTRAST", "STACK", "INSTACK"), "INSTACK,STACK,CONTRAST"),
+    (2, ("", "", "CONTRAST", "INSTACK"), "CONTRAST,INSTACK"), (4, ("FTYPE", "TPOS", "STACK", "INSTACK"), ""), (4, ("FTYPE", "TOFF", "STACK", "INSTACK"), ""),
+    (3, ("", "FTYPE", "STACK", "INSTACK"), ""), (4, ("ECHO", "TPOS", "STACK", "INSTACK"), ""), (4, ("ECHO", "TOFF", "STACK", "INSTACK"), ""),
+    (3, ("", "ECHO", "STACK", "INSTACK"), ""), (4, ("BVAL", "GRAD", "STACK", "INSTACK"), ""), (3, ("", "BVAL", "GRAD", "INSTACK"), ""),
+    (3, ("", "GRAD", "STACK", "INSTACK"), ""), (3, ("", "BVAL", "STACK", "INSTACK"), ""), (4, ("LUT", "TPOS", "STACK", "INSTACK"), "TPOS,STACK,INSTACK,LUT"),
+    (3, ("", "LUT", "TPOS", "INSTACK"), "TPOS,INSTACK,LUT"), (3, ("", "PADTYPE", "TPOS", "PLANE"), ""), (4, ("PAWAVE", "PADTYPE", "TPOS", "PLANE"), ""),
+    (4, ("RECALG", "PADTYPE", "TPOS", "PLANE"), ""),
 ]
 
 
@@ -91,7 +92,7 @@ def rescale_fallback(frames: DataFrame, top: DataFrame) -> DataFrame:
 def choose_dims(index: DataFrame, strict: bool = False) -> DataFrame:
     """``file_id``, ``choice`` and ``dims``: the positions (in the full list) that serve as dimensions 3, 4, 5, ... in this order.
 
-    Of a file's organisations the first UID counts, with six pointers at most. Known combinations have their own
+    ``choice`` names what they are, or is 'from the last'. Of a file's organisations the first UID counts, with six pointers at most. Known combinations have their own
     order; else the last pointer is dimension 3, the one before it 4, and so on. ``strict`` skips the combinations.
     """
     name = F.element_at(F.create_map(*[x for (g, i), n in POINTERS.items() for x in (F.lit(f"{g} {i}"), F.lit(n))]), F.concat_ws(" ", F.upper(F.coalesce("group_pointer", F.lit(""))), F.upper("index_pointer")))
@@ -101,24 +102,24 @@ def choose_dims(index: DataFrame, strict: bool = False) -> DataFrame:
     names, places = F.col("p.name"), F.col("p.position")
     at = lambda n: F.element_at(places, F.array_position(names, n).cast("int"))
     fits, dims = [], []
-    for number, n, wanted, order in CHOICES:
+    for n, wanted, order in CHOICES:
         chosen = [x for x in reversed(wanted) if x]
         test = F.size("p") == n
         for x in chosen:
             test = test & F.array_contains(names, x)
         if order:
             test = test & (names == F.array(*map(F.lit, order.split(","))))
-        fits.append((number, test))
+        fits.append((",".join(chosen), test))
         dims.append(F.array(*[at(x) for x in chosen]))
     other = F.filter("p", lambda x: ~x["name"].isin("STACK", "INSTACK", "TPOS", "TOFF"))
     has = lambda *xs: F.array_contains(names, xs[0]) if len(xs) == 1 else F.array_contains(names, xs[0]) & has(*xs[1:])
-    for number, n, extra in ((200, 3, ()), (201, 4, ("TPOS",)), (202, 4, ("TOFF",))):
-        fits.append((number, (F.size("p") == n) & has("STACK", "INSTACK", *extra) & (F.size(other) == 1)))
+    for n, extra in ((3, ()), (4, ("TPOS",)), (4, ("TOFF",))):
+        fits.append((",".join(["INSTACK", "STACK", *extra, "OTHER"]), (F.size("p") == n) & has("STACK", "INSTACK", *extra) & (F.size(other) == 1)))
         dims.append(F.array(at("INSTACK"), at("STACK"), *[at(x) for x in extra], F.get(other, F.lit(0))["position"]))
-    choice, value = F.size("p"), F.reverse(places)
+    choice, value = F.lit("from the last"), F.reverse(places)
     if not strict:
-        for (number, test), dim in reversed(list(zip(fits, dims, strict=True))):
-            choice, value = F.when(test, number).otherwise(choice), F.when(test, dim).otherwise(value)
+        for (name, test), dim in reversed(list(zip(fits, dims, strict=True))):
+            choice, value = F.when(test, F.lit(name)).otherwise(choice), F.when(test, dim).otherwise(value)
     return lists.select("file_id", choice.alias("choice"), value.alias("dims"))
 
 

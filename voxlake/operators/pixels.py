@@ -46,28 +46,56 @@ def apply_window(frames: DataFrame, black_above: bool = False) -> DataFrame:
     return frames.withColumn("pixels", F.transform("pixels", lambda v: window_value(v.cast("double"), F.col("window_center"), F.col("window_width"), F.col("lut_function"), black_above)))
 
 
-def apply_lut(frames: DataFrame, first_mapped: Column, bits: Column, data: Column) -> DataFrame:
-    """Pixels through a lookup table: truncated, shifted only if the first mapped value is negative, clamped to both ends.
+def table_values(pixels: str, lut: Column) -> Column:
+    """Pixels through a lookup table (struct of first_mapped, bits, data): truncated, shifted only if the first mapped value is negative, clamped to both ends.
 
     Tables of more than 16 bits are refused: the pixels become null.
     """
+    first_mapped, data = lut["first_mapped"], lut["data"]
     shift = F.when(first_mapped < 0, first_mapped).otherwise(0)
 
     def mapped(v: Column) -> Column:
         whole = F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("int")
         return F.get(data, F.greatest(F.lit(0), F.least(F.size(data) - 1, (whole - shift).cast("int"))))
 
-    return frames.withColumn("pixels", F.when(bits <= 16, F.transform("pixels", mapped)))
+    return F.when(lut["bits"] <= 16, F.transform(pixels, mapped))
+
+
+def apply_lut(frames: DataFrame, first_mapped: Column, bits: Column, data: Column) -> DataFrame:
+    """Each frame's pixels through its lookup table, as ``table_values`` gives them."""
+    return frames.withColumn("pixels", table_values("pixels", F.struct(first_mapped.alias("first_mapped"), bits.alias("bits"), data.alias("data"))))
+
+
+def modality_lut(frames: DataFrame, lut: Column | None = None) -> DataFrame:
+    """The first step: slope and intercept where a frame has both, else its table (struct of first_mapped, bits, data), else nothing."""
+    if lut is None:
+        return rescale(frames)
+    scaled = F.col("rescale_slope").isNotNull() & F.col("rescale_intercept").isNotNull()
+    rows = frames.withColumn("_lut", F.when(~scaled, lut)).withColumn("_raw", F.col("pixels"))
+    found = F.when(F.col("_lut").isNotNull(), table_values("_raw", F.col("_lut")).cast("array<double>")).otherwise(F.col("pixels"))
+    return rescale(rows).withColumn("pixels", found).drop("_lut", "_raw")
 
 
-def presentation_lut(frames: DataFrame, shape: Column) -> DataFrame:
-    """The last step over 0 to 255: INVERSE turns values around, IDENTITY keeps them."""
-    return frames.withColumn("pixels", F.when(shape == "INVERSE", F.transform("pixels", lambda v: 255 - v)).otherwise(F.col("pixels")))
+def presentation_lut(frames: DataFrame, shape: Column, top: Column | None = None, lut: Column | None = None) -> DataFrame:
+    """The last step: a table where there is one, else the shape: INVERSE turns values around below ``top`` (255), IDENTITY keeps them."""
+    top = F.lit(255) if top is None else top
+    turned = F.when(shape == "INVERSE", F.transform("pixels", lambda v: top - v)).otherwise(F.col("pixels"))
+    return frames.withColumn("pixels", turned if lut is None else F.when(lut.isNotNull(), table_values("pixels", lut)).otherwise(turned))
 
 
-def grayscale_pipeline(frames: DataFrame, shape: Column) -> DataFrame:
-    """Modality rescale, then the window, then the presentation shape."""
-    return presentation_lut(apply_window(rescale(frames)), shape)
+def grayscale_pipeline(frames: DataFrame, shape: Column, modality: Column | None = None, voi: Column | None = None, presentation: Column | None = None) -> DataFrame:
+    """Modality, values of interest, presentation: each step by the frame's table where it has one (null: it has none).
+
+    Without tables: rescale, the window, the shape. Tables are structs of first_mapped, bits and data. After a table
+    of interest values reach up to its bits, after a window up to 255; INVERSE turns around within that.
+    """
+    rows = modality_lut(frames, modality)
+    if voi is None:
+        return presentation_lut(apply_window(rows), shape, lut=presentation)
+    windowed = apply_window(rows.withColumn("_voi", voi).withColumn("_raw", F.col("pixels")))
+    rows = windowed.withColumn("pixels", F.when(F.col("_voi").isNotNull(), table_values("_raw", F.col("_voi"))).otherwise(F.col("pixels")))
+    top = F.when(F.col("_voi").isNotNull(), (F.pow(F.lit(2.0), F.col("_voi.bits")) - 1).cast("int")).otherwise(255)
+    return presentation_lut(rows, shape, top, presentation).drop("_voi", "_raw")
 
 
 def pixel_minmax(frames: DataFrame, keys: list[str], max_window: bool = False) -> DataFrame:

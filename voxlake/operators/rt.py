@@ -87,9 +87,15 @@ def map_contours_uniform(points: DataFrame, slices: DataFrame, keys: list[str] =
 
 def map_contours_nonuniform(points: DataFrame, slices: DataFrame, keys: list[str] = ("roi_id", "contour_id"), most: float = 0.1) -> DataFrame:
     """``keys`` and ``slice_no`` of contours all of whose points are nearer than ``most`` to one slice's plane, and one alone."""
-    planes = slices.select("volume_id", "slice_no", F.col("ipp").alias("_p0"), "iop")
-    near = distance_to_plane([F.col(c) for c in "xyz"], components(F.col("_p0")), normal(F.col("iop"))) < most
-    fits = points.join(planes, "volume_id").groupBy("volume_id", *keys, "slice_no").agg(F.bool_and(near).alias("fits")).filter("fits")
+    # each contour first shrinks to its reach along every orientation of the volume; then reaches meet planes by steps of ``most``
+    step = 2 * most
+    ways = slices.groupBy("volume_id", F.array(*normal(F.col("iop"))).alias("n")).agg(F.count("*").alias("planes")).drop("planes")
+    along = lambda p: dot([F.col("n")[i] for i in range(3)], p)
+    spans = points.join(ways, "volume_id").groupBy("volume_id", *keys, "n").agg(F.min(along([F.col(c) for c in "xyz"])).alias("low"), F.max(along([F.col(c) for c in "xyz"])).alias("high"))
+    planes = slices.select("volume_id", "slice_no", F.array(*normal(F.col("iop"))).alias("n"), "ipp").withColumn("at", along(components(F.col("ipp"))))
+    planes = planes.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at") / step) - 1, F.floor(F.col("at") / step) + 1)))
+    thin = spans.filter(F.col("high") - F.col("low") < step).withColumn("bucket", F.floor(F.col("low") / step))
+    fits = thin.join(planes.select("volume_id", "n", "bucket", "slice_no", "at"), ["volume_id", "n", "bucket"]).filter((F.abs(F.col("low") - F.col("at")) < most) & (F.abs(F.col("high") - F.col("at")) < most))
     return fits.groupBy("volume_id", *keys).agg(F.count("*").alias("n"), F.min("slice_no").alias("slice_no")).filter("n = 1").drop("n")
 
 

@@ -111,9 +111,14 @@ def j6_effective_vr(spark, sf_dir):
     return C.effective_vr(rows, public, private).select("file_id", "tag", "vr_used", "value")
 
 
-@query("""SELECT dir, series_uid, min(patient_id) AS patient_id, min(study_uid) AS study_uid, min(name) AS first_name, count(*) AS n_files, string_agg(name, ',' ORDER BY name) AS files FROM fx_instances GROUP BY dir, series_uid""")
+@query(f"""WITH f AS (SELECT i.*, r, sop, row_number() OVER (PARTITION BY i.dir, i.series_uid ORDER BY i.name, i.file_id) AS n FROM fx_instances i JOIN ({_FLAG_ROWS}) x ON x.file_id = i.file_id),
+g AS (SELECT dir, series_uid, min(patient_id) AS patient_id, min(study_uid) AS study_uid, min(name) AS first_name, count(*) AS n_files, string_agg(name, ',' ORDER BY name) AS files, bool_or(n = 1 AND r IS NOT NULL) AS i0, bool_or(n = 1 AND sop = '{sop_classes.REPORT[0]}') AS s0,
+ min(CASE WHEN n > 1 AND r IS NOT NULL THEN n END) AS i, min(CASE WHEN n > 1 AND r IS NULL AND sop = '{list(sop_classes.PRESENTATION)[1]}' THEN n END) AS s FROM f GROUP BY dir, series_uid)
+SELECT dir, series_uid, patient_id, study_uid, first_name, n_files, files, i0 OR coalesce(i < coalesce(s, 1000000), false) AS is_image, s0 OR (NOT i0 AND coalesce(s < coalesce(i, 1000000), false)) AS is_softcopy FROM g""")
 def a1_series_index(spark, sf_dir):
-    return C.series_index(instances(spark, sf_dir)).select("dir", "series_uid", "patient_id", "study_uid", "first_name", "n_files", F.concat_ws(",", "files").alias("files"))
+    rows = instances(spark, sf_dir).withColumn("rows", F.expr("CASE WHEN instance_number % 3 = 1 THEN NULL ELSE rows_ END")).withColumn("pixel_repr", F.lit(0))
+    rows = rows.withColumn("sop_class", F.expr(f"CASE WHEN instance_number % 2 = 1 THEN '{sop_classes.REPORT[0]}' WHEN instance_number = 2 THEN '{list(sop_classes.PRESENTATION)[1]}' ELSE '1.2.3' END"))
+    return C.series_index(rows).select("dir", "series_uid", "patient_id", "study_uid", "first_name", "n_files", F.concat_ws(",", "files").alias("files"), "is_image", "is_softcopy")
 
 
 @query("""SELECT file_id, max(CASE WHEN d THEN 1 ELSE 0 END) OVER (PARTITION BY dir, series_uid) = 1 AS is_mixed FROM (SELECT *, coalesce(rows_ <> lag(rows_) OVER (PARTITION BY dir, series_uid ORDER BY file_id), false) AS d FROM fx_instances)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxlake.operators import deid as D
+from voxlake.operators.documents import path_text
 from voxlake.plans.registry import query
 from voxlake.sources.fixtures import elements, fixture
 
@@ -49,12 +50,13 @@ def d6_remove_tags(spark, sf_dir):
     return D.empty_tags(D.remove_tags(elements(spark, sf_dir), ["0020000D", "00081140"]), ["00080022"]).select("file_id", "tag", "value")
 
 
-@query("SELECT tag, count(*) AS n FROM fx_elements WHERE tag <> '00091001' GROUP BY tag")
+@query("SELECT file_id, path AS path_text, tag, value FROM fx_elements WHERE tag <> '00091001' UNION ALL SELECT file_id, '', CASE WHEN file_id % 6 = 4 THEN '00280002' ELSE '00700002' END, value FROM fx_elements WHERE tag = '00080018' AND file_id % 6 IN (4, 5)")
 def d7_remove_groups(spark, sf_dir):
     rows = elements(spark, sf_dir)
-    extra = rows.filter("tag = '00080018'").withColumn("tag", F.element_at(F.array(*map(F.lit, ("60023000", "50000010", "00700001", "00080000"))), (F.col("file_id") % 4 + 1).cast("int")))
+    tags = ("60023000", "50000010", "00700001", "00080000", "00280002", "00700002")
+    extra = rows.filter("tag = '00080018'").withColumn("tag", F.element_at(F.array(*map(F.lit, tags)), (F.col("file_id") % 6 + 1).cast("int")))
     cleaned = D.remove_group_length(D.remove_curves(D.remove_overlays(D.remove_private(rows.unionByName(extra)))))
-    return cleaned.groupBy("tag").agg(F.count("*").alias("n"))
+    return cleaned.select("file_id", path_text(F.col("path")).alias("path_text"), "tag", "value")
 
 
 @query("SELECT file_id, file_id % 2 = 0 AND file_id % 24 = 0 AS early FROM fx_instances")
@@ -74,16 +76,21 @@ def d9_shift_dates(spark, sf_dir):
     return moved.groupBy("file_id").agg(F.max(F.when(F.col("vr") == "DA", F.col("value"))).alias("moved_date"), F.max(F.when(F.col("vr") == "TM", F.col("value"))).alias("moved_time"))
 
 
-@query("SELECT tag, value, count(*) AS n FROM (SELECT DISTINCT file_id FROM fx_elements) CROSS JOIN (VALUES ('00120062', 'YES'), ('00120063', 'cleaned'), ('00120064', ''), ('00080100', '113100'), ('00080100', '113104'), ('00080100', '113107'), ('00080102', 'DCM'), ('00080102', 'DCM'), ('00080102', 'DCM')) v(tag, value) GROUP BY tag, value")
+_STAMP = """(VALUES ('', '00120062', 'CS', 'YES'), ('', '00120063', 'LO', '{0}'), ('', '00120064', 'SQ', ''), ('00120064[1]', '00080100', 'SH', '113100'), ('00120064[1]', '00080102', 'SH', 'DCM'),
+ ('00120064[2]', '00080100', 'SH', '113104'), ('00120064[2]', '00080102', 'SH', 'DCM'), ('00120064[3]', '00080100', 'SH', '113107'), ('00120064[3]', '00080102', 'SH', 'DCM')) v(path, tag, vr, value)"""
+
+
+@query(f"SELECT file_id, path AS path_text, tag, vr, value FROM fx_elements UNION ALL SELECT f.file_id, v.path, v.tag, v.vr, v.value FROM (SELECT DISTINCT file_id FROM fx_elements) f CROSS JOIN {_STAMP.format('cleaned')}")
 def d10_stamp_profile(spark, sf_dir):
     stamped = D.stamp_profile(elements(spark, sf_dir), "cleaned", {"shift_dates": True, "remove_graphics": True, "remove_descriptions": True})
-    return stamped.filter("tag in ('00120062', '00120063', '00120064', '00080100', '00080102')").groupBy("tag", "value").agg(F.count("*").alias("n"))
+    return stamped.select("file_id", path_text(F.col("path")).alias("path_text"), "tag", "vr", "value")
 
 
-@query(f"""SELECT file_id, tag, CASE WHEN tag = '00080022' THEN strftime(CAST(strptime(value, '%Y%m%d') AS DATE) - INTERVAL 1 YEAR - INTERVAL 1 MONTH - INTERVAL 2 DAY, '%Y%m%d') ELSE {_MAPPED} END AS value FROM fx_elements WHERE tag <> '00091001'""")
+@query(f"""SELECT file_id, path AS path_text, tag, CASE WHEN tag = '00080022' THEN strftime(CAST(strptime(value, '%Y%m%d') AS DATE) - INTERVAL 1 YEAR - INTERVAL 1 MONTH - INTERVAL 2 DAY, '%Y%m%d') ELSE {_MAPPED} END AS value FROM fx_elements WHERE tag <> '00091001'
+UNION ALL SELECT f.file_id, v.path, v.tag, v.value FROM (SELECT DISTINCT file_id FROM fx_elements) f CROSS JOIN {_STAMP.format('de-identified')}""")
 def d11_deidentify(spark, sf_dir):
     out = D.deidentify(elements(spark, sf_dir), options={"offset": (1, 1, 2, 100)}, salt="s")
-    return out.filter("tag not in ('00120062', '00120063', '00120064', '00080100', '00080102')").select("file_id", "tag", "value")
+    return out.select("file_id", path_text(F.col("path")).alias("path_text"), "tag", "value")
 
 
 @query("SELECT count(DISTINCT patient_id) AS n_patients, count(DISTINCT patient_id) > 1 AS refused FROM fx_instances")

@@ -20,11 +20,16 @@ def t1_flatten_elements(spark, sf_dir):
     return T.flatten_elements(elements(spark, sf_dir), *_dictionaries(spark))
 
 
-@query("""SELECT tag, count(*) FILTER (WHERE file_id % 5 = 0) AS n_bad, count(*) FILTER (WHERE file_id % 5 <> 0 AND tag = '00080022') AS n_other, count(*) FILTER (WHERE tag = '00091001') AS n_private FROM (SELECT *, CASE WHEN tag = '00080022' THEN 'TM' ELSE vr END AS v FROM fx_elements) GROUP BY tag""".replace("file_id % 5 <> 0 AND tag = '00080022'", "tag = '00080022' OR (file_id % 5 = 0 AND tag IN ('00100010', '00080018', '00100020'))"))
+@query("""WITH r AS (SELECT file_id, path, tag, CASE WHEN file_id % 5 = 0 THEN '??' WHEN file_id % 7 = 0 THEN 'UN' WHEN tag = '00080022' THEN 'TM' ELSE vr END AS vr FROM fx_elements
+ UNION ALL SELECT file_id, '', '00080022', 'DA' FROM fx_instances WHERE file_id % 13 = 0 UNION ALL SELECT file_id, '', '00010010', 'LO' FROM fx_instances WHERE file_id % 11 = 0)
+SELECT file_id, path AS path_text, tag, vr = '??' AS bad_vr, vr = 'UN' AS unknown_vr, vr <> 'UN' AND tag IN ('00100010', '00080018', '00080022', '00100020') AND vr <> CASE tag WHEN '00100010' THEN 'PN' WHEN '00080018' THEN 'UI' WHEN '00080022' THEN 'DA' ELSE 'LO' END AS other_vr,
+ tag = '00010010' AS is_illegal, tag IN ('00010010', '00091001') AS is_private, count(*) OVER (PARTITION BY file_id, path, tag) > 1 AS is_duplicate FROM r""")
 def t2_vr_audit(spark, sf_dir):
-    rows = elements(spark, sf_dir).withColumn("vr", F.when(F.col("file_id") % 5 == 0, "??").when(F.col("tag") == "00080022", "TM").otherwise(F.col("vr")))
-    audit = T.vr_audit(rows, *_dictionaries(spark))
-    return audit.groupBy("tag").agg(F.count_if("bad_vr").alias("n_bad"), F.count_if("other_vr").alias("n_other"), F.count_if("is_private").alias("n_private"))
+    rows = elements(spark, sf_dir).withColumn("vr", F.when(F.col("file_id") % 5 == 0, "??").when(F.col("file_id") % 7 == 0, "UN").when(F.col("tag") == "00080022", "TM").otherwise(F.col("vr")))
+    top = F.array().cast("array<struct<tag:string,item:int>>").alias("path")
+    more = fixture(spark, sf_dir, "fx_instances").withColumn("e", F.explode(F.array(F.struct(F.lit(13).alias("k"), F.lit("00080022").alias("tag"), F.lit("DA").alias("vr")), F.struct(F.lit(11).alias("k"), F.lit("00010010").alias("tag"), F.lit("LO").alias("vr"))))).filter("file_id % e.k = 0")
+    audit = T.vr_audit(rows.unionByName(more.select("file_id", top, "e.tag", "e.vr", F.lit("").alias("value"))), *_dictionaries(spark))
+    return audit.withColumn("path_text", T.path_text(F.col("path"))).drop("path")
 
 
 def _report(spark, sf_dir):
@@ -119,3 +124,61 @@ def j16_pr_voi_by_slice(spark, sf_dir):
     slices = found.select("sop_uid", F.explode(F.array(F.lit(1), F.lit(2))).alias("frame_no"))
     voi = found.filter("file_id % 3 < 2").select("sop_uid", F.when(F.col("file_id") % 3 == 1, 2).alias("frame_no"), F.col("instance_number").cast("double").alias("center"))
     return T.pr_voi_by_slice(voi, slices)
+
+
+@query("""SELECT i.file_id, i.study_uid, i.series_uid, '1.2.840' AS ref_class, j.sop_uid AS ref_uid, j.file_id AS found_file FROM fx_instances i JOIN fx_instances j ON i.series_uid = j.series_uid AND i.dir = j.dir WHERE i.instance_number = 1
+UNION ALL SELECT file_id, '9.9', NULL, NULL, '9.9.9', NULL FROM fx_instances WHERE instance_number = 1 AND file_id % 3 = 0""")
+def t5_sr_evidence(spark, sf_dir):
+    """A key object per series that lists the series' instances, some with another study that isn't there."""
+    found = fixture(spark, sf_dir, "fx_instances")
+    step = lambda tag, item: F.struct(F.lit(tag).alias("tag"), item.cast("int").alias("item"))
+    row = lambda path, tag, value: F.struct(F.array(*path).alias("path"), F.lit(tag).alias("tag"), value.alias("value"))
+    one = F.lit(1)
+    study = [step("0040A375", one)]
+    series = [*study, step("00081115", one)]
+    heads = found.filter("instance_number = 1")
+    fixed = F.array(row(study, "0020000D", F.concat("study_uid", F.lit(" "))), row(series, "0020000E", F.col("series_uid")))
+    other = F.when(F.col("file_id") % 3 == 0, F.array(row([step("0040A385", one)], "0020000D", F.lit("9.9")), row([step("0040A385", one), step("00081115", one), step("00081199", one)], "00081155", F.lit("9.9.9"))))
+    listed = heads.select("file_id", F.explode(F.concat(fixed, F.coalesce(other, F.array().cast("array<struct<path:array<struct<tag:string,item:int>>,tag:string,value:string>>")))).alias("e"))
+    members = found.select("dir", "series_uid", "sop_uid", "instance_number").join(heads.select("file_id", "dir", "series_uid"), ["dir", "series_uid"])
+    item = [*series, step("00081199", F.col("instance_number"))]
+    refs = members.select("file_id", F.explode(F.array(row(item, "00081150", F.lit("1.2.840")), row(item, "00081155", F.col("sop_uid")))).alias("e"))
+    return T.sr_evidence(listed.unionByName(refs).select("file_id", "e.*"), found.select("file_id", "sop_uid", "dir", "name"))
+
+
+def _presentation(spark, sf_dir):
+    """Ultrasound regions as displayed areas and layers, an item each, and a shutter for each file."""
+    regions = fixture(spark, sf_dir, "fx_us_regions")
+    step = lambda tag: F.struct(F.lit(tag).alias("tag"), F.col("region_no").cast("int").alias("item"))
+    row = lambda path, tag, value: F.struct(path.alias("path"), F.lit(tag).alias("tag"), value.cast("string").alias("value"))
+    area, layer = F.array(step("0070005A")), F.array(step("00700060"))
+    items = [
+        row(area, "00700052", F.concat_ws("\\", "x0", "y0")), row(area, "00700053", F.concat_ws("\\", "x1", "y1")), row(area, "00700100", F.when(F.col("flags") == 0, "SCALE TO FIT").otherwise("MAGNIFY")), row(area, "00700101", F.concat_ws("\\", "delta_x", "delta_y")),
+        row(area, "00700103", F.when(F.col("flags") == 1, "1.5")), row(layer, "00700002", F.concat(F.lit("L"), F.col("region_no"))), row(layer, "00700062", F.col("x0")), row(layer, "00700068", F.col("unit_x")),
+    ]
+    nested = regions.withColumn("e", F.explode(F.array(*items))).select("file_id", "e.*")
+    top = F.array().cast("array<struct<tag:string,item:int>>")
+    files, kind = regions.select("file_id").distinct(), F.col("file_id") % 4
+    shape = F.when(kind == 0, "RECTANGULAR").when(kind == 1, "CIRCULAR").when(kind == 2, "POLYGONAL\\BITMAP")
+    values = [
+        row(top, "00181600", shape), row(top, "00181602", F.lit(1)), row(top, "00181604", F.lit(9)), row(top, "00181606", F.when(kind == 0, 2)), row(top, "00181608", F.lit(8)), row(top, "00181610", F.when(kind == 1, "4\\5").otherwise("4")), row(top, "00181612", F.lit(3)),
+        row(top, "00181620", F.when(kind == 2, "1\\2\\3\\4\\5\\6")), row(top, "00181622", F.col("file_id")), row(top, "00181624", F.when(kind == 0, "1\\2\\3").otherwise("1\\2")),
+    ]
+    return nested.unionByName(files.withColumn("e", F.explode(F.array(*values))).select("file_id", "e.*"))
+
+
+@query("SELECT file_id, CAST(region_no AS INTEGER) AS item, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, CASE WHEN flags = 0 THEN 'SCALE TO FIT' ELSE 'MAGNIFY' END AS size_mode, delta_x AS spacing_x, CASE WHEN flags = 1 THEN 1.5 END AS magnification FROM fx_us_regions")
+def t7_pr_areas(spark, sf_dir):
+    return T.pr_areas(_presentation(spark, sf_dir)).withColumn("spacing_x", F.get("pixel_spacing", F.lit(0))).drop("pixel_spacing")
+
+
+@query("SELECT file_id, CAST(region_no AS INTEGER) AS item, concat('L', CAST(region_no AS VARCHAR)) AS layer, CAST(x0 AS INTEGER) AS layer_order, unit_x AS description FROM fx_us_regions")
+def t7_pr_layers(spark, sf_dir):
+    return T.pr_layers(_presentation(spark, sf_dir))
+
+
+@query(r"""WITH f AS (SELECT DISTINCT file_id, file_id % 4 AS k FROM fx_us_regions) SELECT file_id, CASE k WHEN 0 THEN 'RECTANGULAR' WHEN 1 THEN 'CIRCULAR' ELSE 'POLYGONAL\BITMAP' END AS shape, CASE WHEN k = 0 THEN 1 END AS "left", CASE WHEN k = 0 THEN 9 END AS "right", CASE WHEN k = 0 THEN 2 END AS upper,
+ CASE WHEN k = 0 THEN 8 END AS lower, CASE WHEN k = 1 THEN '4,5' END AS center, CASE WHEN k = 1 THEN 3 END AS radius, CASE WHEN k = 2 THEN '1,2,3,4,5,6' END AS vertices, CAST(file_id AS INTEGER) AS gray, CASE WHEN k = 0 THEN '1,2,3' END AS lab FROM f WHERE k < 3""")
+def t7_pr_shutters(spark, sf_dir):
+    found = T.pr_shutters(_presentation(spark, sf_dir))
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("center", "vertices", "lab")})

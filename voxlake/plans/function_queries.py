@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalars as S
+from voxlake.operators.catalog import uid_name
 from voxlake.plans.registry import query
-from voxlake.sources.fixtures import elements, fixture, instances
+from voxlake.sources.fixtures import fixture, instances
 
 
 @query(r"SELECT file_id, region_no, CAST(x0 AS DOUBLE) + 0.5 AS v0, delta_x AS v1, CAST(x1 AS DOUBLE) AS v2, CASE WHEN region_no % 3 = 0 THEN NULL ELSE CAST(x0 AS INTEGER) END AS i0 FROM fx_us_regions")
@@ -37,9 +38,21 @@ def f4_format_date(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_instances").select("file_id", S.format_date(F.col("acq_date")).alias("shown"))
 
 
-@query("SELECT tag, tag <> '00091001' AS is_public, tag = '00091001' AS is_private, false AS is_creator, false AS is_group_length, false AS is_illegal, count(*) AS n FROM fx_elements GROUP BY tag")
+_TAG = "CASE WHEN tag = '00080018' THEN CASE CAST(file_id % 6 AS INTEGER) WHEN 0 THEN '00090010' WHEN 1 THEN '00100000' WHEN 2 THEN '00010010' WHEN 3 THEN '00090005' WHEN 4 THEN '60003000' ELSE '000900FF' END ELSE tag END"
+
+
+@query(f"""WITH t AS (SELECT file_id, path, {_TAG} AS tag FROM fx_elements) SELECT file_id, path, tag, substr(tag, 4, 1) NOT IN ('1', '9') AS is_public, substr(tag, 4, 1) IN ('1', '9') AS is_private, tag IN ('00090010', '00010010', '000900FF') AS is_creator,
+ tag = '00100000' AS is_group_length, tag IN ('00010010', '00090005') AS is_illegal FROM t""")
 def f6_tag_flags(spark, sf_dir):
-    return elements(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n")).select("tag", S.tag_flags(F.col("tag")).alias("f"), "n").select("tag", "f.*", "n")
+    rows = fixture(spark, sf_dir, "fx_elements").selectExpr("file_id", "path", f"{_TAG} AS tag")
+    return rows.select("file_id", "path", "tag", S.tag_flags(F.col("tag")).alias("f")).select("file_id", "path", "tag", "f.*")
+
+
+@query("""SELECT file_id, CASE CAST(file_id % 4 AS INTEGER) WHEN 0 THEN 'CT Image Storage' WHEN 1 THEN 'Explicit VR Little Endian' WHEN 2 THEN '1.2.3' ELSE '' END AS uid_name FROM fx_instances""")
+def f7_uid_name(spark, sf_dir):
+    kind = F.col("file_id") % 4
+    uid = F.when(kind == 0, "1.2.840.10008.5.1.4.1.1.2\x00").when(kind == 1, " 1.2.840.10008.1.2.1").when(kind == 2, "1.2.3")
+    return uid_name(fixture(spark, sf_dir, "fx_instances").withColumn("uid", uid), "uid").select("file_id", "uid_name")
 
 
 @query("SELECT file_id, CASE WHEN plane_code = 2 THEN 'RSA' ELSE 'RAI' END AS code, CASE WHEN plane_code = 2 THEN 'CORONAL' ELSE 'AXIAL' END AS plane FROM fx_instances")
@@ -48,12 +61,13 @@ def f8_orientation(spark, sf_dir):
     return found.select("file_id", S.orientation_code(F.col("iop")).alias("code"), S.plane_type(F.col("iop")).alias("plane"))
 
 
-@query("""SELECT roi_id, point_no, CASE WHEN x > y AND x > z THEN concat('L', CASE WHEN y > z THEN 'PH' WHEN z > y AND y > 0.0001 THEN 'HP' WHEN z > y THEN 'H' ELSE '' END)
- WHEN y > x AND y > z THEN concat('P', CASE WHEN x > z THEN 'LH' WHEN z > x AND x > 0.0001 THEN 'HL' WHEN z > x THEN 'H' ELSE '' END)
- WHEN z > x AND z > y THEN concat('H', CASE WHEN x > y AND y > 0.0001 AND x > 0.0001 THEN 'LP' WHEN y > x AND x > 0.0001 AND y > 0.0001 THEN 'PL' WHEN x > y AND x > 0.0001 THEN 'L' WHEN y > x AND y > 0.0001 THEN 'P' ELSE '' END) ELSE '' END AS letters
- FROM fx_contour_points WHERE x > 0""")
+@query("""WITH p AS (SELECT roi_id, point_no, CASE WHEN point_no % 3 = 0 THEN -x ELSE x END AS x, CASE WHEN point_no % 5 = 0 THEN -y ELSE y END AS y, CASE WHEN point_no % 7 = 0 THEN -z WHEN point_no % 7 = 1 THEN x ELSE z END AS z FROM fx_contour_points),
+s AS (SELECT roi_id, point_no, list_reverse_sort([{'s': abs(x), 'l': CASE WHEN x < 0 THEN 'R' ELSE 'L' END}, {'s': abs(y), 'l': CASE WHEN y < 0 THEN 'A' ELSE 'P' END}, {'s': abs(z), 'l': CASE WHEN z < 0 THEN 'F' ELSE 'H' END}]) AS v FROM p),
+t AS (SELECT roi_id, point_no, v, v[1].s > 0.0001 AND v[1].s > v[2].s AS one, v[2].s > 0.0001 AND v[2].s > v[3].s AS two, v[3].s > 0.0001 AS three FROM s)
+SELECT roi_id, point_no, concat(CASE WHEN one THEN v[1].l ELSE '' END, CASE WHEN one AND two THEN v[2].l ELSE '' END, CASE WHEN one AND two AND three THEN v[3].l ELSE '' END) AS letters FROM t""")
 def f9_direction_letters(spark, sf_dir):
-    points = fixture(spark, sf_dir, "fx_contour_points").filter("x > 0")
+    """Points of all signs, some with two equal sizes."""
+    points = fixture(spark, sf_dir, "fx_contour_points").selectExpr("roi_id", "point_no", "CASE WHEN point_no % 3 = 0 THEN -x ELSE x END AS x", "CASE WHEN point_no % 5 = 0 THEN -y ELSE y END AS y", "CASE WHEN point_no % 7 = 0 THEN -z WHEN point_no % 7 = 1 THEN x ELSE z END AS z")
     return points.select("roi_id", "point_no", S.direction_letters(F.col("x"), F.col("y"), F.col("z")).alias("letters"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxlake.operators import geometry as G
 from voxlake.plans.registry import query
-from voxlake.sources.fixtures import instances
+from voxlake.sources.fixtures import fixture, instances
 
 
 def _slices(spark, sf_dir):
@@ -44,22 +44,29 @@ def w5_multiseries_split(spark, sf_dir):
     return G.multiseries_split(rows).select("file_id", "copy", "volume_no")
 
 
-@query("""WITH a AS (SELECT * FROM fx_instances WHERE plane_code = 1), b AS (SELECT * FROM fx_instances WHERE plane_code = 2)
-SELECT a.file_id AS a, b.file_id AS b, least(b.cols_, b.cols_) - 0.5 AS x_far, CAST(0 AS DOUBLE) AS y_line FROM a JOIN b ON a.study_uid = b.study_uid AND a.frame_of_ref_uid = b.frame_of_ref_uid AND a.series_uid <> b.series_uid
-WHERE a.ipp_z < b.ipp_z + 0.5 AND a.ipp_z > b.ipp_z - b.rows_ + 0.5""")
+@query("""WITH p AS (SELECT a.file_id AS a, b.file_id AS b, a.plane_code AS plane, a.ipp_z AS za, b.ipp_z AS zb, b.rows_ AS rows_b FROM fx_instances a
+ JOIN fx_instances b ON a.study_uid = b.study_uid AND a.frame_of_ref_uid = b.frame_of_ref_uid AND a.series_uid <> b.series_uid AND a.plane_code <> b.plane_code)
+SELECT a, b, CAST(-0.5 AS DOUBLE) AS x_low, CAST(255.5 AS DOUBLE) AS x_high, CASE WHEN plane = 1 THEN CAST(0 AS DOUBLE) ELSE za - zb END AS y_low, CASE WHEN plane = 1 THEN CAST(0 AS DOUBLE) ELSE za - zb END AS y_high
+FROM p WHERE plane = 2 OR (za < zb + 0.5 AND za > zb - rows_b + 0.5)""")
 def j12_slice_intersections(spark, sf_dir):
+    """Axial slices are cut by coronal ones where these reach their height; coronal ones by all axial ones of the study."""
     found = G.slice_intersections(instances(spark, sf_dir))
-    axial = found.join(instances(spark, sf_dir).filter("plane_code = 1").select(F.col("file_id").alias("a")), "a", "left_semi")
-    return axial.select("a", "b", F.greatest("x0", "x1").alias("x_far"), F.greatest("y0", "y1").alias("y_line"))
+    return found.select("a", "b", F.least("x0", "x1").alias("x_low"), F.greatest("x0", "x1").alias("x_high"), F.least("y0", "y1").alias("y_low"), F.greatest("y0", "y1").alias("y_high"))
 
 
-@query("""WITH g AS (SELECT dir, series_uid, min(rows_) AS r0, max(rows_) AS r1, avg(rows_) AS r, avg(ipp_z) AS z, min(plane_code) AS plane, min(ipp_z) AS z0, max(ipp_z) AS z1, avg(rows_) AS ra FROM fx_instances GROUP BY dir, series_uid)
-SELECT dir, series_uid, CAST(127.5 AS DOUBLE) AS x, round(CASE WHEN plane = 2 THEN 0 ELSE (ra - 1) / 2 END, 6) AS y, round(CASE WHEN plane = 2 THEN z - (ra - 1) / 2 ELSE z END, 6) AS z FROM g""")
+@query("""WITH g AS (SELECT dir, series_uid, min(plane_code) AS plane, min(file_id // 10 % 2) = 0 AS uniform, avg(rows_) AS r, (arg_min(rows_, instance_number) + arg_max(rows_, instance_number)) / 2.0 AS r2, avg(ipp_z) AS z, (min(ipp_z) + max(ipp_z)) / 2 AS z2 FROM fx_instances GROUP BY dir, series_uid),
+h AS (SELECT dir, series_uid, plane, ((CASE WHEN uniform THEN r2 ELSE r END) - 1) / 2 AS half, CASE WHEN uniform THEN z2 ELSE z END AS z FROM g)
+SELECT dir, series_uid, CAST(127.5 AS DOUBLE) AS x, round(CASE WHEN plane = 2 THEN 0 ELSE half END, 6) AS y, round(CASE WHEN plane = 2 THEN z - half ELSE z END, 6) AS z FROM h""")
 def a6_volume_center(spark, sf_dir):
-    rows = _slices(spark, sf_dir).withColumn("is_uniform", F.lit(False))
+    rows = _slices(spark, sf_dir).withColumn("is_uniform", F.expr("file_id div 10 % 2 = 0"))
     return G.volume_center(rows).select("dir", "series_uid", "x", F.round("y", 6).alias("y"), F.round("z", 6).alias("z"))
 
 
+@query("WITH r AS (SELECT roi_id, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS size FROM fx_contour_points GROUP BY roi_id) SELECT roi_id % 4 AS volume_id, CASE WHEN max(size) > 0 THEN max(size) ELSE 1000 END AS extent FROM r GROUP BY roi_id % 4")
+def a12_contour_extent(spark, sf_dir):
+    return G.contour_extent(fixture(spark, sf_dir, "fx_contour_points").withColumn("volume_id", F.col("roi_id") % 4), ["volume_id"])
+
+
 @query("SELECT study_uid, CAST(greatest(max(rows_), 256) AS DOUBLE) AS extent FROM fx_instances GROUP BY study_uid")
 def a12_volume_extent(spark, sf_dir):
     rows = instances(spark, sf_dir).select("study_uid", F.array("cols", "rows", F.lit(1)).alias("dims"), F.array(F.lit(1.0), F.lit(1.0), F.lit(2.5)).alias("spacing"))

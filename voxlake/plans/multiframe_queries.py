@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.operators import multiframe as M
@@ -17,15 +20,31 @@ def _frames(spark, sf_dir):
     return rows.withColumn("dim_values", F.array((F.col("file") % 2 + 1).cast("int"), (F.floor(F.col("file") / 100) + 1).cast("int")))
 
 
-def _index(spark, sf_dir):
+#: Dimension pointers of files by their number modulo 5, with what they make: the names and the positions in order.
+_POINTERS = [
+    (("00209111 00209056", "00209111 00209057"), "from the last", "1,0"),
+    (("00189117 00189087", "00189117 00189089", "00209111 00209056", "00209111 00209057"), "INSTACK,STACK,GRAD,BVAL", "3,2,1,0"),
+    (("00209111 00209128", "00209111 00209056", "00209111 00209057", "00409096 00409210"), "INSTACK,STACK,TPOS,LUT", "2,1,0,3"),
+    (("00209111 00209056", "00209111 00209057", "00209111 00209999"), "INSTACK,STACK,OTHER", "1,0,2"),
+    (("0020930E 00209301", "00189807 00189808"), "PLANE,DTYPE", "0,1"),
+]
+
+
+def _index(spark, sf_dir, kinds=1):
     files = fixture(spark, sf_dir, "fx_frame_pixels").select(F.col("volume_id").alias("file_id")).distinct()
-    pair = lambda position, index: F.struct(F.lit(position).alias("position"), F.lit("1.2").alias("uid"), F.lit(index).alias("index_pointer"), F.lit("00209111").alias("group_pointer"))
-    return files.withColumn("p", F.explode(F.array(pair(0, "00209056"), pair(1, "00209057")))).select("file_id", "p.*")
+    pair = lambda i, both: F.struct(F.lit(i).alias("position"), F.lit("1.2").alias("uid"), F.lit(both[9:]).alias("index_pointer"), F.lit(both[:8]).alias("group_pointer"))
+    lists = F.lit(None)
+    for k, (pointers, _, _) in enumerate(_POINTERS[:kinds]):
+        lists = F.when(F.col("file_id") % kinds == k, F.array(*[pair(i, x) for i, x in enumerate(pointers)])).otherwise(lists)
+    return files.withColumn("p", F.explode(lists)).select("file_id", "p.*")
+
+
+_CASES = " ".join(f"WHEN {k} THEN '{choice}'" for k, (_, choice, _) in enumerate(_POINTERS)), " ".join(f"WHEN {k} THEN '{dims}'" for k, (_, _, dims) in enumerate(_POINTERS))
 
 
-@query("SELECT DISTINCT volume_id AS file_id, 2 AS choice, '1,0' AS dims FROM fx_frame_pixels")
+@query(f"SELECT DISTINCT volume_id AS file_id, CASE volume_id % 5 {_CASES[0]} END AS choice, CASE volume_id % 5 {_CASES[1]} END AS dims FROM fx_frame_pixels")
 def m5_choose_dims(spark, sf_dir):
-    return M.choose_dims(_index(spark, sf_dir)).select("file_id", "choice", F.array_join(F.transform("dims", lambda x: x.cast("string")), ",").alias("dims"))
+    return M.choose_dims(_index(spark, sf_dir, 5)).select("file_id", "choice", F.array_join(F.transform("dims", lambda x: x.cast("string")), ",").alias("dims"))
 
 
 @query("""SELECT volume_id AS file_id, file_id AS frame_no, CASE WHEN volume_id % 2 = 0 AND max(CASE WHEN file_id % 50 = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY volume_id) = 1 THEN 9.0
@@ -56,11 +75,19 @@ def w2_sort_frames(spark, sf_dir):
     return M.sort_frames(_frames(spark, sf_dir)).select("file_id", "frame_no", "place")
 
 
-@query("""WITH f AS (SELECT volume_id, file_id, file_id % 2 AS stack, CAST(floor(file_id / 100) AS BIGINT) AS pos, count(*) OVER (PARTITION BY volume_id, CAST(floor(file_id / 100) AS BIGINT)) AS twice FROM fx_frame_pixels),
-g AS (SELECT *, max(twice) OVER (PARTITION BY volume_id) > 1 AS bad FROM f)
-SELECT volume_id AS file_id, file_id AS frame_no, 0 AS volume_no, CAST(CASE WHEN bad THEN row_number() OVER (PARTITION BY volume_id ORDER BY file_id DESC) ELSE row_number() OVER (PARTITION BY volume_id ORDER BY file_id DESC) END - 1 AS INTEGER) AS place FROM g""")
+@query("""WITH f AS (SELECT volume_id, file_id, file_id // 50 % 2 AS d4, CASE WHEN volume_id % 7 = 3 AND file_id < 100 THEN 0 ELSE file_id // 100 + 1 END AS d3 FROM fx_frame_pixels),
+b AS (SELECT *, min(d3) OVER (PARTITION BY volume_id) = 0 AS bad, dense_rank() OVER (PARTITION BY volume_id ORDER BY d4) - 1 AS tuple_no FROM f), v AS (SELECT *, CASE WHEN bad THEN 0 ELSE tuple_no END AS v FROM b),
+s AS (SELECT volume_id, file_id, bad, v, row_number() OVER (PARTITION BY volume_id, v ORDER BY file_id DESC) - 1 AS by_space, row_number() OVER (PARTITION BY volume_id, v ORDER BY d3, file_id) - 1 AS by_index FROM v)
+SELECT 'prefer uniform' AS mode, volume_id AS file_id, file_id AS frame_no, CAST(v AS INTEGER) AS volume_no, CAST(by_space AS INTEGER) AS place FROM s
+UNION ALL SELECT 'strict many', volume_id, file_id, CAST(v AS INTEGER), CAST(CASE WHEN bad THEN by_space ELSE by_index END AS INTEGER) FROM s
+UNION ALL SELECT 'strict single', volume_id, file_id, 0, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY v, CASE WHEN bad THEN by_space ELSE by_index END) - 1 AS INTEGER) FROM s
+UNION ALL SELECT 'skip', volume_id, file_id, 0, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY file_id) - 1 AS INTEGER) FROM s""")
 def w6_volumes_from_dims(spark, sf_dir):
-    return M.volumes_from_dims(_frames(spark, sf_dir), M.choose_dims(_index(spark, sf_dir))).select("file_id", "frame_no", "volume_no", "place")
+    third = F.when((F.col("file_id") % 7 == 3) & (F.col("file") < 100), 0).otherwise(F.floor(F.col("file") / 100) + 1).cast("int")
+    frames = _frames(spark, sf_dir).withColumn("dim_values", F.array((F.floor(F.col("file") / 50) % 2 + 1).cast("int"), third))
+    chosen = M.choose_dims(_index(spark, sf_dir))
+    modes = [M.volumes_from_dims(frames, chosen, mode).select(F.lit(mode).alias("mode"), "file_id", "frame_no", "volume_no", "place") for mode in ("prefer uniform", "strict many", "strict single", "skip")]
+    return reduce(DataFrame.unionByName, modes)
 
 
 @query("""SELECT file_id, CAST(n AS INTEGER) AS frame_no, CASE WHEN file_id % 2 = 0 THEN CAST(40 AS DOUBLE) ELSE CAST(n * 10 AS DOUBLE) END AS step_ms, CASE WHEN file_id % 2 = 0 THEN (n - 1) * CAST(40 AS DOUBLE) ELSE CAST(n * (n + 1) * 5 - 10 AS DOUBLE) END AS offset_ms
@@ -70,10 +97,19 @@ def w7_frame_times(spark, sf_dir):
     return M.frame_times(rows)
 
 
-@query("""SELECT patient_id AS group_id, file_id AS volume_id, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY file_id) AS INTEGER) AS place FROM fx_instances""")
+@query("""WITH v AS (SELECT patient_id AS g, file_id AS id, CAST(substr(patient_id, 2) AS BIGINT) % 3 AS kind, file_id // 10 % 60 AS mi, file_id % 10 AS s, CASE WHEN CAST(substr(patient_id, 2) AS BIGINT) % 3 = 2 THEN 0 ELSE 1000000000 - file_id END AS no FROM fx_instances),
+t AS (SELECT *, concat('20200101', lpad(CAST(23 - id // 600 % 24 AS VARCHAR), 2, '0'), lpad(CAST(59 - mi AS VARCHAR), 2, '0'), lpad(CAST(59 - s AS VARCHAR), 2, '0')) AS t FROM v),
+u AS (SELECT *, kind = 0 AND count(DISTINCT t) OVER (PARTITION BY g) = count(*) OVER (PARTITION BY g) AS timed FROM t),
+k AS (SELECT *, CASE WHEN timed THEN CAST(t AS BIGINT) WHEN kind = 2 THEN 0 ELSE no END AS k FROM u),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k, id) AS place, lead(CASE WHEN kind = 0 THEN t END) OVER (PARTITION BY g ORDER BY k, id) AS next FROM k)
+SELECT g AS group_id, id AS volume_id, CAST(place AS INTEGER) AS place, CASE WHEN kind = 0 AND next IS NOT NULL THEN (CAST(next AS BIGINT) - CAST(t AS BIGINT)) * 1000 ELSE 1000 END AS raw_step_ms,
+ CASE WHEN kind = 0 AND next IS NOT NULL THEN CAST(epoch(strptime(next, '%Y%m%d%H%M%S')) - epoch(strptime(t, '%Y%m%d%H%M%S')) AS BIGINT) * 1000 ELSE 1000 END AS step_ms FROM n""")
 def w8_order_4d(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "fx_instances").select(F.col("patient_id").alias("group_id"), F.col("file_id").alias("volume_id"), F.lit("20200101").alias("acq_date"), F.lit(None).cast("string").alias("acq_time"), F.col("file_id").cast("int").alias("instance_number"))
-    return M.order_4d(rows).select("group_id", "volume_id", "place")
+    kind, at = F.substring("patient_id", 2, 20).cast("long") % 3, F.col("file_id")
+    two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
+    time = F.concat(two(23 - F.floor(at / 600) % 24), two(59 - F.floor(at / 10) % 60), two(59 - at % 10), F.lit(".5"))
+    rows = fixture(spark, sf_dir, "fx_instances").select(F.col("patient_id").alias("group_id"), at.alias("volume_id"), F.lit("20200101").alias("acq_date"), F.when(kind == 0, time).alias("acq_time"), F.when(kind == 2, 0).otherwise(1_000_000_000 - at).cast("int").alias("instance_number"))
+    return M.order_4d(rows).select("group_id", "volume_id", "place", "raw_step_ms", "step_ms")
 
 
 @query("SELECT file_id, CAST(n + 1 AS INTEGER) AS frame_no, ipp_x AS x, ipp_y AS y, ipp_z + n * 2.5 AS z, CAST(1 AS DOUBLE) AS x_spacing FROM fx_instances CROSS JOIN (SELECT unnest([0, 1, 2]) AS n) f WHERE file_id % 5 <> 0")

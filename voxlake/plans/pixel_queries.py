@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxlake.functions.sop_classes import PET
 from voxlake.operators import pixels as P
 from voxlake.plans.registry import query
 from voxlake.sources.fixtures import fixture
@@ -18,9 +19,14 @@ _PIX = "list_transform(pixels, lambda v: round(CAST(v AS DOUBLE) * 1000))"
 _SUM = "CAST(list_sum({0}) AS DOUBLE)"
 
 
-@query(f"SELECT file_id, {_SUM.format(f'list_transform({_PIX}, lambda v: v * 2 - 100)')} AS total, false AS is_double FROM fx_frame_pixels")
+@query(f"""WITH r AS (SELECT file_id, CASE CAST(file_id % 4 AS INTEGER) WHEN 0 THEN '{PET[0]}' WHEN 1 THEN '' WHEN 2 THEN '1.2' END AS sop, CASE WHEN file_id % 8 = 2 THEN 1000000.0 ELSE 2.0 END AS slope, {_PIX} AS p FROM fx_frame_pixels),
+s AS (SELECT file_id, sop, [v * slope - 100 FOR v IN p] AS p FROM r)
+SELECT file_id, {_SUM.format("p")} AS total, coalesce(sop IN ('{PET[0]}', '{PET[1]}', ''), true) OR list_max([abs(v) FOR v IN p]) > 16777216 AS is_double FROM s""")
 def p1_rescale(spark, sf_dir):
-    return P.rescale(_frames(spark, sf_dir)).select("file_id", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("total"), "is_double")
+    """Classes that need doubles, one that does not, none at all, and slopes that pass the limit of single precision."""
+    kind = F.col("file_id") % 4
+    rows = _frames(spark, sf_dir).withColumn("sop_class", F.when(kind == 0, PET[0]).when(kind == 1, "").when(kind == 2, "1.2")).withColumn("rescale_slope", F.when(F.col("file_id") % 8 == 2, 1e6).otherwise(2.0))
+    return P.rescale(rows).select("file_id", F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("total"), "is_double")
 
 
 _WINDOW = "CASE WHEN v <= 39.5 - 199.5 THEN 0 WHEN v > 39.5 + 199.5 THEN 255 ELSE CAST(floor(255 * ((v - 39.5) / 399.0 + 0.5)) AS INTEGER) END"
@@ -42,6 +48,18 @@ def p4_grayscale_pipeline(spark, sf_dir):
     return P.grayscale_pipeline(_frames(spark, sf_dir), F.lit("INVERSE")).select("file_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+@query(f"""WITH m AS (SELECT file_id, list_transform({_PIX}, lambda v: CASE WHEN file_id % 3 = 0 THEN greatest(0, least(63, CAST(trunc(v) AS INTEGER) + 32)) * 3.0 ELSE v * 2 - 100 END) AS p FROM fx_frame_pixels),
+w AS (SELECT file_id, list_transform(p, lambda v: CASE WHEN file_id % 2 = 0 THEN greatest(0, least(99, CAST(trunc(v) AS INTEGER))) * 10 ELSE {_WINDOW} END) AS p FROM m)
+SELECT file_id, array_to_string(list_transform(p, lambda v: CAST(CASE WHEN file_id % 5 = 0 THEN 500 - least(v, 499) WHEN file_id % 2 = 0 THEN 1023 - v ELSE 255 - v END AS BIGINT)), ',') AS shown FROM w""")
+def p4_lookup_tables(spark, sf_dir):
+    """Frames with and without tables at each step; without slope and intercept a modality table counts."""
+    frames, at = _frames(spark, sf_dir), F.col("file_id")
+    frames = frames.withColumns({c: F.when(at % 3 != 0, F.col(c)) for c in ("rescale_slope", "rescale_intercept")})
+    table = lambda when, first, bits, data: F.when(when, F.struct(F.lit(first).alias("first_mapped"), F.lit(bits).alias("bits"), F.array(*map(F.lit, data)).alias("data")))
+    shown = P.grayscale_pipeline(frames, F.lit("INVERSE"), table(at % 3 == 0, -32, 8, range(0, 192, 3)), table(at % 2 == 0, 0, 10, range(0, 1000, 10)), table(at % 5 == 0, 0, 9, range(500, 0, -1)))
+    return shown.select("file_id", F.array_join(F.col("pixels").cast("array<long>").cast("array<string>"), ",").alias("shown"))
+
+
 @query(f"""WITH t AS (SELECT file_id, {_PIX} AS p, unnest(range(4)) AS tile FROM fx_frame_pixels), c AS (SELECT file_id, tile, p, unnest(range(4)) AS y FROM t)
 SELECT file_id, tile, CAST(sum(list_sum(p[(tile // 2 * 4 + y) * 8 + tile % 2 * 4 + 1 : (tile // 2 * 4 + y) * 8 + tile % 2 * 4 + 4])) AS DOUBLE) AS total FROM c GROUP BY file_id, tile""")
 def p7_split_mosaic(spark, sf_dir):

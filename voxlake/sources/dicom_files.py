@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxlake.sources.shared import numbered
+
 PIXELS = "7FE00010"
 #: Value representations with a four-byte length, and those that stay binary.
 LONG = {b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"UC", b"UN", b"UR", b"UT", b"SV", b"UV"}
@@ -188,9 +190,15 @@ def raw_frames(pixels: DataFrame) -> DataFrame:
 
 
 def write_elements(elements: DataFrame, path: str) -> None:
-    """Element rows as Parquet by study; rows of files without a study go to the null partition."""
+    """Element rows as Parquet with their ``study_uid``, in ranges of studies: a study's rows lie together, sorted by file.
+
+    Row groups prune by study; there is no folder per study, of which there may be millions. Rows of files without a
+    study have a null.
+    """
     study = F.max(F.when((F.col("tag") == "0020000D") & (F.size("path") == 0), F.trim("value"))).over(Window.partitionBy("file_id"))
-    elements.withColumn("study_uid", study).write.mode("overwrite").partitionBy("study_uid").parquet(path)
+    parts = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = elements.withColumn("study_uid", study).repartitionByRange(parts, "study_uid", "file_id")
+    rows.sortWithinPartitions("study_uid", "file_id").write.mode("overwrite").parquet(path)
 
 
 def export_manifest(selection: DataFrame, files: DataFrame, target: str) -> DataFrame:
@@ -198,8 +206,7 @@ def export_manifest(selection: DataFrame, files: DataFrame, target: str) -> Data
 
     Only files that are there are copied: the join keeps what ``files`` has.
     """
-    numbered = selection.select("dir", "series_uid").distinct().withColumn("no", F.row_number().over(Window.orderBy("dir", "series_uid")))
-    rows = files.join(numbered, ["dir", "series_uid"])
+    rows = files.join(numbered(selection.select("dir", "series_uid").distinct(), ["dir", "series_uid"], "no"), ["dir", "series_uid"])
     return rows.select("path", F.concat_ws("/", F.lit(target), F.lpad(F.col("no").cast("string"), 8, "0"), "name").alias("target_path"))
 
 
