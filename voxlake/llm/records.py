@@ -4,11 +4,13 @@ A record is: length of the data (u64), masked checksum of those eight bytes (u32
 data (u32), all little-endian. The checksum is CRC-32 (zlib's), rotated right by 15 bits plus a constant, so that
 data which holds checksums doesn't check itself. The data: a flag byte (1: null id, 2: ids of four bytes, else
 two), the document's id (i64) and its token ids. The index of a file lists offset, id and token count of each
-record, for reads in any order. Files hold ranges of ids; within and across files ids ascend.
+record, for reads in any order. Files hold ranges of ids; within and across files ids ascend. Texts are ranged and
+sorted by Spark before they are encoded, so that each task writes the files of its range in order.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,15 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxlake.llm.common import cut, fresh_path, lean, texts_of
+from voxlake.llm.common import cut, fresh_path, lean, text_bytes, texts_of
 from voxlake.llm.tokens import as_u32, encoder
 
-#: Documents in a file, about.
-FILE_DOCS = 2048
+#: Bytes of text whose records a file holds, about, and bytes of a file at which the next one begins.
+FILE_BYTES, FULL_BYTES = 8_000_000, 64_000_000
 _MASK, _MAGIC = 0xA282EAD8, b"VXIX1\n"
 _NULL_ID, _WIDE = 1, 2
 
@@ -88,19 +90,15 @@ def read_at(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
     return parse(unframe(head + body, 0)[0])
 
 
-def _encoded(path: str, end_id: int, bounds: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches:
-            ids = [np.append(own.encode(text), own.dtype.type(end_id)).tobytes() for text in texts_of(batch.column(1))]
-            known = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, known, side="left").astype(np.int32)), batch.column(0), pa.array(ids, pa.binary())], ["file", "doc_id", "ids"])
-
-    return run
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: a path without one lies in Hadoop's default file system, for executors as for Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!//)", "file:///", found)
 
 
-def _written(folder: str, dtype: str):
-    """Rows come by file and id. A file is written under the attempt's own name and then moved, so attempts don't meet."""
+def _written(folder: str, tokenizer: str, end_id: int, full: int):
+    """Rows come by id. A file is written under the attempt's own name and then moved, so attempts don't meet."""
 
     def close(number: int, chunks: list[bytes], index: list[tuple[int, int, int]]) -> pa.RecordBatch:
         context = TaskContext.get()
@@ -109,52 +107,56 @@ def _written(folder: str, dtype: str):
         store.create_dir(path, recursive=True)
         table = np.array(index, "<i8").reshape(-1, 3).T
         head = _MAGIC + struct.pack("<Q", table.shape[1]) + np.ascontiguousarray(table).tobytes()
-        name = f"{path}/part-{number:08d}-{attempt}"
+        stem = f"part-{number >> 20:08d}-{number & 0xFFFFF:06d}-{attempt}"
         for suffix, data in ((".rec", chunks), (".idx", [head, struct.pack("<I", masked(head))])):
-            with store.open_output_stream(f"{name}{suffix}.tmp") as file:
+            with store.open_output_stream(f"{path}/{stem}{suffix}.tmp") as file:
                 for chunk in data:
                     file.write(chunk)
-            store.move(f"{name}{suffix}.tmp", f"{name}{suffix}")
-        uri = f"{folder}/part-{number:08d}-{attempt}"
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([f"{uri}.rec"]), pa.array([f"{uri}.idx"]), pa.array([len(index)], pa.int64()), pa.array([int(table[2].sum())], pa.int64())], ["file", "records", "index", "n_docs", "n_tokens"])
+            store.move(f"{path}/{stem}{suffix}.tmp", f"{path}/{stem}{suffix}")
+        uri = f"{folder}/{stem}"
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([f"{uri}.rec"]), pa.array([f"{uri}.idx"]), pa.array([len(index)], pa.int64()), pa.array([int(table[2].sum())], pa.int64())], ["file", "records", "index", "n_docs", "n_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunks, index, size = None, [], [], 0
+        own = encoder(tokenizer)
+        number, chunks, index, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 20, [], [], 0
         for batch in batches:
-            for to, doc_id, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if to != number and index:
-                    yield close(number, chunks, index)
-                    chunks, index, size = [], [], 0
-                number = to
-                ids = np.frombuffer(data, dtype)
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                ids = np.append(own.encode(text), own.dtype.type(end_id))
                 chunks.append(frame(record(doc_id, ids)))
                 index.append((size, doc_id or 0, len(ids)))
                 size += len(chunks[-1])
+                if size >= full:
+                    yield close(number, chunks, index)
+                    number, chunks, index, size = number + 1, [], [], 0
         if index:
             yield close(number, chunks, index)
 
     return run
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_docs: int = FILE_DOCS) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, full: int = FULL_BYTES) -> DataFrame:
     """Writes the token ids of every document, in ascending order of ids, and returns the manifest.
 
     Manifest: ``file``, ``records`` and ``index`` (places), ``n_docs``, ``n_tokens`` and ``start`` (ids in all files
-    before). Null texts are empty, null ids come first, equal ids follow each other in the order of their ids'
-    bytes. The manifest is written too, so files of lost attempts are never read. No rows give no files.
+    before). Null texts are empty, null ids come first, equal ids follow each other in the order of their texts'
+    hashes, so very many of them lie in several files. The manifest is written too, so files of lost attempts are
+    never read. No rows give no files.
     """
     spark = docs.sparkSession
-    folder = folder or fresh_path(spark, "records")
+    folder = _qualified(spark, folder or fresh_path(spark, "records"))
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    files = max(1, -(-columns.count() // file_docs))
-    cuts = [i / files for i in range(1, files)]
-    bounds = columns.select(F.percentile_approx("doc_id", cuts, max(10_000, 20 * files))).first()[0] if cuts else []
-    bounds = np.unique(np.array(bounds or [], np.int64))
-    dtype = encoder(tokenizer).dtype.str
-    ordered = columns.mapInArrow(lean(_encoded(tokenizer, end_id, bounds), remembers=True), "file int, doc_id long, ids binary").repartition(files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
-    manifest = cut(ordered.mapInArrow(lean(_written(folder, dtype)), "file int, records string, index string, n_docs long, n_tokens long"), "manifest")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+    size = text_bytes(columns)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, -(-size // file_bytes), min(tasks, -(-8 * size // file_bytes)))  # little text still goes to several tasks
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    ordered = columns.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
+    manifest = cut(ordered.mapInArrow(lean(_written(folder, tokenizer, end_id, full), remembers=True), "file long, records string, index string, n_docs long, n_tokens long"), "manifest")
+    # sums of a thousand files each first, so that no task counts all files
+    groups = manifest.groupBy(F.expr("file div 1048576 div 1000").alias("group")).agg(F.sum("n_tokens").alias("n"))
+    before = groups.select("group", F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("group").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.withColumn("group", F.expr("file div 1048576 div 1000")).withColumn("start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    return placed.join(before, "group").select(*manifest.columns, (F.col("start") + F.col("before")).cast("long").alias("start"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
