@@ -128,11 +128,13 @@ def apply_maps(elements: DataFrame, uids: DataFrame, names: DataFrame, ids: Data
     """Values replaced by their pseudonyms; unmapped ones stay.
 
     UIDs by tag or VR, names by VR, ids by tag. With ``preserve_uids`` only (0400,0100) changes. One join by value
-    over the three maps together; rows of no kind carry no key, so they do not meet in one task.
+    over the three maps together: in every task up to ``BROADCAST_ROWS`` of them, so that values of very many rows
+    are no key; rows of no kind carry no key, so they do not meet in one task either.
     """
     uid = F.col("tag") == "04000100" if preserve_uids else F.col("tag").isin(uid_tags) | (F.col("vr") == "UI")
     kind = F.when(F.col("tag").isin(id_tags), "id").when(F.coalesce(uid, F.lit(False)), "uid").when(F.col("vr") == "PN", "name")
     maps = uids.withColumn("kind", F.lit("uid")).unionByName(names.withColumn("kind", F.lit("name"))).unionByName(ids.withColumn("kind", F.lit("id")))
+    maps = F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps
     marked = elements.withColumn("_kind", kind)
     touched = marked.filter("_kind is not null").withColumn("_old", clean(F.col("value")))
     new = touched.join(maps.select(F.col("kind").alias("_kind"), F.col("old").alias("_old"), "new"), ["_kind", "_old"], "left").withColumn("value", F.coalesce("new", "value"))

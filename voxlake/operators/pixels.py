@@ -143,9 +143,9 @@ def histogram(frames: DataFrame, group: str, is_float: bool = True) -> DataFrame
 
 def histogram_rgb(frames: DataFrame, group: str) -> DataFrame:
     """256 bins per channel over 0 to 255 of interleaved pixels: ``group``, ``channel``, ``bin``, ``n``."""
-    channel = lambda c: F.filter("pixels", lambda v, i: i % 3 == c)
-    parts = [frames.select((F.col(group).cast("long") * 3 + c).alias("g"), F.lit(256).alias("bins"), F.lit(0.0).alias("vmin"), F.lit(256.0).alias("vmax"), channel(c).cast("array<double>").alias("pixels")) for c in range(3)]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.size("pixels") > 0)
+    channel = lambda c: F.struct(F.lit(c).alias("c"), F.filter("pixels", lambda v, i: i % 3 == c).cast("array<double>").alias("pixels"))
+    split = frames.filter(F.size("pixels") > 0).select(group, F.explode(F.array(*[channel(c) for c in range(3)])).alias("p"))
+    rows = split.select((F.col(group).cast("long") * 3 + F.col("p.c")).alias("g"), F.lit(256).alias("bins"), F.lit(0.0).alias("vmin"), F.lit(256.0).alias("vmax"), "p.pixels").filter(F.size("pixels") > 0)
     counts = rows.mapInArrow(_counted, "group long, bin int, n long").groupBy("group", "bin").agg(F.sum("n").alias("n"))
     return counts.select(F.expr("group div 3").alias(group), (F.col("group") % 3).cast("int").alias("channel"), "bin", "n")
 

@@ -51,6 +51,27 @@ def c7_classify_instance(spark, sf_dir):
     return C.classify_instance(found).select("file_id", "kind", C.is_localizer(F.col("image_type")).alias("is_localizer"))
 
 
+_ROOT = "1.2.840.10008.5.1.4.1.1."
+#: End of a class under the root ('' for another class, None for none), what else is set, and the kind that this makes.
+_KINDS = [
+    ("481.3", "", "rtstruct"), ("4.2", "", "spectroscopy"), ("66.5", "", "mesh"), ("68.1", "", "mesh"), ("77.1.6", "", "slide"), ("104.1", "", "pdf"), ("104.3", "", "stl"), ("77.1.1.1", "", "video"),
+    ("11.1", "", "grayscale presentation state"), ("11.2", "", "color presentation state"), ("11.3", "", "pseudo-color presentation state"), ("11.4", "", "blending presentation state"), ("11.5", "", "xa/xrf presentation state"),
+    ("11.8", "", "advanced blending presentation state"), ("88.59", "", "report"), ("6.1", "", "ultrasound"), ("3", "is_multiframe", "ultrasound"), ("20", "", "nuclear"), ("1.2.1", "", "projection"), ("", "has_functional_groups", "enhanced"),
+    ("", "is_mosaic", "mosaic"), ("", "is_grid", "grid"), ("", "is_multiframe", "multiframe"), ("", "", "plain"), ("", "no rows", "other"), ("", "no bits", "other"), (None, "", "plain"), ("481.3", "no rows", "rtstruct"),
+]
+
+
+@query(f"SELECT file_id, CASE CAST(file_id % {len(_KINDS)} AS INTEGER) {' '.join(f"WHEN {i} THEN '{kind}'" for i, (_, _, kind) in enumerate(_KINDS))} END AS kind, false AS is_localizer FROM fx_instances")
+def c7_all_kinds(spark, sf_dir):
+    """Every kind of instance, the images told apart by flags, and files that are no image."""
+    rows, at = instances(spark, sf_dir), (F.col("file_id") % len(_KINDS)).cast("int")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+    has = lambda flag: pick([what == flag for _, what, _ in _KINDS])
+    rows = rows.withColumn("sop_class", pick([None if end is None else _ROOT + end + "\x00" if end else "9.9" for end, _, _ in _KINDS]))
+    rows = rows.withColumns({flag: has(flag) for flag in ("has_functional_groups", "is_multiframe", "is_mosaic", "is_grid")}).withColumn("rows", F.when(~has("no rows"), F.col("rows"))).withColumn("bits_allocated", F.when(~has("no bits"), F.col("bits_allocated")))
+    return C.classify_instance(rows.withColumn("image_type", F.lit("ORIGINAL\\PRIMARY"))).select("file_id", "kind", C.is_localizer(F.col("image_type")).alias("is_localizer"))
+
+
 _FLAG_ROWS = f"""SELECT dir, series_uid, instance_number, file_id, CASE WHEN instance_number % 3 = 1 THEN NULL ELSE rows_ END AS r,
  CASE WHEN instance_number % 2 = 1 THEN '{sop_classes.REPORT[0]}' WHEN instance_number = 2 THEN '{list(sop_classes.PRESENTATION)[1]}' ELSE '1.2.3' END AS sop FROM fx_instances"""
 
@@ -121,9 +142,10 @@ def a1_series_index(spark, sf_dir):
     return C.series_index(rows).select("dir", "series_uid", "patient_id", "study_uid", "first_name", "n_files", F.concat_ws(",", "files").alias("files"), "is_image", "is_softcopy")
 
 
-@query("""SELECT file_id, max(CASE WHEN d THEN 1 ELSE 0 END) OVER (PARTITION BY dir, series_uid) = 1 AS is_mixed FROM (SELECT *, coalesce(rows_ <> lag(rows_) OVER (PARTITION BY dir, series_uid ORDER BY file_id), false) AS d FROM fx_instances)""")
+@query("""WITH d AS (SELECT *, coalesce(rows_ <> lag(rows_) OVER (PARTITION BY dir, series_uid ORDER BY file_id), false) AS d FROM fx_instances), m AS (SELECT *, max(CASE WHEN d THEN 1 ELSE 0 END) OVER (PARTITION BY dir, series_uid) = 1 AS is_mixed FROM d)
+SELECT file_id, is_mixed, CASE WHEN is_mixed THEN concat(CAST(rows_ AS VARCHAR), '|256|16|1.0000|1.0000') ELSE '' END AS part_key FROM m""")
 def a2_mixed_series_split(spark, sf_dir):
-    return C.mixed_series_split(instances(spark, sf_dir).withColumn("file_order", F.col("file_id"))).select("file_id", "is_mixed")
+    return C.mixed_series_split(instances(spark, sf_dir).withColumn("file_order", F.col("file_id"))).select("file_id", "is_mixed", "part_key")
 
 
 @query("SELECT file_id, '0020000E' AS tag, CAST(2 AS BIGINT) AS n FROM fx_instances WHERE file_id % 3 = 0")

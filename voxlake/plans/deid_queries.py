@@ -26,7 +26,16 @@ def d2_build_name_map(spark, sf_dir):
     return D.build_name_map(elements(spark, sf_dir), "s")
 
 
-@query(f"SELECT DISTINCT value AS old, {_ID.replace('{0}', 'value')} AS new FROM fx_elements WHERE tag = '00100020'")
+_SURNAMES = [f"Name{i}" for i in range(43)]
+_FIRST = "concat('Name', CAST(CAST(('0x' || substr(md5('s' || value), 1, 8)) AS BIGINT) % 43 AS VARCHAR))"
+
+
+@query(f"SELECT DISTINCT value AS old, concat({_FIRST}, '^', {', {0}, '.join(_INITIAL.replace('{1}', str(at)) for at in (9, 17)).replace(', {0}, ', ', chr(94), ').replace('{0}', 'value')}, '^^') AS new FROM fx_elements WHERE vr = 'PN'")
+def d2_surnames(spark, sf_dir):
+    return D.build_name_map(elements(spark, sf_dir), "s", _SURNAMES)
+
+
+@query(f"SELECT DISTINCT value AS old, {_ID.format('value')} AS new FROM fx_elements WHERE tag = '00100020'")
 def d3_build_id_map(spark, sf_dir):
     return D.build_id_map(elements(spark, sf_dir), salt="s")
 

@@ -72,6 +72,15 @@ def a7_pixel_minmax(spark, sf_dir):
     return P.pixel_minmax(_frames(spark, sf_dir), ["volume_id"])
 
 
+@query(f"""WITH r AS (SELECT volume_id, min(list_min({_PIX})) AS lo, max(list_max({_PIX})) AS hi, CASE WHEN volume_id % 3 = 0 THEN 16 ELSE 8 END AS b, volume_id % 2 AS s FROM fx_frame_pixels GROUP BY volume_id),
+t AS (SELECT *, CASE WHEN s = 1 THEN -power(2, b - 1) ELSE 0 END AS tl, CASE WHEN s = 1 THEN power(2, b - 1) ELSE power(2, b) END - 1 AS th FROM r)
+SELECT volume_id, CAST(CASE WHEN lo >= tl AND hi <= th THEN tl ELSE lo END AS DOUBLE) AS vmin, CAST(CASE WHEN lo >= tl AND hi <= th THEN th ELSE hi END AS DOUBLE) AS vmax FROM t""")
+def a7_max_window(spark, sf_dir):
+    """The range of the type where all pixels lie in it: signed ones of 16 bits here, 8 bits and unsigned ones keep their own."""
+    rows = _frames(spark, sf_dir).withColumn("bits_stored", F.when(F.col("volume_id") % 3 == 0, 16).otherwise(8)).withColumn("pixel_repr", (F.col("volume_id") % 2).cast("int"))
+    return P.pixel_minmax(rows, ["volume_id"], max_window=True)
+
+
 @query(f"""WITH v AS (SELECT volume_id, unnest({_PIX}) AS v FROM fx_frame_pixels), r AS (SELECT volume_id, min(v) AS lo, max(v) AS hi FROM v GROUP BY volume_id),
 b AS (SELECT volume_id, lo, hi, greatest(least(round(hi - lo) + 1, 2048), 256) AS n FROM r), c AS (SELECT v.volume_id, CAST(least(floor((v - lo) / (hi - lo) * n), n - 1) AS INTEGER) AS bin, count(*) AS n FROM v JOIN b ON v.volume_id = b.volume_id GROUP BY 1, 2)
 SELECT volume_id, bin, n, CASE WHEN max(n) OVER (PARTITION BY volume_id) > 2 THEN ln(CAST(max(n) OVER (PARTITION BY volume_id) AS DOUBLE)) END AS log_max FROM c""")
