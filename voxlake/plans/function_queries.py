@@ -79,13 +79,15 @@ def f11_almost_equal(spark, sf_dir):
 
 
 @query("""SELECT file_id, CAST(instance_number AS DOUBLE) AS px, CASE WHEN plane_code = 2 THEN CAST(0 AS DOUBLE) ELSE CAST(3 AS DOUBLE) END AS py,
- CASE WHEN plane_code = 2 THEN ipp_z - 3 ELSE ipp_z END AS pz, CAST(5 AS DOUBLE) AS mm FROM fx_instances""")
+ CASE WHEN plane_code = 2 THEN ipp_z - 3 ELSE ipp_z END AS pz, CASE WHEN file_id % 3 = 0 THEN -1.0 ELSE 5.0 END AS mm, CAST(instance_number AS DOUBLE) AS column_, CAST(3 AS DOUBLE) AS row_, CAST(0 AS DOUBLE) AS slice_ FROM fx_instances""")
 def f14_index_to_patient(spark, sf_dir):
     found = instances(spark, sf_dir)
     spacing = F.array(F.lit(1.0), F.lit(1.0), F.lit(2.5))
     p = S.index_to_patient([F.col("instance_number").cast("double"), F.lit(3.0), F.lit(0.0)], F.col("ipp"), spacing, F.col("iop"))
-    mm = S.measure_mm(F.lit(1.0), F.lit(1.0), F.lit(4.0), F.lit(5.0), F.col("spacing"), F.col("iop"), F.col("rows"), F.col("cols"))
-    return found.select("file_id", p[0].alias("px"), p[1].alias("py"), p[2].alias("pz"), mm.alias("mm"))
+    end = F.when(F.col("file_id") % 3 == 0, F.col("cols").cast("double")).otherwise(4.0)  # every third line ends outside
+    mm = S.measure_mm(F.lit(1.0), F.lit(1.0), end, F.lit(5.0), F.col("spacing"), F.col("iop"), F.col("rows"), F.col("cols"))
+    back = S.patient_to_index(p, F.col("ipp"), spacing, F.col("iop"))
+    return found.select("file_id", p[0].alias("px"), p[1].alias("py"), p[2].alias("pz"), mm.alias("mm"), *[F.round(v, 9).alias(name) for v, name in zip(back, ("column_", "row_", "slice_"), strict=True)])
 
 
 @query("SELECT file_id, acq_date AS date, CASE WHEN instance_number % 2 = 0 THEN '101112' ELSE '010203' END AS time, CASE WHEN modality_code = 'A' THEN 'GML {BW}' WHEN modality_code = 'N' THEN 'BQML' ELSE '' END AS unit FROM fx_instances")

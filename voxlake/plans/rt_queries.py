@@ -51,6 +51,15 @@ def j8_rtstruct_series(spark, sf_dir):
     return R.rtstruct_series(refs, fixture(spark, sf_dir, "fx_instances"))
 
 
+@query("SELECT file_id, dir, series_uid FROM fx_instances WHERE instance_number = 1 AND file_id % 20 < 10")
+def j8_same_frame(spark, sf_dir):
+    """Structure sets of which half name another frame of reference than their images."""
+    frame = F.when(F.col("file_id") % 20 < 10, F.col("frame_of_ref_uid")).otherwise("9.9").alias("frame_of_ref_uid")
+    found = fixture(spark, sf_dir, "fx_instances")
+    refs = R.contours(_elements(spark, sf_dir)).select("file_id", F.explode("ref_sop_uids").alias("ref_uid")).join(found.select("file_id", frame), "file_id")
+    return R.rtstruct_series(refs, found, same_frame=True)
+
+
 @query("SELECT DISTINCT roi_id % 4 AS volume_id, roi_id, contour_id, CAST(z / 2.5 AS INTEGER) AS slice_no FROM fx_contour_points")
 def j9_map_contours_uniform(spark, sf_dir):
     return R.map_contours_uniform(_points(spark, sf_dir), _slices(spark, sf_dir))
