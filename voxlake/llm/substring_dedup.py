@@ -2,7 +2,7 @@
 
 Three shuffles, none of which carries a row per window:
 
-1. every map task hashes all windows of its documents (a rolling polynomial modulo 2**64), keeps for each hash the
+1. every map task hashes all windows of its documents (rolling polynomials modulo 2**64), keeps for each hash the
    occurrence in the smallest document of its block and packs the rest of the answer (windows that repeat inside the
    block) beside it; packed blocks go to hash buckets;
 2. a bucket sorts its hashes and marks every window that also starts in a smaller document;
@@ -15,6 +15,7 @@ hashes. The probability that two different windows share a key is about 2**-80.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import lean, packed, rows_of, texts_of, unpacked
+from voxlake.llm.common import lean, packed, parts_for, rows_of, text_bytes, texts_of, unpacked
 
 WINDOW = 13
 #: Odd multipliers of the two polynomials, 3 modulo 4, so that a swap of neighbours costs one bit at most.
 BASES = (0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F)
 #: Windows in a map task's block; about 110 bytes each while it is sorted.
 BLOCK_WINDOWS = 1_000_000
+#: Bytes of text, about, whose windows a hash bucket holds, and buckets at most (a block has a row for each).
+BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 4096
 #: Words whose hashes a task keeps at a time.
 KNOWN_WORDS = 100_000
 #: Stands for a null id in the order of documents: after all others.
@@ -62,15 +65,40 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Windows whose hashes are rolled at a time, so that the tables of powers stay small.
+ROLLED = 65_536
+
+
+@lru_cache(maxsize=4)
+def _powers(window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each base the powers and those of its inverse modulo 2**64, as many as a stretch of windows needs."""
+    n, out = ROLLED + window, []
+    for base in BASES:
+        pair = []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(n, factor, np.uint64)
+            steps[0] = 1
+            pair.append(np.multiply.accumulate(steps))
+        out.append((pair[0], pair[1]))
+    return out
+
+
 def window_hashes(words: list[bytes], window: int, known: _WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The two polynomial hashes of each window of ``window`` words."""
+    """The two polynomial hashes of each window of ``window`` words, rolled from one window to the next.
+
+    With S the running sum of word hash times base**-place, a window's hash is (S at its end - S at its start) times
+    a power of the base, all modulo 2**64.
+    """
     n = len(words) - window + 1
     pairs = np.array([known[w] for w in words], np.uint64)
     out = []
-    for j, base in enumerate(BASES):
-        h = np.zeros(n, np.uint64)
-        for i in range(window):
-            h = h * np.uint64(base) + pairs[i : i + n, j]
+    for j, (power, inverse) in enumerate(_powers(window)):
+        h = np.empty(n, np.uint64)
+        for at in range(0, n, ROLLED):
+            m = min(ROLLED, n - at)
+            sums = np.zeros(m + window, np.uint64)
+            np.cumsum(pairs[at : at + m + window - 1, j] * inverse[: m + window - 1], out=sums[1:])
+            h[at : at + m] = (sums[window:] - sums[:m]) * power[window - 1 : window - 1 + m]
         out.append(_mixed(h))
     return out[0], out[1]
 
@@ -256,7 +284,8 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, for the join's shuffle."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        texts = pa.array([squeeze(text) for text in texts_of(batch.column(1))], pa.binary())
+        nulls = batch.column(1).is_null().to_pylist()
+        texts = pa.array([None if null else squeeze(text) for text, null in zip(texts_of(batch.column(1)), nulls, strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2), batch.column(3)], batch.schema.names)
 
 
@@ -265,7 +294,8 @@ def _removed(keep_untouched: bool):
         squeezed = zstandard.ZstdDecompressor()
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for text, starts, ends in zip(map(squeezed.decompress, texts_of(batch.column(1))), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for data, starts, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                text = squeezed.decompress(data) if data is not None else b""
                 words = text.split()
                 n_words.append(len(words))
                 if starts:
@@ -276,7 +306,7 @@ def _removed(keep_untouched: bool):
                     kept.append(b" ".join(left))
                 else:
                     n_removed.append(0)
-                    kept.append(text if keep_untouched else b" ".join(words))
+                    kept.append((None if data is None else text) if keep_untouched else b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), batch.column(2), batch.column(3)], ["doc", "kept", "n_words", "n_removed", "starts", "ends"])
 
     return run
@@ -288,11 +318,12 @@ def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     One row per document with something to remove. Rows with the same id and text get the same intervals. Texts of
     fewer than ``window`` words, empty and null texts have none.
     """
-    buckets = buckets or max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(docs.sparkSession, text_bytes(docs, text_col), BUCKET_BYTES)
+    buckets = buckets or min(MOST_BUCKETS, max(64, parts))
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     blocks = columns.mapInArrow(lean(_hashed(window, buckets)), _BLOCK)
-    marks = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_repeats), _BLOCK)
-    spans = marks.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(lean(_merged(window)), _SPANS)
+    marks = blocks.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_repeats), _BLOCK)
+    spans = marks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lean(_merged(window)), _SPANS)
     return spans.groupBy("ord", "text_hash").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
 
 
@@ -301,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A window repeats if its words also start a window in a document with a smaller id. Columns: ``doc`` (struct of
     the input's columns other than the text), ``kept`` (the words left, joined by one space; with ``keep_untouched``
-    the original text where nothing goes), ``n_words``, ``n_removed``, ``starts`` and ``ends`` (null where nothing
+    the original text where nothing goes, null if it was), ``n_words``, ``n_removed``, ``starts`` and ``ends`` (null where nothing
     goes). One row per input row. Null texts have no words; a null id counts as the largest; equal ids are no repeat
     of each other. Extra columns stay inside ``doc``, so their names cannot clash.
     """
@@ -309,7 +340,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("doc"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("ord"), F.xxhash64(text).alias("text_hash"))
     doc_type = rows.schema["doc"].dataType.simpleString()
     rows = rows.mapInArrow(_squeezed, f"doc {doc_type}, text binary, ord long, text_hash long")
-    joined = rows.join(removal_spans(docs, id_col, text_col, window, buckets), ["ord", "text_hash"], "left")
+    parts = parts_for(docs.sparkSession, text_bytes(docs, text_col), BUCKET_BYTES)
+    spans = removal_spans(docs, id_col, text_col, window, buckets).repartition(parts, "ord", "text_hash")
+    joined = rows.repartition(parts, "ord", "text_hash").join(spans, ["ord", "text_hash"], "left")
     out = joined.select("doc", "text", "starts", "ends")
     schema = f"doc {doc_type}, kept binary, n_words long, n_removed long, starts array<int>, ends array<int>"
     return out.mapInArrow(lean(_removed(keep_untouched)), schema).withColumn("kept", F.col("kept").cast("string"))
