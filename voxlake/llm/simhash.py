@@ -17,9 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from voxlake.llm.common import cut, texts_of
+from voxlake.llm.common import cut, join_with_hot_keys, texts_of
 from voxlake.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -131,9 +130,10 @@ def links(prints: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -> Da
     for number, (shift, bits) in enumerate(SEGMENTS):
         part = F.shiftrightunsigned(column, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
         rows.append(F.transform(_ball(part, bits), partial(_ask, number)))
-    asked = prints.select("print", F.explode(F.concat(*rows)).alias("ask")).select("ask.*", "print")
-    bucket = Window.partitionBy("segment", "key")
-    shared = asked.select("*", F.count("*").over(bucket).alias("n"), F.sum(F.col("held").cast("int")).over(bucket).alias("n_held")).filter("n > 1 and n_held > 0")
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = prints.repartition(n, "print").select("print", F.explode(F.concat(*rows)).alias("ask")).select("ask.*", "print")
+    buckets = asked.groupBy("segment", "key").agg(F.count("*").alias("n"), F.count_if("held").alias("n_held")).filter("n > 1 and n_held > 0")
+    shared = asked.join(buckets, ["segment", "key"])  # few buckets have anything to compare
     # a print in a bucket of its own segment value is both held and an asker: it meets every other member once
     parts = lambda n: F.greatest(F.lit(1), F.ceil(n / split).cast("int"))
     own = F.pmod(F.xxhash64("print"), F.greatest(F.lit(1), F.ceil(F.col("n") / split)).cast("long")).cast("int")
@@ -141,7 +141,6 @@ def links(prints: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -> Da
     as_held = F.when(F.col("held"), F.transform(F.sequence(F.lit(0), parts(F.col("n")) - 1), lambda p: F.struct(own_held.alias("h"), p.alias("p"), F.lit(True).alias("is_held"))))
     as_asker = F.transform(F.sequence(F.lit(0), parts(F.col("n_held")) - 1), lambda h: F.struct(h.alias("h"), own.alias("p"), F.lit(False).alias("is_held")))
     dealt = shared.select("segment", "key", "print", F.explode(F.concat(F.coalesce(as_held, F.array().cast(as_array_type())), as_asker)).alias("to")).select("segment", "key", "to.h", "to.p", "print", "to.is_held")
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "segment", "key", "h", "p").sortWithinPartitions("segment", "key", "h", "p").mapInArrow(_bucket_edges(distance), "a long, b long")
 
 
@@ -156,10 +155,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order: their component is that of the smallest id they reach, or null if they reach none.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     edges = cut(links(distinct.select("print"), distance).distinct(), "links")
     groups = components(edges, "a", "b")  # print -> root, for prints with a link
-    rooted = distinct.join(groups.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(least, "root").select("print", "component_id")
-    return prints.join(by_print, "print").select("doc_id", "print", "component_id")
+    return with_components(prints, distinct, groups).select("doc_id", "print", "component_id")
+
+
+def with_components(rows: DataFrame, distinct: DataFrame, groups: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """``doc_id``, ``print``, ``root`` (the print that stands for the component) and ``component_id`` of rows of ``doc_id`` and ``print``, and their columns ``keep``.
+
+    ``distinct`` has each print's ``least`` id and count ``n``, ``groups`` the ``root`` of each print (``node``) that
+    has a link. A print of very many rows, and a component of very many prints, are looked up in every task.
+    """
+    rooted = distinct.join(groups.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("root", "print").alias("root"), "least", "n")
+    rooted = cut(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    by_print = cut(join_with_hot_keys(rooted.select("print", "root", "n"), least, "root", "prints", rooted.count()).select("print", "root", "component_id", "n"), "by-print")
+    return join_with_hot_keys(rows.select("doc_id", "print", *keep), by_print, "print", "n", rows.count()).select("doc_id", "print", *keep, "root", "component_id")
