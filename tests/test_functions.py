@@ -53,3 +53,18 @@ def test_almost_equal_on_edges(spark):
     ]
     rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, a double, b double, eps double")
     assert [r.v for r in rows.select("i", S.almost_equal(F.col("a"), F.col("b"), F.col("eps")).alias("v")).orderBy("i").collect()] == [c[3] for c in cases]
+
+
+def test_text_with_escapes(spark):
+    """Names in several scripts, as the format's standard shows them."""
+    cases = [
+        (b"Yamada^Tarou=\x1b$B;3ED\x1b(B^\x1b$BB@O:\x1b(B=\x1b$B$d$^$@\x1b(B^\x1b$B$?$m$&\x1b(B", "\\ISO 2022 IR 87", "Yamada^Tarou=山田^太郎=やまだ^たろう"),
+        (b"\xd4\xcf\xc0\xde^\xc0\xdb\xb3=\x1b$B;3ED\x1b(J^\x1b$BB@O:\x1b(J", "ISO 2022 IR 13\\ISO 2022 IR 87", "ﾔﾏﾀﾞ^ﾀﾛｳ=山田^太郎"),
+        (b"Hong^Gildong=\x1b$)C\xfb\xf3^\x1b$)C\xd1\xce\xd4\xd7=\x1b$)C\xc8\xab^\x1b$)C\xb1\xe6\xb5\xbf", "\\ISO 2022 IR 149", "Hong^Gildong=洪^吉洞=홍^길동"),
+        (b"Buc^J\xe9r\xf4me=\x1b-F\xc4\xe9\xef^\xe9", "ISO 2022 IR 100\\ISO 2022 IR 126", "Buc^Jérôme=Διο^é"),
+        (b"\x1b-L\xbb\xee\xdaceMap", "\\ISO 2022 IR 144", "ЛюкceMap"),
+        (b"Wang^XiaoDong=\xcd\xf5", "GB18030", "Wang^XiaoDong=王"), (b"a\x1b(Bb", None, "ab"), (b"\x1b$)A\xcd\xf5", "\\ISO 2022 IR 58", "王"),
+    ]
+    rows = spark.createDataFrame([(i, b, c) for i, (b, c, _) in enumerate(cases)], "i int, b binary, c string").orderBy("i")
+    assert [r[0] for r in rows.select(decode_text(F.col("b"), F.col("c"))).collect()] == [c[2] for c in cases]
+    assert [r[0] for r in rows.limit(1).select(decode_text(F.lit(b"\xc8\xe2"), F.col("c"), "cp1251")).collect()] == ["Ив"]

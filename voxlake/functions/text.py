@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,15 +17,36 @@ CODECS = {
 }
 
 
+#: Escapes that name the upper half of what follows, and its codec; fixed values of the format.
+UPPER = {
+    b"\x1b-A": "latin-1", b"\x1b-B": "iso8859-2", b"\x1b-C": "iso8859-3", b"\x1b-D": "iso8859-4", b"\x1b-L": "iso8859-5", b"\x1b-G": "iso8859-6", b"\x1b-F": "iso8859-7",
+    b"\x1b-H": "iso8859-8", b"\x1b-M": "iso8859-9", b"\x1b-b": "iso8859-15", b"\x1b-T": "tis-620", b"\x1b)I": "shift_jis", b"\x1b$)C": "euc_kr", b"\x1b$)A": "gb2312",
+}
+_ESCAPE = re.compile(rb"(\x1b(?:-[A-Za-z]|\)I|\([BJ]|\$\)[AC]|\$[@B]|\$\(D))")
+#: After these an escape holds no longer: line ends and the parts of names and values.
+_RESET = re.compile(rb"(?<=[\r\n\f^=\\])")
+
+
+def _switched(data: bytes, first: str) -> str:
+    """Text with escapes: each names the set of what follows it, as far as the next delimiter."""
+    pieces, codec, out = _ESCAPE.split(data), first, []
+    for escape, piece in zip([b"", *pieces[1::2]], pieces[::2], strict=True):
+        if escape.startswith((b"\x1b$@", b"\x1b$B", b"\x1b$(")):
+            out.append((escape + piece + b"\x1b(B").decode("iso2022_jp_2", "replace"))
+            continue
+        codec = UPPER.get(escape, codec)
+        for i, part in enumerate(_RESET.split(piece)):
+            codec = first if i else codec
+            out.append(part.decode(codec, "replace"))
+    return "".join(out)
+
+
 def _decoded(data: bytes | None, charset: str | None, force: str | None) -> str | None:
     if data is None:
         return None
-    names = [x.strip() for x in (charset or "").split("\\")]
-    extended = [x for x in names[1:] if x in CODECS]
-    codec = force or CODECS.get((extended or names)[0] if b"\x1b" in data or not names[0] else names[0], "latin-1")
-    if codec in ("euc_kr", "gb2312"):
-        data = data.replace(b"\x1b$)C", b"").replace(b"\x1b$)A", b"")  # both sets then live side by side in one codec
-    return bytes(data).decode(codec, "replace")
+    first = CODECS.get((charset or "").split("\\")[0].strip(), "latin-1")
+    first = "shift_jis" if first == "iso2022_jp_ext" else "latin-1" if first == "iso2022_jp_2" else first
+    return bytes(data).decode(force, "replace") if force else _switched(bytes(data), first) if b"\x1b" in data else bytes(data).decode(first, "replace")
 
 
 def decode_text(data: Column, charset: Column, force: str | None = None) -> Column:
