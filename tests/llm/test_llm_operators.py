@@ -1,6 +1,5 @@
 """Training-data operators against brute force, and on nulls, empty and long texts, ties, repeated rows and empty tables."""
 
-import hashlib
 import math
 import re
 import zlib
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, mixing, near_copies, packing, queries, records, simhash, substring_dedup, tokens, toxicity
+from voxlake.llm import ann_tree, common, components, impact_search, langid, lm_scoring, mixing, near_copies, packing, records, simhash, substring_dedup, tokens, toxicity
 from voxlake.llm.vectors import usable
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -107,6 +106,25 @@ def test_simhash(which, request):
     assert got == Counter(zip(ids, prints, roots(prints, ids), strict=True))
 
 
+@pytest.mark.parametrize(("hot_keys", "hot_rows"), [(1000, 10_000), (4, 3), (10**9, 0)])
+def test_components_with_hubs(spark, monkeypatch, hot_keys, hot_rows):
+    """Stars, chains and rings, with hubs looked up in every task or joined."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    edges = [(500, i) for i in range(1, 60)] + [(i, i + 1) for i in range(600, 640)] + [(700 + i, 700 + (i + 1) % 9) for i in range(9)] + [(60, 600), (800, 800), (None, 3), (5, None)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    expected = {500: 1, **dict.fromkeys(range(1, 60), 1), **dict.fromkeys([60, *range(600, 641)], 60), **dict.fromkeys(range(700, 709), 700), 800: 800}
+    assert got == expected
+
+
+@pytest.mark.parametrize("hot_rows", [0, 1])
+def test_simhash_with_hot_prints(docs, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    prints, ids = [brute_print(x) for _, x, *_ in rows()], [r[0] for r in rows()]
+    got = Counter((r.doc_id, r.print & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == Counter(zip(ids, prints, roots(prints, ids), strict=True))
+
+
 def test_simhash_links_between_neighbours(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(-(1 << 63), 1 << 63, 6, dtype=np.int64)
@@ -155,8 +173,10 @@ def test_near_copies_with_edited_words(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, full, "").collect()} == set(expected.values())
 
 
-@pytest.mark.parametrize("which", ["docs", "clashing"])
-def test_mixing(which, request):
+@pytest.mark.parametrize(("which", "shard", "group"), [("docs", 50_000, 4096), ("clashing", 50_000, 4096), ("docs", 300, 2)])
+def test_mixing(which, shard, group, request, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", shard)
+    monkeypatch.setattr(mixing, "GROUP", group)
     found = [r for r in mixing.mix(request.getfixturevalue(which)).collect()]
     again = mixing.mix(request.getfixturevalue(which)).collect()
     assert Counter((r.doc_id, r.taken) for r in found) == Counter((r.doc_id, r.taken) for r in again)
@@ -205,13 +225,16 @@ TEXTS = ["", " ", "Hello  world's end\n\nnext\tline", "don't <|endoftext|> stop"
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_tokenizer(name):
     own = tokens.Encoder(public_tokenizers.path(name))
-    for x in TEXTS + [text(0, 50), text(9, 300).title()]:
+    for x in TEXTS + [text(0, 50), text(9, 300).title(), text(3, 60_000), "y" * 20_000, "é" * 9000]:
         assert own.encode(x.encode()).tolist() == own.tokenizer.encode(x, add_special_tokens=False).ids, x
 
 
-def test_records_round_trip(docs, tmp_path):
+@pytest.mark.parametrize(("which", "file_bytes", "full"), [("docs", 8_000_000, 64_000_000), ("docs", 2000, 300), ("clashing", 40_000, 5000)])
+def test_records_round_trip(which, file_bytes, full, request, tmp_path):
+    docs = request.getfixturevalue(which)
     path = public_tokenizers.path("word_bpe_49k.json")
-    manifest = records.write_records(docs, path, end_id=1, folder=str(tmp_path / "out"), file_docs=4)
+    manifest = records.write_records(docs, path, end_id=1, folder=str(tmp_path / "out"), file_bytes=file_bytes, full=full)
+    assert full > 1000 or manifest.count() > 4
     encode = tokens.Encoder(path).tokenizer.encode
     expected, start = [], 0
     key = lambda r: (r[0] is not None, r[0] or 0)
@@ -225,7 +248,7 @@ def test_records_round_trip(docs, tmp_path):
     at = len(index["offset"]) - 1
     doc_id, ids = records.read_at(first.records, int(index["offset"][at]))
     assert len(ids) == index["n_tokens"][at] and (doc_id or 0) == index["doc_id"][at]
-    with open(first.records, "r+b") as file:
+    with open(first.records.removeprefix("file://"), "r+b") as file:
         file.seek(20)
         byte = file.read(1)
         file.seek(20)
@@ -361,6 +384,48 @@ def test_language(spark, docs, empty):
     assert langid.predict(docs, langid.fit(docs)).count() == len(rows())
 
 
+@pytest.mark.parametrize("which", ["docs", "clashing"])
+def test_language_equals_brute_force(spark, which, request):
+    """Every prediction by counting anew: words first, then the longest n-grams of which any is known."""
+    rng = np.random.default_rng(8)
+    syllables = {"aa": "ba ke lo mi nu".split(), "bb": "ka lo mé sti ru".split(), "cc": "日 本 語 lo".split()}
+    make = lambda lang, n: " ".join("".join(rng.choice(syllables[lang], rng.integers(1, 4))).title() + rng.choice(["", ",", "-x"]) for _ in range(n))
+    langs = [("aa", "bb", "cc")[i % 7 % 3] for i in range(150)]
+    texts = [make(lang, 12) for lang in langs]
+    frame = spark.createDataFrame([(i, x, lang) for i, (x, lang) in enumerate(zip(texts, langs))] + [(None, texts[0], "aa"), (500, None, "bb"), (501, texts[1], None)], "doc_id long, text string, lang string")
+    asked = request.getfixturevalue(which).select("doc_id", "text").union(frame.select("doc_id", "text"))
+    words_of = lambda x: re.findall(r"[^\W\d_]+", (x or "").lower())
+    pieces = lambda w, k: [w[i : i + k] for i in range(len(w) - k + 1)] if k == 1 else [f"<{w}>"[i : i + k] for i in range(len(w) + 3 - k)]
+    counts = {k: {lang: Counter() for lang in syllables} for k in range(6)}  # 0: words
+    for i, x, lang in frame.collect():
+        if x and lang and zlib.crc32(str("" if i is None else i).encode()) % 5:
+            for w in words_of(x):
+                counts[0][lang][w] += 1
+                for k in range(1, 6):
+                    counts[k][lang].update(pieces(w, k))
+    names, known = sorted(syllables), {k: set().union(*counts[k].values()) for k in counts}
+    logs = lambda k, key: np.array([math.log(counts[k][x][key] + 0.5) - math.log(sum(counts[k][x].values()) + 0.5 * len(known[k])) for x in names])
+
+    def score(w):
+        if w in known[0]:
+            return logs(0, w)
+        for k in range(5, 0, -1):
+            found = [logs(k, g) for g in pieces(w, k) if g in known[k]]
+            if found:
+                return sum(found) / len(found)
+        return np.zeros(len(names))
+
+    def predict(x):
+        total = sum((score(w) for w in words_of(x)), np.zeros(len(names)))
+        if not words_of(x):
+            return "und", 0.0
+        best = int(np.argmax(total))
+        return names[best], round(1 / np.exp(np.maximum(total - total[best], -700)).sum(), 9)
+
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(asked, langid.fit(frame)).collect())
+    assert got == Counter((i, *predict(x)) for i, x in asked.collect())
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(5)
     def passage(bad):
@@ -387,10 +452,46 @@ def test_maximal_segments():
     assert toxicity.maximal_segments(scores) == [(0, 3, 2.5), (4, 5, 3.0), (6, 7, 0.5)]
     assert toxicity.maximal_segments(np.array([-1.0, 0.0])) == []
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        s = rng.normal(-0.2, 1, 40)
-        best = max(s[i:j].sum() for i in range(40) for j in range(i + 1, 41))
-        assert max((x for _, _, x in toxicity.maximal_segments(s)), default=best) == pytest.approx(best)
+    for n in (1, 2, 5, 40, 60):
+        for _ in range(20):
+            s = rng.normal(-0.2, 1, n)
+            assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == all_segments(s, 0, n)
+            assert [x for _, _, x in toxicity.maximal_segments(s)] == pytest.approx([s[a:b].sum() for a, b in all_segments(s, 0, n)])
+
+
+def all_segments(s, low, high):
+    """Maximal segments by their definition: the best one, then those left and right of it."""
+    best, a, b = max(((s[i:j].sum(), i, j) for i in range(low, high) for j in range(i + 1, high + 1)), default=(0, 0, 0))
+    return [] if best <= 0 else all_segments(s, low, a) + [(a, b)] + all_segments(s, b, high)
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs, clashing):
+    """Scores and passages from all segments of every document, by the definition."""
+    rng = np.random.default_rng(9)
+    odds = {w.encode(): float(x) for w, x in zip(WORDS[:60], rng.normal(0, 1.5, 60))} | {b"abcd*": 2.5, b"abcdef*": -1.0}
+    model = toxicity.Model(odds, lam=0.7, k=0.4, slope=1.3, shift=-2.0)
+    frame = docs.filter("length(text) < 600 or text is null").select("doc_id", "text").union(spark.createDataFrame([(700 + i, " ".join([WORDS[k] if k < 90 else "(Abcdefgh)," if k < 95 else "abcde!" for k in rng.integers(0, 100, 50)])) for i in range(20)], "doc_id long, text string"))
+    def value(w):
+        bare = re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", w.lower())
+        for key in (bare, *[bare[:n] + "*" for n in (6, 5, 4) if len(bare) > n]):
+            if key.encode() in odds:
+                return odds[key.encode()] - 0.2
+        return -0.2
+
+    expected = Counter()
+    for i, x in frame.collect():
+        s = np.array([value(w) for w in words(x)])
+        found = all_segments(s, 0, len(s))
+        sums = [float(s[a:b].sum()) for a, b in found]
+        base = math.log(0.4 * max(1, len(s)))
+        above = [0.7 * v - base for v in sums if 0.7 * v > base]
+        evidence = math.asinh(sum(above) if above else 0.7 * max(sums, default=0.0) - base)
+        shown = tuple((a, b) for (a, b), v in zip(found, sums) if 0.4 * max(1, len(s)) * math.exp(-0.7 * v) < 1)
+        expected[i, round(1 / (1 + math.exp(2.0 - 1.3 * evidence)), 9), shown] += 1
+    for extra in ({}, {"score": F.lit("clash"), "passages": F.lit(1), "doc": F.lit("x")}):
+        got = toxicity.score(frame.withColumns(extra) if extra else frame, model).select("doc.doc_id", "score", "predicted", "passages").collect()
+        assert Counter((r.doc_id, round(r.score, 9), tuple((x.start, x.end) for x in r.passages)) for r in got) == expected
+        assert all(r.predicted == int(r.score >= 0.5) for r in got)
 
 
 def test_lattice_sums_all_segmentations():
@@ -411,6 +512,49 @@ def test_lattice_sums_all_segmentations():
     assert whole == pytest.approx(1.0, abs=1e-3)
 
 
+def test_rank_law_is_likeliest():
+    rng = np.random.default_rng(5)
+    ranks = np.arange(2000.0)
+    for s, q in ((0.7, 30.0), (1.6, 3.0), (0.0, 1.0)):
+        p = (ranks + q) ** -s
+        counts = rng.multinomial(200_000, p / p.sum())
+        logs = lm_scoring.rank_law(ranks, counts)
+        assert np.exp(logs).sum() == pytest.approx(1)
+        assert counts @ logs >= counts @ (np.log(p) - np.log(p.sum())) - 5
+    assert lm_scoring.rank_law(ranks, 0 * ranks)[0] > lm_scoring.rank_law(ranks, 0 * ranks)[9]
+
+
+@pytest.mark.parametrize("learn_pieces", [False, True])
+def test_lm_scores_are_marginal_probabilities(docs, learn_pieces):
+    """Each document's score against a backward sum over all segmentations of its whole text, words not taken apart."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocabulary = sentencepiece.SentencePieceProcessor(model_file=path)
+    lower = lambda x: " ".join(w.translate({c: c + 32 for c in range(65, 91)}) for w in words(x))
+    train = [x for i, x, *_ in rows() if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
+    counts = Counter(i for x in train for w in lower(x).split() for i in vocabulary.encode(w))
+    lattice = lm_scoring.Lattice(path, counts, len(train), learn_pieces)
+    assert math.exp(lattice.end) == pytest.approx((len(train) + 0.5) / (sum(counts.values()) + len(train) + 1))
+    assert sum(math.exp(p) for p in [*lattice.pieces.values(), *lattice.bytes.values()]) + math.exp(lattice.end) == pytest.approx(1)
+
+    def marginal(x):
+        whole = lm_scoring.SPACE + x.replace(" ", lm_scoring.SPACE) if x else ""
+        sums = [0.0] * (len(whole) + 1)
+        for i in range(len(whole) - 1, -1, -1):
+            ways = [lattice.pieces[whole[i:j]] + sums[j] for j in range(i + 1, min(len(whole), i + 20) + 1) if whole[i:j] in lattice.pieces]
+            if whole[i] not in lattice.pieces:
+                ways.append(sum(lattice.bytes[b] for b in whole[i].encode()) + sums[i + 1])
+            sums[i] = float(np.logaddexp.reduce(ways))
+        return (sums[0] + lattice.end) / math.log(10)
+
+    assert lattice.longest <= 20
+    expected = sorted((-1 if i is None else i, marginal(lower(x))) for i, x, *_ in rows())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm_scoring.score(docs, path, hot_words=20, learn_pieces=learn_pieces).collect())
+    assert [i for i, _ in got] == [i for i, _ in expected]
+    assert [x for _, x in got] == pytest.approx([x for _, x in expected], rel=1e-9)
+
+
 def test_lm_base_scores(docs, clashing, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     lower = lambda x: [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(x)] + [None]
@@ -424,7 +568,7 @@ def test_lm_base_scores(docs, clashing, empty):
         w = lower(x)
         expected[i, len(w), sum(train[t] > 0 for t in w), n, round(sum(math.log10((train[t] + 0.5) / (n + 0.5 * (v + 1))) for t in w), 4)] += 1
     for frame, hot in ((docs, 200_000), (clashing, 5)):
-        got = lm_scoring.score(frame, path, hot_words=hot).collect()
+        got = lm_scoring.score(frame, path, hot_words=hot, word_arcs=hot == 5).collect()
         assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == expected
         assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert lm_scoring.score(empty, path).count() == 0
@@ -439,28 +583,84 @@ def test_empty_tables(spark, empty):
     assert records.read_records(records.write_records(empty, path, 1)).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
-    frame = spark.createDataFrame([r for r in rows() if r[0] is not None], DOCS)
-    folder = str(tmp_path)
-    frame.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    steps = dict(corpus_pipeline.STAGES)
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "substring dedup", "mixing", "packing"]
-    kept = steps["toxicity"](spark, docs, folder)
-    assert sorted(kept.columns) == sorted(docs.columns) and kept.count() == docs.count()
-    single = steps["simhash near-dedup"](spark, docs, folder)
-    prints, ids = [brute_print(r[1]) for r in rows() if r[0] is not None], [r[0] for r in rows() if r[0] is not None]
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(roots(prints, ids)))
-    deduped = {r.doc_id: r.text for r in steps["substring dedup"](spark, docs, folder).collect()}
-    assert deduped[1] == text(0, 120) and deduped[5] == "" and deduped[7] == "é 日本 🙂 ..." and deduped[9].split() == ["edited"][:0] + deduped[9].split()
+PIPELINE = [name for name, _ in corpus_pipeline.STAGES]
+
+
+def stage(spark, name, frame, tmp_path, labels=(), times=0):
+    folder = str(tmp_path / f"{name.replace(' ', '-')}-{times}")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return dict(corpus_pipeline.STAGES)[name](spark, frame, folder)
+
+
+def plain(found):
+    return Counter(tuple(r) for r in found.collect())
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    assert PIPELINE == ["toxicity", "simhash near-dedup", "substring dedup", "mixing", "packing"]
+    assert plain(stage(spark, "toxicity", docs, tmp_path, [(1, 1, 0)])) == plain(docs)  # one label teaches nothing
+    single = stage(spark, "simhash near-dedup", docs, tmp_path)
+    by_id = lambda r: (r[0] is not None, r[0] or 0)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in (words(r[1]) for r in rows())]
+    gone = {j for j, b in enumerate(sets) for i, a in enumerate(sets) if rows()[j][0] is not None and rows()[i][0] is not None and (by_id(rows()[i]), i) < (by_id(rows()[j]), j) and (a == b or (a | b and len(a & b) / len(a | b) >= 0.8))}
+    assert plain(single) == Counter(r for j, r in enumerate(rows()) if j not in gone)
+    whole = {(r.doc_id, r.text) for r in stage(spark, "substring dedup", docs, tmp_path).collect()}
+    near = text(0, 120).split()
+    near[60] = "edited"
+    assert {(1, text(0, 120)), (5, ""), (7, "é 日本 🙂 ..."), (2, None), (3, ""), (4, " \n\t"), (9, " ".join(near[60:61]) if len(near[61:]) >= 13 else ""), (None, "")} <= whole
     plan = {}
     for r in mixing.mix(docs).collect():
         plan[r.doc_id] = plan.get(r.doc_id, 0) + r.taken
     mixed = Counter()
-    for r in steps["mixing"](spark, docs, folder).collect():
+    for r in stage(spark, "mixing", docs, tmp_path).collect():
         mixed[r.doc_id] += len(words(r.text))
     assert {i: n for i, n in plan.items() if n} == {i: n for i, n in mixed.items() if n}
-    packed = corpus_pipeline.run(spark, folder)
-    assert {"doc_id", "sequence_id", "offset", "length"} <= set(packed.columns) and packed.count() > 0
-    assert hashlib and queries.QUERIES
+    packed = stage(spark, "packing", docs, tmp_path)
+    assert packed.select("doc_id").distinct().count() == len({r[0] for r in rows()})
+
+
+def test_pipeline_rejects_toxic_documents(spark, tmp_path):
+    calm = lambda i: " ".join(f"calm{(i * j) % 50}" for j in range(40))
+    data = [(i, (calm(i) + (" rage hate filth" * 4 if i % 4 == 0 else "")) if i % 31 else None, "en", "a", 9) for i in range(600)] + [(None, "", "en", "a", 0), (601, "rage hate filth " * 5, None, None, None)]
+    frame = spark.createDataFrame(data, DOCS)
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(500) if i % 31] + [(None, 1, 1), (3, None, None), (900, 0, 1)]
+    kept = stage(spark, "toxicity", frame, tmp_path, labels)
+    assert kept.columns == frame.columns
+    assert plain(kept) == Counter(r for r in data if "rage" not in (r[1] or ""))
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark, tmp_path):
+    one, two = text(0, 60), text(200, 60)
+    data = [(1, one, "en", "a", 1), (1, two, "en", "a", 1), (1, one, "fr", "b", 1), (2, two, "en", "a", 1), (3, None, "en", "a", 7), (4, "", "en", "a", None), (None, one, "en", "a", 1), (None, one, "en", "a", 1)]
+    frame = spark.createDataFrame(data, DOCS)
+    kept = plain(stage(spark, "simhash near-dedup", frame, tmp_path))
+    assert kept == Counter([data[0], data[1], data[4], data[6], data[7]])  # empty texts are copies of each other
+    after = plain(stage(spark, "substring dedup", frame, tmp_path))
+    assert after[data[4]] == 1 and after[data[5]] == 1 and after[(2, "", "en", "a", 0)] == 1
+
+
+@pytest.mark.parametrize("name", PIPELINE)
+def test_pipeline_on_clashing_and_empty_tables(spark, docs, clashing, empty, name, tmp_path):
+    labels = [(r[0], 1, int(r[0] % 2)) for r in rows() if r[0] is not None]
+    base, more = stage(spark, name, docs, tmp_path, labels), stage(spark, name, clashing, tmp_path, labels, 1)
+    if name == "packing":
+        assert plain(base.drop("sequence_id", "offset")) == plain(more.drop("sequence_id", "offset"))
+    else:
+        assert more.columns == clashing.columns
+        assert plain(base) == plain(more.select(*docs.columns))
+    assert stage(spark, name, empty, tmp_path, labels, 2).count() == 0
+    assert stage(spark, name, empty, tmp_path, [], 3).count() == 0
+
+
+def test_pipeline_run(spark, docs, tmp_path):
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    packed = corpus_pipeline.run(spark, folder).collect()
+    by_sequence = {}
+    for r in packed:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert packed
+    for places in by_sequence.values():
+        places.sort()
+        assert [at for at, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 1024

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxlake.llm.common import WORD_PATTERN, cut, texts_of
+from voxlake.llm.common import WORD_PATTERN, cut, lean, texts_of
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -25,8 +25,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Words in a block at most; a hundredth of the smallest target if that is less, one at least.
 BLOCK = 64
-#: Words in a shard, about, and shards of a source at most.
-SHARD, MOST_SHARDS = 50_000, 4096
+#: Words in a shard, about, and shards that are apportioned together; groups of shards come before them.
+SHARD, GROUP = 50_000, 4096
 SEED = 0
 
 
@@ -88,11 +88,14 @@ def block_quotas(slim: DataFrame, seed: int = SEED, block: int = BLOCK, weights:
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
     sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.coalesce(least, F.lit(0.0)) / 100))).cast("long"))
-    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.floor(F.col("source_size") / SHARD))).cast("long")).withColumn("one", F.lit(1))
+    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.floor(F.col("source_size") / SHARD)).cast("long")).withColumn("one", F.lit(1))
     sources = sources.withColumn("blocks", F.floor(F.col("all") / F.col("block") + 0.5).cast("long"))
     sources = cut(sainte_lague(sources, ["one"], "target", "blocks", "ord").drop("one", "blocks", "all"), "sources")
-    lines = on_shards(slim, sources, seed).groupBy("ord", "shard", "block", "quota").agg(F.sum("size").alias("line")).withColumnRenamed("quota", "seats")
-    shards = sainte_lague(lines, ["ord"], "line", "seats", "shard").drop("seats")
+    lines = on_shards(slim, sources, seed).groupBy("ord", "shard", "block", "quota").agg(F.sum("size").alias("line"))
+    lines = cut(lines.withColumn("group", F.expr(f"shard div {GROUP}")), "lines")
+    groups = lines.groupBy("ord", "group", F.col("quota").alias("seats")).agg(F.sum("line").alias("votes"))
+    groups = sainte_lague(groups, ["ord"], "votes", "seats", "group").select("ord", "group", F.col("quota").alias("seats"))
+    shards = sainte_lague(lines.drop("quota").join(groups, ["ord", "group"]), ["ord", "group"], "line", "seats", "shard").drop("seats", "group")
     n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("line") / F.col("block")).cast("long"))
     shards = shards.withColumn("n", n).withColumn("quota", F.least("quota", F.col("n") * repeats)).select("ord", "shard", "n", F.expr("quota div n").alias("base"), F.expr("quota % n").alias("more"), F.pmod(_number(F.md5(F.concat_ws(":", F.lit(str(seed)), "ord", "shard").cast("binary")), 1), F.col("n")).alias("first"))
     return sources, cut(shards, "shards")
@@ -156,4 +159,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     """
     plan = mix(docs, id_col, source_col, text_col, keep=docs.columns, **options).filter("taken > 0")
     rows = plan.select("doc", F.col("doc")[text_col].cast("binary").alias("text"), "size", "start", "block", "n", "base", "more", "first")
-    return rows.mapInArrow(_given, f"doc {rows.schema['doc'].dataType.simpleString()}, part binary").withColumn("part", F.col("part").cast("string"))
+    return rows.mapInArrow(lean(_given), f"doc {rows.schema['doc'].dataType.simpleString()}, part binary").withColumn("part", F.col("part").cast("string"))

@@ -71,7 +71,7 @@ s3 AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(weight)
 s4 AS (SELECT *, lim * (weights - weights_before) <= weight * (total - before) AS limited FROM s3),
 s5 AS (SELECT *, coalesce(sum(lim) FILTER (WHERE limited) OVER (), 0) AS gone, coalesce(sum(weight) FILTER (WHERE limited) OVER (), 0) AS weights_gone FROM s4),
 s6 AS (SELECT source, ord, source_size, total, CASE WHEN limited THEN lim ELSE weight * (total - gone) / (weights - weights_gone) END AS target FROM s5),
-s7 AS (SELECT *, greatest(1, least(64, CAST(floor(coalesce(min(target) FILTER (WHERE target > 0) OVER (), 0) / 100) AS BIGINT))) AS block, greatest(1, least(4096, CAST(floor(source_size / 50000.0) AS BIGINT))) AS shards FROM s6),
+s7 AS (SELECT *, greatest(1, least(64, CAST(floor(coalesce(min(target) FILTER (WHERE target > 0) OVER (), 0) / 100) AS BIGINT))) AS block, greatest(1, CAST(floor(source_size / 50000.0) AS BIGINT)) AS shards FROM s6),
 s8 AS (SELECT *, CAST(floor(total / block + 0.5) AS BIGINT) AS seats FROM s7),
 {_seats_sql("s8", "target", "ord", "", "source, ord, source_size, target, block, shards", "a")},
 e AS (SELECT d.doc_id, d.size, d.seeded, a.*, CAST('0x' || substr(d.seeded, 17, 8) AS BIGINT) % shards AS shard FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
