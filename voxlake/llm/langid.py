@@ -17,13 +17,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxlake.llm.common import fold, lean, texts_of
 
-#: Labelled documents that the classifier is fitted on at most: those with the smallest hash of their id.
-MOST_LABELLED = 20_000
-#: Words and n-grams in the model at most, the most frequent ones; the model is broadcast.
-MOST_WORDS, MOST_GRAMS = 60_000, 40_000
+#: Labelled documents of a language that the classifier is fitted on at most: those with the smallest hash of their id.
+MOST_LABELLED = 5_000
+#: Words, and n-grams of an order, that each language adds to the model at most, its most frequent ones; the model is broadcast.
+MOST_WORDS, MOST_GRAMS = 15_000, 10_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -89,11 +90,15 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """A model from at most ``most`` documents with a language whose id's fold is not 0; without any, an empty one."""
+    """A model from at most ``most`` documents of each language whose id's fold is not 0; without any, an empty one.
+
+    Every language has its own share of documents, words and n-grams, so a frequent one does not crowd out others.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "lang")
     labelled = docs.filter("lang is not null and text is not null").filter(fold(F.col("doc_id")) != 0)
-    some = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select("doc_id").distinct()
-    counts = labelled.join(F.broadcast(some), "doc_id", "left_semi").select("text", "lang").mapInArrow(lean(_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
+    some = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= most).select("lang", "doc_id").distinct()
+    counts = labelled.join(F.broadcast(some), ["lang", "doc_id"], "left_semi").select("text", "lang").mapInArrow(lean(_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     model = Model(sorted(totals))
     if not totals:
@@ -111,7 +116,10 @@ def fit(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
         return found
 
     def top(rows: DataFrame, key: str, n: int) -> list:
-        return rows.groupBy(F.col(key).alias("key")).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).orderBy(F.col("all").desc(), "key").limit(n).collect()
+        """Counts by language of the keys that are among the ``n`` most frequent ones of any language."""
+        first = Window.partitionBy("lang").orderBy(F.col("n").desc(), key)
+        chosen = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= n).select(key).distinct()
+        return rows.join(F.broadcast(chosen), key, "left_semi").groupBy(F.col(key).alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).collect()
 
     model.words = table_of(top(counts, "word", MOST_WORDS), np.array([totals[x] for x in model.languages], float))
     by_gram = counts.mapInArrow(lean(_grams_of), "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).persist()
