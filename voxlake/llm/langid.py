@@ -25,6 +25,8 @@ from voxlake.llm.common import fold, lean, texts_of
 MOST_LABELLED = 5_000
 #: Words, and n-grams of an order, that each language adds to the model at most, its most frequent ones; the model is broadcast.
 MOST_WORDS, MOST_GRAMS = 15_000, 10_000
+#: Parts of a language whose documents are ranked before the whole language's.
+SALTS = 64
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -96,8 +98,10 @@ def fit(docs: DataFrame, most: int = MOST_LABELLED) -> Model:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "lang")
     labelled = docs.filter("lang is not null and text is not null").filter(fold(F.col("doc_id")) != 0)
-    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
-    some = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= most).select("lang", "doc_id").distinct()
+    some = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    for keys in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):  # no task gets all documents of a frequent language
+        some = some.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).filter(F.col("r") <= most)
+    some = some.select("lang", "doc_id").distinct()
     counts = labelled.join(F.broadcast(some), ["lang", "doc_id"], "left_semi").select("text", "lang").mapInArrow(lean(_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     model = Model(sorted(totals))
