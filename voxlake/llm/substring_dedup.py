@@ -339,7 +339,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("doc"), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("ord"), F.xxhash64(text).alias("text_hash"))
     doc_type = rows.schema["doc"].dataType.simpleString()
-    rows = rows.mapInArrow(_squeezed, f"doc {doc_type}, text binary, ord long, text_hash long")
+    rows = rows.mapInArrow(lean(_squeezed), f"doc {doc_type}, text binary, ord long, text_hash long")
     parts = parts_for(docs.sparkSession, text_bytes(docs, text_col), BUCKET_BYTES)
     spans = removal_spans(docs, id_col, text_col, window, buckets).repartition(parts, "ord", "text_hash")
     joined = rows.repartition(parts, "ord", "text_hash").join(spans, ["ord", "text_hash"], "left")

@@ -26,11 +26,9 @@ from voxlake.llm.common import fold, lean, texts_of
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hash of their id.
 MOST_LABELLED = 40_000
-#: Tokens with log-odds at most; a model is broadcast.
-MOST_TOKENS = 50_000
 #: Pseudo-counts of the Dirichlet prior as a share of the labelled tokens, and what a word costs.
 PRIOR, COST = 0.05, 0.2
-#: Standard errors by which a token's log-odds stand out, and its least count.
+#: Standard errors by which a token's log-odds stand out, and the least count at which they can be told.
 STANDS_OUT, LEAST_COUNT = 3.5, 3
 PREFIXES = (6, 5, 4)
 _EDGES = re.compile(rb"^[^a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+$")
@@ -137,7 +135,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Texts and labels of at most ``most`` rows that may be learned from; ``part`` 0 or 1 is for log-odds, 2 for calibration."""
+    """Texts and labels of at most ``most`` rows that may be learned from; ``part`` 0 or 1 is for log-odds, 2 for calibration.
+
+    A document with several labels counts as toxic if one of them says so.
+    """
     by_doc = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     some = by_doc.filter(fold(F.col("doc_id")) != 0).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).join(F.broadcast(some.select("doc_id", "label")), "doc_id")
@@ -185,41 +186,47 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     prior = PRIOR * (F.col("n0") + F.col("n1"))
     odds = F.log((F.col("n1") + prior) / (n1 + pseudo - F.col("n1") - prior)) - F.log((F.col("n0") + prior) / (n0 + pseudo - F.col("n0") - prior))
     z = odds / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    kept = counts.select("token", "n0", odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= STANDS_OUT).orderBy(F.abs("z").desc(), "token").limit(MOST_TOKENS).collect()
+    kept = counts.select("token", "n0", odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= STANDS_OUT).orderBy("token").collect()  # bounded by the labelled rows
     model = Model({bytes(r.token): float(r.odds) for r in kept})
     seen = [(r.n0, r.odds - COST) for r in kept if not bytes(r.token).endswith(b"*")]
     share = np.array([n / n0 for n, _ in seen] + [max(0.0, 1 - sum(n for n, _ in seen) / n0)])
     model.lam = _root(share / share.sum(), np.array([s for _, s in seen] + [-COST]))
     odds_sent = docs.sparkSession.sparkContext.broadcast(model.odds)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(odds_sent.value)
-        for batch in batches:
-            found = [_segments(text, scores) for text in texts_of(batch.column(0))]
-            tops = [[s for _, _, s in segments] for _, segments in found]
-            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array(tops, pa.list_(pa.float64())), batch.column(1)], ["m", "best", "label"])
+    def of_texts(value):
+        """Rows (m, value of the text's segments, label) of the labelled texts; a row a text, however long it is."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scores = _Scores(odds_sent.value)
+            for batch in batches:
+                found = [_segments(text, scores) for text in texts_of(batch.column(0))]
+                values = [value([s for _, _, s in segments], m) for m, segments in found]
+                yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int64()), pa.array(values, pa.float64()), batch.column(1)], ["m", "value", "label"])
+
+        return rows.filter("part = 2").select("text", "label").mapInArrow(lean(run), "m long, value double, label int").collect()
 
-    held = rows.filter("part = 2").select("text", "label").mapInArrow(lean(best), "m long, best array<double>, label int").collect()
-    clean = [(r.m, max(r.best, default=0.0)) for r in held if r.label == 0 and r.m]
+    held = of_texts(lambda scores, m: max(scores, default=0.0))
+    clean = [(r.m, r.value) for r in held if r.label == 0 and r.m]
     if not clean or len({r.label for r in held}) < 2:
         return Model()
     model.k = len(clean) / max(1e-9, sum(m * math.exp(-model.lam * s) for m, s in clean))
-    x = np.array([model.evidence(r.best, r.m) for r in held])
-    model.slope, model.shift = _logistic(x, np.array([r.label for r in held], float))
+    law = Model(lam=model.lam, k=model.k)
+    held = of_texts(law.evidence)
+    model.slope, model.shift = _logistic(np.array([r.value for r in held]), np.array([r.label for r in held], float))
     return model
 
 
 _SEGMENTS = "array<struct<start:int,end:int,score:double,expected:double>>"
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``doc`` (struct of the input's columns other than the text), ``score``, ``predicted`` and ``passages``.
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``doc`` (struct of the input's columns, the text only with ``keep_text``), ``score``, ``predicted`` and ``passages``.
 
     One row per input row. Passages are the maximal segments, as word places and score, with their expected number
     in a text of that length below one. Null and empty texts have no words and get the score of no evidence.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if keep_text or c != text_col]).alias("doc"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
