@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, mixing, packing, records, simhash, substring_dedup, toxicity
+from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, merkle, mixing, packing, records, simhash, substring_dedup, toxicity
 from voxlake.llm.common import fold, table
+from voxlake.llm.merkle_sql import OP11_SQL
 from voxlake.llm.vectors import usable
 
 
@@ -143,6 +144,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.document_manifest(docs).drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_impact_search": op2_impact_search,
@@ -154,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann_tree": op8_ann_tree,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_impact_search": OP2_SQL, "op3_mixing": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_impact_search": OP2_SQL, "op3_mixing": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op11_merkle": OP11_SQL}
