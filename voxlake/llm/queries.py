@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, merkle, mixing, packing, records, simhash, substring_dedup, toxicity
+from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, merkle, mixing, packing, records, simhash, substring_dedup, toxicity, whitening
 from voxlake.llm.common import fold, table
 from voxlake.llm.merkle_sql import OP11_SQL
 from voxlake.llm.vectors import usable
@@ -149,6 +149,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(docs).drop("proof")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_impact_search": op2_impact_search,
@@ -161,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_impact_search": OP2_SQL, "op3_mixing": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op11_merkle": OP11_SQL}
