@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, merkle, mixing, packing, records, simhash, substring_dedup, toxicity, whitening
+from voxlake.llm import ann_tree, impact_search, langid, lm_scoring, merkle, mixing, packing, records, simhash, substring_dedup, suffix_dedup, toxicity, whitening
 from voxlake.llm.common import fold, table
 from voxlake.llm.merkle_sql import OP11_SQL
 from voxlake.llm.vectors import usable
@@ -149,6 +149,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(docs).drop("proof")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return whitening.whiten(vectors, whitening.fit(vectors))
@@ -166,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_whitening": op13_whitening,
 }
 
