@@ -155,6 +155,21 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
+OP12_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT row, doc_id, unnest(range(length(x) // 2 - 49)) AS i FROM d WHERE length(x) >= 100),
+k AS (SELECT p.row, p.doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS h FROM p JOIN d ON p.row = d.row),
+m AS (SELECT h, min(doc_id) AS least FROM k GROUP BY h),
+r AS (SELECT k.row, k.i, coalesce(k.i > lag(k.i) OVER (PARTITION BY k.row ORDER BY k.i) + 50, true) AS opens FROM k JOIN m ON k.h = m.h AND m.least < k.doc_id),
+g AS (SELECT row, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY row ORDER BY i) AS span FROM r),
+s AS (SELECT row, span, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY row, span),
+e AS (SELECT row, a, lag(b, 1, 0) OVER (PARTITION BY row ORDER BY a) AS before FROM s),
+l AS (SELECT s.row, string_agg(substr(x, 2 * before + 1, 2 * (s.a - before)), '' ORDER BY s.a) || substr(any_value(x), 2 * max(b) + 1) AS kept, sum(b - s.a) AS gone, count(*) AS n FROM s JOIN e ON s.row = e.row AND s.a = e.a JOIN d ON s.row = d.row GROUP BY s.row)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN l ON d.row = l.row
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return whitening.whiten(vectors, whitening.fit(vectors))
@@ -176,4 +191,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_impact_search": OP2_SQL, "op3_mixing": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op11_merkle": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_impact_search": OP2_SQL, "op3_mixing": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op11_merkle": OP11_SQL, "op12_suffix_dedup": OP12_SQL}
