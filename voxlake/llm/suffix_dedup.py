@@ -49,6 +49,8 @@ HOT = 50_000
 STRETCH = 1 << 18
 #: Bytes of segments, about, that are ordered together.
 COLLECTION = 4_000_000
+#: Of zstd, for texts and segments.
+LEVEL = 9
 #: Stands for a null id in the order of documents: after all others.
 LAST = np.iinfo(np.int64).max
 _TEXT, _GRAMS, _FLAGS, _SEGMENTS, _PLACES, _ANSWERS = range(6)
@@ -58,6 +60,11 @@ _ROW = "block long, bucket int, kind int, n int, " + ", ".join(f"{c} binary" for
 _SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32())] + [(c, pa.binary()) for c in _COLUMNS])
 
 
+def _squeezed(data: bytes) -> bytes:
+    """Texts are shuffled three times: harder compression than the usual costs less than their bytes."""
+    return pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True) if data else b""
+
+
 def _row(block: int, bucket: int, kind: int, n: int, **data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{"block": block, "bucket": bucket, "kind": kind, "n": n} | dict.fromkeys(_COLUMNS) | data], _SCHEMA)
 
@@ -163,7 +170,7 @@ def _grams(window: int, buckets: int, block_bytes: int, stretch: int):
 
     def rows(block: int, ids: list[int], texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
         own = _Texts(np.array(ids, np.int64), np.array([-1 if t is None else len(t) for t in texts], np.int64), b"".join(t for t in texts if t))
-        yield _row(block, 0, _TEXT, len(ids), ids=packed(own.ids), sizes=packed(own.sizes), data=pa.compress(own.text, codec="zstd", asbytes=True) if own.text else b"")
+        yield _row(block, 0, _TEXT, len(ids), ids=packed(own.ids), sizes=packed(own.sizes), data=_squeezed(own.text))
         first, _, _, distinct, which = own.grams(window, buckets, stretch)
         if not len(first):
             return
@@ -247,9 +254,9 @@ def _cut_segments(window: int, buckets: int, stretch: int):
             strings = list(seen)
             for bucket, part in _by_bucket(dealt[head]):
                 at = head[part]
-                yield _row(block, bucket, _SEGMENTS, len(at), ids=packed(least[part]), sizes=packed(count[at].astype(np.uint8)), a=packed((dealt[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), b=packed((-column[at]).astype(np.uint8)), data=pa.compress(b"".join(strings[part]), codec="zstd", asbytes=True))
+                yield _row(block, bucket, _SEGMENTS, len(at), ids=packed(least[part]), sizes=packed(count[at].astype(np.uint8)), a=packed((dealt[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), b=packed((-column[at]).astype(np.uint8)), data=_squeezed(b"".join(strings[part])))
             order = np.argsort(first)
-            yield _row(block, -1, _PLACES, len(first), a=packed(np.diff(first[order], prepend=0)), b=packed(number[order].astype(np.int32)), sizes=packed(count[order].astype(np.uint8)))
+            yield _row(block, block % buckets, _PLACES, len(first), a=packed(np.diff(first[order], prepend=0)), b=packed(number[order].astype(np.int32)), sizes=packed(count[order].astype(np.uint8)))
 
     return run
 
@@ -327,6 +334,12 @@ def _answers(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "bucket"):
+            for r in rows:
+                if r["kind"] == _PLACES:  # on their way back to their block
+                    yield pa.RecordBatch.from_pylist([r], _SCHEMA)
+            rows = [r for r in rows if r["kind"] == _SEGMENTS]
+            if not rows:
+                continue
             seen: dict[bytes, int] = {}
             numbers, owners, keys, columns = [], [], [], []
             for r in rows:
@@ -427,7 +440,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return rows.repartition(2 * buckets if by == "bucket" else parts, by).sortWithinPartitions(by, "kind", "bucket", "block")
 
     flags = dealt(blocks.filter(f"kind = {_GRAMS}"), "bucket").mapInArrow(lean(_flags(HOT)), _ROW)
-    found = cut(dealt(texts.unionByName(flags), "block").mapInArrow(lean(_cut_segments(window, buckets, stretch)), _ROW), "segments")
-    answers = dealt(found.filter(f"kind = {_SEGMENTS}"), "bucket").mapInArrow(lean(_answers(window)), _ROW)
-    back = texts.unionByName(found.filter(f"kind = {_PLACES}")).unionByName(answers)
-    return dealt(back, "block").mapInArrow(lean(_spans(window)), "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>")
+    found = dealt(texts.unionByName(flags), "block").mapInArrow(lean(_cut_segments(window, buckets, stretch)), _ROW)
+    answers = dealt(found, "bucket").mapInArrow(lean(_answers(window)), _ROW)
+    return dealt(texts.unionByName(answers), "block").mapInArrow(lean(_spans(window)), "doc_id long, kept binary, n_bytes long, n_removed long, starts array<long>, ends array<long>")
