@@ -6,75 +6,17 @@ path. Pseudonyms are keyed hashes, so retries and later runs agree, and equal va
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxlake.functions.scalars import clean, let, tag_flags
+from voxlake.operators.deid_tags import DATE_TAGS, ID_TAGS, KEPT_DATES, NAME_TAGS, PROFILE, UID_TAGS  # noqa: F401
+from voxlake.operators.typing import listed_dictionary, typed
 from voxlake.sources.shared import checkpointed, numbered
 
-#: Dates and times that stay: context group and template versions and product expiration.
-KEPT_DATES = ["00080106", "00080107", "0040DB06", "0040DB07", "0044000B"]
-#: The survey's lists (2.7) with what was here before; SOP class tags are in none, a class shared by files is no identity.
-UID_TAGS = [
-    "00020003", "00041511", "00080014", "00080018", "0008010D", "00081155", "00081195", "00083010", "00181002", "00182042", "0020000D", "0020000E", "00200052", "00200200",
-    "00209161", "00209164", "00281199", "00281214", "003A0310", "00400554", "00404023", "0040A124", "0040A171", "0040A172", "0040A402", "0040DB0C", "0040DB0D", "00620021",
-    "0070031A", "00701101", "00701102", "00880140", "04000100", "30060024", "300600C2", "300A0013", "300A0083", "300A0609", "300A0650", "300A0700", "30100006", "3010000B",
-    "30100013", "30100015", "30100031", "3010003B", "3010006E", "3010006F",
-]
-ID_TAGS = [
-    "00100020", "00120020", "00120040", "00120042", "00200010", "00340002", "00380010", "00400512", "00400551", "00401001", "0040A027",
-]
-#: The survey's profile, fixed values of the de-identification standard; callers may pass their own, of any size, as {action: [tags]}.
-PROFILE = {
-    "remove": [
-        "00080058", "00080092", "00080094", "00080096", "0008009D", "00081048", "00081049", "00081050", "00081052", "00081060", "00081062", "00081072", "00081120", "00100021",
-        "00100032", "00100050", "00100101", "00100102", "00101000", "00101001", "00101002", "00101005", "00101040", "00101050", "00101060", "00101080", "00101081", "00101090",
-        "00101100", "00102000", "00102150", "00102152", "00102154", "00102155", "00102160", "00102180", "001021B0", "001021F0", "00102297", "00102299", "00104000", "00120021",
-        "00120071", "00120082", "0016004D", "00160070", "00160071", "00160072", "00160073", "00160074", "00160075", "00160076", "00160077", "00160078", "00160079", "0016007A",
-        "0016007B", "0016007C", "0016007D", "0016007E", "0016007F", "00160080", "00160081", "00160082", "00160083", "00160084", "00160085", "00160086", "00160087", "00160088",
-        "00160089", "0016008A", "0016008B", "0016008C", "0016008E", "00203401", "00203406", "00284000", "00320012", "00321032", "00321033", "00380004", "00380010", "00380011",
-        "00380014", "0038001E", "00380060", "00380061", "00380064", "00380300", "00380400", "00380500", "00400006", "00400007", "00400009", "0040000B", "00400243", "00400253",
-        "00400254", "00400280", "0040050A", "004006FA", "00401001", "00401004", "00401005", "00401010", "00401011", "00401102", "00401103", "00401104", "00402008", "00402009",
-        "00402010", "00402011", "00403001", "00404034", "00404035", "00404036", "00404037", "0040A078", "0040A07A", "0040A07C", "0040A307", "0040A352", "0040A353", "0040A354",
-        "0040A358", "0050001B", "00700086", "00880200", "00880904", "00880906", "00880910", "00880912", "04000402", "04000403", "04000404", "04000550", "04000551", "04000552",
-        "04000561", "04000600", "20300020", "40000010", "40004000", "40080042", "40080102", "4008010A", "4008010C", "40080111", "40080114", "40080118", "40080119", "4008011A",
-        "40080202", "40080300", "FFFAFFFA", "FFFCFFFC",
-    ],
-    "description_remove": [
-        "00081030", "0008103E", "00081080", "00081084", "00082111", "00084000", "00102180", "001021B0", "00104000", "00120051", "00120072", "0016002B", "0016004B", "00181030",
-        "00181400", "00184000", "00189185", "0018937B", "0018937F", "00189424", "0018A003", "00204000", "00209158", "00321030", "00321060", "00321066", "00321067", "00321070",
-        "00324000", "00380040", "00380062", "00380500", "00384000", "00400275", "00400280", "00400310", "00400600", "00400602", "00401002", "0040100A", "00401400", "00402001",
-        "00402400", "00500021", "30060004", "30060006", "30060028", "30060038", "300A0003", "300A0004", "300A000E", "300A0016", "300A0072", "300A00C3", "300A00DD", "300A0196",
-        "300A01A6", "300A01B2", "300A02EB", "300A0676", "300C0113", "30100036", "30100037", "30100056", "30100061", "30100081", "4008010B", "40080115", "40084000",
-    ],
-    "device_remove": [
-        "0016004E", "0016004F", "00160050", "00160051", "00181000", "00181002", "00181004", "00181005", "00181007", "00181008", "00181009", "0018100A", "0018100B", "00185011",
-        "00189373", "00321020", "00321021", "00400001", "00400010", "00400011", "00400241", "00400242", "00404025", "00404027", "00404028", "00404030", "00500020", "300A0216",
-    ],
-    "institution_remove": ["00080080", "00080081", "00080082", "00081040", "00081041", "00081050"],
-    "patient_remove": [
-        "00101000", "00101010", "00101020", "00101030", "00102110", "00102160", "001021A0", "001021C0", "00380050", "00400012",
-    ],
-    "empty": [
-        "00080050", "00080090", "00100030", "00100040", "00120050", "00200010", "00340005", "00402016", "00402017", "22000005", "3010001B",
-    ],
-    "description_empty": [
-        "00081030", "0008103E", "00180010", "0040051A", "22000002", "30060026", "30060085", "30060088", "300A0611", "300A0615", "300A067D", "3010000F", "30100017", "3010005A",
-        "3010005C", "3010007A", "3010007B", "3010007F",
-    ],
-    "device_empty": ["00081010", "30080105", "300A00B2", "30100043"],
-    "institution_empty": ["00080080", "00120030", "00120031", "00120060"],
-    "patient_empty": ["00100040", "00102203"],
-    "description_replace": [
-        "001811BB", "30060002", "300A0002", "300A0608", "300A0619", "300A0623", "300A062A", "300A067C", "300A0734", "300A0741", "300A0783", "30100033", "30100034", "30100035",
-        "30100038", "30100054", "30100077",
-    ],
-    "device_replace": ["00181000", "0018700A", "00189367", "00189371", "3010002D"],
-    "institution_replace": ["00120081"],
-    "zero": ["00400513", "00400555", "00400562", "0040A088"],
-    "structured_zero": ["00400555", "00400610", "0040A730"],
-}
 #: Values that are looked up in every task; more of them join by value.
 BROADCAST_ROWS = 100_000
 #: UIDs that the standard itself gives begin so.
@@ -105,8 +47,24 @@ def pseudo_id(value: Column, salt: str) -> Column:
     return let(F.sha2(F.concat(F.lit(salt), value), 256), lambda h: F.concat(*[letter(h, i) for i in range(11)]))
 
 
+def _listed(elements: DataFrame) -> DataFrame:
+    """Elements with text where the lists know what an unknown binary value is."""
+    return typed(elements, listed_dictionary())
+
+
+def _replaced(elements: DataFrame, where: Column, value: Column) -> DataFrame:
+    """Another value where a condition holds; the bytes of the old one go, its length follows."""
+    where = F.coalesce(where, F.lit(False))
+    new = {"value": value, "value_bin": F.lit(None), "vl": F.octet_length(value).cast("long")}
+    return elements.withColumns({c: F.when(where, new[c]).otherwise(F.col(c)) for c in new if c in elements.columns})
+
+
+def _is_name(name_tags: list[str] = NAME_TAGS) -> Column:
+    return (F.col("vr") == "PN") | F.col("tag").isin(name_tags)
+
+
 def _distinct(elements: DataFrame, wanted: Column) -> DataFrame:
-    return elements.filter(wanted).select(clean(F.col("value")).alias("old")).filter("old <> ''").distinct()
+    return _listed(elements).filter(wanted).select(clean(F.col("value")).alias("old")).filter("old <> ''").distinct()
 
 
 def build_uid_map(elements: DataFrame, uid_tags: list[str] = UID_TAGS, salt: str = "") -> DataFrame:
@@ -115,8 +73,8 @@ def build_uid_map(elements: DataFrame, uid_tags: list[str] = UID_TAGS, salt: str
 
 
 def build_name_map(elements: DataFrame, salt: str = "", surnames: list[str] | None = None) -> DataFrame:
-    """``old`` and ``new`` of every distinct person name; different names may share a pseudonym."""
-    return _distinct(elements, F.col("vr") == "PN").withColumn("new", pseudo_name(F.col("old"), salt, surnames))
+    """``old`` and ``new`` of every distinct person name, by representation or tag; different names may share a pseudonym."""
+    return _distinct(elements, _is_name()).withColumn("new", pseudo_name(F.col("old"), salt, surnames))
 
 
 def build_id_map(elements: DataFrame, id_tags: list[str] = ID_TAGS, salt: str = "") -> DataFrame:
@@ -127,60 +85,87 @@ def build_id_map(elements: DataFrame, id_tags: list[str] = ID_TAGS, salt: str =
 def apply_maps(elements: DataFrame, uids: DataFrame, names: DataFrame, ids: DataFrame, uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS, preserve_uids: bool = False) -> DataFrame:
     """Values replaced by their pseudonyms; unmapped ones stay.
 
-    UIDs by tag or VR, names by VR, ids by tag. With ``preserve_uids`` only (0400,0100) changes. One join by value
+    UIDs by tag or VR, names by VR or tag, ids by tag. With ``preserve_uids`` only (0400,0100) changes. One join by value
     over the three maps together: in every task up to ``BROADCAST_ROWS`` of them, so that values of very many rows
     are no key; rows of no kind carry no key, so they do not meet in one task either.
     """
     uid = F.col("tag") == "04000100" if preserve_uids else F.col("tag").isin(uid_tags) | (F.col("vr") == "UI")
-    kind = F.when(F.col("tag").isin(id_tags), "id").when(F.coalesce(uid, F.lit(False)), "uid").when(F.col("vr") == "PN", "name")
+    kind = F.when(F.col("tag").isin(id_tags), "id").when(F.coalesce(uid, F.lit(False)), "uid").when(_is_name(), "name")
     maps = uids.withColumn("kind", F.lit("uid")).unionByName(names.withColumn("kind", F.lit("name"))).unionByName(ids.withColumn("kind", F.lit("id")))
     maps = F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps
-    marked = elements.withColumn("_kind", kind)
+    marked = _listed(elements).withColumn("_kind", kind)
     touched = marked.filter("_kind is not null").withColumn("_old", clean(F.col("value")))
-    new = touched.join(maps.select(F.col("kind").alias("_kind"), F.col("old").alias("_old"), "new"), ["_kind", "_old"], "left").withColumn("value", F.coalesce("new", "value"))
+    new = touched.join(maps.select(F.col("kind").alias("_kind"), F.col("old").alias("_old"), F.col("new").alias("_new")), ["_kind", "_old"], "left")
+    new = _replaced(new, F.col("_new").isNotNull(), F.col("_new"))
     return new.select(*elements.columns).unionByName(marked.filter("_kind is null").select(*elements.columns))
 
 
-def pseudonymised(elements: DataFrame, source: DataFrame, salt: str = "", uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS, surnames: list[str] | None = None, preserve_uids: bool = False) -> DataFrame:
-    """The same values as ``apply_maps`` with the maps of ``source``, without a join for those that are mapped anyway.
+def _moved_uids(source: DataFrame, uid_tags: list[str], id_tags: list[str], salt: str) -> DataFrame | None:
+    """``_old`` and ``_new`` of the UIDs under other tags that are identifiers too; None if there are none.
 
-    A pseudonym is a hash of its value, so tags of the lists and person names take it in the projection. Only UIDs
-    under other tags have to be looked up among the identifiers of ``source``. What the standard itself names
-    (classes, syntaxes) is no identity and takes no part, so no value of all files is a join key.
+    The few values of other tags are looked for among the identifiers, not the other way round: without any, nothing
+    but their tags is read.
     """
     old = clean(F.col("value"))
-    uid = F.col("tag").isin([t for t in uid_tags if t == "04000100"] if preserve_uids else uid_tags)
-    new = F.when(F.col("tag").isin(id_tags), pseudo_id(old, salt)).when(uid, pseudo_uid(old, salt)).when(F.col("vr") == "PN", pseudo_name(old, salt, surnames))
-    direct = elements.withColumn("value", F.when(old != "", F.coalesce(new, "value")).otherwise(F.col("value")))
-    if preserve_uids:
-        return direct
-    other = F.coalesce((F.col("vr") == "UI") & ~F.col("tag").isin(uid_tags) & ~F.col("tag").isin(id_tags) & ~F.startswith(old, F.lit(STANDARD_ROOT)), F.lit(False))
-    both = source.filter(F.col("tag").isin(uid_tags) | other).groupBy(old.alias("_old")).agg(F.bool_or(F.col("tag").isin(uid_tags)).alias("known"), F.bool_or(other).alias("other"))
-    moved = checkpointed(both.filter("known and other and _old <> ''").select("_old", pseudo_uid(F.col("_old"), salt).alias("_new")))
-    n = moved.count()
+    found = checkpointed(source.filter(_other_uid(uid_tags, id_tags)).select(old.alias("_old")).filter("_old <> ''").distinct())
+    n = found.count()
     if not n:
-        return direct
+        return None
+    known = source.filter(F.col("tag").isin(uid_tags)).select(old.alias("_old"))
     if n <= BROADCAST_ROWS:
-        found = direct.join(F.broadcast(moved), other & (old == F.col("_old")), "left")
+        known = known.join(F.broadcast(found), "_old", "left_semi")
+    moved = checkpointed(found.join(known.distinct(), "_old", "left_semi").select("_old", pseudo_uid(F.col("_old"), salt).alias("_new")))
+    return None if moved.isEmpty() else moved
+
+
+def _other_uid(uid_tags: list[str], id_tags: list[str]) -> Column:
+    """A UID under a tag of no list that the standard itself doesn't name (classes, syntaxes)."""
+    return F.coalesce((F.col("vr") == "UI") & ~F.col("tag").isin(uid_tags) & ~F.col("tag").isin(id_tags) & ~F.startswith(clean(F.col("value")), F.lit(STANDARD_ROOT)), F.lit(False))
+
+
+def _looked_up(elements: DataFrame, moved: DataFrame, uid_tags: list[str], id_tags: list[str]) -> DataFrame:
+    old, other = clean(F.col("value")), _other_uid(uid_tags, id_tags)
+    if moved.count() <= BROADCAST_ROWS:
+        found = elements.join(F.broadcast(moved), other & (old == F.col("_old")), "left")
     else:  # rows without a lookup are dealt by file
         key = F.when(other, F.concat(F.lit("v"), old)).otherwise(F.concat(F.lit("f"), F.col("file_id").cast("string")))
-        found = direct.withColumn("_key", key).join(moved.withColumn("_key", F.concat(F.lit("v"), "_old")), "_key", "left")
-    return found.withColumn("value", F.coalesce("_new", "value")).select(*elements.columns)
+        found = elements.withColumn("_key", key).join(moved.withColumn("_key", F.concat(F.lit("v"), "_old")), "_key", "left")
+    return _replaced(found, F.col("_new").isNotNull(), F.col("_new")).select(*elements.columns)
+
+
+def _pseudonym(salt: str, uid_tags: list[str], id_tags: list[str], name_tags: list[str], surnames: list[str] | None, preserve_uids: bool) -> Column:
+    """The pseudonym of a value under the lists' tags or of a name; null for others and for blank values."""
+    old = clean(F.col("value"))
+    uid = F.col("tag").isin([t for t in uid_tags if t == "04000100"] if preserve_uids else uid_tags)
+    new = F.when(F.col("tag").isin(id_tags), pseudo_id(old, salt)).when(uid, pseudo_uid(old, salt)).when(_is_name(name_tags), pseudo_name(old, salt, surnames))
+    return F.when(old != "", new)
+
+
+def pseudonymised(elements: DataFrame, source: DataFrame, salt: str = "", uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS, surnames: list[str] | None = None, preserve_uids: bool = False, name_tags: list[str] = NAME_TAGS) -> DataFrame:
+    """The same values as ``apply_maps`` with the maps of ``source``, without a join for those that are mapped anyway.
+
+    A pseudonym is a hash of its value, so tags of the lists and person names take it in the projection. Only UIDs
+    under other tags have to be looked up among the identifiers of ``source``. What the standard itself names
+    (classes, syntaxes) is no identity and takes no part, so no value of all files is a join key.
+    """
+    rows = _listed(elements)
+    new = _pseudonym(salt, uid_tags, id_tags, name_tags, surnames, preserve_uids)
+    moved = None if preserve_uids else _moved_uids(_listed(source), uid_tags, id_tags, salt)
+    if moved is not None:
+        rows = _looked_up(rows, moved, uid_tags, id_tags)
+    return _replaced(rows.withColumn("_pseudonym", new), F.col("_pseudonym").isNotNull(), F.col("_pseudonym")).select(*rows.columns)
 
 
 def single_identity(elements: DataFrame, name: str = "", pid: str = "") -> DataFrame:
     """One-patient mode, if either text is given: the name where given, the id even when blank; blanks become ``^``."""
     if not name and not pid:
         return elements
-    value = F.when(F.col("tag") == "00100020", F.lit(pid.replace(" ", "^")))
-    if name:
-        value = value.when(F.col("tag") == "00100010", F.lit(name.replace(" ", "^")))
-    return elements.withColumn("value", value.otherwise(F.col("value")))
+    return _replaced(elements, F.col("tag").isin(["00100020", "00100010"] if name else ["00100020"]), F.when(F.col("tag") == "00100020", F.lit(pid.replace(" ", "^"))).otherwise(F.lit(name.replace(" ", "^"))))
 
 
 def single_patient_guard(elements: DataFrame) -> DataFrame:
     """``n_patients`` and ``refused``: whether there is more than one patient id."""
-    ids = elements.filter("tag = '00100020'").agg(F.countDistinct(clean(F.col("value"))).alias("n_patients"))
+    ids = _listed(elements).filter("tag = '00100020'").agg(F.countDistinct(clean(F.col("value"))).alias("n_patients"))
     return ids.withColumn("refused", F.col("n_patients") > 1)
 
 
@@ -202,13 +187,16 @@ def zero_sequences(elements: DataFrame, tags: list[str]) -> DataFrame:
     """The tags stay, empty; what lies under them goes."""
     if not tags:
         return elements
-    return elements.filter(~_under(tags)).withColumn("value", F.when(F.col("tag").isin(tags), "").otherwise(F.col("value")))
+    return _replaced(elements.filter(~_under(tags)), F.col("tag").isin(tags), F.lit(""))
+
+
+def _odd(tag: Column) -> Column:
+    return F.substring(tag, 4, 1).isin(*"13579BDF")
 
 
 def remove_private(elements: DataFrame) -> DataFrame:
     """Without odd groups, at any depth."""
-    odd = lambda tag: F.conv(F.substring(tag, 4, 1), 16, 10).cast("int") % 2 == 1
-    return elements.filter(~(odd(F.col("tag")) | F.exists("path", lambda step: odd(step["tag"]))))
+    return elements.filter(~(_odd(F.col("tag")) | F.exists("path", lambda step: _odd(step["tag"]))))
 
 
 def remove_group_length(elements: DataFrame) -> DataFrame:
@@ -218,7 +206,7 @@ def remove_group_length(elements: DataFrame) -> DataFrame:
 def _repeating(prefix: str) -> Column:
     """Even groups xx00 to xxFF at the top level, and items under them."""
     group = F.when(F.size("path") > 0, F.col("path")[0]["tag"]).otherwise(F.col("tag"))
-    return group.startswith(prefix) & (F.conv(F.substring(group, 4, 1), 16, 10).cast("int") % 2 == 0)
+    return group.startswith(prefix) & ~_odd(group)
 
 
 def remove_overlays(elements: DataFrame) -> DataFrame:
@@ -241,9 +229,24 @@ def _hour(value: Column, vr: Column) -> Column:
 
 def has_early_time(elements: DataFrame) -> DataFrame:
     """``file_id`` and ``early``: whether a time or stamp of the file has an hour below one."""
-    values = F.split(clean(F.col("value")), r"\\")
-    early = is_date_time(F.col("vr"), F.col("tag")) & F.coalesce(F.exists(values, lambda x: F.coalesce(_hour(F.trim(x), F.col("vr")) == "00", F.lit(False))), F.lit(False))
-    return elements.groupBy("file_id").agg(F.bool_or(early).alias("early"))
+    return _listed(elements).groupBy("file_id").agg(F.bool_or(_early()).alias("early"))
+
+
+def _values() -> Column:
+    return F.split(clean(F.col("value")), r"\\")
+
+
+def _early() -> Column:
+    """Whether a row has a time or stamp, of those that move, with an hour below one."""
+    return F.coalesce(is_date_time(F.col("vr"), F.col("tag")) & F.exists(_values(), lambda x: F.coalesce(_hour(F.trim(x), F.col("vr")) == "00", F.lit(False))), F.lit(False))
+
+
+def _shifted(early: Column, years: int, months: int, days: int, seconds: int) -> Column:
+    return F.array_join(F.transform(_values(), lambda x: F.when(F.trim(x) == "", "").otherwise(_moved(F.trim(x), F.col("vr"), early, years, months, days, seconds))), "\\")
+
+
+def _moves() -> Column:
+    return is_date_time(F.col("vr"), F.col("tag")) & (clean(F.col("value")) != "")
 
 
 def _back(date: Column, years: int, months: int, days: int) -> Column:
@@ -291,13 +294,15 @@ def shift_dates(elements: DataFrame, years: int, months: int, days: int, seconds
     becomes zeros. Stamps move by what their length holds and lose their zone. Values between ``\`` move one by one;
     other shapes become empty. Empty values stay as they are.
     """
-    touched = is_date_time(F.col("vr"), F.col("tag")) & (clean(F.col("value")) != "")
-    early = Window.partitionBy("file_id")
-    values = F.split(clean(F.col("value")), r"\\")
-    own = F.coalesce(F.exists(values, lambda x: F.coalesce(_hour(F.trim(x), F.col("vr")) == "00", F.lit(False))), F.lit(False)) & F.coalesce(touched, F.lit(False))
-    rows = elements.withColumn("_early", F.max(own).over(early))
-    moved = F.array_join(F.transform(values, lambda x: F.when(F.trim(x) == "", "").otherwise(_moved(F.trim(x), F.col("vr"), F.col("_early"), years, months, days, seconds))), "\\")
-    return rows.withColumn("value", F.when(F.coalesce(touched, F.lit(False)), moved).otherwise(F.col("value"))).select(*elements.columns)
+    rows = _listed(elements)
+    marked = rows.withColumn("_early", F.max(_early()).over(Window.partitionBy("file_id")))
+    return _replaced(marked, _moves(), _shifted(F.col("_early"), years, months, days, seconds)).select(*rows.columns)
+
+
+def default_offset(salt: str) -> tuple[int, int, int, int]:
+    """One offset for a run, by its salt: 1 to 2 years, 1 to 3 months, 1 to 4 days and 1 to 1999 seconds."""
+    found = hashlib.sha256(b"offset" + salt.encode()).digest()
+    return tuple(1 + int.from_bytes(found[4 * i : 4 * i + 4]) % most for i, most in enumerate((2, 3, 4, 1999)))
 
 
 def stamp_profile(elements: DataFrame, text: str, options: dict[str, bool], files: DataFrame | None = None) -> DataFrame:
@@ -308,6 +313,16 @@ def stamp_profile(elements: DataFrame, text: str, options: dict[str, bool], file
     dates or 113107 modified dates; 113108 patient characteristics, 113109 device, 113112 institution, 113110 UIDs
     kept; 113111 safe private. ``files`` are the files to mark, by default those of the elements.
     """
+    files = elements.select("file_id").distinct() if files is None else files
+    new = files.withColumn("_row", F.explode(_stamps(text, options))).select("file_id", "_row.*")
+    return remove_tags(elements, STAMP_TAGS).unionByName(new, allowMissingColumns=True)
+
+
+STAMP_TAGS = ["00120062", "00120063", "00120064"]
+
+
+def _stamps(text: str, options: dict[str, bool]) -> Column:
+    """The rows of a stamp: path, tag, vr, value."""
     codes = ["113100"]
     codes += [code for code, name in (("113101", "clean_pixels"), ("113102", "clean_features"), ("113106", "keep_dates"), ("113107", "shift_dates"), ("113108", "keep_patient"), ("113109", "keep_device"), ("113112", "keep_institution"), ("113110", "keep_uids"), ("113111", "keep_private")) if options.get(name)]
     codes += [code for code, name in (("113103", "remove_graphics"), ("113104", "remove_structured"), ("113105", "remove_descriptions")) if not options.get(name)]
@@ -317,41 +332,90 @@ def stamp_profile(elements: DataFrame, text: str, options: dict[str, bool], file
     for i, code in enumerate(sorted(codes), 1):
         path = F.array(F.struct(F.lit("00120064").alias("tag"), F.lit(i).alias("item")))
         rows += [row(path, "00080100", "SH", code), row(path, "00080102", "SH", "DCM")]
-    files = elements.select("file_id").distinct() if files is None else files
-    new = files.withColumn("_row", F.explode(F.array(*rows))).select("file_id", "_row.*")
-    old = remove_tags(elements, ["00120062", "00120063", "00120064"])
-    return old.unionByName(new, allowMissingColumns=True)
+    return F.array(*rows)
 
 
-def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, options: dict | None = None, salt: str = "", uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS) -> DataFrame:
-    """All steps in order: private tags, graphics, zeroed, emptied and removed tags by topic, dates, UIDs, names, ids, group lengths, stamp.
+TOPICS = {"": "", "description": "keep_descriptions", "device": "keep_device", "patient": "keep_patient", "institution": "keep_institution"}
 
-    Files with a tag twice in one data set are refused: none of their rows comes out. Options: ``keep_*`` and
-    ``remove_*`` flags as in ``stamp_profile``, ``offset`` (years, months, days, seconds), ``name`` and ``id`` for a
-    single patient (set last, so they stay), ``text`` of the stamp.
-    """
-    options = options or {}
-    in_set, in_file = Window.partitionBy("file_id", "path", "tag"), Window.partitionBy("file_id")
-    marked = elements.withColumn("_n", F.count("*").over(in_set)).withColumn("_n", F.max("_n").over(in_file))
-    rows = marked.filter("_n = 1").drop("_n")  # later steps by file find its rows together
-    files = rows.select("file_id").distinct()
-    if not options.get("keep_private"):
-        rows = remove_private(rows)
-    if options.get("remove_graphics", True):
-        rows = remove_curves(remove_overlays(rows))
-    rows = zero_sequences(rows, profile.get("zero", []) + (profile.get("structured_zero", []) if options.get("remove_structured") else []))
-    topics = {"": "", "description": "keep_descriptions", "device": "keep_device", "patient": "keep_patient", "institution": "keep_institution"}
-    for topic, keep in topics.items():
+
+def profile_actions(profile: dict[str, list[str]], options: dict) -> tuple[set[str], set[str]]:
+    """Tags that go and tags that are blanked, by the topics that the options don't keep; what goes isn't blanked."""
+    gone, blank = set(), set(profile.get("zero", [])) | set(profile.get("structured_zero", []) if options.get("remove_structured") else [])
+    for topic, keep in TOPICS.items():
         if keep and options.get(keep):
             continue
         name = f"{topic}_" if topic else ""
-        rows = empty_tags(rows, profile.get(f"{name}empty", []) + profile.get(f"{name}replace", []))
-        rows = remove_tags(rows, profile.get(f"{name}remove", []))
-    if options.get("offset"):
-        rows = shift_dates(rows, *options["offset"])
-    rows = pseudonymised(rows, elements, salt, uid_tags, id_tags, preserve_uids=bool(options.get("keep_uids")))
-    rows = single_identity(rows, options.get("name", ""), options.get("id", ""))
-    return stamp_profile(remove_group_length(rows), options.get("text", "de-identified"), options | {"shift_dates": bool(options.get("offset")), "remove_graphics": options.get("remove_graphics", True), "remove_descriptions": not options.get("keep_descriptions")}, files)
+        blank |= {*profile.get(f"{name}empty", []), *profile.get(f"{name}replace", [])}
+        gone |= {*profile.get(f"{name}remove", [])}
+    return gone, blank - gone
+
+
+def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, options: dict | None = None, salt: str = "", uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS, name_tags: list[str] = NAME_TAGS, vr_of: dict[str, str] | None = None) -> DataFrame:
+    """All steps in one pass: private tags, graphics, zeroed, emptied and removed tags by topic, dates, UIDs, names, ids, group lengths, stamp.
+
+    Values without a representation are typed first, by the lists and ``vr_of`` (``typing.dictionary_of`` makes one from
+    the files in explicit form); what stays unknown and binary is removed, as nobody can say what it holds. No bytes of
+    a replaced value stay. Dates move by ``offset`` (years, months, days, seconds), by default one that the salt gives,
+    unless ``keep_dates``. Files with a tag twice in one data set are refused: none of their rows comes out. More options: ``keep_*``
+    and ``remove_*`` flags as in ``stamp_profile``, ``name`` and ``id`` for a single patient (set last, so they stay),
+    ``text`` of the stamp.
+
+    What goes and what is blanked is one test of the tag and one of the path. Rows are dealt by file once; one sort
+    finds tags that are there twice, the file's first row, which brings the stamp, and hours below one.
+    """
+    options = options or {}
+    if options.get("keep_dates") and options.get("offset"):
+        raise ValueError("dates are kept or moved by an offset, not both")
+    offset = None if options.get("keep_dates") else options.get("offset") or default_offset(salt)
+    rows = typed(elements, listed_dictionary() | (vr_of or {}))
+    gone, blank = profile_actions(profile, options)
+    graphics = options.get("remove_graphics", True)
+    gone |= set(STAMP_TAGS) | ({"00700001"} if graphics else set())
+    below = sorted(gone | blank)
+    private = (lambda tag: F.lit(False)) if options.get("keep_private") else _odd
+    leaves = F.col("tag").isin(sorted(gone)) | private(F.col("tag")) | (F.substring("tag", 5, 4) == "0000") | F.exists("path", lambda step: step["tag"].isin(below) | private(step["tag"]))
+    if graphics:
+        leaves |= _repeating("60") | _repeating("50")
+    if "value_bin" in rows.columns:
+        leaves |= F.coalesce(F.col("vr"), F.lit("UN")).isin("UN", "") & F.col("value_bin").isNotNull() & ~_odd(F.col("tag"))
+    leaves = F.coalesce(leaves, F.lit(False))
+    blanked = F.col("tag").isin(sorted(blank))
+
+    moved = None if options.get("keep_uids") else _moved_uids(rows, uid_tags, id_tags, salt)
+    in_order = Window.partitionBy("file_id").orderBy("tag", "path")
+    whole = Window.partitionBy("file_id")
+    twice = (F.lag("tag").over(in_order) == F.col("tag")) & (F.lag("path").over(in_order) == F.col("path"))
+    marked = rows.withColumns({"_leaves": leaves, "_early": _early() & ~leaves & ~blanked, "_twice": F.coalesce(twice, F.lit(False)), "_at": F.row_number().over(in_order)})
+    marked = marked.withColumns({"_early": F.max("_early").over(whole), "_twice": F.max("_twice").over(whole)}).filter("not _twice")
+    if moved is not None:
+        marked = _looked_up(marked, moved, uid_tags, id_tags)
+    # each row takes one of these, the first that holds
+    new = F.when(blanked, F.lit(""))
+    if options.get("name") or options.get("id"):
+        new = new.when(F.col("tag") == "00100020", F.lit((options.get("id") or "").replace(" ", "^")))
+        if options.get("name"):
+            new = new.when(F.col("tag") == "00100010", F.lit(options["name"].replace(" ", "^")))
+    if offset:
+        new = new.when(_moves(), _shifted(F.col("_early"), *offset))
+    new = F.coalesce(new, _pseudonym(salt, uid_tags, id_tags, name_tags, options.get("surnames"), bool(options.get("keep_uids"))))
+    done = _replaced(marked.withColumn("_new", new), F.col("_new").isNotNull(), F.col("_new"))
+    flags = options | {"shift_dates": bool(offset), "keep_dates": not offset, "remove_graphics": graphics, "remove_descriptions": not options.get("keep_descriptions")}
+    kind = rows.select(F.struct(*rows.columns).alias("r")).schema["r"].dataType.simpleString()
+    own = F.filter(F.array(F.struct(*rows.columns).cast(kind)), lambda _: ~F.col("_leaves"))
+    stamp = F.transform(_stamps(options.get("text", "de-identified"), flags), lambda s: F.struct(*[(F.col("file_id") if c == "file_id" else s[c] if c in ("path", "tag", "vr", "value") else F.lit(None)).alias(c) for c in rows.columns]).cast(kind))
+    return done.select(F.explode(F.when(F.col("_at") == 1, F.concat(own, stamp)).otherwise(own)).alias("r")).select("r.*")
+
+
+#: What a report needs of a file: bits, and the overlay's position and data.
+REPORT_TAGS = ["00280100", "00280101", "60000102", "60003000"]
+
+
+def report_facts(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """What ``deid_report`` counts, for each header file: from its elements and from the report of its reading (``error``)."""
+    top = elements.filter((F.size("path") == 0) & F.col("tag").isin(REPORT_TAGS))
+    number = lambda tag, name: F.max(F.when(F.col("tag") == tag, F.trim("value").try_cast("int"))).alias(name)
+    facts = top.groupBy("file_id").agg(number("00280100", "bits_allocated"), number("00280101", "bits_stored"), number("60000102", "overlay_bit_position"), F.bool_or(F.col("tag") == "60003000").alias("has_overlay_data"))
+    return files.filter("is_dicom").select("file_id", F.col("error").isNotNull().alias("is_error")).join(facts, "file_id", "left")
 
 
 def deid_report(files: DataFrame) -> DataFrame:

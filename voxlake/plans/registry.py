@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from voxlake.plans import catalog_queries, deid_queries, document_queries, file_queries, function_queries, geometry_queries, multiframe_queries, pixel_queries, rt_queries, source_queries  # noqa: F401
+    from voxlake.plans import catalog_queries, deid_queries, document_queries, file_queries, function_queries, geometry_queries, multiframe_queries, pixel_queries, rt_queries, source_queries, syntax_queries  # noqa: F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import json
 import struct
 from collections.abc import Iterator
 
@@ -11,15 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxlake.sources.element_parser import EXPLICIT, IMPLICIT, ITEM, LONG, PIXELS, Ranges, Row, elements  # noqa: F401
+from voxlake.sources.element_source import element_files
 from voxlake.sources.shared import numbered
+from voxlake.sources.stores import opens
 
-PIXELS = "7FE00010"
-#: Value representations with a four-byte length, and those that stay binary.
-LONG = {b"OB", b"OD", b"OF", b"OL", b"OV", b"OW", b"SQ", b"UC", b"UN", b"UR", b"UT", b"SV", b"UV"}
-BINARY = {"OB", "OD", "OF", "OL", "OV", "OW", "UN"}
-NUMBERS = {"US": "H", "SS": "h", "UL": "I", "SL": "i", "FL": "f", "FD": "d", "UV": "Q", "SV": "q"}
-IMPLICIT, EXPLICIT = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1"
-_UNDEFINED = 0xFFFFFFFF
 _SCHEMA = "file_id long, path array<struct<tag:string,item:int>>, elem_idx int, tag string, vr string, vl long, value string, value_bin binary"
 
 
@@ -30,93 +28,25 @@ def is_dicom(content: Column) -> Column:
     return F.coalesce((F.substring(content, 129, 4) == magic) | (F.substring(content, 1, 4) == magic) | group.isin(*[F.lit(bytes([g, 0])) for g in (2, 3, 5, 8)]), F.lit(False))
 
 
-def _text(vr: str, data: bytes) -> tuple[str | None, bytes | None]:
-    if vr in NUMBERS:
-        size = struct.calcsize(NUMBERS[vr])
-        return "\\".join(str(x) for x in struct.unpack(f"<{len(data) // size}{NUMBERS[vr]}", data[: len(data) // size * size])), None
-    if vr == "AT":
-        return "\\".join(f"{a:04X}{b:04X}" for a, b in struct.iter_unpack("<HH", data[: len(data) // 4 * 4])), None
-    return (None, data) if vr in BINARY else (data.decode("latin-1"), None)
+def parse_elements(content: bytes, vr_of: dict[str, str] | None = None, up_to: str | None = None) -> list[Row]:
+    """The rows of a file in memory; a damaged or cut one raises ValueError."""
+    return list(elements(Ranges(io.BytesIO(content), len(content) + 1), vr_of, up_to))
 
 
-def parse_elements(content: bytes, vr_of: dict[str, str] | None = None, up_to: str | None = None) -> list[tuple]:
-    """Rows (path, index, tag, vr, length, text, bytes) of a file in implicit or explicit little-endian form.
-
-    Items of sequences follow their sequence with the path to them. Reading stops before the first top-level tag
-    beyond ``up_to``; a damaged or cut file raises ValueError.
-    """
-    vr_of = vr_of or {}
-    at = 132 if content[128:132] == b"DICM" else 4 if content[:4] == b"DICM" else 0
-    rows: list[tuple] = []
-    explicit, syntax = True, EXPLICIT
-    if content[at : at + 2] != b"\x02\x00":
-        explicit = content[at + 4 : at + 6].isalpha() and content[at + 4 : at + 6].isupper()
-    stack: list[tuple[tuple, int, bool]] = [((), len(content), False)]  # path, end, whether a list of items
-    counts: dict[tuple, int] = {}
-    while stack:
-        path, end, of_items = stack[-1]
-        if at >= end:
-            stack.pop()
-            continue
-        if at + 8 > len(content):
-            raise ValueError("cut inside an element")
-        group, element = struct.unpack_from("<HH", content, at)
-        tag = f"{group:04X}{element:04X}"
-        if tag in ("FFFEE0DD", "FFFEE00D"):
-            at += 8
-            stack.pop()
-            continue
-        if of_items:
-            if tag != "FFFEE000":
-                raise ValueError("no item in a sequence")
-            length = struct.unpack_from("<I", content, at + 4)[0]
-            at += 8
-            number = counts[path] = counts.get(path, 0) + 1
-            stack.append(((*path[:-1], (path[-1][0], number)), end if length == _UNDEFINED else at + length, False))
-            continue
-        if not path and group > 2 and syntax == IMPLICIT:
-            explicit = False
-        if up_to and not path and group > 2 and tag > up_to:
-            break
-        if explicit or group == 2:
-            vr = content[at + 4 : at + 6]
-            if vr in LONG:
-                length = struct.unpack_from("<I", content, at + 8)[0]
-                at += 12
-            else:
-                length = struct.unpack_from("<H", content, at + 6)[0]
-                at += 8
-            name = vr.decode("latin-1")
-        else:
-            length = struct.unpack_from("<I", content, at + 4)[0]
-            at += 8
-            name = vr_of.get(tag, "SQ" if length == _UNDEFINED else "UN")
-        index = counts[(path, "n")] = counts.get((path, "n"), 0) + 1
-        if name == "SQ" or (length == _UNDEFINED and tag != PIXELS):
-            rows.append((path, index, tag, "SQ", -1 if length == _UNDEFINED else length, "", None))
-            inner = (*path, (tag, 0))
-            counts[inner] = 0
-            stack.append((inner, end if length == _UNDEFINED else at + length, True))
-            continue
-        if length == _UNDEFINED:
-            rows.append((path, index, tag, name, -1, None, None))  # compressed pixels: a reason, no data
-            break
-        if at + length > len(content):
-            raise ValueError("cut inside a value")
-        data = content[at : at + length]
-        at += length
-        text, raw = _text(name, data)
-        rows.append((path, index, tag, name, length, text, raw))
-        if tag == "00020010":
-            syntax = (text or "").strip("\x00 ")
-    return rows
+def _options(tags: list[str] | None, up_to: str | None) -> dict[str, str]:
+    return ({"tags": ",".join(tags)} if tags else {}) | ({"up_to": up_to} if up_to else {})
 
 
 def read_elements(spark: SparkSession, path: str, tags: list[str] | None = None, up_to: str | None = None, vr_of: dict[str, str] | None = None) -> DataFrame:
     """Element rows of all files under a path; ``tags`` keeps the listed ones, at any depth. Files that can't be read give none.
 
-    ``vr_of`` names representations for files without them. Small files share tasks by the session's split sizes.
+    Tasks read ranges: values of other tags are skipped, and nothing after the first top-level tag beyond ``up_to`` is
+    read. Folders that only Spark can open are read file by file as a whole. ``vr_of`` names representations for files
+    without them (``typing.typed`` does so later too).
     """
+    if opens(path):
+        options = _options(tags, up_to) | ({"vr_of": json.dumps(vr_of)} if vr_of else {})
+        return element_files(spark, path, whole="true", **options).drop("root_tag")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.xxhash64("path").alias("file_id"), "content")
     wanted = set(tags) if tags else None
 
@@ -128,16 +58,25 @@ def read_elements(spark: SparkSession, path: str, tags: list[str] | None = None,
             rows: list[tuple] = []
             for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    found = parse_elements(content.as_py(), vr_of, up_to)
+                    data = content.as_py()
+                    found = list(elements(Ranges(io.BytesIO(data), len(data) + 1), vr_of, up_to, wanted))
                 except (ValueError, struct.error):
                     continue
-                rows += [(file_id, [{"tag": t, "item": i} for t, i in p], *rest) for p, *rest in found if wanted is None or rest[1] in wanted]
+                rows += [(file_id, [{"tag": t, "item": i} for t, i in p], *rest) for p, *rest in found]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return files.filter(is_dicom(F.col("content"))).mapInArrow(run, _SCHEMA)
 
 
+def read_report(spark: SparkSession, path: str, tags: list[str] | None = None, up_to: str | None = None) -> DataFrame:
+    """One row for each file under a path: ``file_id``, ``path``, ``size``, ``is_dicom``, ``transfer_syntax``, ``n_elements``, ``bytes_read`` and ``error``.
+
+    It reads as ``read_elements`` does with the same arguments and says how far it came.
+    """
+    return element_files(spark, path, report="true", **_options(tags, up_to))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``file_id``, ``path``, ``dir``, ``name``, ``size`` and ``is_dicom`` of all files under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -210,19 +149,51 @@ def export_manifest(selection: DataFrame, files: DataFrame, target: str) -> Data
     return rows.select("path", F.concat_ws("/", F.lit(target), F.lpad(F.col("no").cast("string"), 8, "0"), "name").alias("target_path"))
 
 
+def _joined(parts: Column) -> Column:
+    """Binary values one after the other; through text, whose joining copies each once."""
+    return F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x)), ""))
+
+
+def fragments(elements: DataFrame) -> DataFrame:
+    """Compressed pixel data as ``file_id``, ``fragment`` (from 1), ``data``, and the ``offsets`` of the offset table (empty: none)."""
+    items = elements.filter((F.col("tag") == ITEM) & (F.size("path") == 1) & (F.col("path")[0]["tag"] == PIXELS)).select("file_id", F.col("path")[0]["item"].alias("item"), "value", "value_bin")
+    table = items.filter("item = 1").select("file_id", F.transform(F.filter(F.split("value", r"\\"), lambda x: x != ""), lambda x: x.cast("long")).alias("offsets"))
+    return items.filter("item > 1").select("file_id", (F.col("item") - 1).alias("fragment"), F.col("value_bin").alias("data")).join(table, "file_id")
+
+
+def encapsulated_frames(elements: DataFrame) -> DataFrame:
+    """Compressed frames as ``file_id``, ``frame_no`` (from 1) and ``payload``, still compressed.
+
+    A fragment belongs to the last frame whose offset is not beyond it. Without offsets each fragment is a frame, if
+    the file says so many frames; else all are the first frame.
+    """
+    found = fragments(elements)
+    n_frames = elements.filter((F.col("tag") == "00280008") & (F.size("path") == 0)).groupBy("file_id").agg(F.max(F.trim("value").try_cast("int")).alias("n_frames"))
+    own = Window.partitionBy("file_id")
+    before = own.orderBy("fragment").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("at", F.coalesce(F.sum(F.octet_length("data") + 8).over(before), F.lit(0))).withColumn("n", F.count("*").over(own)).join(n_frames, "file_id", "left")
+    frame = F.when(F.size("offsets") > 0, F.size(F.filter("offsets", lambda x: x <= F.col("at")))).when(F.coalesce("n_frames", F.lit(1)) == F.col("n"), F.col("fragment")).otherwise(1)
+    grouped = placed.withColumn("frame_no", frame.cast("int")).groupBy("file_id", "frame_no").agg(F.sort_array(F.collect_list(F.struct("fragment", "data"))).alias("parts"))
+    return grouped.select("file_id", "frame_no", _joined(F.col("parts.data")).alias("payload"))
+
+
 def extract_encapsulated(elements: DataFrame, syntaxes: DataFrame | None = None) -> DataFrame:
     """Payloads as ``file_id``, ``name`` and ``payload``: encapsulated documents, and video streams by transfer syntax.
 
-    ``syntaxes`` has file_id and transfer_syntax; MPEG-2 ends in .mpg, MPEG-4 and HEVC in .mp4. Documents take their
-    suffix from the MIME type beside them.
+    ``syntaxes`` has file_id and transfer_syntax; MPEG-2 ends in .mpg, MPEG-4 and HEVC in .mp4. A stream is its
+    fragments in order, without the offset table. Documents take their suffix from the MIME type beside them and
+    their length from (0042,0015), which leaves the padding out.
     """
-    mime = elements.filter((F.col("tag") == "00420012") & (F.size("path") == 0)).select("file_id", F.lower(F.trim("value")).alias("mime"))
-    documents = elements.filter((F.col("tag") == "00420011") & (F.size("path") == 0)).join(mime, "file_id", "left")
+    top = lambda tag, value: elements.filter((F.col("tag") == tag) & (F.size("path") == 0)).select("file_id", value)
+    documents = top("00420011", F.col("value_bin")).join(top("00420012", F.lower(F.trim("value")).alias("mime")), "file_id", "left").join(top("00420015", F.trim("value").try_cast("int").alias("length")), "file_id", "left")
     suffix = F.when(F.contains("mime", F.lit("pdf")), ".pdf").when(F.contains("mime", F.lit("stl")), ".stl").otherwise(".bin")
     named = lambda ending: F.concat(F.col("file_id").cast("string"), ending)
-    out = documents.select("file_id", named(suffix).alias("name"), F.col("value_bin").alias("payload"))
+    out = documents.select("file_id", named(suffix).alias("name"), F.when(F.col("length") < F.octet_length("value_bin"), F.substring("value_bin", F.lit(1), F.col("length"))).otherwise(F.col("value_bin")).alias("payload"))
     if syntaxes is None:
         return out
     ending = F.when(F.col("transfer_syntax").rlike(r"^1\.2\.840\.10008\.1\.2\.4\.10[01]"), ".mpg").when(F.col("transfer_syntax").rlike(r"^1\.2\.840\.10008\.1\.2\.4\.10[2-8]"), ".mp4")
-    video = elements.filter((F.col("tag") == PIXELS) & (F.size("path") == 0)).join(syntaxes, "file_id").withColumn("_e", ending).filter("_e is not null")
-    return out.unionByName(video.select("file_id", named(F.col("_e")).alias("name"), F.col("value_bin").alias("payload")))
+    streams = syntaxes.select("file_id", ending.alias("_e")).filter("_e is not null")
+    whole = top(PIXELS, F.col("value_bin").alias("payload")).filter("payload is not null").join(streams, "file_id")
+    parts = fragments(elements.join(streams.select("file_id"), "file_id", "left_semi")).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("fragment", "data"))).alias("parts"))
+    pieces = parts.select("file_id", _joined(F.col("parts.data")).alias("payload")).join(streams, "file_id")
+    return out.unionByName(whole.unionByName(pieces).select("file_id", named(F.col("_e")).alias("name"), "payload"))
