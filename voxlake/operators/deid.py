@@ -7,6 +7,7 @@ path. Pseudonyms are keyed hashes, so retries and later runs agree, and equal va
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,22 +30,40 @@ def _digits(text: Column, at: int, n: int) -> Column:
     return F.conv(F.substring(text, at, n), 16, 10).cast("long")
 
 
+def _uid_of(sha: Column) -> Column:
+    return F.concat(F.lit("2.25."), (_digits(sha, 1, 15) + 1).cast("string"), F.lpad(_digits(sha, 16, 15).cast("string"), 19, "0"))
+
+
+def _name_of(md5: Column, surnames: list[str] | None) -> Column:
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (_digits(md5, at, 8) % len(values) + 1).cast("int"))
+    return F.concat(pick(surnames or INITIALS, 1), F.lit("^"), pick(INITIALS, 9), F.lit("^"), pick(INITIALS, 17), F.lit("^^"))
+
+
+def _id_of(sha: Column) -> Column:
+    return F.concat(*[F.substring(F.lit(ALPHABET), (_digits(sha, i * 5 + 1, 5) % 62 + 1).cast("int"), F.lit(1)) for i in range(11)])
+
+
+def _sha(value: Column, salt: str) -> Column:
+    return F.sha2(F.concat(F.lit(salt), value), 256)
+
+
+def _md5(value: Column, salt: str) -> Column:
+    return F.md5(F.concat(F.lit(salt), value).cast("binary"))
+
+
 def pseudo_uid(uid: Column, salt: str) -> Column:
     """``2.25.`` and a number from the keyed SHA-256 of the identifier."""
-    return let(F.sha2(F.concat(F.lit(salt), uid), 256), lambda h: F.concat(F.lit("2.25."), (_digits(h, 1, 15) + 1).cast("string"), F.lpad(_digits(h, 16, 15).cast("string"), 19, "0")))
+    return let(_sha(uid, salt), _uid_of)
 
 
 def pseudo_name(name: Column, salt: str, surnames: list[str] | None = None) -> Column:
     """``S^A.^B.^^`` by the MD5 of the name; without surnames the first part is an initial too."""
-    first = surnames or INITIALS
-    pick = lambda values, h, at: F.element_at(F.array(*map(F.lit, values)), (_digits(h, at, 8) % len(values) + 1).cast("int"))
-    return let(F.md5(F.concat(F.lit(salt), name).cast("binary")), lambda h: F.concat(pick(first, h, 1), F.lit("^"), pick(INITIALS, h, 9), F.lit("^"), pick(INITIALS, h, 17), F.lit("^^")))
+    return let(_md5(name, salt), lambda h: _name_of(h, surnames))
 
 
 def pseudo_id(value: Column, salt: str) -> Column:
     """Eleven characters of [0-9A-Za-z] by the keyed SHA-256."""
-    letter = lambda h, i: F.substring(F.lit(ALPHABET), (_digits(h, i * 5 + 1, 5) % 62 + 1).cast("int"), F.lit(1))
-    return let(F.sha2(F.concat(F.lit(salt), value), 256), lambda h: F.concat(*[letter(h, i) for i in range(11)]))
+    return let(_sha(value, salt), _id_of)
 
 
 def _listed(elements: DataFrame) -> DataFrame:
@@ -133,12 +152,18 @@ def _looked_up(elements: DataFrame, moved: DataFrame, uid_tags: list[str], id_ta
     return _replaced(found, F.col("_new").isNotNull(), F.col("_new")).select(*elements.columns)
 
 
-def _pseudonym(salt: str, uid_tags: list[str], id_tags: list[str], name_tags: list[str], surnames: list[str] | None, preserve_uids: bool) -> Column:
-    """The pseudonym of a value under the lists' tags or of a name; null for others and for blank values."""
+def _hashed(rows: DataFrame, salt: str, uid_tags: list[str], id_tags: list[str], name_tags: list[str], preserve_uids: bool) -> DataFrame:
+    """Adds ``_kind`` (1 id, 2 UID, 3 name; null for others and blank values) and the hash ``_hash`` that the pseudonym comes from."""
     old = clean(F.col("value"))
     uid = F.col("tag").isin([t for t in uid_tags if t == "04000100"] if preserve_uids else uid_tags)
-    new = F.when(F.col("tag").isin(id_tags), pseudo_id(old, salt)).when(uid, pseudo_uid(old, salt)).when(_is_name(name_tags), pseudo_name(old, salt, surnames))
-    return F.when(old != "", new)
+    kind = F.when(F.col("tag").isin(id_tags), 1).when(uid, 2).when(_is_name(name_tags), 3)
+    rows = rows.withColumn("_kind", F.when(old != "", kind))
+    return rows.withColumn("_hash", F.when(F.col("_kind") == 3, _md5(old, salt)).when(F.col("_kind") < 3, _sha(old, salt)))
+
+
+def _pseudonym(surnames: list[str] | None) -> Column:
+    """The pseudonym of a ``_hashed`` row; null for others."""
+    return F.when(F.col("_kind") == 1, _id_of(F.col("_hash"))).when(F.col("_kind") == 2, _uid_of(F.col("_hash"))).when(F.col("_kind") == 3, _name_of(F.col("_hash"), surnames))
 
 
 def pseudonymised(elements: DataFrame, source: DataFrame, salt: str = "", uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS, surnames: list[str] | None = None, preserve_uids: bool = False, name_tags: list[str] = NAME_TAGS) -> DataFrame:
@@ -149,11 +174,11 @@ def pseudonymised(elements: DataFrame, source: DataFrame, salt: str = "", uid_ta
     (classes, syntaxes) is no identity and takes no part, so no value of all files is a join key.
     """
     rows = _listed(elements)
-    new = _pseudonym(salt, uid_tags, id_tags, name_tags, surnames, preserve_uids)
     moved = None if preserve_uids else _moved_uids(_listed(source), uid_tags, id_tags, salt)
     if moved is not None:
         rows = _looked_up(rows, moved, uid_tags, id_tags)
-    return _replaced(rows.withColumn("_pseudonym", new), F.col("_pseudonym").isNotNull(), F.col("_pseudonym")).select(*rows.columns)
+    hashed = _hashed(rows, salt, uid_tags, id_tags, name_tags, preserve_uids).withColumn("_new", _pseudonym(surnames))
+    return _replaced(hashed, F.col("_new").isNotNull(), F.col("_new")).select(*rows.columns)
 
 
 def single_identity(elements: DataFrame, name: str = "", pid: str = "") -> DataFrame:
@@ -236,13 +261,32 @@ def _values() -> Column:
     return F.split(clean(F.col("value")), r"\\")
 
 
+def _several() -> Column:
+    return F.contains("value", F.lit("\\"))
+
+
 def _early() -> Column:
     """Whether a row has a time or stamp, of those that move, with an hour below one."""
-    return F.coalesce(is_date_time(F.col("vr"), F.col("tag")) & F.exists(_values(), lambda x: F.coalesce(_hour(F.trim(x), F.col("vr")) == "00", F.lit(False))), F.lit(False))
+    zero = lambda x: F.coalesce(_hour(x, F.col("vr")) == "00", F.lit(False))
+    one = F.when(_several(), F.exists(_values(), lambda x: zero(F.trim(x)))).otherwise(zero(clean(F.col("value"))))
+    return F.coalesce(F.when(is_date_time(F.col("vr"), F.col("tag")), one), F.lit(False))
+
 
+def _with_shifted(rows: DataFrame, early: Column, offset: tuple[int, int, int, int]) -> tuple[DataFrame, Column]:
+    """Rows with columns that the moved value needs, and the moved value; null where nothing moves.
+
+    Only several values in one, which are rare, take a lambda that Spark interprets.
+    """
 
-def _shifted(early: Column, years: int, months: int, days: int, seconds: int) -> Column:
-    return F.array_join(F.transform(_values(), lambda x: F.when(F.trim(x) == "", "").otherwise(_moved(F.trim(x), F.col("vr"), early, years, months, days, seconds))), "\\")
+    def bind(name: str, column: Column, then: Callable[[Column], Column]) -> Column:
+        nonlocal rows
+        rows = rows.withColumn(f"_date_{name}", column)
+        return then(F.col(f"_date_{name}"))
+
+    one = bind("one", F.when(_moves() & ~_several(), clean(F.col("value"))), lambda column: column)
+    single = _moved(one, F.col("vr"), early, *offset, bind=bind)
+    several = F.array_join(F.transform(_values(), lambda x: F.when(F.trim(x) == "", "").otherwise(_moved(F.trim(x), F.col("vr"), early, *offset))), "\\")
+    return rows, F.when(one.isNotNull(), single).when(_moves(), several)
 
 
 def _moves() -> Column:
@@ -254,36 +298,61 @@ def _back(date: Column, years: int, months: int, days: int) -> Column:
     return F.date_sub(F.add_months(F.add_months(date, -12 * years), -months), days)
 
 
-def _date(text: Column, form: str) -> Column:
-    return F.to_date(F.try_to_timestamp(text, F.lit(form)))
+def _part(text: Column, at: int, n: int) -> Column:
+    return F.substring(text, at, n).try_cast("int")
+
+
+def _date(text: Column) -> Column:
+    """The date of eight digits; null if there is none."""
+    return F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)).try_cast("date")
+
+
+def _digits_of(date: Column) -> Column:
+    return F.replace(date.cast("string"), F.lit("-"), F.lit(""))
+
+
+def _two(number: Column) -> Column:
+    return F.lpad(F.floor(number).cast("string"), 2, "0")
+
 
+def _clock(text: Column, at: int) -> Column:
+    """Seconds of the six digits from a place on; null if they are no time."""
+    h, m, s = (_part(text, at + k, 2) for k in (0, 2, 4))
+    return F.when((h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
 
-def _moved(value: Column, vr: Column, early: Column, years: int, months: int, days: int, seconds: int) -> Column:
+
+def _six(seconds: Column) -> Column:
+    return F.concat(_two(seconds / 3600), _two(seconds / 60 % 60), _two(seconds % 60))
+
+
+def _moved(value: Column, vr: Column, early: Column, years: int, months: int, days: int, seconds: int, bind=lambda name, column, then: let(column, then)) -> Column:
+    """A moved date, time or stamp; blank for other shapes. ``bind`` keeps what is used more than once."""
     n = F.length(value)
     blank = F.lit("")
-    digits = lambda k: value.rlike(f"^[0-9]{{{k}}}$")
-    da = F.when(digits(8), F.date_format(_back(_date(value, "yyyyMMdd"), years, months, days), "yyyyMMdd"))
-    clock = lambda text, form: F.date_format(F.try_to_timestamp(F.concat(F.lit("20000102"), text), F.lit("yyyyMMdd" + form)) - F.expr(f"INTERVAL {seconds} SECONDS"), form)
-    point = F.instr(value, ".") == 7
-    six = F.substring(value, 1, 6)
-    tm = F.when(point, F.concat(F.when(early, six).otherwise(F.coalesce(clock(six, "HHmmss"), blank)), F.lit(".000000")))
-    tm = tm.when(F.instr(value, ".") > 0, blank).when(early & (n == 6), F.concat(value, F.lit(".000000"))).when(n == 2, value).when(n == 4, F.when(early, value).otherwise(clock(value, "HHmm"))).when(n == 6, clock(value, "HHmmss"))
-    minus, plus = F.instr(value, "-"), F.instr(value, "+")
-    stamp = F.when((minus == 0) & (plus == 0), value).when((minus > 0) & (plus > 0), blank).when(minus > 4, F.substring_index(value, "-", 1)).when(plus > 4, F.substring_index(value, "+", 1)).otherwise(blank)
-
-    def dt(s: Column) -> Column:
-        k = F.length(s)
-        out = F.when(k == 4, F.date_format(F.add_months(_date(F.concat(s, F.lit("0101")), "yyyyMMdd"), -12 * years), "yyyy"))
-        out = out.when(k == 6, F.date_format(_back(_date(F.concat(s, F.lit("01")), "yyyyMMdd"), years, months, 0), "yyyyMM"))
-        out = out.when(k == 8, F.date_format(_back(_date(s, "yyyyMMdd"), years, months, days), "yyyyMMdd"))
-        whole = F.try_to_timestamp(F.rpad(F.substring(s, 1, 14), 14, "0"), F.lit("yyyyMMddHHmmss"))
-        date = _back(F.to_date(whole), years, months, days).cast("timestamp")
-        at = F.timestamp_seconds(F.unix_timestamp(date) + F.unix_timestamp(whole) - F.unix_timestamp(F.to_date(whole).cast("timestamp")) - F.when(early, 0).otherwise(seconds))
-        for size, form in ((10, "yyyyMMddHH"), (12, "yyyyMMddHHmm"), (14, "yyyyMMddHHmmss")):
-            out = out.when(k == size, F.date_format(at, form))
-        return out.when((k >= 15) & (F.instr(s, ".") == 15), F.concat(F.date_format(at, "yyyyMMddHHmmss"), F.lit(".000000"))).otherwise(blank)
-
-    return F.coalesce(F.when(vr == "DA", da).when(vr == "TM", tm).when(vr == "DT", let(stamp, dt)), blank)
+    minus, plus, dot = F.instr(value, "-"), F.instr(value, "+"), F.instr(value, ".")
+    zoned = F.when((minus == 0) & (plus == 0), value).when((minus > 0) & (plus > 0), blank).when(minus > 4, F.substring_index(value, "-", 1)).when(plus > 4, F.substring_index(value, "+", 1)).otherwise(blank)
+
+    def result(stamp: Column, k: Column, first: Column, back: Column, at: Column, clock: Column) -> Column:
+        # times go round midnight and keep no day; stamps go on to the day before
+        whole = F.concat(_digits_of(F.date_add(back, F.floor(at / 86_400).cast("int"))), clock)
+        da = F.when(k == 8, _digits_of(back))
+        tm = F.when(dot == 7, F.concat(F.when(early, F.substring(value, 1, 6)).otherwise(F.coalesce(clock, blank)), F.lit(".000000")))
+        tm = tm.when(dot > 0, blank).when(early & (n == 6), F.concat(value, F.lit(".000000"))).when(n == 2, value).when(n == 4, F.when(early, value).otherwise(F.substring(clock, 1, 4))).when(n == 6, clock)
+        dt = F.when(k.isNull(), blank).when(k == 4, F.substring(_digits_of(F.add_months(first, -12 * years)), 1, 4)).when(k == 6, F.substring(_digits_of(_back(first, years, months, 0)), 1, 6)).when(k == 8, _digits_of(back))
+        dt = dt.when(k.isin(10, 12, 14), F.substring(whole, F.lit(1), k)).when((k >= 15) & (F.instr(stamp, ".") == 15), F.concat(whole, F.lit(".000000"))).otherwise(blank)
+        return F.coalesce(F.when(vr == "DA", da).when(vr == "TM", tm).when(vr == "DT", dt), blank)
+
+    def with_stamp(stamp: Column) -> Column:
+        return bind("k", F.when(F.substring(stamp, 1, 14).rlike("^[0-9]+$"), F.length(stamp)), lambda k: with_length(stamp, k))
+
+    def with_length(stamp: Column, k: Column) -> Column:
+        return bind("padded", F.concat(F.substring(stamp, 1, 14), F.substring(F.lit("00000101000000"), k + 1, F.lit(14))), lambda padded: bind("first", _date(padded), lambda first: with_first(stamp, k, padded, first)))
+
+    def with_first(stamp: Column, k: Column, padded: Column, first: Column) -> Column:
+        at = _clock(padded, 9) - F.when(early, 0).otherwise(seconds)
+        return bind("back", _back(first, years, months, days), lambda back: bind("at", at, lambda at: bind("clock", _six(F.pmod(at, F.lit(86_400))), lambda clock: result(stamp, k, first, back, at, clock))))
+
+    return bind("stamp", F.when(vr == "DT", zoned).when((vr == "DA") & (n == 8), value).when(vr == "TM", F.concat(F.lit("20000102"), F.substring(value, 1, 6))), with_stamp)
 
 
 def shift_dates(elements: DataFrame, years: int, months: int, days: int, seconds: int) -> DataFrame:
@@ -296,7 +365,8 @@ def shift_dates(elements: DataFrame, years: int, months: int, days: int, seconds
     """
     rows = _listed(elements)
     marked = rows.withColumn("_early", F.max(_early()).over(Window.partitionBy("file_id")))
-    return _replaced(marked, _moves(), _shifted(F.col("_early"), years, months, days, seconds)).select(*rows.columns)
+    staged, moved = _with_shifted(marked, F.col("_early"), (years, months, days, seconds))
+    return _replaced(staged, moved.isNotNull(), moved).select(*rows.columns)
 
 
 def default_offset(salt: str) -> tuple[int, int, int, int]:
@@ -314,25 +384,25 @@ def stamp_profile(elements: DataFrame, text: str, options: dict[str, bool], file
     kept; 113111 safe private. ``files`` are the files to mark, by default those of the elements.
     """
     files = elements.select("file_id").distinct() if files is None else files
-    new = files.withColumn("_row", F.explode(_stamps(text, options))).select("file_id", "_row.*")
+    new = files.withColumn("_row", F.explode(F.array(*[F.struct(*[v.alias(c) for c, v in row.items()]) for row in _stamp_rows(text, options)]))).select("file_id", "_row.*")
     return remove_tags(elements, STAMP_TAGS).unionByName(new, allowMissingColumns=True)
 
 
 STAMP_TAGS = ["00120062", "00120063", "00120064"]
 
 
-def _stamps(text: str, options: dict[str, bool]) -> Column:
+def _stamp_rows(text: str, options: dict[str, bool]) -> list[dict[str, Column]]:
     """The rows of a stamp: path, tag, vr, value."""
     codes = ["113100"]
     codes += [code for code, name in (("113101", "clean_pixels"), ("113102", "clean_features"), ("113106", "keep_dates"), ("113107", "shift_dates"), ("113108", "keep_patient"), ("113109", "keep_device"), ("113112", "keep_institution"), ("113110", "keep_uids"), ("113111", "keep_private")) if options.get(name)]
     codes += [code for code, name in (("113103", "remove_graphics"), ("113104", "remove_structured"), ("113105", "remove_descriptions")) if not options.get(name)]
-    row = lambda path, tag, vr, value: F.struct(path.alias("path"), F.lit(tag).alias("tag"), F.lit(vr).alias("vr"), F.lit(value).alias("value"))
+    row = lambda path, tag, vr, value: {"path": path, "tag": F.lit(tag), "vr": F.lit(vr), "value": F.lit(value)}
     top = F.array().cast("array<struct<tag:string,item:int>>")
     rows = [row(top, "00120062", "CS", "YES"), row(top, "00120063", "LO", text), row(top, "00120064", "SQ", "")]
     for i, code in enumerate(sorted(codes), 1):
         path = F.array(F.struct(F.lit("00120064").alias("tag"), F.lit(i).alias("item")))
         rows += [row(path, "00080100", "SH", code), row(path, "00080102", "SH", "DCM")]
-    return F.array(*rows)
+    return rows
 
 
 TOPICS = {"": "", "description": "keep_descriptions", "device": "keep_device", "patient": "keep_patient", "institution": "keep_institution"}
@@ -373,7 +443,7 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
     gone |= set(STAMP_TAGS) | ({"00700001"} if graphics else set())
     below = sorted(gone | blank)
     private = (lambda tag: F.lit(False)) if options.get("keep_private") else _odd
-    leaves = F.col("tag").isin(sorted(gone)) | private(F.col("tag")) | (F.substring("tag", 5, 4) == "0000") | F.exists("path", lambda step: step["tag"].isin(below) | private(step["tag"]))
+    leaves = F.col("tag").isin(sorted(gone)) | private(F.col("tag")) | (F.substring("tag", 5, 4) == "0000") | F.when(F.size("path") > 0, F.exists("path", lambda step: step["tag"].isin(below) | private(step["tag"]))).otherwise(False)
     if graphics:
         leaves |= _repeating("60") | _repeating("50")
     if "value_bin" in rows.columns:
@@ -396,14 +466,15 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
         if options.get("name"):
             new = new.when(F.col("tag") == "00100010", F.lit(options["name"].replace(" ", "^")))
     if offset:
-        new = new.when(_moves(), _shifted(F.col("_early"), *offset))
-    new = F.coalesce(new, _pseudonym(salt, uid_tags, id_tags, name_tags, options.get("surnames"), bool(options.get("keep_uids"))))
-    done = _replaced(marked.withColumn("_new", new), F.col("_new").isNotNull(), F.col("_new"))
+        marked, moved_date = _with_shifted(marked, F.col("_early"), offset)
+        new = F.coalesce(new, moved_date)
+    hashed = _hashed(marked, salt, uid_tags, id_tags, name_tags, bool(options.get("keep_uids"))).withColumn("_new", F.coalesce(new, _pseudonym(options.get("surnames"))))
+    done = _replaced(hashed, F.col("_new").isNotNull(), F.col("_new"))
     flags = options | {"shift_dates": bool(offset), "keep_dates": not offset, "remove_graphics": graphics, "remove_descriptions": not options.get("keep_descriptions")}
     kind = rows.select(F.struct(*rows.columns).alias("r")).schema["r"].dataType.simpleString()
-    own = F.filter(F.array(F.struct(*rows.columns).cast(kind)), lambda _: ~F.col("_leaves"))
-    stamp = F.transform(_stamps(options.get("text", "de-identified"), flags), lambda s: F.struct(*[(F.col("file_id") if c == "file_id" else s[c] if c in ("path", "tag", "vr", "value") else F.lit(None)).alias(c) for c in rows.columns]).cast(kind))
-    return done.select(F.explode(F.when(F.col("_at") == 1, F.concat(own, stamp)).otherwise(own)).alias("r")).select("r.*")
+    own = F.when(F.col("_leaves"), F.array().cast(f"array<{kind}>")).otherwise(F.array(F.struct(*rows.columns).cast(kind)))
+    stamp = [F.struct(*[(F.col("file_id") if c == "file_id" else row.get(c, F.lit(None))).alias(c) for c in rows.columns]).cast(kind) for row in _stamp_rows(options.get("text", "de-identified"), flags)]
+    return done.select(F.explode(F.when(F.col("_at") == 1, F.concat(own, F.array(*stamp))).otherwise(own)).alias("r")).select("r.*")
 
 
 #: What a report needs of a file: bits, and the overlay's position and data.
