@@ -639,6 +639,12 @@ def test_pipeline_keeps_texts_that_share_an_id(spark, tmp_path):
     assert after[data[4]] == 1 and after[data[5]] == 1 and after[(2, "", "en", "a", 0)] == 1
 
 
+def test_pipeline_with_columns_of_any_type(spark, docs, tmp_path):
+    more = docs.withColumns({"m": F.create_map(F.lit("k"), F.col("n_chars")), "b": F.lit(b"x"), "v": F.array(F.map_from_arrays(F.array(F.lit(1)), F.array(F.lit(2))))})
+    kept = stage(spark, "simhash near-dedup", more, tmp_path)
+    assert kept.columns == more.columns and plain(kept.select(*docs.columns)) == plain(stage(spark, "simhash near-dedup", docs, tmp_path, times=1))
+
+
 @pytest.mark.parametrize("name", PIPELINE)
 def test_pipeline_on_clashing_and_empty_tables(spark, docs, clashing, empty, name, tmp_path):
     labels = [(r[0], 1, int(r[0] % 2)) for r in rows() if r[0] is not None]
