@@ -1,5 +1,7 @@
 """Small tables for rules that the derived tables don't reach."""
 
+import math
+import random
 import struct
 
 from pyspark.sql import functions as F
@@ -152,3 +154,53 @@ def test_raw_frames(spark):
     rows = spark.createDataFrame([(1, data, 2, 2, 1, 16, 0, 2), (2, data[:4], 2, 2, 1, 16, 0, 1), (3, None, 2, 2, 1, 16, 0, 1)], "file_id long, value_bin binary, rows int, cols int, samples int, bits_allocated int, pixel_repr int, number_of_frames int")
     found = {(r.file_id, r.frame_no): (r.pixels, r.reason) for r in dicom_files.raw_frames(rows).collect()}
     assert found == {(1, 1): ([0, 1, 2, 3], None), (1, 2): ([4, 5, 6, 7], None), (2, 0): (None, "too short"), (3, 0): (None, "no uncompressed data")}
+
+
+def test_slice_intersections_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+
+    def frame(angle, tilt):
+        u, v = (math.cos(angle), math.sin(angle), 0.0), (-math.sin(angle) * math.sin(tilt), math.cos(angle) * math.sin(tilt), math.cos(tilt))
+        return u, v, tuple(u[(k + 1) % 3] * v[(k + 2) % 3] - u[(k + 2) % 3] * v[(k + 1) % 3] for k in range(3))
+
+    rows = []
+    turns = [(0.0, 0.0), (0.0, 0.0), (math.pi / 2, 0.0), (0.3, 0.2), (math.pi, 0.0), (0.0, 5e-8), (0.0, 1e-5)]
+    for s, (angle, tilt) in enumerate(turns):
+        u, v, n = frame(angle, tilt)
+        for k in range(14):
+            shift = 7.0 * k - 40 + rng.random()
+            rows.append((len(rows), "st" if s % 5 else "st2", "fr" if k else "", f"s{s}", [shift * n[i] - 30 * (u[i] + v[i]) + (5.0 if i == 0 else 0.0) for i in range(3)], [*u, *v], [2.0, 1.5], 32, 40))
+    kinds = "file_id long, study_uid string, frame_of_ref_uid string, series_uid string, ipp array<double>, iop array<double>, spacing array<double>, rows int, cols int"
+    slices = spark.createDataFrame(rows, kinds)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    cross = lambda a, b: [a[(k + 1) % 3] * b[(k + 2) % 3] - a[(k + 2) % 3] * b[(k + 1) % 3] for k in range(3)]
+    shape = {r.file_id: [list(c) for c in r.corners] for r in geometry.corners(slices).collect()}
+    expected = set()
+    for a in rows:
+        na = cross(a[5][:3], a[5][3:])
+        for b in rows:
+            if a[1:3] != b[1:3] or not a[2] or a[3] == b[3]:
+                continue
+            tilt = cross(na, cross(b[5][:3], b[5][3:]))
+            heights = [dot(na, [c[i] - a[4][i] for i in range(3)]) for c in shape[b[0]]]
+            hits = sum(p * q < 0 or (p == 0 and q != 0) for p, q in zip(heights, heights[1:] + heights[:1], strict=True))
+            if dot(tilt, tilt) > 1e-12 and hits == 2:
+                expected.add((a[0], b[0]))
+    for crowd in (4096, 5):
+        monkeypatch.setattr(geometry, "CROWD", crowd)
+        assert sorted((r.a, r.b) for r in geometry.slice_intersections(slices).collect()) == sorted(expected)
+
+
+def test_few_slices_are_compared_in_vain(spark):
+    axial = [(i, "st", "fr", f"s{i % 3}", [0.0, 0.0, 2.0 * i], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]) for i in range(600)]
+    coronal = [(1000 + i, "st", "fr", "c", [0.0, 1.0 * i, 300.0], [1.0, 0.0, 0.0, 0.0, 0.0, -1.0]) for i in range(60)]
+    kinds = "file_id long, study_uid string, frame_of_ref_uid string, series_uid string, ipp array<double>, iop array<double>"
+    slices = spark.createDataFrame(axial + coronal, kinds).withColumns({"spacing": F.array(F.lit(1.0), F.lit(1.0)), "rows": F.lit(64), "cols": F.lit(64)})
+    seen = {}
+    before = geometry._candidates
+    try:
+        geometry._candidates = lambda rows, keys: seen.setdefault("pairs", before(rows, keys))
+        found = geometry.slice_intersections(slices).count()
+    finally:
+        geometry._candidates = before
+    assert found and seen["pairs"].count() <= 2 * found < 2 * 660 * 60

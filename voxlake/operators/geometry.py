@@ -123,20 +123,63 @@ def multiseries_split(instances: DataFrame, keys: list[str] = SERIES) -> DataFra
     return out.select(*instances.columns, "volume_no")
 
 
+#: Slices of a class, or of a study, that meet under one join key, about; more are dealt to several.
+CROWD = 4096
+#: Normals are classes by this grain: within a class they differ by less than what counts as parallel.
+GRAIN = 1e-7
+PARALLEL = 1e-12
+
+
+def _candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of slices of which b reaches the height of a, and that no parallel classes hold; ``a_`` and ``b_`` before the columns.
+
+    Slices are grouped to classes of orientation. Along a class's normal a slice of it is a point and one of another
+    class an interval; both go to steps of a quarter of the mean slice side, and meet by step. Classes that are parallel
+    never meet. A study with more than ``CROWD`` slices is dealt by parts of both sides, so that a key has about as
+    many rows however large the study.
+    """
+    own = rows.groupBy(*keys, "cls").agg(F.max("reach").alias("_reach"), F.count("*").alias("_n_class")).withColumnRenamed("cls", "_cls")
+    whole = rows.groupBy(*keys).agg((F.greatest(F.avg("side") / 4, F.lit(1e-3))).alias("_step"), F.count("*").alias("_n"))
+    own = own.join(whole, list(keys)).withColumns({"_parts_a": F.ceil(F.col("_n_class") / CROWD), "_parts_b": F.ceil(F.col("_n") / CROWD)}).drop("_n", "_n_class")
+    met = rows.join(own, list(keys))  # few classes for each study: Spark splits the slices of a large one
+    axis = [F.col("_cls")[i] * GRAIN for i in range(3)]
+    step = lambda height: F.floor(height / F.col("_step")).cast("long")
+    part = lambda n: F.pmod(F.xxhash64("f"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = [c for c in rows.columns if c not in (*keys, "cls", "reach", "side")]
+    named = lambda rows, side: rows.select(*keys, "_cls", "_at", "_a", "_b", *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    points = met.filter(F.col("cls") == F.col("_cls")).withColumn("_at", step(dot(axis, [F.col("ipp")[i] for i in range(3)])))
+    points = points.withColumn("_a", part("_parts_a")).withColumn("_b", every("_parts_b"))
+    tilt = cross(axis, [F.col("cls")[i] * GRAIN for i in range(3)])
+    heights = F.transform("corners", lambda c: dot(axis, [c[i] for i in range(3)]))
+    reach = 2e-6 * (2 + F.col("_reach") + F.col("reach"))
+    spans = met.filter((F.col("cls") != F.col("_cls")) & (dot(tilt, tilt) > PARALLEL / 100)).withColumn("_h", heights)
+    spans = spans.withColumn("_at", F.explode(F.sequence(step(F.array_min("_h") - reach), step(F.array_max("_h") + reach))))
+    spans = spans.withColumn("_b", part("_parts_b")).withColumn("_a", every("_parts_a"))
+    return named(points, "a").join(named(spans, "b"), [*keys, "_cls", "_at", "_a", "_b"])
+
+
 def slice_intersections(slices: DataFrame, keys: list[str] = ("study_uid", "frame_of_ref_uid"), volume: str = "series_uid") -> DataFrame:
     """Lines in which slices of other volumes cut a slice, in its pixel coordinates: ``a``, ``b``, ``x0``, ``y0``, ``x1``, ``y1``.
 
     Slices pair within a study and a frame of reference that isn't empty; planes with equal or opposite normals do
-    not. The four edges of slice b cut the plane of slice a; only exactly two hits make a line. All pairs of crossing
-    slices of a study are results, so their number is the size of the answer.
+    not. The four edges of slice b cut the plane of slice a; only exactly two hits make a line. Only pairs that can
+    cross are compared, so their number is near the size of the answer.
     """
     frame = keys[-1]
     rows = corners(slices.filter(F.coalesce(F.col(frame) != "", F.lit(False)) & (F.size("ipp") == 3) & (F.size("iop") == 6)))
     rows = rows.select(*keys, F.col(volume).alias("v"), F.col("file_id").alias("f"), "ipp", "iop", "spacing", "corners", F.array(*normal(F.col("iop"))).alias("n"))
-    side = lambda s: rows.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in keys])
-    pairs = side("a").join(side("b"), list(keys)).filter("a_v <> b_v")
+    grains = F.transform("n", lambda x: F.round(x / GRAIN).cast("long"))
+    first = F.coalesce(F.element_at(F.filter(grains, lambda x: x != 0), 1), F.lit(1).cast("long"))  # opposite normals are one class
+    apart = lambda i, k: F.sqrt(dot(*[[F.col("corners")[i][m] - F.col("corners")[k][m] for m in range(3)]] * 2))
+    rows = rows.withColumns({
+        "cls": F.transform(grains, lambda x: F.when(first < 0, -x).otherwise(x)),
+        "reach": F.array_max(F.transform(F.flatten("corners"), F.abs)) + F.array_max(F.transform("ipp", F.abs)),
+        "side": F.greatest(apart(0, 1), apart(1, 2)),
+    }).filter("reach is not null")
+    pairs = _candidates(rows, list(keys)).filter("a_v <> b_v")
     tilt = cross([F.col("a_n")[i] for i in range(3)], [F.col("b_n")[i] for i in range(3)])
-    pairs = pairs.filter(dot(tilt, tilt) > 1e-12)
+    pairs = pairs.filter(dot(tilt, tilt) > PARALLEL)
     height = lambda p: dot([F.col("a_n")[i] for i in range(3)], [p[i] - F.col("a_ipp")[i] for i in range(3)])
 
     def crossing(e: Column) -> Column:
