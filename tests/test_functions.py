@@ -1,5 +1,9 @@
 """Hand-computed cases of the scalar functions."""
 
+import math
+import random
+import struct
+
 from pyspark.sql import functions as F
 
 from voxlake.functions import scalars as S
@@ -68,3 +72,33 @@ def test_text_with_escapes(spark):
     rows = spark.createDataFrame([(i, b, c) for i, (b, c, _) in enumerate(cases)], "i int, b binary, c string").orderBy("i")
     assert [r[0] for r in rows.select(decode_text(F.col("b"), F.col("c"))).collect()] == [c[2] for c in cases]
     assert [r[0] for r in rows.limit(1).select(decode_text(F.lit(b"\xc8\xe2"), F.col("c"), "cp1251")).collect()] == ["Ив"]
+
+
+def _bits(x, single=False):
+    kind, whole = ("<f", "<i") if single else ("<d", "<q")
+    n = struct.unpack(whole, struct.pack(kind, x))[0]
+    return n if n >= 0 else -(n & (2**31 - 1 if single else 2**63 - 1))
+
+
+def test_ordered_bits_are_the_bit_pattern(spark):
+    rng = random.Random(1)
+    doubles = [0.0, -0.0, 5e-324, -5e-324, 1e-323, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, math.nextafter(1, 2), math.nextafter(1, 0), 2.0**52, 2.0**1023, 1.7976931348623157e308, -1.7976931348623157e308, 0.1, -3.7]
+    doubles += [sign * 2.0**e for e in range(-1074, 1024, 13) for sign in (1, -1)] + [math.nextafter(2.0**e, 0) for e in range(-1073, 1024, 17)] + [rng.uniform(-1, 1) * 2.0 ** rng.randint(-1060, 1020) for _ in range(500)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(doubles)], "i int, x double").select("i", S.ordered_bits(F.col("x")).alias("v"))
+    assert [r.v for r in got.orderBy("i").collect()] == [_bits(x) for x in doubles]
+    floats = [struct.unpack("<f", struct.pack("<f", x))[0] for x in [0.0, 1.0, -1.0, 1e-45, 1.17549435e-38, 3.4028235e38, 0.1, *[rng.uniform(-1, 1) * 2.0 ** rng.randint(-148, 126) for _ in range(300)]]]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(floats)], "i int, x double").select("i", S.ordered_bits(F.col("x"), single=True).alias("v"))
+    assert [r.v for r in got.orderBy("i").collect()] == [_bits(x, single=True) for x in floats]
+    assert [r[0] for r in spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(S.ordered_bits(F.col("x"))).collect()] == [None] * 3
+
+
+def test_almost_equal_by_steps(spark):
+    inf, nan, one, top, least = float("inf"), float("nan"), 1.0, 1.7976931348623157e308, 5e-324
+    far = lambda x, n: x + n * 2.0**-52
+    cases = [
+        (one, math.nextafter(one, 2), 1, True), (one, math.nextafter(one, 2), 0, False), (one, far(one, 100), 100, True), (one, far(one, 100), 99, False), (least, 2 * least, 1, True), (top, math.nextafter(top, 0), 1, True),
+        (one, far(one, 10**6), 10**6, True), (-one, -far(one, 3), 3, True), (-one, -far(one, 3), 2, False), (-least, least, 2, True), (-least, least, 1, False), (0.0, -0.0, 0, True), (one, -one, 10**9, False), (top, inf, 10**9, False), (inf, inf, 0, True),
+        (inf, -inf, 10**9, False), (nan, nan, 10**9, False), (nan, one, 10**9, False), (-top, top, 2**62, False), (None, one, 5, None),
+    ]
+    rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, a double, b double, n long")
+    assert [r.v for r in rows.select("i", S.almost_equal(F.col("a"), F.col("b"), 0.0, F.col("n")).alias("v")).orderBy("i").collect()] == [c[3] for c in cases]

@@ -154,11 +154,41 @@ def plane_type(iop: Column, threshold: float = 0.8) -> Column:
     return F.when(F.size(iop) == 6, let(F.transform(F.array(F.slice(iop, 1, 3), F.slice(iop, 4, 3)), axis), kind))
 
 
-def almost_equal(a: Column, b: Column, eps: Column | float) -> Column:
-    """|a - b| <= eps; NaN equals nothing, an infinity only itself."""
+def ordered_bits(x: Column, single: bool = False) -> Column:
+    """A whole number that orders as the floating-point numbers do: neighbours differ by one, both zeros are 0.
+
+    It is the number's bit pattern, with the sign before it, from its exponent and significand; scaling by powers of
+    two is exact. ``single`` counts in steps of single precision. Null for NaN and infinities.
+    """
+    digits, least, bias = (23, -126, 127) if single else (52, -1022, 1023)
+    size = F.abs(x.cast("double"))
+    power = lambda n: F.pow(F.lit(2.0), n)
+
+    def bits(guess: Column) -> Column:
+        # the logarithm may be off by one beside a power of two; above the largest one there is no next
+        exponent = F.when(power(guess) > size, guess - 1).when((guess < bias) & (power(F.least(guess + 1, F.lit(bias))) <= size), guess + 1).otherwise(guess)
+        scale = digits - F.greatest(exponent, F.lit(least))
+        half = F.floor(scale / 2)
+        whole = (size * power(half) * power(scale - half)).cast("long")
+        return F.when(exponent < least, whole).otherwise((exponent + bias).cast("long") * (1 << digits) + whole - (1 << digits))
+
+    found = F.when(size == 0, F.lit(0).cast("long")).when(size < float("inf"), let(F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size))), bits))
+    return F.when(x < 0, -found).otherwise(found)
+
+
+def ulp_distance(a: Column, b: Column, single: bool = False) -> Column:
+    """How many representable numbers b is from a."""
+    return F.abs(ordered_bits(a, single).cast("decimal(20,0)") - ordered_bits(b, single).cast("decimal(20,0)"))
+
+
+def almost_equal(a: Column, b: Column, eps: Column | float, max_ulps: Column | int | None = None, single: bool = False) -> Column:
+    """|a - b| <= eps, or at most ``max_ulps`` representable numbers apart; NaN equals nothing, an infinity only itself."""
     eps = eps if isinstance(eps, Column) else F.lit(eps)
     infinite = (F.abs(a) == float("inf")) | (F.abs(b) == float("inf"))
-    return F.when(F.isnan(a) | F.isnan(b), False).when(infinite, a == b).otherwise(F.abs(a - b) <= eps)
+    near = F.abs(a - b) <= eps
+    if max_ulps is not None:
+        near = near | (ulp_distance(a, b, single) <= (max_ulps if isinstance(max_ulps, Column) else F.lit(max_ulps)))
+    return F.when(F.isnan(a) | F.isnan(b), False).when(infinite, a == b).otherwise(near)
 
 
 def distance_to_plane(point: list[Column], origin: list[Column], direction: list[Column]) -> Column:

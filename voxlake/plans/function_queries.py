@@ -78,6 +78,20 @@ def f11_almost_equal(spark, sf_dir):
     return points.select("roi_id", "point_no", S.almost_equal(F.col("x"), F.col("y"), 10.0).alias("near"), S.distance_to_plane([F.col(c) for c in "xyz"], zero, up).alias("distance"))
 
 
+@query("SELECT roi_id, point_no, CAST(point_no % 7 AS BIGINT) AS distance, point_no % 7 <= 3 AS near, CAST(point_no % 5 AS BIGINT) AS single_distance FROM fx_contour_points")
+def f11_ulp_distance(spark, sf_dir):
+    """Numbers a known count of steps apart, on both sides of powers of two, at all sizes and signs."""
+    points = fixture(spark, sf_dir, "fx_contour_points")
+    no, size = F.col("point_no"), F.pow(F.lit(2.0), F.col("point_no") % 1800 - 1000) * F.when(F.col("point_no") % 2 == 0, 1.0).otherwise(-1.0)
+    start, step = 1.5 + (no % 1000).cast("double") * 2.0**-52, 2.0**-52
+    start = F.when(no % 3 == 0, F.lit(2.0 - 7 * 2.0**-52)).otherwise(start)  # up to the next power of two
+    a, b = start * size, (start + (no % 7) * step) * size
+    c = F.when(no % 3 == 0, F.lit(2.0 - 5 * 2.0**-23)).otherwise(1.25 + (no % 1000).cast("double") * 2.0**-23) * F.pow(F.lit(2.0), no % 200 - 100)
+    d = c + (no % 5) * F.pow(F.lit(2.0), no % 200 - 123)
+    near = S.almost_equal(a, b, 0.0, 3)
+    return points.select("roi_id", "point_no", S.ulp_distance(a, b).cast("long").alias("distance"), near.alias("near"), S.ulp_distance(c, d, single=True).cast("long").alias("single_distance"))
+
+
 @query("""SELECT file_id, CAST(instance_number AS DOUBLE) AS px, CASE WHEN plane_code = 2 THEN CAST(0 AS DOUBLE) ELSE CAST(3 AS DOUBLE) END AS py,
  CASE WHEN plane_code = 2 THEN ipp_z - 3 ELSE ipp_z END AS pz, CASE WHEN file_id % 3 = 0 THEN -1.0 ELSE 5.0 END AS mm, CAST(instance_number AS DOUBLE) AS column_, CAST(3 AS DOUBLE) AS row_, CAST(0 AS DOUBLE) AS slice_ FROM fx_instances""")
 def f14_index_to_patient(spark, sf_dir):
