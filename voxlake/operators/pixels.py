@@ -1,11 +1,12 @@
 """Pixel arrays, one row per frame: rescale, windows, lookup tables, ranges, histograms and mosaics.
 
-Arrays stay arrays; nothing explodes into pixels except the histogram, which counts inside each task first.
+Arrays stay arrays: a frame's steps are NumPy operations on its array, fused in one pass over Arrow batches; nothing
+explodes into pixels, and the histogram counts inside each task first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,126 @@ from voxlake.functions.sop_classes import PET
 LOST = 2.0**24  # beyond it single precision loses whole numbers
 
 
+#: A frame's step: its pixels as doubles and its parameters, to new pixels; None where the frame has no result.
+Step = Callable[[np.ndarray, dict], np.ndarray | None]
+
+
+def _in_arrow(frames: DataFrame, params: dict[str, Column], steps: list[Step], kind: str) -> DataFrame:
+    """Frames with the pixels that ``steps`` give one after the other, all in one pass over Arrow batches.
+
+    A frame is one NumPy array from its batch, without a copy; what each step needs of the frame comes beside it. Null
+    frames and null pixels stay null. Other columns go through. Spark cuts batches by bytes.
+    """
+    keys, names = list(params), [f"_p{i}" for i in range(len(params))]
+    rows = frames.select(*frames.columns, *[c.alias(n) for n, c in zip(names, params.values(), strict=True)])
+    at = frames.columns.index("pixels")
+    out_type = pa.list_({"double": pa.float64(), "int": pa.int32()}[kind])
+    schema = frames.withColumn("pixels", F.lit(None).cast(f"array<{kind}>")).schema
+    plain = np.float64 if kind == "double" else np.int32
+
+    def value(column: pa.Array, i: int):
+        if pa.types.is_struct(column.type):  # a lookup table
+            return None if not column[i].is_valid else {k: column.field(k)[i].values.to_numpy(zero_copy_only=False) if k == "data" and column.field(k)[i].is_valid else column.field(k)[i].as_py() for k in column.type.names}
+        return column[i].as_py()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pixels = batch.column(at)
+            own = dict(zip(keys, (batch.column(len(schema) + i) for i in range(len(names))), strict=True))
+            parts, masks, sizes, nulls = [], [], [], []
+            for i in range(batch.num_rows):
+                found, lost = None, None
+                if pixels[i].is_valid:
+                    values = pixels[i].values
+                    lost = values.is_null().to_numpy(zero_copy_only=False) if values.null_count else None
+                    found = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                    frame = {k: value(c, i) for k, c in own.items()}
+                    with np.errstate(all="ignore"):
+                        for step in steps:
+                            found = None if found is None else step(found, frame)
+                nulls.append(found is None)
+                found = np.empty(0, plain) if found is None else found
+                blank = np.isnan(found) if kind == "int" and found.dtype.kind == "f" else np.zeros(len(found), bool)
+                parts.append(np.where(blank, 0, found).astype(plain, copy=False))
+                masks.append(blank if lost is None or len(lost) != len(found) else blank | lost)
+                sizes.append(len(found))
+            flat, mask = (np.concatenate(parts), np.concatenate(masks)) if parts else (np.empty(0, plain), np.empty(0, bool))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=mask if mask.any() else None), mask=pa.array(nulls, pa.bool_()))
+            columns = [lists.cast(out_type) if j == at else batch.column(j) for j in range(len(schema))]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _rescaled(v: np.ndarray, frame: dict) -> np.ndarray:
+    slope, intercept = (frame[k] for k in ("slope", "intercept"))
+    return v * (1.0 if slope is None else slope) + (0.0 if intercept is None else intercept)
+
+
+def _windowed(black_above: bool) -> Step:
+    def step(v: np.ndarray, frame: dict) -> np.ndarray:
+        center, width, function = frame["center"], frame["width"], frame["function"]
+        if center is None or width is None:
+            return np.full(len(v), np.nan)
+        if function == "SIGMOID":
+            return np.floor(255 / (1 + np.exp(-4 * (v - center) / width)))
+        exact = function == "LINEAR_EXACT" or (function == "LINEAR" and width <= 1)
+        half, mid = (width / 2, center) if exact else ((width - 1) / 2, center - 0.5)
+        inside = np.floor(255 * ((v - mid) / (width if exact else width - 1) + 0.5))
+        return np.where(v <= mid - half, 0.0, np.where(v > mid + half, 0.0 if black_above else 255.0, inside))
+
+    return step
+
+
+def _looked_up(v: np.ndarray, lut: dict) -> np.ndarray | None:
+    """Pixels through a lookup table: truncated, shifted only if the first mapped value is negative, clamped to both ends; None beyond 16 bits."""
+    data = lut["data"]
+    if lut["bits"] is None or lut["bits"] > 16:
+        return None
+    if data is None or not len(data):
+        return np.full(len(v), np.nan)
+    whole = np.nan_to_num(np.trunc(v)) - min(lut["first_mapped"] or 0, 0)
+    return data[np.clip(whole, 0, len(data) - 1).astype(np.int64)].astype(np.float64)
+
+
+def _modality(v: np.ndarray, frame: dict) -> np.ndarray | None:
+    lut = frame.get("modality")
+    if lut is None or (frame["slope"] is not None and frame["intercept"] is not None):
+        return _rescaled(v, frame)
+    return _looked_up(v, lut)
+
+
+def _of_interest(black_above: bool) -> Step:
+    window = _windowed(black_above)
+    return lambda v, frame: window(v, frame) if frame.get("voi") is None else _looked_up(v, frame["voi"])
+
+
+def _presented(v: np.ndarray, frame: dict) -> np.ndarray | None:
+    if frame.get("presentation") is not None:
+        return _looked_up(v, frame["presentation"])
+    return frame["top"] - v if frame["shape"] == "INVERSE" else v
+
+
+_SCALE = {"slope": "rescale_slope", "intercept": "rescale_intercept"}
+_WINDOW = {"center": "window_center", "width": "window_width", "function": "lut_function"}
+
+
+def _params(names: dict[str, str]) -> dict[str, Column]:
+    return {k: F.col(c).cast("string" if k == "function" else "double") for k, c in names.items()}
+
+
+def _with_precision(frames: DataFrame) -> DataFrame:
+    big = F.greatest(F.abs(F.array_max("pixels")), F.abs(F.array_min("pixels"))) > LOST
+    return frames.withColumn("is_double", F.coalesce(F.col("sop_class").isin(*PET) | (F.col("sop_class") == ""), F.lit(True)) | F.coalesce(big, F.lit(False)))
+
+
 def rescale(frames: DataFrame) -> DataFrame:
     """Pixels times slope plus intercept; ``is_double`` tells whether the volume needs double precision.
 
     It does for two PET classes, an empty SOP class, and where the result passes 2**24.
     """
-    out = frames.withColumn("pixels", F.transform("pixels", lambda v: v.cast("double") * F.coalesce("rescale_slope", F.lit(1.0)) + F.coalesce("rescale_intercept", F.lit(0.0))))
-    big = F.greatest(F.abs(F.array_max("pixels")), F.abs(F.array_min("pixels"))) > LOST
-    return out.withColumn("is_double", F.coalesce(F.col("sop_class").isin(*PET) | (F.col("sop_class") == ""), F.lit(True)) | F.coalesce(big, F.lit(False)))
+    return _with_precision(_in_arrow(frames, _params(_SCALE), [_rescaled], "double"))
 
 
 def window_value(v: Column, center: Column, width: Column, function: Column, black_above: bool = False) -> Column:
@@ -42,60 +155,41 @@ def window_value(v: Column, center: Column, width: Column, function: Column, bla
 
 
 def apply_window(frames: DataFrame, black_above: bool = False) -> DataFrame:
-    """Pixels through each frame's own window (window_center, window_width, lut_function)."""
-    return frames.withColumn("pixels", F.transform("pixels", lambda v: window_value(v.cast("double"), F.col("window_center"), F.col("window_width"), F.col("lut_function"), black_above)))
+    """Pixels through each frame's own window (window_center, window_width, lut_function), as ``window_value`` gives them."""
+    return _in_arrow(frames, _params(_WINDOW), [_windowed(black_above)], "int")
 
 
-def table_values(pixels: str, lut: Column) -> Column:
-    """Pixels through a lookup table (struct of first_mapped, bits, data): truncated, shifted only if the first mapped value is negative, clamped to both ends.
+def apply_lut(frames: DataFrame, first_mapped: Column, bits: Column, data: Column) -> DataFrame:
+    """Each frame's pixels through its lookup table: truncated, shifted only if the first mapped value is negative, clamped to both ends.
 
     Tables of more than 16 bits are refused: the pixels become null.
     """
-    first_mapped, data = lut["first_mapped"], lut["data"]
-    shift = F.when(first_mapped < 0, first_mapped).otherwise(0)
-
-    def mapped(v: Column) -> Column:
-        whole = F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)).cast("int")
-        return F.get(data, F.greatest(F.lit(0), F.least(F.size(data) - 1, (whole - shift).cast("int"))))
-
-    return F.when(lut["bits"] <= 16, F.transform(pixels, mapped))
-
-
-def apply_lut(frames: DataFrame, first_mapped: Column, bits: Column, data: Column) -> DataFrame:
-    """Each frame's pixels through its lookup table, as ``table_values`` gives them."""
-    return frames.withColumn("pixels", table_values("pixels", F.struct(first_mapped.alias("first_mapped"), bits.alias("bits"), data.alias("data"))))
+    lut = F.struct(first_mapped.alias("first_mapped"), bits.alias("bits"), data.alias("data"))
+    return _in_arrow(frames, {"lut": lut}, [lambda v, frame: _looked_up(v, frame["lut"])], "int")
 
 
 def modality_lut(frames: DataFrame, lut: Column | None = None) -> DataFrame:
     """The first step: slope and intercept where a frame has both, else its table (struct of first_mapped, bits, data), else nothing."""
-    if lut is None:
-        return rescale(frames)
-    scaled = F.col("rescale_slope").isNotNull() & F.col("rescale_intercept").isNotNull()
-    rows = frames.withColumn("_lut", F.when(~scaled, lut)).withColumn("_raw", F.col("pixels"))
-    found = F.when(F.col("_lut").isNotNull(), table_values("_raw", F.col("_lut")).cast("array<double>")).otherwise(F.col("pixels"))
-    return rescale(rows).withColumn("pixels", found).drop("_lut", "_raw")
+    return _with_precision(_in_arrow(frames, _params(_SCALE) | ({} if lut is None else {"modality": lut}), [_modality], "double"))
 
 
 def presentation_lut(frames: DataFrame, shape: Column, top: Column | None = None, lut: Column | None = None) -> DataFrame:
     """The last step: a table where there is one, else the shape: INVERSE turns values around below ``top`` (255), IDENTITY keeps them."""
-    top = F.lit(255) if top is None else top
-    turned = F.when(shape == "INVERSE", F.transform("pixels", lambda v: top - v)).otherwise(F.col("pixels"))
-    return frames.withColumn("pixels", turned if lut is None else F.when(lut.isNotNull(), table_values("pixels", lut)).otherwise(turned))
+    params = {"shape": shape, "top": F.lit(255) if top is None else top} | ({} if lut is None else {"presentation": lut})
+    return _in_arrow(frames, params, [_presented], "int")
 
 
 def grayscale_pipeline(frames: DataFrame, shape: Column, modality: Column | None = None, voi: Column | None = None, presentation: Column | None = None) -> DataFrame:
     """Modality, values of interest, presentation: each step by the frame's table where it has one (null: it has none).
 
     Without tables: rescale, the window, the shape. Tables are structs of first_mapped, bits and data. After a table
-    of interest values reach up to its bits, after a window up to 255; INVERSE turns around within that.
+    of interest values reach up to its bits, after a window up to 255; INVERSE turns around within that. The three steps are one
+    pass over a frame's array.
     """
-    rows = modality_lut(frames, modality)
-    if voi is None:
-        return presentation_lut(apply_window(rows), shape, lut=presentation)
-    windowed = apply_window(rows.withColumn("_voi", voi).withColumn("_raw", F.col("pixels")))
-    rows = windowed.withColumn("pixels", F.when(F.col("_voi").isNotNull(), table_values("_raw", F.col("_voi"))).otherwise(F.col("pixels")))
-    top = F.when(F.col("_voi").isNotNull(), (F.pow(F.lit(2.0), F.col("_voi.bits")) - 1).cast("int")).otherwise(255)
-    return presentation_lut(rows, shape, top, presentation).drop("_voi", "_raw")
+    tables = {k: c for k, c in (("modality", modality), ("voi", voi), ("presentation", presentation)) if c is not None}
+    top = F.lit(255) if voi is None else F.when(voi.isNotNull(), (F.pow(F.lit(2.0), voi["bits"]) - 1).cast("int")).otherwise(255)
+    params = _params(_SCALE | _WINDOW) | {"shape": shape, "top": top} | tables
+    return _in_arrow(frames, params, [_modality, _of_interest(False), _presented], "int")
 
 
 def pixel_minmax(frames: DataFrame, keys: list[str], max_window: bool = False) -> DataFrame:
