@@ -31,9 +31,13 @@ def w3_slice_geometry(spark, sf_dir):
     return G.slice_geometry(_slices(spark, sf_dir))
 
 
-@query("SELECT dir, series_uid, min(rows_) = max(rows_) AS is_valid, CAST(1 AS DOUBLE) AS x_spacing, CAST(1 AS DOUBLE) AS y_spacing FROM fx_instances GROUP BY dir, series_uid")
+@query("""WITH f AS (SELECT *, CASE WHEN plane_code = 2 THEN -instance_number ELSE instance_number END AS k FROM fx_instances)
+SELECT dir, series_uid, min(rows_) = max(rows_) AND (bool_and(instance_number = 4) OR bool_and(instance_number <> 4)) AS is_valid,
+ 2.0 + 0.00001 * arg_min(instance_number % 2, k) AS x_spacing, CASE WHEN arg_min(instance_number, k) = 4 THEN 1.5 ELSE 1.0 END AS y_spacing FROM f GROUP BY dir, series_uid""")
 def w4_check_slices(spark, sf_dir):
-    return G.check_slices(_slices(spark, sf_dir))
+    """Sizes that differ, spacings that differ, and spacings that differ by less than the tolerance."""
+    no = F.col("instance_number")
+    return G.check_slices(_slices(spark, sf_dir).withColumn("spacing", F.array(F.when(no == 4, 1.5).otherwise(1.0), 2.0 + 0.00001 * (no % 2))))
 
 
 @query("""SELECT file_id, copy, CASE WHEN copy = 1 THEN 0 ELSE 1 END AS volume_no FROM fx_instances CROSS JOIN (SELECT unnest([1, 2]) AS copy)""")

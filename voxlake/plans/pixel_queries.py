@@ -32,9 +32,17 @@ def p1_rescale(spark, sf_dir):
 _WINDOW = "CASE WHEN v <= 39.5 - 199.5 THEN 0 WHEN v > 39.5 + 199.5 THEN 255 ELSE CAST(floor(255 * ((v - 39.5) / 399.0 + 0.5)) AS INTEGER) END"
 
 
-@query(f"SELECT file_id, CAST(list_sum(list_transform({_PIX}, lambda v: {_WINDOW})) AS BIGINT) AS total FROM fx_frame_pixels")
+_EXACT = "CASE WHEN v <= 40 - 200 THEN 0 WHEN v > 40 + 200 THEN 255 ELSE CAST(floor(255 * ((v - 40) / 400.0 + 0.5)) AS INTEGER) END"
+_NARROW = "CASE WHEN v <= 40 - 0.5 THEN 0 WHEN v > 40 + 0.5 THEN 255 ELSE CAST(floor(255 * ((v - 40) / 1.0 + 0.5)) AS INTEGER) END"
+_SIGMOID = "CAST(floor(255 / (1 + exp(-4 * (v - 40) / 400.0))) AS INTEGER)"
+
+
+@query(f"SELECT file_id, CAST(list_sum(list_transform({_PIX}, lambda v: CASE file_id % 4 WHEN 0 THEN {_WINDOW} WHEN 1 THEN {_EXACT} WHEN 2 THEN {_SIGMOID} ELSE {_NARROW} END)) AS BIGINT) AS total FROM fx_frame_pixels")
 def p2_apply_window(spark, sf_dir):
-    return P.apply_window(_frames(spark, sf_dir)).select("file_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    """All three functions, and a linear window too narrow for its own."""
+    kind = F.col("file_id") % 4
+    rows = _frames(spark, sf_dir).withColumn("lut_function", F.when(kind == 1, "LINEAR_EXACT").when(kind == 2, "SIGMOID").otherwise("LINEAR")).withColumn("window_width", F.when(kind == 3, 1.0).otherwise(400.0))
+    return P.apply_window(rows).select("file_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query(f"SELECT file_id, CAST(list_sum(list_transform({_PIX}, lambda v: greatest(0, least(9, CAST(trunc(v) AS INTEGER) + 5)) * 10)) AS BIGINT) AS total FROM fx_frame_pixels")

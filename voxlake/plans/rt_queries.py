@@ -65,9 +65,19 @@ def j9_map_contours_uniform(spark, sf_dir):
     return R.map_contours_uniform(_points(spark, sf_dir), _slices(spark, sf_dir))
 
 
-@query("SELECT DISTINCT roi_id % 4 AS volume_id, roi_id, contour_id, CAST(z / 2.5 AS INTEGER) AS slice_no FROM fx_contour_points")
+_SHIFT = "CASE WHEN roi_id % 3 = 1 AND contour_id = 1 THEN point_no % 2 WHEN contour_id = 2 THEN 0.04 WHEN contour_id = 4 THEN 0.09 WHEN contour_id = 5 THEN 0.11 ELSE 0 END"
+
+
+@query(f"""WITH p AS (SELECT roi_id % 4 AS volume_id, roi_id, contour_id, z + {_SHIFT} AS z FROM fx_contour_points), s AS (SELECT DISTINCT roi_id % 4 AS volume_id, CAST(z / 2.5 AS INTEGER) AS slice_no, z FROM fx_contour_points),
+t AS (SELECT * FROM s UNION ALL SELECT volume_id, 100, 7.58 FROM s WHERE slice_no = 3),
+f AS (SELECT p.volume_id, roi_id, contour_id, slice_no FROM p JOIN t ON p.volume_id = t.volume_id GROUP BY p.volume_id, roi_id, contour_id, slice_no HAVING bool_and(abs(p.z - t.z) < 0.1))
+SELECT volume_id, roi_id, contour_id, min(slice_no) AS slice_no FROM f GROUP BY volume_id, roi_id, contour_id HAVING count(*) = 1""")
 def j10_map_contours_nonuniform(spark, sf_dir):
-    return R.map_contours_nonuniform(_points(spark, sf_dir), _slices(spark, sf_dir))
+    """Contours on a slice, just beside one, too far from any, of which some points are far, and between two slices that are both near."""
+    slices = _slices(spark, sf_dir)
+    near = slices.filter("slice_no = 3").withColumns({"slice_no": F.lit(100), "ipp": F.array(F.lit(0.0), F.lit(0.0), F.lit(7.58))})
+    points = _points(spark, sf_dir).withColumn("z", F.col("z") + F.expr(_SHIFT))
+    return R.map_contours_nonuniform(points, slices.unionByName(near))
 
 
 @query("SELECT file_id, CAST(i AS INTEGER) AS roi_item, 1 AS contour_id, study_uid AS volume_id, instance_number AS slice_no FROM fx_instances CROSS JOIN (SELECT unnest([1, 2, 3]) AS i) t WHERE instance_number = 1")

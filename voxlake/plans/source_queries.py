@@ -24,16 +24,16 @@ def k2_export_manifest(spark, sf_dir):
     return D.export_manifest(files.filter("patient_id like 'P1%'"), files, "/out")
 
 
-@query("SELECT file_id, concat(CAST(file_id AS VARCHAR), CASE WHEN file_id % 2 = 0 THEN '.pdf' ELSE '.stl' END) AS name, CAST(strlen(sop_uid) AS INTEGER) AS size FROM fx_instances")
+@query("SELECT file_id, concat(CAST(file_id AS VARCHAR), CASE WHEN file_id % 2 = 0 THEN '.pdf' ELSE '.stl' END) AS name, md5(sop_uid) AS digest FROM fx_instances")
 def k3_extract_encapsulated(spark, sf_dir):
     found = fixture(spark, sf_dir, "fx_instances")
     top = F.array().cast("array<struct<tag:string,item:int>>").alias("path")
     data = found.select("file_id", top, F.lit("00420011").alias("tag"), F.lit(None).cast("string").alias("value"), F.col("sop_uid").cast("binary").alias("value_bin"))
     mime = found.select("file_id", top, F.lit("00420012").alias("tag"), F.when(F.col("file_id") % 2 == 0, "application/pdf").otherwise("model/stl").alias("value"), F.lit(None).cast("binary").alias("value_bin"))
-    return D.extract_encapsulated(data.unionByName(mime)).select("file_id", "name", F.octet_length("payload").alias("size"))
+    return D.extract_encapsulated(data.unionByName(mime)).select("file_id", "name", F.md5("payload").alias("digest"))
 
 
-@query("""SELECT file_id, concat(CAST(file_id AS VARCHAR), CASE WHEN file_id % 3 = 0 THEN '.mpg' ELSE '.mp4' END) AS name, CAST(strlen(sop_uid) AS INTEGER) AS size FROM fx_instances WHERE file_id % 3 < 2""")
+@query("""SELECT file_id, concat(CAST(file_id AS VARCHAR), CASE WHEN file_id % 3 = 0 THEN '.mpg' ELSE '.mp4' END) AS name, md5(sop_uid) AS digest FROM fx_instances WHERE file_id % 3 < 2""")
 def k3_video(spark, sf_dir):
     """Video streams by transfer syntax; other pixel data stays where it is."""
     found = fixture(spark, sf_dir, "fx_instances")
@@ -41,7 +41,7 @@ def k3_video(spark, sf_dir):
     data = found.select("file_id", top, F.lit(D.PIXELS).alias("tag"), F.lit(None).cast("string").alias("value"), F.col("sop_uid").cast("binary").alias("value_bin"))
     kind = F.col("file_id") % 3
     syntax = F.when(kind == 0, "1.2.840.10008.1.2.4.100").when(kind == 1, "1.2.840.10008.1.2.4.102").otherwise("1.2.840.10008.1.2.1")
-    return D.extract_encapsulated(data, found.select("file_id", syntax.alias("transfer_syntax"))).select("file_id", "name", F.octet_length("payload").alias("size"))
+    return D.extract_encapsulated(data, found.select("file_id", syntax.alias("transfer_syntax"))).select("file_id", "name", F.md5("payload").alias("digest"))
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
