@@ -230,7 +230,7 @@ def remove_group_length(elements: DataFrame) -> DataFrame:
 
 def _repeating(prefix: str) -> Column:
     """Even groups xx00 to xxFF at the top level, and items under them."""
-    group = F.when(F.size("path") > 0, F.col("path")[0]["tag"]).otherwise(F.col("tag"))
+    group = F.when(F.size("path") > 0, F.get("path", F.lit(0))["tag"]).otherwise(F.col("tag"))
     return group.startswith(prefix) & ~_odd(group)
 
 

@@ -156,7 +156,7 @@ def _joined(parts: Column) -> Column:
 
 def fragments(elements: DataFrame) -> DataFrame:
     """Compressed pixel data as ``file_id``, ``fragment`` (from 1), ``data``, and the ``offsets`` of the offset table (empty: none)."""
-    items = elements.filter((F.col("tag") == ITEM) & (F.size("path") == 1) & (F.col("path")[0]["tag"] == PIXELS)).select("file_id", F.col("path")[0]["item"].alias("item"), "value", "value_bin")
+    items = elements.filter((F.col("tag") == ITEM) & (F.size("path") == 1) & (F.get("path", F.lit(0))["tag"] == PIXELS)).select("file_id", F.get("path", F.lit(0))["item"].alias("item"), "value", "value_bin")
     table = items.filter("item = 1").select("file_id", F.transform(F.filter(F.split("value", r"\\"), lambda x: x != ""), lambda x: x.cast("long")).alias("offsets"))
     return items.filter("item > 1").select("file_id", (F.col("item") - 1).alias("fragment"), F.col("value_bin").alias("data")).join(table, "file_id")
 
