@@ -14,21 +14,22 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxlake.llm.common import cut, fresh_path, lean, text_bytes, texts_of
+from voxlake.llm.common import cut, fresh_path, lean, parts_for, text_bytes, texts_of
 from voxlake.llm.tokens import as_u32, encoder
+from voxlake.sources.stores import open_store
 
 #: Bytes of text whose records a file holds, about, and bytes of a file at which the next one begins.
 FILE_BYTES, FULL_BYTES = 8_000_000, 64_000_000
+#: Bytes of text, or of ids, that a task takes at most, so that very large tables have no more ranges than they need.
+TASK_BYTES = 1_000_000_000
 _MASK, _MAGIC = 0xA282EAD8, b"VXIX1\n"
 _NULL_ID, _WIDE = 1, 2
 
@@ -65,13 +66,9 @@ def parse(data: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & _NULL_ID else doc_id, np.frombuffer(data, "<u4" if flags & _WIDE else "<u2", offset=9)
 
 
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if urlparse(uri).scheme else (fs.LocalFileSystem(), uri)
-
-
 def load_index(uri: str) -> dict[str, np.ndarray]:
     """``offset``, ``doc_id`` and ``n_tokens`` of each record of a file, from its index."""
-    store, path = _store(uri)
+    store, path = open_store(uri)
     with store.open_input_file(path) as file:
         data = file.read()
     if data[: len(_MAGIC)] != _MAGIC or struct.unpack("<I", data[-4:])[0] != masked(data[:-4]):
@@ -82,7 +79,7 @@ def load_index(uri: str) -> dict[str, np.ndarray]:
 
 def read_at(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
     """One record, by its offset from the index."""
-    store, path = _store(uri)
+    store, path = open_store(uri)
     with store.open_input_file(path) as file:
         file.seek(offset)
         head = file.read(12)
@@ -147,7 +144,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     size = text_bytes(columns)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = max(1, -(-size // file_bytes), min(tasks, -(-8 * size // file_bytes)))  # little text still goes to several tasks
+    # a task writes as many files as its range fills; little text still goes to several tasks
+    files = max(1, -(-size // TASK_BYTES), min(tasks, -(-8 * size // file_bytes)))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     ordered = columns.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
     manifest = cut(ordered.mapInArrow(lean(_written(folder, tokenizer, end_id, full), remembers=True), "file long, records string, index string, n_docs long, n_tokens long"), "manifest")
@@ -162,7 +160,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            store, path = _store(uri)
+            store, path = open_store(uri)
             with store.open_input_file(path) as file:
                 data = memoryview(file.read())
             at, ids, starts, sizes, crcs = 0, [], [], [], []
@@ -179,5 +177,5 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(manifest: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of every record, checked while it is read."""
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(manifest.sparkSession, 2 * (manifest.agg(F.sum("n_tokens")).first()[0] or 0), TASK_BYTES)
     return manifest.select("records", "start").repartition(n, "records").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
