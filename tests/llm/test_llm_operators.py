@@ -670,3 +670,12 @@ def test_pipeline_run(spark, docs, tmp_path):
     for places in by_sequence.values():
         places.sort()
         assert [at for at, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 1024
+
+
+def test_impact_search_refuses_what_leaves_64_bits(spark):
+    data = [(1, [2**31, 1]), (2, [2**33, 0]), (3, [1, 1])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<long>")
+    with pytest.raises(ValueError, match="64 bits"):
+        impact_search.exact_top_k(frame, frame)
+    fits = frame.filter("vec_id <> 2")
+    assert [(r.query_id, r.vec_id, r.score) for r in impact_search.exact_top_k(fits, fits).orderBy("query_id").collect()] == [(1, 3, 2**31 + 1), (3, 1, 2**31 + 1)]

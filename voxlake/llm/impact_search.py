@@ -152,12 +152,16 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     are fewer than k). Null ids, null or empty vectors and vectors with null components take no part; vectors of other
     lengths do not meet. Every row of the vectors is a candidate of its own, so equal rows take a rank each. Query rows
     of equal id and vector ask once; those of equal id and other vectors ask each for themselves, with ranks from 1.
-    Blocks of vectors meet chunks of queries; one task holds one of each. Empty inputs give no rows.
+    Blocks of vectors meet chunks of queries; one task holds one of each. Empty inputs give no rows. Inputs whose
+    lengths let an inner product leave 64 bits raise an error.
     """
     spark = vectors.sparkSession
     good = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("vector")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
     every, distinct = good(vectors), good(queries).distinct()
     length = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    longest = [df.agg(F.max(length)).first()[0] or 0.0 for df in (every, distinct)]
+    if longest[0] * longest[1] >= 2.0**126:
+        raise ValueError("inner products may leave 64 bits")
     found, n_blocks = chunks(every, "id", "vector", "<i8", BLOCK, order=[length.desc(), F.xxhash64("id")])
     blocks = cut(found, "blocks")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -119,7 +119,9 @@ def manifest(rows: DataFrame, group: str, id_col: str) -> DataFrame:
     leaves = cut(placed.join(names, F.col(group).eqNullSafe(F.col("_name"))).drop("_name"), "placed")
     runs, subroots, height = _levels(leaves.select("t", "i", F.col("leaf").alias("node")))
     subroots = cut(subroots, "subroots")
-    top_runs, roots, top_height = _levels(subroots.select(F.lit(TOP).cast("long").alias("t"), F.col("t").alias("i"), "node"))
+    # written, as a join by a tree that is one constant would be none by key
+    top = cut(subroots.select(F.lit(TOP).cast("long").alias("t"), F.col("t").alias("i"), "node"), "top")
+    top_runs, roots, top_height = _levels(top)
     steps = height + top_height + 1
     # the root of a group is a leaf of the tree above: a step without siblings
     aliases = subroots.select("t", F.col("height").alias("l"), F.lit(0).cast("long").alias("i"), F.lit(TOP).cast("long").alias("at"), F.lit(0).alias("al"), F.col("t").alias("ai"), F.array().cast(_SEGMENTS).alias("proof"))
@@ -140,8 +142,8 @@ def manifest(rows: DataFrame, group: str, id_col: str) -> DataFrame:
         distance *= 2
     known = subroots.select("t", F.col("node").alias("subroot"))
     found = found.join(F.broadcast(known) if groups.count() <= BROADCAST_ANCESTORS else known, "t")
-    top = roots.first()  # the only row; none if the table is empty
-    return found.select(*rows.columns, "subroot", F.lit(bytes(top.node) if top else None).cast("binary").alias("root"), "proof")
+    root = roots.first()  # the only row; none if the table is empty
+    return found.select(*rows.columns, "subroot", F.lit(bytes(root.node) if root else None).cast("binary").alias("root"), "proof")
 
 
 def document_manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), group: str = "lang", id_col: str = "doc_id", text_col: str = "text", one_in: int = 3) -> DataFrame:
