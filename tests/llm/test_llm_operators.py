@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxlake.llm import ann_tree, common, components, impact_search, langid, lm_scoring, mixing, near_copies, packing, records, simhash, substring_dedup, tokens, toxicity
+from voxlake.llm import queries as llm_queries
 from voxlake.llm.vectors import usable
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -574,6 +575,13 @@ def test_lm_base_scores(docs, clashing, empty):
     assert lm_scoring.score(empty, path).count() == 0
 
 
+def test_lm_query_is_near_the_base_score(spark):
+    """Held-out texts by the query's model; by the vocabulary's ranks alone they cost more than twice the base score."""
+    found = llm_queries.op9_lm_scoring(spark, "/root/testdata/sf0.001").filter("held_out").collect()
+    assert found and all(r.score is not None and math.isfinite(r.score) for r in found)
+    assert sum(r.score for r in found) > 1.4 * sum(r.base_score for r in found)
+
+
 def test_empty_tables(spark, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert substring_dedup.remove_repeats(empty).count() == 0

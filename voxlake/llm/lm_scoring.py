@@ -4,9 +4,10 @@ The vocabulary's own scores are ranks. A rank law, p proportional to (rank + q)*
 log-probabilities; q and s are fitted to the pieces of all training documents, so the law is learned from the corpus
 and the order of the pieces is the vocabulary's. These weigh every segmentation: a word's probability is the sum over
 all its segmentations into pieces, by a forward recursion in log space; no piece crosses a word's start, so a text's
-marginal probability is the product over its words and its end. Two options, off by default, leave the vocabulary's
-scores: ``learn_pieces`` refits each piece to its count in training, with the law as prior, and ``word_arcs`` adds an
-arc for each word of training with its relative frequency, by Witten-Bell weights.
+marginal probability is the product over its words and its end. Two options learn more from the training documents:
+``learn_pieces`` refits each piece to its count in training, with the law as prior, and ``word_arcs`` adds an arc over
+each word of training with its relative frequency, by Witten-Bell weights. The query takes both: pieces of a vocabulary
+made for other text are a weak model by their ranks alone.
 
 Every word of the corpus is counted and scored once. Words are joined to documents in two ways: the ``HOT_WORDS`` most
 frequent ones go to every task, the rest meets the occurrences of each document in a join by word.

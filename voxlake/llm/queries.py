@@ -134,7 +134,7 @@ def op8_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = lm_scoring.score(docs, tokenizer_file("piece_bpe_32k.model"))
+    found = lm_scoring.score(docs, tokenizer_file("piece_bpe_32k.model"), learn_pieces=True, word_arcs=True)
     return found.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
