@@ -204,3 +204,10 @@ def test_few_slices_are_compared_in_vain(spark):
     finally:
         geometry._candidates = before
     assert found and seen["pairs"].count() <= 2 * found < 2 * 660 * 60
+
+
+def test_numbers_are_as_wide_as_they_are(spark):
+    files = spark.range(10_001).select(F.col("id").alias("file_id"), F.lit("/a").alias("dir"), F.lpad(F.col("id").cast("string"), 6, "0").alias("name"))
+    found = {r.file_id: r.out_name for r in deid.number_outputs(files).collect()}
+    assert (found[0], found[9998], found[9999], found[10_000]) == ("0001.dcm", "9999.dcm", "00010000.dcm", "00010001.dcm")
+    assert len(set(found.values())) == len(found)

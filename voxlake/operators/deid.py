@@ -498,12 +498,12 @@ def deid_report(files: DataFrame) -> DataFrame:
 def number_outputs(files: DataFrame) -> DataFrame:
     """``file_id``, ``out_dir`` and ``out_name``: files numbered by name within a directory, directories by their path.
 
-    File numbers have 4 digits up to 9999 files of a directory, 8 up to 99,999,999, else 10; directory numbers 8 or 10.
+    Each number is as wide as itself asks for: a file's has 4 digits up to 9999, 8 up to 99,999,999, else 10; a
+    directory's 8 or 10.
     """
-    per_dir = numbered(files.groupBy("dir").agg(F.count("*").alias("n")), ["dir"], "d")
-    dirs = per_dir.count()
-    width = F.when(F.col("n") <= 9999, 4).when(F.col("n") <= 99_999_999, 8).otherwise(10)
+    per_dir = numbered(files.select("dir").distinct(), ["dir"], "d")
     rows = files.withColumn("k", F.row_number().over(Window.partitionBy("dir").orderBy("name", "file_id"))).join(per_dir, "dir")
-    dir_width = F.lit(8 if dirs <= 99_999_999 else 10)
-    pad = lambda value, w: F.lpad(value.cast("string"), w, F.lit("0"))
-    return rows.select("file_id", pad(F.col("d"), dir_width).alias("out_dir"), F.concat(pad(F.col("k"), width), F.lit(".dcm")).alias("out_name"))
+    pad = lambda value, width: F.lpad(value.cast("string"), width, F.lit("0"))
+    long = lambda value: F.when(value <= 99_999_999, 8).otherwise(10)
+    k, d = F.col("k"), F.col("d")
+    return rows.select("file_id", pad(d, long(d)).alias("out_dir"), F.concat(pad(k, F.when(k <= 9999, 4).otherwise(long(k))), F.lit(".dcm")).alias("out_name"))
