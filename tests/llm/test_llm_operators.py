@@ -174,6 +174,29 @@ def test_near_copies_with_edited_words(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, full, "").collect()} == set(expected.values())
 
 
+def test_near_copies_are_found_by_fingerprints():
+    """Fingerprints within three bits share a table, and most copies that differ in a word of 2,000 are that near."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        own = int(rng.integers(0, 1 << 63))
+        other = own
+        for bit in rng.choice(64, 3, replace=False):
+            other ^= 1 << int(bit)
+        assert any((own ^ other) & mask == 0 for mask in near_copies._MASKS)
+    hashes = rng.integers(0, 1 << 63, 5000, np.uint64)
+    votes = [2 * sum(int(x) >> k & 1 for x in hashes) > len(hashes) for k in range(64)]
+    assert near_copies.fingerprint(hashes) == sum(1 << k for k, vote in enumerate(votes) if vote)
+    found = 0
+    for _ in range(20):
+        base = [f"v{i}" for i in rng.integers(0, 5000, 2000)]
+        a, b = (near_copies.shingles(" ".join(w).encode()) for w in (base, [*base[:7], "x", *base[8:]]))
+        assert set(near_copies.tables(a)) <= set(near_copies.buckets(a))
+        near = (near_copies.fingerprint(a) ^ near_copies.fingerprint(b)).bit_count() <= 3
+        found += near
+        assert not near or set(near_copies.tables(a)) & set(near_copies.tables(b))
+    assert found >= 10
+
+
 @pytest.mark.parametrize(("which", "shard", "group"), [("docs", 50_000, 4096), ("clashing", 50_000, 4096), ("docs", 300, 2)])
 def test_mixing(which, shard, group, request, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD", shard)
