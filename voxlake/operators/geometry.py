@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxlake.functions.scalars import components, cross, dot, let, normal, orientation_code
+from voxlake.functions.scalars import components, cross, dot, normal, orientation_code
 
 SERIES = ["dir", "series_uid"]
 
@@ -182,22 +182,25 @@ def slice_intersections(slices: DataFrame, keys: list[str] = ("study_uid", "fram
     pairs = pairs.filter(dot(tilt, tilt) > PARALLEL)
     height = lambda p: dot([F.col("a_n")[i] for i in range(3)], [p[i] - F.col("a_ipp")[i] for i in range(3)])
 
-    def crossing(e: Column) -> Column:
-        t = e["hp"] / (e["hp"] - e["hq"])
-        return F.when((e["hp"] * e["hq"] < 0) | ((e["hp"] == 0) & (e["hq"] != 0)), F.array(*[e["p"][k] + t * (e["q"][k] - e["p"][k]) for k in range(3)]))
+    # columns, not lambdas: Spark compiles them, and a pair is what this query has most of
+    pairs = pairs.withColumns({f"h{i}": height(F.col("b_corners")[i]) for i in range(4)})
+    edges = [(F.col("b_corners")[i], F.col("b_corners")[(i + 1) % 4], F.col(f"h{i}"), F.col(f"h{(i + 1) % 4}")) for i in range(4)]
+    pairs = pairs.withColumns({f"cut{i}": F.coalesce((hp * hq < 0) | ((hp == 0) & (hq != 0)), F.lit(False)) for i, (_, _, hp, hq) in enumerate(edges)})
+    pairs = pairs.filter(sum((F.col(f"cut{i}").cast("int") for i in range(1, 4)), F.col("cut0").cast("int")) == 2)
 
-    def cut(i: int) -> Column:
-        p, q = F.col("b_corners")[i], F.col("b_corners")[(i + 1) % 4]
-        return let(F.struct(p.alias("p"), q.alias("q"), height(p).alias("hp"), height(q).alias("hq")), crossing)
+    def end(order: range, k: int) -> Column:
+        """A coordinate of the first edge's hit in an order."""
+        found = [F.when(F.col(f"cut{i}"), p[k] + hp / (hp - hq) * (q[k] - p[k])) for i, (p, q, hp, hq) in ((i, edges[i]) for i in order)]
+        return F.coalesce(*found)
 
-    hits = F.filter(F.array(*[cut(i) for i in range(4)]), lambda x: x.isNotNull())
-    pairs = pairs.withColumn("hits", hits).filter(F.size("hits") == 2)
+    orders = (range(4), range(3, -1, -1))  # of two hits the one comes first, the other last
+    pairs = pairs.withColumns({f"e{e}{k}": end(order, k) for e, order in enumerate(orders) for k in range(3)})
 
-    def pixel(point: Column, axis: int) -> Column:
+    def pixel(point: list[Column], axis: int) -> Column:
         return dot([F.col("a_iop")[3 * axis + i] for i in range(3)], [point[i] - F.col("a_ipp")[i] for i in range(3)]) / F.col("a_spacing")[axis]
 
-    ends = let(F.col("hits"), lambda hits: F.struct(*[pixel(hits[e], axis).alias(f"{name}{e}") for e in (0, 1) for axis, name in ((0, "x"), (1, "y"))]))
-    return pairs.select(F.col("a_f").alias("a"), F.col("b_f").alias("b"), ends.alias("ends")).select("a", "b", "ends.*")
+    ends = [pixel([F.col(f"e{e}{k}") for k in range(3)], axis).alias(f"{name}{e}") for e in (0, 1) for axis, name in ((0, "x"), (1, "y"))]
+    return pairs.select(F.col("a_f").alias("a"), F.col("b_f").alias("b"), *ends)
 
 
 def volume_center(slices: DataFrame, keys: list[str] = SERIES) -> DataFrame:
