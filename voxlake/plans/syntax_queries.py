@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.operators import deid as D
@@ -43,9 +43,14 @@ def _images(spark: SparkSession, sf_dir: str) -> str:
     return written(rows, build)
 
 
+def _key() -> Column:
+    """The number in a file's name."""
+    return F.regexp_extract("path", r"/(\d+)[^/]*$", 1).cast("long").alias("key")
+
+
 def _by_name(found: DataFrame, report: DataFrame) -> DataFrame:
     """Rows with the number in their file's name as ``key``."""
-    return found.join(report.select("file_id", F.regexp_extract("path", r"/(\d+)[^/]*$", 1).cast("long").alias("key")), "file_id")
+    return found.join(report.select("file_id", _key()), "file_id")
 
 
 _S = "s AS (SELECT s_suppkey AS k, s_name AS name FROM supplier)"
@@ -66,8 +71,8 @@ def _plain(value) -> F.Column:
 def s1_syntaxes(spark, sf_dir):
     """Headers of implicit, explicit, big-endian and deflated files alike; what a file lacks after the header doesn't matter, unless it is deflated as a whole."""
     folder = _images(spark, sf_dir)
-    rows = R.read_elements(spark, folder, up_to="7000", vr_of=KNOWN).join(R.read_report(spark, folder).filter("error is null or transfer_syntax <> '%s'" % DEFLATED).select("file_id"), "file_id")
-    return _by_name(rows, R.read_report(spark, folder)).select("key", path_text(F.col("path")).alias("path_text"), "tag", "vr", _plain("value").alias("value"))
+    rows = R.read_elements(spark, folder, up_to="7000", vr_of=KNOWN)
+    return _by_name(rows, R.read_report(spark, folder).filter("error is null or transfer_syntax <> '%s'" % DEFLATED)).select("key", path_text(F.col("path")).alias("path_text"), "tag", "vr", _plain("value").alias("value"))
 
 
 @query(f"WITH {_S} SELECT k AS key, CAST({PIXEL_BYTES // 2} AS BIGINT) AS n_words, CAST(k % 65536 AS BIGINT) AS word FROM s WHERE k % 5 <> 0")
