@@ -25,3 +25,7 @@ def test_rows_of_one_partition_are_written_by_many_tasks(spark, monkeypatch):
 
 def test_syntaxes_read_elements_and_report_once(spark, capsys):
     assert scans(syntax_queries.s1_syntaxes(spark, SF).filter(F.col("key") > 0), capsys) == 2
+
+
+def test_report_reads_files_and_headers_once(spark, capsys):
+    assert scans(syntax_queries.s1_file_report(spark, SF), capsys) == 2

@@ -90,7 +90,7 @@ def s1_file_report(spark, sf_dir):
     folder = _images(spark, sf_dir)
     whole, header = R.read_report(spark, folder), R.read_report(spark, folder, tags=["00080018"], up_to="00080018")
     stops = header.select("file_id", F.when(F.col("size") > 65_536, (F.col("bytes_read") <= 65_536) & (F.col("bytes_read") < F.col("size"))).otherwise(True).alias("stopped"))
-    return _by_name(whole, whole.select("file_id", "path")).join(stops, "file_id").select("key", "transfer_syntax", F.col("error").isNotNull().alias("is_error"), "stopped")
+    return whole.join(stops, "file_id").select(_key(), "transfer_syntax", F.col("error").isNotNull().alias("is_error"), "stopped")
 
 
 @query(f"WITH {_S} SELECT count(*) AS n_files, count(*) FILTER (WHERE k % 5 = 0) AS n_errors, count(*) FILTER (WHERE k % 3 = 0 AND k % 5 <> 0) AS n_overlay_in_pixels FROM s")
