@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -163,24 +165,39 @@ def missing_files(listed: DataFrame, files: DataFrame) -> DataFrame:
 IMAGE_RECORDS, SOFTCOPY_RECORDS = ("IMAGE", "RT STRUCTURE SET", "SPECTROSCOPY"), ("PRESENTATION", "SR DOCUMENT")
 
 
+def _chain_heads(rows: DataFrame) -> DataFrame:
+    """``file_id``, ``off`` and ``head``, the first record of its chain, of every record; none for chains that are rings.
+
+    A round looks up what each record points at, which is twice as far as in the round before. Records that point at a
+    head that is known to be one are done, and of them only those that others point at go into the next round: work
+    shrinks to the long chains, and no record is pointed at by many.
+    """
+    chain = rows.select("file_id", F.col("next_off").alias("off"), F.col("off").alias("up")).filter("off > 0")
+    first = checkpointed(rows.select("file_id", "off").join(chain, ["file_id", "off"], "left").select("file_id", "off", F.coalesce("up", "off").alias("head"), F.col("up").isNull().alias("done")))
+    found, known, active = [first.filter("done").drop("done")], first.filter("done"), first.filter("not done")
+    most = left = active.count()
+    reach = 1
+    while left and reach <= most:  # a chain that is open beyond has more records than there are
+        asked = active.select("file_id", F.col("head").alias("off")).distinct()
+        known = known.unionByName(active).join(asked, ["file_id", "off"], "left_semi")
+        jump = known.select("file_id", F.col("off").alias("head"), F.col("head").alias("next"), "done")
+        moved = checkpointed(active.drop("done").join(jump, ["file_id", "head"]).select("file_id", "off", F.col("next").alias("head"), "done"))
+        found.append(moved.filter("done").drop("done"))
+        known, active = checkpointed(known.filter("done")).unionByName(moved.filter("done")), moved.filter("not done")
+        reach, left = 2 * reach, active.count()
+    return reduce(DataFrame.unionByName, found)
+
+
 def dicomdir_series(records: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Series of a directory file: ``file_id``, ``patient``, ``study``, ``series`` (offsets), ``kinds``, ``files``, ``warning``.
 
     ``records`` has file_id, off, next_off, lower_off, type and ref_file; ``roots`` the first offset of each file.
     Sibling chains are followed by next offsets, levels by lower offsets: every record gets the head of its chain by
-    pointer doubling, then four levels join by (file, chain head). Without a root the walk starts at every PATIENT.
+    pointer doubling, then four levels join by (file, chain head). Records whose head is known leave the doubling. Without a root the walk starts at every PATIENT.
     A record of an unexpected type marks its series' file with a warning.
     """
-    rows = records.select("file_id", "off", "next_off", "lower_off", "type", "ref_file")
-    chain = rows.select("file_id", F.col("next_off").alias("off"), F.col("off").alias("up")).filter("off > 0")
-    heads = checkpointed(rows.select("file_id", "off").join(chain, ["file_id", "off"], "left").select("file_id", "off", F.coalesce("up", "off").alias("head")))
-    while True:  # as many rounds as the longest chain has doublings
-        jump = heads.select("file_id", F.col("off").alias("head"), F.col("head").alias("next"))
-        jumped = checkpointed(heads.join(jump, ["file_id", "head"]).select("file_id", "off", F.col("next").alias("head"), (F.col("next") != F.col("head")).alias("moved")))
-        heads = jumped.drop("moved")
-        if not jumped.filter("moved").limit(1).count():
-            break
-    full = rows.join(heads, ["file_id", "off"])
+    rows = checkpointed(records.select("file_id", "off", "next_off", "lower_off", "type", "ref_file"))
+    full = rows.join(_chain_heads(rows), ["file_id", "off"])
     level = lambda kind: full.filter(F.col("type") == kind)
     patients = level("PATIENT").select("file_id", F.col("off").alias("patient"), F.col("lower_off").alias("l1"), "head")
     if roots is not None:
