@@ -101,22 +101,31 @@ def build_id_map(elements: DataFrame, id_tags: list[str] = ID_TAGS, salt: str =
     return _distinct(elements, F.col("tag").isin(id_tags)).withColumn("new", pseudo_id(F.col("old"), salt))
 
 
+def build_maps(elements: DataFrame, salt: str = "", uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS, surnames: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The maps of ``build_uid_map``, ``build_name_map`` and ``build_id_map``, for which the elements are read once."""
+    kinds = {"uid": F.col("tag").isin(uid_tags), "name": _is_name(), "id": F.col("tag").isin(id_tags)}
+    marked = _listed(elements).select(clean(F.col("value")).alias("old"), F.array_compact(F.array(*[F.when(own, kind) for kind, own in kinds.items()])).alias("kinds"))
+    found = checkpointed(marked.filter("old <> ''").select(F.explode("kinds").alias("kind"), "old").distinct())
+    new = {"uid": pseudo_uid(F.col("old"), salt), "name": pseudo_name(F.col("old"), salt, surnames), "id": pseudo_id(F.col("old"), salt)}
+    return tuple(found.filter(F.col("kind") == kind).select("old", column.alias("new")) for kind, column in new.items())
+
+
 def apply_maps(elements: DataFrame, uids: DataFrame, names: DataFrame, ids: DataFrame, uid_tags: list[str] = UID_TAGS, id_tags: list[str] = ID_TAGS, preserve_uids: bool = False) -> DataFrame:
     """Values replaced by their pseudonyms; unmapped ones stay.
 
     UIDs by tag or VR, names by VR or tag, ids by tag. With ``preserve_uids`` only (0400,0100) changes. One join by value
     over the three maps together: in every task up to ``BROADCAST_ROWS`` of them, so that values of very many rows
-    are no key; rows of no kind carry no key, so they do not meet in one task either.
+    are no key; rows of no kind are dealt by file, so they do not meet in one task either and the elements are read once.
     """
     uid = F.col("tag") == "04000100" if preserve_uids else F.col("tag").isin(uid_tags) | (F.col("vr") == "UI")
     kind = F.when(F.col("tag").isin(id_tags), "id").when(F.coalesce(uid, F.lit(False)), "uid").when(_is_name(), "name")
     maps = uids.withColumn("kind", F.lit("uid")).unionByName(names.withColumn("kind", F.lit("name"))).unionByName(ids.withColumn("kind", F.lit("id")))
+    maps = checkpointed(maps)
     maps = F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps
-    marked = _listed(elements).withColumn("_kind", kind)
-    touched = marked.filter("_kind is not null").withColumn("_old", clean(F.col("value")))
-    new = touched.join(maps.select(F.col("kind").alias("_kind"), F.col("old").alias("_old"), F.col("new").alias("_new")), ["_kind", "_old"], "left")
-    new = _replaced(new, F.col("_new").isNotNull(), F.col("_new"))
-    return new.select(*elements.columns).unionByName(marked.filter("_kind is null").select(*elements.columns))
+    own = F.when(F.col("_kind") == "", F.col("file_id").cast("string")).otherwise(clean(F.col("value")))
+    marked = _listed(elements).withColumn("_kind", F.coalesce(kind, F.lit(""))).withColumn("_old", own)
+    new = marked.join(maps.select(F.col("kind").alias("_kind"), F.col("old").alias("_old"), F.col("new").alias("_new")), ["_kind", "_old"], "left")
+    return _replaced(new, F.col("_new").isNotNull(), F.col("_new")).select(*elements.columns)
 
 
 def _moved_uids(source: DataFrame, uid_tags: list[str], id_tags: list[str], salt: str) -> DataFrame | None:
@@ -471,10 +480,13 @@ def deidentify(elements: DataFrame, profile: dict[str, list[str]] = PROFILE, opt
     hashed = _hashed(marked, salt, uid_tags, id_tags, name_tags, bool(options.get("keep_uids"))).withColumn("_new", F.coalesce(new, _pseudonym(options.get("surnames"))))
     done = _replaced(hashed, F.col("_new").isNotNull(), F.col("_new"))
     flags = options | {"shift_dates": bool(offset), "keep_dates": not offset, "remove_graphics": graphics, "remove_descriptions": not options.get("keep_descriptions")}
-    kind = rows.select(F.struct(*rows.columns).alias("r")).schema["r"].dataType.simpleString()
-    own = F.when(F.col("_leaves"), F.array().cast(f"array<{kind}>")).otherwise(F.array(F.struct(*rows.columns).cast(kind)))
-    stamp = [F.struct(*[(F.col("file_id") if c == "file_id" else row.get(c, F.lit(None))).alias(c) for c in rows.columns]).cast(kind) for row in _stamp_rows(options.get("text", "de-identified"), flags)]
-    return done.select(F.explode(F.when(F.col("_at") == 1, F.concat(own, F.array(*stamp))).otherwise(own)).alias("r")).select("r.*")
+    stamps = _stamp_rows(options.get("text", "de-identified"), flags)
+    n = len(stamps)
+    # an own row is place 0; what stands inside explode is interpreted, not compiled, so it is no more than places
+    places = F.concat(F.when(F.col("_leaves"), F.array().cast("array<int>")).otherwise(F.array(F.lit(0))), F.when(F.col("_at") == 1, F.array(*map(F.lit, range(1, n + 1)))).otherwise(F.array().cast("array<int>")))
+    placed = done.withColumn("_places", places).select(*rows.columns, F.explode("_places").alias("_place"))
+    stamped = F.get(F.array(*[F.struct(*[row.get(c, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c != "file_id"]) for row in stamps]), F.col("_place") - 1)
+    return placed.select(*[F.col(c) if c == "file_id" else F.when(F.col("_place") == 0, F.col(c)).otherwise(stamped[c]).alias(c) for c in rows.columns])
 
 
 #: What a report needs of a file: bits, and the overlay's position and data.
