@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from voxlake.operators import catalog, deid
 from voxlake.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,26 @@ def test_parts_follow_the_lines(spark, monkeypatch):
     finally:
         spark.conf.set(PARTS, before[0])
         spark.conf.set(BYTES, before[1])
+
+
+def test_steps_by_file_need_no_shuffle_of_elements(spark, capsys):
+    deid.shift_dates(fixtures.elements(spark, SF), 1, 2, 3, 4).explain()
+    plan = capsys.readouterr().out
+    above = plan[plan.index("Window") : plan.index("Generate explode")]
+    assert "Exchange" not in above
+
+
+def test_maps_read_the_elements_once(spark, capsys):
+    rows = fixtures.elements(spark, SF)
+    uids, names, ids = deid.build_maps(rows, salt="s")
+    for found, alone in ((uids, deid.build_uid_map(rows, salt="s")), (names, deid.build_name_map(rows, "s")), (ids, deid.build_id_map(rows, salt="s"))):
+        assert sorted(found.collect()) == sorted(alone.collect())
+    deid.apply_maps(rows, uids, names, ids).explain()
+    assert capsys.readouterr().out.count("ReadSchema: struct<l_orderkey") == 1
+
+
+def test_chain_heads_leave_the_doubling(spark):
+    lengths = {1: 1, 2: 2, 3: 3, 4: 9, 5: 33}
+    rows = [(f, 10 * f + 1000 * k, 10 * f + 1000 * (k + 1) if k + 1 < n else 0) for f, n in lengths.items() for k in range(n)] + [(6, 1, 2), (6, 2, 1)]
+    found = catalog._chain_heads(spark.createDataFrame(rows, "file_id long, off long, next_off long"))
+    assert sorted(map(tuple, found.collect())) == sorted((f, off, 10 * f) for f, off, _ in rows if f != 6)

@@ -150,9 +150,8 @@ def a2_mixed_series_split(spark, sf_dir):
 
 @query("SELECT file_id, '0020000E' AS tag, CAST(2 AS BIGINT) AS n FROM fx_instances WHERE file_id % 3 = 0")
 def a3_duplicate_elements(spark, sf_dir):
-    rows = elements(spark, sf_dir)
-    twice = rows.unionByName(rows.filter("tag = '0020000E' AND file_id % 3 = 0"))
-    return C.duplicate_elements(twice).select("file_id", "tag", "n")
+    twice = elements(spark, sf_dir).withColumn("copies", F.expr("CASE WHEN tag = '0020000E' AND file_id % 3 = 0 THEN array(1, 2) ELSE array(1) END"))
+    return C.duplicate_elements(twice.select("file_id", "path", "tag", F.explode("copies"))).select("file_id", "tag", "n")
 
 
 @query("SELECT DISTINCT value FROM fx_elements WHERE vr IN ('UI', 'PN') OR tag = '00100020'")
