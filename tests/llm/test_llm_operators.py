@@ -174,6 +174,15 @@ def test_near_copies_with_edited_words(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, full, "").collect()} == set(expected.values())
 
 
+def test_exploded_rows_are_not_sent_to_every_task(spark):
+    """Spark sizes an explode by the rows that go into it, so a join would take its many rows for a table to broadcast."""
+    prints = spark.range(100).selectExpr("id as print")
+    marked = spark.range(100).selectExpr("0L as bucket", "id as print", "100L as n", "id as root")
+    own = spark.range(100).selectExpr("id as print", "cast('' as binary) as text")
+    for found in (simhash.links(prints), near_copies._dealt(marked, own, 2, across=True)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+
+
 def test_near_copies_are_found_by_fingerprints():
     """Fingerprints within three bits share a table, and most copies that differ in a word of 2,000 are that near."""
     rng = np.random.default_rng(5)

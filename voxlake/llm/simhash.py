@@ -133,7 +133,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -> Da
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = prints.repartition(n, "print").select("print", F.explode(F.concat(*rows)).alias("ask")).select("ask.*", "print")
     buckets = asked.groupBy("segment", "key").agg(F.count("*").alias("n"), F.count_if("held").alias("n_held")).filter("n > 1 and n_held > 0")
-    shared = asked.join(buckets, ["segment", "key"])  # few buckets have anything to compare
+    # few buckets have anything to compare; an explode's rows are more than Spark takes them for: they are not sent to every task
+    shared = asked.join(buckets.hint("merge"), ["segment", "key"])
     # a print in a bucket of its own segment value is both held and an asker: it meets every other member once
     parts = lambda n: F.greatest(F.lit(1), F.ceil(n / split).cast("int"))
     own = F.pmod(F.xxhash64("print"), F.greatest(F.lit(1), F.ceil(F.col("n") / split)).cast("long")).cast("int")
