@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 import struct
 
 from pyspark.sql import functions as F
 
 from voxlake.operators import catalog, deid, geometry, pixels
 from voxlake.sources import dicom_files
+from voxlake.sources.fixtures import instances
 
 PATH = "array<struct<tag:string,item:int>>"
 
@@ -211,3 +213,14 @@ def test_numbers_are_as_wide_as_they_are(spark):
     found = {r.file_id: r.out_name for r in deid.number_outputs(files).collect()}
     assert (found[0], found[9998], found[9999], found[10_000]) == ("0001.dcm", "9999.dcm", "00010000.dcm", "00010001.dcm")
     assert len(set(found.values())) == len(found)
+
+
+def test_slice_intersections_are_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes, some hundred times slower than it runs compiled ones."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan with its code is there before it runs
+    try:
+        plan = geometry.slice_intersections(instances(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxlake.functions.scalars import components, cross, dot, normal, orientation_code
+from voxlake.sources.shared import written
 
 SERIES = ["dir", "series_uid"]
 
@@ -141,22 +146,89 @@ def _candidates(rows: DataFrame, keys: list[str]) -> DataFrame:
     own = rows.groupBy(*keys, "cls").agg(F.max("reach").alias("_reach"), F.count("*").alias("_n_class")).withColumnRenamed("cls", "_cls")
     whole = rows.groupBy(*keys).agg((F.greatest(F.avg("side") / 4, F.lit(1e-3))).alias("_step"), F.count("*").alias("_n"))
     own = own.join(whole, list(keys)).withColumns({"_parts_a": F.ceil(F.col("_n_class") / CROWD), "_parts_b": F.ceil(F.col("_n") / CROWD)}).drop("_n", "_n_class")
-    met = rows.join(own, list(keys))  # few classes for each study: Spark splits the slices of a large one
+    met = rows.join(own.hint("merge"), list(keys))  # few classes for each study: Spark splits the slices of a large one; their file is too small to tell their size
     axis = [F.col("_cls")[i] * GRAIN for i in range(3)]
     step = lambda height: F.floor(height / F.col("_step")).cast("long")
     part = lambda n: F.pmod(F.xxhash64("f"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = [c for c in rows.columns if c not in (*keys, "cls", "reach", "side")]
-    named = lambda rows, side: rows.select(*keys, "_cls", "_at", "_a", "_b", *[F.col(c).alias(f"{side}_{c}") for c in columns])
-    points = met.filter(F.col("cls") == F.col("_cls")).withColumn("_at", step(dot(axis, [F.col("ipp")[i] for i in range(3)])))
+    named = lambda rows, side, columns: rows.select(*keys, "_cls", "_at", "_a", "_b", *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    points = met.filter(F.col("cls") == F.col("_cls")).withColumn("_at", step(dot(axis, _columns("p", 3))))
     points = points.withColumn("_a", part("_parts_a")).withColumn("_b", every("_parts_b"))
     tilt = cross(axis, [F.col("cls")[i] * GRAIN for i in range(3)])
-    heights = F.transform("corners", lambda c: dot(axis, [c[i] for i in range(3)]))
     reach = 2e-6 * (2 + F.col("_reach") + F.col("reach"))
-    spans = met.filter((F.col("cls") != F.col("_cls")) & (dot(tilt, tilt) > PARALLEL / 100)).withColumn("_h", heights)
-    spans = spans.withColumn("_at", F.explode(F.sequence(step(F.array_min("_h") - reach), step(F.array_max("_h") + reach))))
+    spans = met.filter((F.col("cls") != F.col("_cls")) & (dot(tilt, tilt) > PARALLEL / 100)).withColumns({f"_h{i}": dot(axis, _columns(f"c{i}", 3)) for i in range(4)})
+    heights = _columns("_h", 4)
+    spans = spans.withColumns({"_low": step(F.least(*heights) - reach), "_high": step(F.greatest(*heights) + reach)})
+    spans = spans.withColumn("_at", F.explode(F.sequence("_low", "_high")))
     spans = spans.withColumn("_b", part("_parts_b")).withColumn("_a", every("_parts_a"))
-    return named(points, "a").join(named(spans, "b"), [*keys, "_cls", "_at", "_a", "_b"])
+    return named(points, "a", _A).join(named(spans, "b", _B).hint("merge"), [*keys, "_cls", "_at", "_a", "_b"])  # what explodes is more than Spark takes it for
+
+
+def _names(stem: str, n: int) -> list[str]:
+    return [f"{stem}{i}" for i in range(n)]
+
+
+def _columns(stem: str, n: int) -> list[Column]:
+    return [F.col(c) for c in _names(stem, n)]
+
+
+#: What a pair has of its slices: position, cosines, spacing and normal of a, normal and corners of b.
+_A = ["f", "v", *_names("p", 3), *_names("r", 6), *_names("s", 2), *_names("n", 3)]
+_B = ["f", "v", *_names("n", 3), *[c for i in range(4) for c in _names(f"c{i}", 3)]]
+
+
+#: What a slice gets beside its position, cosines and spacing: normal, corners, farthest coordinates and longer side.
+_MEASURED = [*_names("n", 3), *[c for i in range(4) for c in _names(f"c{i}", 3)], "reach", "side"]
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices with ``_MEASURED`` and their class, without those that lack a number, which no plane can meet."""
+    for batch in batches:
+        given = [*_names("p", 3), *_names("r", 6), *_names("s", 2), "rows", "cols"]
+        at = {name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(float) for name in given}
+        whole = np.flatnonzero(np.logical_and.reduce([np.isfinite(x) for x in at.values()]))
+        at = {name: x[whole] for name, x in at.items()}
+        p, r = [at[c] for c in _names("p", 3)], [at[c] for c in _names("r", 6)]
+        n = cross(r[:3], r[3:])
+        low, right, bottom = -0.5, at["cols"] - 0.5, at["rows"] - 0.5
+        places = [(low, low), (right, low), (right, bottom), (low, bottom)]
+        c = [[p[k] + r[k] * at["s0"] * i + r[3 + k] * at["s1"] * j for k in range(3)] for i, j in places]
+        far = lambda columns: np.max(np.abs(columns), axis=0)
+        side = np.maximum(*[np.sqrt(dot(*[[c[i][m] - c[k][m] for m in range(3)]] * 2)) for i, k in ((0, 1), (1, 2))])
+        grains = np.clip(np.rint(np.stack(n, axis=1) / GRAIN), -9e18, 9e18).astype(np.int64)
+        first = np.take_along_axis(grains, (grains != 0).argmax(axis=1)[:, None], axis=1)
+        grains = np.where(first < 0, -grains, grains)  # opposite normals are one class
+        classes = pa.ListArray.from_arrays(np.arange(0, grains.size + 1, 3, dtype=np.int32), grains.reshape(-1))
+        new = [*n, *[x for corner in c for x in corner], far([x for corner in c for x in corner]) + far(p), side]
+        names = [name for name in batch.schema.names if name not in ("rows", "cols")]
+        own = batch.select(names).take(pa.array(whole))
+        yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, new), classes], [*names, *_MEASURED, "cls"])
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of pairs of slices; whole columns at a time, as Spark makes one method of all this that is too long to be compiled."""
+    for batch in batches:
+        at = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name[2:] not in ("f", "v")}
+        many = lambda stem, n: [at[c] for c in _names(stem, n)]
+        n, p = many("a_n", 3), many("a_p", 3)
+        with np.errstate(all="ignore"):
+            tilt = cross(n, many("b_n", 3))
+            h = [dot(n, [at[f"b_c{i}{k}"] - p[k] for k in range(3)]) for i in range(4)]
+            edges = [(i, (i + 1) % 4) for i in range(4)]
+            hits = [(h[i] * h[j] < 0) | ((h[i] == 0) & (h[j] != 0)) for i, j in edges]
+            kept = np.flatnonzero((dot(tilt, tilt) > PARALLEL) & (sum(hit.astype(np.int8) for hit in hits) == 2))
+            at = {name: values[kept] for name, values in at.items()}
+            h, hits, p = [x[kept] for x in h], [x[kept] for x in hits], many("a_p", 3)
+            out = []
+            for order in (range(4), range(3, -1, -1)):  # of two hits the one comes first, the other last
+                point = [np.full(len(kept), np.nan)] * 3
+                for e in reversed(order):
+                    (i, j), hit = edges[e], hits[e]
+                    along = h[i] / (h[i] - h[j])
+                    point = [np.where(hit, at[f"b_c{i}{k}"] + along * (at[f"b_c{j}{k}"] - at[f"b_c{i}{k}"]), point[k]) for k in range(3)]
+                out += [dot(many("a_r", 6)[3 * axis : 3 * axis + 3], [point[k] - p[k] for k in range(3)]) / at[f"a_s{axis}"] for axis in (0, 1)]
+        ids = [batch.column(batch.schema.get_field_index(name)).take(pa.array(kept)) for name in ("a_f", "b_f")]
+        yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, out)], ["a", "b", "x0", "y0", "x1", "y1"])
 
 
 def slice_intersections(slices: DataFrame, keys: list[str] = ("study_uid", "frame_of_ref_uid"), volume: str = "series_uid") -> DataFrame:
@@ -164,43 +236,20 @@ def slice_intersections(slices: DataFrame, keys: list[str] = ("study_uid", "fram
 
     Slices pair within a study and a frame of reference that isn't empty; planes with equal or opposite normals do
     not. The four edges of slice b cut the plane of slice a; only exactly two hits make a line. Only pairs that can
-    cross are compared, so their number is near the size of the answer.
+    cross are compared, so their number is near the size of the answer. Slices are read once and written to the shared
+    folder, narrow and compressed.
     """
     frame = keys[-1]
-    rows = corners(slices.filter(F.coalesce(F.col(frame) != "", F.lit(False)) & (F.size("ipp") == 3) & (F.size("iop") == 6)))
-    rows = rows.select(*keys, F.col(volume).alias("v"), F.col("file_id").alias("f"), "ipp", "iop", "spacing", "corners", F.array(*normal(F.col("iop"))).alias("n"))
-    grains = F.transform("n", lambda x: F.round(x / GRAIN).cast("long"))
-    first = F.coalesce(F.element_at(F.filter(grains, lambda x: x != 0), 1), F.lit(1).cast("long"))  # opposite normals are one class
-    apart = lambda i, k: F.sqrt(dot(*[[F.col("corners")[i][m] - F.col("corners")[k][m] for m in range(3)]] * 2))
-    rows = rows.withColumns({
-        "cls": F.transform(grains, lambda x: F.when(first < 0, -x).otherwise(x)),
-        "reach": F.array_max(F.transform(F.flatten("corners"), F.abs)) + F.array_max(F.transform("ipp", F.abs)),
-        "side": F.greatest(apart(0, 1), apart(1, 2)),
-    }).filter("reach is not null")
-    pairs = _candidates(rows, list(keys)).filter("a_v <> b_v")
-    tilt = cross([F.col("a_n")[i] for i in range(3)], [F.col("b_n")[i] for i in range(3)])
-    pairs = pairs.filter(dot(tilt, tilt) > PARALLEL)
-    height = lambda p: dot([F.col("a_n")[i] for i in range(3)], [p[i] - F.col("a_ipp")[i] for i in range(3)])
-
-    # columns, not lambdas: Spark compiles them, and a pair is what this query has most of
-    pairs = pairs.withColumns({f"h{i}": height(F.col("b_corners")[i]) for i in range(4)})
-    edges = [(F.col("b_corners")[i], F.col("b_corners")[(i + 1) % 4], F.col(f"h{i}"), F.col(f"h{(i + 1) % 4}")) for i in range(4)]
-    pairs = pairs.withColumns({f"cut{i}": F.coalesce((hp * hq < 0) | ((hp == 0) & (hq != 0)), F.lit(False)) for i, (_, _, hp, hq) in enumerate(edges)})
-    pairs = pairs.filter(sum((F.col(f"cut{i}").cast("int") for i in range(1, 4)), F.col("cut0").cast("int")) == 2)
-
-    def end(order: range, k: int) -> Column:
-        """A coordinate of the first edge's hit in an order."""
-        found = [F.when(F.col(f"cut{i}"), p[k] + hp / (hp - hq) * (q[k] - p[k])) for i, (p, q, hp, hq) in ((i, edges[i]) for i in order)]
-        return F.coalesce(*found)
-
-    orders = (range(4), range(3, -1, -1))  # of two hits the one comes first, the other last
-    pairs = pairs.withColumns({f"e{e}{k}": end(order, k) for e, order in enumerate(orders) for k in range(3)})
-
-    def pixel(point: list[Column], axis: int) -> Column:
-        return dot([F.col("a_iop")[3 * axis + i] for i in range(3)], [point[i] - F.col("a_ipp")[i] for i in range(3)]) / F.col("a_spacing")[axis]
-
-    ends = [pixel([F.col(f"e{e}{k}") for k in range(3)], axis).alias(f"{name}{e}") for e in (0, 1) for axis, name in ((0, "x"), (1, "y"))]
-    return pairs.select(F.col("a_f").alias("a"), F.col("b_f").alias("b"), *ends)
+    rows = slices.filter(F.coalesce(F.col(frame) != "", F.lit(False)) & (F.size("ipp") == 3) & (F.size("iop") == 6))
+    sizes = {"p": ("ipp", 3), "r": ("iop", 6), "s": ("spacing", 2)}
+    flat = [F.col(column)[k].cast("double").alias(f"{stem}{k}") for stem, (column, n) in sizes.items() for k in range(n)]
+    rows = rows.select(*keys, F.col(volume).alias("v"), F.col("file_id").alias("f"), *flat, F.col("rows").cast("double").alias("rows"), F.col("cols").cast("double").alias("cols"))
+    kinds = [f"`{name}` {kind}" for name, kind in rows.dtypes if name not in ("rows", "cols")]
+    rows = rows.mapInArrow(_measured, ", ".join([*kinds, *[f"{c} double" for c in _MEASURED], "cls array<long>"]))
+    pairs = _candidates(written(rows), list(keys)).filter("a_v <> b_v")
+    kind = dict(rows.dtypes)["f"]
+    wanted = [f"{side}_{c}" for side, columns in (("a", _A), ("b", _B)) for c in columns if c != "v"]
+    return pairs.select(*wanted).mapInArrow(_lines, f"a {kind}, b {kind}, x0 double, y0 double, x1 double, y1 double")
 
 
 def volume_center(slices: DataFrame, keys: list[str] = SERIES) -> DataFrame:
