@@ -3,6 +3,7 @@
 from collections import Counter
 
 from voxlake.operators import catalog, deid
+from voxlake.plans import deid_queries
 from voxlake.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +49,12 @@ def test_maps_read_the_elements_once(spark, capsys):
     assert capsys.readouterr().out.count("ReadSchema: struct<l_orderkey") == 1
 
 
+def test_own_maps_need_no_shuffle_of_elements(spark, capsys):
+    deid_queries.d4_apply_maps(spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan[: plan.index("Generate explode")] and "file_key" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
 def test_chain_heads_leave_the_doubling(spark):
     lengths = {1: 1, 2: 2, 3: 3, 4: 9, 5: 33}
     rows = [(f, 10 * f + 1000 * k, 10 * f + 1000 * (k + 1) if k + 1 < n else 0) for f, n in lengths.items() for k in range(n)] + [(6, 1, 2), (6, 2, 1)]

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from voxlake.functions.scalars import clean, let, tag_flags
 from voxlake.operators.deid_tags import DATE_TAGS, ID_TAGS, KEPT_DATES, NAME_TAGS, PROFILE, UID_TAGS  # noqa: F401
 from voxlake.operators.typing import listed_dictionary, typed
-from voxlake.sources.shared import checkpointed, numbered
+from voxlake.sources.shared import checkpointed, numbered, written
 
 #: Values that are looked up in every task; more of them join by value.
 BROADCAST_ROWS = 100_000
@@ -105,7 +105,7 @@ def build_maps(elements: DataFrame, salt: str = "", uid_tags: list[str] = UID_TA
     """The maps of ``build_uid_map``, ``build_name_map`` and ``build_id_map``, for which the elements are read once."""
     kinds = {"uid": F.col("tag").isin(uid_tags), "name": _is_name(), "id": F.col("tag").isin(id_tags)}
     marked = _listed(elements).select(clean(F.col("value")).alias("old"), F.array_compact(F.array(*[F.when(own, kind) for kind, own in kinds.items()])).alias("kinds"))
-    found = checkpointed(marked.filter("old <> ''").select(F.explode("kinds").alias("kind"), "old").distinct())
+    found = written(marked.filter("old <> ''").select(F.explode("kinds").alias("kind"), "old").distinct())
     new = {"uid": pseudo_uid(F.col("old"), salt), "name": pseudo_name(F.col("old"), salt, surnames), "id": pseudo_id(F.col("old"), salt)}
     return tuple(found.filter(F.col("kind") == kind).select("old", column.alias("new")) for kind, column in new.items())
 
@@ -116,12 +116,13 @@ def apply_maps(elements: DataFrame, uids: DataFrame, names: DataFrame, ids: Data
     UIDs by tag or VR, names by VR or tag, ids by tag. With ``preserve_uids`` only (0400,0100) changes. One join by value
     over the three maps together: in every task up to ``BROADCAST_ROWS`` of them, so that values of very many rows
     are no key; rows of no kind are dealt by file, so they do not meet in one task either and the elements are read once.
+    The maps are read twice, and all elements are shuffled by value if the maps are large. Where the maps are the
+    elements' own, ``pseudonymised`` gives the same rows without either.
     """
     uid = F.col("tag") == "04000100" if preserve_uids else F.col("tag").isin(uid_tags) | (F.col("vr") == "UI")
     kind = F.when(F.col("tag").isin(id_tags), "id").when(F.coalesce(uid, F.lit(False)), "uid").when(_is_name(), "name")
     maps = uids.withColumn("kind", F.lit("uid")).unionByName(names.withColumn("kind", F.lit("name"))).unionByName(ids.withColumn("kind", F.lit("id")))
-    maps = checkpointed(maps)
-    maps = F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps
+    maps = F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps.hint("merge")  # a file may be too small to tell its rows
     own = F.when(F.col("_kind") == "", F.col("file_id").cast("string")).otherwise(clean(F.col("value")))
     marked = _listed(elements).withColumn("_kind", F.coalesce(kind, F.lit(""))).withColumn("_old", own)
     new = marked.join(maps.select(F.col("kind").alias("_kind"), F.col("old").alias("_old"), F.col("new").alias("_new")), ["_kind", "_old"], "left")
