@@ -4,12 +4,14 @@ import math
 import random
 import re
 import struct
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from voxlake.operators import catalog, deid, geometry, pixels
 from voxlake.sources import dicom_files
 from voxlake.sources.fixtures import instances
+from voxlake.sources.shared import shared_folder
 
 PATH = "array<struct<tag:string,item:int>>"
 
@@ -224,3 +226,14 @@ def test_slice_intersections_are_compiled(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_directory_records_take_little_disk(spark):
+    """What the walk writes between its steps is compressed, and each record is written a few times only."""
+    n = 20_000
+    images = spark.range(n).selectExpr("1L as file_id", "id + 10 as off", "if(id % 4 = 3, 0L, id + 11) as next_off", "0L as lower_off", "'IMAGE' as type", "concat('IM/', id) as ref_file")
+    heads = spark.createDataFrame([(1, 1, 0, 2, "PATIENT", None), (1, 2, 0, 3, "STUDY", None), (1, 3, 0, 10, "SERIES", None)], "file_id long, off long, next_off long, lower_off long, type string, ref_file string")
+    size = lambda: sum(p.stat().st_size for p in Path(shared_folder(spark)[7:]).rglob("*") if p.is_file())
+    before = size()
+    assert [r.files for r in catalog.dicomdir_series(images.unionByName(heads)).collect()] == [["IM/0", "IM/1", "IM/2", "IM/3"]]
+    assert size() - before < 35 * n

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from voxlake.functions import sop_classes
 from voxlake.functions.scalars import tag_flags, until_nul
-from voxlake.sources.shared import checkpointed
+from voxlake.sources.shared import written
 
 
 def scan_tags(elements: DataFrame, tags: list[str]) -> DataFrame:
@@ -173,17 +173,17 @@ def _chain_heads(rows: DataFrame) -> DataFrame:
     shrinks to the long chains, and no record is pointed at by many.
     """
     chain = rows.select("file_id", F.col("next_off").alias("off"), F.col("off").alias("up")).filter("off > 0")
-    first = checkpointed(rows.select("file_id", "off").join(chain, ["file_id", "off"], "left").select("file_id", "off", F.coalesce("up", "off").alias("head"), F.col("up").isNull().alias("done")))
+    first = written(rows.select("file_id", "off").join(chain.hint("merge"), ["file_id", "off"], "left").select("file_id", "off", F.coalesce("up", "off").alias("head"), F.col("up").isNull().alias("done")))
     found, known, active = [first.filter("done").drop("done")], first.filter("done"), first.filter("not done")
     most = left = active.count()
     reach = 1
     while left and reach <= most:  # a chain that is open beyond has more records than there are
         asked = active.select("file_id", F.col("head").alias("off")).distinct()
-        known = known.unionByName(active).join(asked, ["file_id", "off"], "left_semi")
+        known = written(known.unionByName(active).join(asked.hint("merge"), ["file_id", "off"], "left_semi"))
         jump = known.select("file_id", F.col("off").alias("head"), F.col("head").alias("next"), "done")
-        moved = checkpointed(active.drop("done").join(jump, ["file_id", "head"]).select("file_id", "off", F.col("next").alias("head"), "done"))
+        moved = written(active.drop("done").join(jump.hint("merge"), ["file_id", "head"]).select("file_id", "off", F.col("next").alias("head"), "done"))
         found.append(moved.filter("done").drop("done"))
-        known, active = checkpointed(known.filter("done")).unionByName(moved.filter("done")), moved.filter("not done")
+        known, active = known.filter("done").unionByName(moved.filter("done")), moved.filter("not done")
         reach, left = 2 * reach, active.count()
     return reduce(DataFrame.unionByName, found)
 
@@ -194,10 +194,11 @@ def dicomdir_series(records: DataFrame, roots: DataFrame | None = None) -> DataF
     ``records`` has file_id, off, next_off, lower_off, type and ref_file; ``roots`` the first offset of each file.
     Sibling chains are followed by next offsets, levels by lower offsets: every record gets the head of its chain by
     pointer doubling, then four levels join by (file, chain head). Records whose head is known leave the doubling. Without a root the walk starts at every PATIENT.
-    A record of an unexpected type marks its series' file with a warning.
+    A record of an unexpected type marks its series' file with a warning. Records, and records with their heads, are
+    written once each, compressed; their files are too small to tell Spark how many rows they have, so joins say how.
     """
-    rows = checkpointed(records.select("file_id", "off", "next_off", "lower_off", "type", "ref_file"))
-    full = rows.join(_chain_heads(rows), ["file_id", "off"])
+    rows = written(records.select("file_id", "off", "next_off", "lower_off", "type", "ref_file"))
+    full = written(rows.drop("next_off").join(_chain_heads(rows).hint("merge"), ["file_id", "off"]))
     level = lambda kind: full.filter(F.col("type") == kind)
     patients = level("PATIENT").select("file_id", F.col("off").alias("patient"), F.col("lower_off").alias("l1"), "head")
     if roots is not None:
@@ -207,10 +208,11 @@ def dicomdir_series(records: DataFrame, roots: DataFrame | None = None) -> DataF
     studies = level("STUDY").select("file_id", F.col("head").alias("l1"), F.col("off").alias("study"), F.col("lower_off").alias("l2"))
     series = level("SERIES").select("file_id", F.col("head").alias("l2"), F.col("off").alias("series"), F.col("lower_off").alias("l3"))
     leaves = full.select("file_id", F.col("head").alias("l3"), "type", "ref_file", "off")
-    walked = patients.drop("head").join(studies, ["file_id", "l1"]).join(series, ["file_id", "l2"]).join(leaves, ["file_id", "l3"], "left")
+    walked = patients.drop("head").join(studies.hint("merge"), ["file_id", "l1"]).join(series.hint("merge"), ["file_id", "l2"]).join(leaves.hint("merge"), ["file_id", "l3"], "left")
     kind = F.when(F.col("type").isin(*IMAGE_RECORDS), "image").when(F.col("type").isin(*SOFTCOPY_RECORDS), "softcopy").when(F.col("type").isNotNull(), "unexpected")
-    grouped = walked.withColumn("kind", kind).groupBy("file_id", "patient", "study", "series").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "unexpected", F.struct("off", "ref_file")))), lambda x: x["ref_file"]).alias("files"))
-    return grouped.withColumn("warning", F.array_contains("kinds", "unexpected"))
+    # with l3, which follows from the series, rows are grouped where the last join has dealt them
+    grouped = walked.withColumn("kind", kind).groupBy("file_id", "l3", "patient", "study", "series").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "unexpected", F.struct("off", "ref_file")))), lambda x: x["ref_file"]).alias("files"))
+    return grouped.drop("l3").withColumn("warning", F.array_contains("kinds", "unexpected"))
 
 
 def effective_vr(elements: DataFrame, public: DataFrame, private: DataFrame) -> DataFrame:

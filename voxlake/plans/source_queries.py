@@ -10,7 +10,7 @@ from voxlake.operators.catalog import dicomdir_series
 from voxlake.plans.registry import query
 from voxlake.sources import dicom_files as D
 from voxlake.sources.fixtures import fixture
-from voxlake.sources.shared import checkpointed
+from voxlake.sources.shared import written
 
 
 @query("SELECT file_id, file_id % 4 <> 3 AS is_dicom FROM fx_instances")
@@ -55,12 +55,12 @@ def f5_decode_text(spark, sf_dir):
 def j5_dicomdir_series(spark, sf_dir):
     """Directories of patients with a study each, its series and images, linked by offsets."""
     rows = fixture(spark, sf_dir, "fx_instances").select((F.substring("patient_id", 2, 20).cast("long") % 20).alias("file_id"), F.substring("patient_id", 2, 20).cast("long").alias("p"), F.element_at(F.split("series_uid", r"\."), -1).cast("long").alias("s"), F.col("file_id").alias("i"))
-    rows = checkpointed(rows)  # read at every level
+    rows = written(rows)  # read at every level
     chain = lambda keys, at: F.coalesce(F.lead("off").over(Window.partitionBy(*keys).orderBy("off")), F.lit(0)).alias(at)
-    level = lambda own, keys, kind, base, low: rows.groupBy("file_id", *keys, own).agg(low.alias("lower_off")).withColumn("off", F.col(own) + base).select("file_id", "off", chain(["file_id", *keys], "next_off"), "lower_off", F.lit(kind).alias("type"), F.when(F.lit(kind) == "IMAGE", F.concat(F.lit("IM/"), F.col(own))).alias("ref_file"))
+    level = lambda own, keys, kind, base, low, rows=rows: rows.groupBy("file_id", *keys, own).agg(low.alias("lower_off")).withColumn("off", F.col(own) + base).select("file_id", "off", chain(["file_id", *keys], "next_off"), "lower_off", F.lit(kind).alias("type"), F.when(F.lit(kind) == "IMAGE", F.concat(F.lit("IM/"), F.col(own))).alias("ref_file"))
     big = 10**9
     studies = rows.groupBy("file_id", "p").agg((F.min("s") + 3 * big).alias("lower_off")).select("file_id", (F.col("p") + 2 * big).alias("off"), F.lit(0).cast("long").alias("next_off"), "lower_off", F.lit("STUDY").alias("type"), F.lit(None).cast("string").alias("ref_file"))
-    records = level("p", [], "PATIENT", big, F.max(F.col("p")) + 2 * big).unionByName(studies).unionByName(level("s", ["p"], "SERIES", 3 * big, F.min("i") + 4 * big)).unionByName(level("i", ["s"], "IMAGE", 4 * big, F.lit(0).cast("long")))
+    records = level("p", [], "PATIENT", big, F.max(F.col("p")) + 2 * big).unionByName(studies).unionByName(level("s", ["p"], "SERIES", 3 * big, F.min("i") + 4 * big)).unionByName(level("i", ["s"], "IMAGE", 4 * big, F.lit(0).cast("long"), rows.repartition("file_id", "s")))
     roots = rows.groupBy("file_id").agg((F.min("p") + big).alias("root_off"))
     found = dicomdir_series(records, roots)
     return found.select("file_id", F.concat(F.lit("1.2.3.4."), (F.col("series") - 3 * big).cast("string")).alias("series_uid"), F.size("files").cast("long").alias("n_files"), "warning")
